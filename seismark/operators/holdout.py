@@ -82,27 +82,30 @@ def loso_family(acc: DataFrame, keys: Sequence[str] = ("family",)) -> DataFrame:
         (F.max("acc") - F.min_by("acc", lead)).alias("regret"))
 
 
-def suite_holdout(acc: DataFrame) -> DataFrame:
-    """Train on all other families (macro mean and case-weighted), judge on the held-out family and its systems.
+def suite_holdout(d: DataFrame) -> DataFrame:
+    """Per pair: choose on the systems of all other families (plain and case-weighted mean), judge on the held-out
+    family as a whole and on each of its systems.
 
-    Sums per family and method are formed once; the training value of a held-out family is total minus own.
+    ``d``: pair deltas per subsystem. Family sums are formed once; the training value is total minus own.
     """
-    fam = acc.groupBy("family", "method").agg(F.sum("acc").alias("s"), F.count("*").alias("k"), F.sum(F.col("acc") * F.col("n")).alias("sn"), F.sum("n").alias("n"))
-    w = W.partitionBy("method")
-    t = fam.withColumn("families", F.count("*").over(w)).withColumn("macro", F.sum(F.col("s") / F.col("k")).over(w) - F.col("s") / F.col("k"))
-    t = t.filter("families > 1").select(
-        "family", "method", (F.col("s") / F.col("k")).alias("held_acc"), (F.col("macro") / (F.col("families") - 1)).alias("macro"),
-        ((F.sum("sn").over(w) - F.col("sn")) / (F.sum("n").over(w) - F.col("n"))).alias("case_weighted"))
-    long = t.select("family", "method", "held_acc", F.explode(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.col(r).alias("train")) for r in ("macro", "case_weighted")])).alias("r")).select("family", "method", "held_acc", "r.*")
-    lead = F.struct(-F.round("train", 9), F.col("method"))
-    top = long.groupBy("family", "rule").agg(F.min_by("method", lead).alias("winner"), F.min_by("held_acc", lead).alias("winner_acc"),
-                                             F.max("held_acc").alias("best_acc"))
-    sysbest = acc.groupBy("family", "subsystem_id").agg(F.max("acc").alias("sb"))
-    own = acc.select("family", "subsystem_id", F.col("method").alias("winner"), "acc")
-    sysreg = (top.select("family", "rule", "winner").join(own, ["family", "winner"]).join(sysbest, ["family", "subsystem_id"])
-              .groupBy("family", "rule").agg(F.avg(F.col("sb") - F.col("acc")).alias("system_regret"), F.max(F.col("sb") - F.col("acc")).alias("worst_system_regret")))
-    return top.join(sysreg, ["family", "rule"]).select("*", (F.col("best_acc") - F.col("winner_acc")).alias("family_regret"))
+    n = F.col("n")
+    fam = d.groupBy("family", "a", "b").agg(
+        F.count("*").alias("k"), F.sum("acc_a").alias("sa"), F.sum("acc_b").alias("sb"), F.sum(n * F.col("acc_a")).alias("wa"),
+        F.sum(n * F.col("acc_b")).alias("wb"), F.sum("n").alias("n"), F.collect_list(F.struct("acc_a", "acc_b")).alias("sys"))
+    w = W.partitionBy("a", "b")
+    rest = lambda c: F.sum(c).over(w) - F.col(c)
+    x = fam.withColumn("rk", rest("k")).filter("rk > 0")
+    rules = F.array(
+        F.struct(F.lit("macro").alias("rule"), ((rest("sa") - rest("sb")) / F.col("rk")).alias("train"), ((F.col("sa") - F.col("sb")) / F.col("k")).alias("held")),
+        F.struct(F.lit("case_weighted").alias("rule"), ((rest("wa") - rest("wb")) / rest("n")).alias("train"), ((F.col("wa") - F.col("wb")) / F.col("n")).alias("held")))
+    x = x.withColumn("r", rules).select("family", "a", "b", "sys", F.explode("r").alias("r")).select("family", "a", "b", "sys", "r.*")
+    s = sgn("train")
+    off = F.filter("sys", lambda e: s * sgn(e["acc_a"] - e["acc_b"]) < 0)
+    lost = F.transform(off, lambda e: F.abs(e["acc_a"] - e["acc_b"]))
+    return x.select(
+        "family", "a", "b", "rule", "train", "held", F.when(s > 0, F.col("a")).when(s < 0, F.col("b")).otherwise("tie").alias("selected"),
+        (s * sgn("held") < 0).alias("mis_selected"), F.when(s * sgn("held") < 0, F.abs("held")).otherwise(0.0).alias("family_regret"),
+        F.size(off).alias("systems_missed"), (F.aggregate(lost, F.lit(0.0), lambda acc, v: acc + v) / F.size("sys")).alias("system_regret"))
 
 
 def decisions(acc: DataFrame, held_ci: DataFrame, kind: str = "adjacent") -> DataFrame:
@@ -124,7 +127,7 @@ def decisions(acc: DataFrame, held_ci: DataFrame, kind: str = "adjacent") -> Dat
     prs = F.flatten(F.transform("ms", lambda x, i: F.transform(F.slice("ms", i + 2, take), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     p = board.select("family", "held_out", F.explode(prs).alias("p"))
     dl = F.transform(F.arrays_zip(F.col("p.x.tr").alias("x"), F.col("p.y.tr").alias("y")),
-                     lambda z: F.struct((z["0"]["value"]["acc"] - z["1"]["value"]["acc"]).alias("d"), z["0"]["value"]["n"].alias("n")))
+                     lambda z: F.struct((z["x"]["value"]["acc"] - z["y"]["value"]["acc"]).alias("d"), z["x"]["value"]["n"].alias("n")))
     p = p.select("family", "held_out", F.col("p.x.method").alias("a"), F.col("p.y.method").alias("b"), F.col("p.x.rank").alias("rank_a"),
                  F.col("p.y.rank").alias("rank_b"), F.col("p.x.se").alias("se_a"), F.col("p.y.se").alias("se_b"), dl.alias("dl"))
     k = F.size("dl")
@@ -227,3 +230,25 @@ def verdict(c: DataFrame, b: DataFrame, frozen: str = "1.0", by: Sequence[str] =
     x = x.withColumn("identification", F.coalesce(identification, F.lit(False))).withColumn("reduction", F.coalesce(reduction, F.lit(False)))
     return x.select(*by, "threshold", "recommended", "rule_errors", "pooled_only_errors", "system_equal_errors", "identification", "reduction",
                     F.when(F.col("reduction"), "reduction").when(F.col("identification"), "identification_only").otherwise("neither").alias("verdict"))
+
+
+def cross_decisions(train: DataFrame, held: DataFrame, c: float = 1.0) -> DataFrame:
+    """Neighbours of one release's leaderboard, judged on every subsystem of another release."""
+    per = train.groupBy("method").agg(F.avg("acc").alias("se"), F.map_from_entries(F.collect_list(F.struct("subsystem_id", "acc"))).alias("v"))
+    board = per.groupBy(F.lit(1).alias("_g")).agg(F.array_sort(F.collect_list(F.struct((-F.round("se", 9)).alias("o"), F.col("method"), F.col("se"), F.col("v")))
+                                                              , _by_order).alias("ms"))
+    p = board.select(F.posexplode(F.transform(F.slice("ms", 1, F.size("ms") - 1), lambda x, i: F.struct(x.alias("x"), F.get("ms", i + 1).alias("y")))).alias("i", "p"))
+    ds = F.transform(F.map_keys("p.x.v"), lambda s: F.element_at(F.col("p.x.v"), s) - F.element_at(F.col("p.y.v"), s))
+    p = p.select(F.col("p.x.method").alias("a"), F.col("p.y.method").alias("b"), (F.col("i") + 1).alias("rank_a"), (F.col("p.x.se") - F.col("p.y.se")).alias("m_se"), ds.alias("ds"))
+    mean = F.aggregate("ds", F.lit(0.0), lambda s, e: s + e) / F.size("ds")
+    p = p.withColumn("_m", mean).withColumn("sd", F.sqrt(F.try_divide(F.aggregate("ds", F.lit(0.0), lambda s, e: s + F.pow(e - F.col("_m"), 2)), F.size("ds") - 1)))
+    ha = held.select(F.col("method").alias("a"), F.col("subsystem_id").alias("held_out"), F.col("acc").alias("xa"))
+    hb = held.select(F.col("method").alias("b"), F.col("subsystem_id").alias("held_out"), F.col("acc").alias("xb"))
+    j = p.select("a", "b", "rank_a", "m_se", "sd").join(ha, "a").join(hb, ["b", "held_out"])
+    d = F.col("xa") - F.col("xb")
+    return j.select("a", "b", "rank_a", "m_se", "sd", "held_out", d.alias("d_held"), (sgn("m_se") * sgn(d) < 0).alias("error"),
+                    (F.abs("m_se") >= c * F.col("sd")).alias("recommended"))
+
+
+def _by_order(x: Column, y: Column) -> Column:
+    return (F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).when(x["method"] < y["method"], -1).when(x["method"] > y["method"], 1).otherwise(0))

@@ -80,3 +80,42 @@ def previous(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[
     return (x.withColumn("_both", both)
             .withColumn(name, F.slice("_both", F.greatest(F.size("_both") - k + 1, F.lit(1)), F.lit(k)))
             .drop("_rd", "_in", "_carry", "_both", "_chunk"))
+
+
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: str, name: str = "rank") -> DataFrame:
+    """The first ``n`` rows per key with their 1-based rank. Each of 64 slices of a key keeps its own first n before
+    the slices meet, so a hot key never sits in one task."""
+    keys = list(keys)
+    x = df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(64)))
+    x = x.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))).filter(F.col("_r") <= n)
+    x = x.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return x.filter(F.col(name) <= n).drop("_part", "_r")
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Exact linear-interpolation percentiles per key without holding a key's values in one task.
+
+    Distinct values are counted first; counts are cumulated inside value chunks (asinh spreads any magnitude) and
+    over the chunk totals; the values at the wanted ranks are then picked by a filter.
+    """
+    keys = list(keys)
+    vc = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    vc = vc.withColumn("_chunk", F.floor(F.asinh(value) * 32))
+    tot = vc.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_cc"))
+    wk = W.partitionBy(*keys)
+    tot = (tot.withColumn("_off", F.coalesce(F.sum("_cc").over(wk.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+           .withColumn("_n", F.sum("_cc").over(wk)).drop("_cc"))
+    inner = W.partitionBy(*keys, "_chunk").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    x = vc.withColumn("_cum", F.sum("_c").over(inner))
+    x = _with_summary(x, tot, [*keys, "_chunk"], ["_off", "_n"])
+    hi_rank = F.col("_off") + F.col("_cum")  # ranks [hi - c, hi) hold this value
+    lo_rank = hi_rank - F.col("_c")
+    x = x.select(*keys, value, "_n", lo_rank.alias("_lo"), hi_rank.alias("_hi"))
+    aggs = []
+    for q, nm in zip(qs, names):
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        fl = F.floor(pos)
+        ce = F.least(fl + 1, F.col("_n") - 1)
+        at = lambda r: F.max(F.when((F.col("_lo") <= r) & (F.col("_hi") > r), F.col(value)))
+        aggs.append((at(fl) + (F.max(pos) - F.max(fl)) * (at(ce) - at(fl))).alias(nm))
+    return x.groupBy(*keys).agg(*aggs)

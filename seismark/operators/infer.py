@@ -305,7 +305,7 @@ def permutation_lrt(cs: DataFrame, a: str, b: str, perms: int, seed: int = 11) -
     reps = d.select("family", "case_id", "ya", "yb", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))).alias("rep"))
     reps = reps.withColumn("_h", hash32(F.lit(seed), "rep", "case_id"))
     shuffled = row_index(reps, ["family", "rep"], F.floor(F.col("_h") / (1 << 20)), [F.col("_h"), F.col("case_id")], "idx").drop("_h")
-    perm = shuffled.join(labels, ["family", "idx"]).select("family", "rep", "subsystem_id", "ya", "yb")
+    perm = shuffled.join(labels.hint("shuffle_hash"), ["family", "idx"]).select("family", "rep", "subsystem_id", "ya", "yb")
     every = perm.unionByName(d.select("family", F.lit(-1).alias("rep"), "subsystem_id", "ya", "yb"))
     cells = every.groupBy("family", "rep", "subsystem_id").agg(F.count("*").alias("n"), F.avg("ya").alias("acc_a"), F.avg("yb").alias("acc_b"))
     return interaction_lrt(cells, ["family", "rep"]).select("family", "rep", "lrt")

@@ -25,6 +25,11 @@ from seismark.operators.compare import PAIR, pair_array
 SLOT_BLOCK = 4096
 
 
+def spread_parts(df: DataFrame) -> int:
+    """Partitions for rows that are few before an explode and many after it (adaptive coalescing would merge them)."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def index_units(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
     """Give each unit a 0-based ``idx`` in an order that is independent of the data layout."""
     h = F.md5(F.col(unit))
@@ -34,7 +39,7 @@ def index_units(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
 
 def slot_draws(sizes: DataFrame, group: str, reps: int, seed: int) -> DataFrame:
     """(group, rep, idx): n draws with replacement for each replicate; slots are made in spread-out blocks."""
-    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = spread_parts(sizes)
     blocks = (
         sizes.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
         .select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SLOT_BLOCK))).alias("block"))
@@ -51,7 +56,8 @@ def slot_replicates(items: DataFrame, group: str, unit: str, reps: int, seed: in
     """Replicate means per (group, rep, name) of ``items``: one row per unit with an array of (name, v)."""
     indexed = index_units(items, [group], unit)
     sizes = items.groupBy(group).agg(F.count("*").alias("n"))
-    drawn = slot_draws(sizes, group, reps, seed).join(indexed, [group, "idx"])
+    # the planner cannot see that the draws are reps times the cases; without the hint it may broadcast them
+    drawn = slot_draws(sizes, group, reps, seed).join(indexed.hint("shuffle_hash"), [group, "idx"])
     return (drawn.select(group, *keep, "rep", F.explode("items").alias("it"))
             .groupBy(group, *keep, "rep", F.col("it.name").alias("name")).agg(F.avg("it.v").alias("mean")))
 
@@ -92,7 +98,8 @@ def poisson1(h: Column) -> Column:
 def poisson_replicates(cs: DataFrame, reps: int, seed: int = 7) -> DataFrame:
     """Poisson bootstrap of method means: one pass over the cases, only (subsystem, rep, method) sums shuffle."""
     w = poisson1(hash32(F.lit(seed), "rep", "case_id"))
-    x = (case_items(cs)
+    items = case_items(cs)
+    x = (items.repartition(spread_parts(items), "case_id")
          .select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
          .withColumn("w", w).filter("w > 0")
          .select("family", "subsystem_id", "rep", "w", F.explode("items").alias("it")))
@@ -131,6 +138,7 @@ def histogram_replicates(hist: DataFrame, keys: Sequence[str], reps: int, seed:
         res["d"] = means
         return res
 
+    spread = spread.repartition(spread_parts(spread), *keys, "block")
     return spread.groupBy(*keys, "block").applyInPandas(draw, out)
 
 

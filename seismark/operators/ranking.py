@@ -83,7 +83,7 @@ def best_assignment(n: Column, gain) -> Column:
 
     def add_slot(dp, slot):
         def best(m):
-            used = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.get_bit(m, j) == 1)
+            used = F.filter(F.sequence(F.lit(0), n - 1), lambda j: F.getbit(m, j) == 1)
             prev = F.transform(used, lambda j: F.when(F.get(dp, m - F.pow(F.lit(2), j).cast("int")) >= 0, F.get(dp, m - F.pow(F.lit(2), j).cast("int")) + gain(slot, j)).otherwise(F.lit(-1.0)))
             return F.when(F.bit_count(m) == slot + 1, F.coalesce(F.array_max(prev), F.lit(-1.0))).otherwise(F.lit(-1.0))
         return F.transform(masks, best)

@@ -159,20 +159,18 @@ def _truth_sql(s: str, label: str, m: int) -> str:
             f"""' 00:01:00', chr(10))""")
 
 
-def _answers_sql(s: str) -> str:
-    return f"""
-select cast(o_orderkey as {s}) as case_id,
-  case when o_orderkey % 3 = 0 then concat({_pred_sql(s, 5, 6)}, {_pred_sql(s, 3, 5)}) else {_pred_sql(s, 5, 6)} end as prediction,
-  case when o_orderkey % 3 = 0 then concat({_truth_sql(s, '1-th', 6)}, {_truth_sql(s, '2-th', 5)})
-       else {_truth_sql(s, 'only', 6)} end as scoring_points
-from orders"""
+def _answers_columns(s: str) -> list[str]:
+    """Column expressions that read the same in both engines; ``s`` is the string type."""
+    pred = f"case when o_orderkey % 3 = 0 then concat({_pred_sql(s, 5, 6)}, {_pred_sql(s, 3, 5)}) else {_pred_sql(s, 5, 6)} end"
+    truth = f"case when o_orderkey % 3 = 0 then concat({_truth_sql(s, '1-th', 6)}, {_truth_sql(s, '2-th', 5)}) else {_truth_sql(s, 'only', 6)} end"
+    return [f"cast(o_orderkey as {s}) as case_id", f"{pred} as prediction", f"{truth} as scoring_points"]
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_answers_sql("string").replace("from orders", "from {orders}"), orders=table(spark, sf, "orders"))
+    return table(spark, sf, "orders").selectExpr(*_answers_columns("string"))
 
 
-cte("answers", _answers_sql("varchar"))
+cte("answers", "select " + ", ".join(_answers_columns("varchar")) + " from orders")
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seismark.operators import compare as C
@@ -13,16 +14,33 @@ from seismark.plans.sqltext import REPS, deltas_sql, diffs_sql, layered, names,
 FAULTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark, sf, name, build):
+    """A table that several branches of a query (and later queries) read: computed once, kept by the executors."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _KEPT:
+        _KEPT[key] = build().persist()
+    return _KEPT[key]
+
+
+def release(spark):
+    """Drop what ``kept`` holds."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        _KEPT.pop(key).unpersist()
+
+
 def cs(spark, sf):
-    return C.case_score(X.case_scores(spark, sf))
+    return kept(spark, sf, "cs", lambda: C.case_score(X.case_scores(spark, sf)))
 
 
 def deltas(spark, sf):
     return C.pair_deltas(C.pair_diffs(cs(spark, sf)))
 
 
-def mreps(spark, sf, reps=REPS):
-    return R.method_replicates(cs(spark, sf), reps)
+def mreps(spark, sf):
+    return kept(spark, sf, "mreps", lambda: R.method_replicates(cs(spark, sf), REPS))
 
 
 def reps(spark, sf):
@@ -154,7 +172,7 @@ APP = "cast(cast(split_part(subsystem_id, 'NATION_', 2) as bigint) // 5 as varch
 cte("rel", f"select family, a, b, {APP} as app, n, delta, lo, hi from dci where family in ('AFRICA', 'ASIA')")
 
 
-def release(d, fam):
+def of_release(d, fam):
     app = F.floor(F.element_at(F.split("subsystem_id", "NATION_"), 2).cast("bigint") / 5).cast("string")
     return d.filter(F.col("family") == fam).withColumn("app", app)
 
@@ -168,7 +186,7 @@ CROSS = f"""select x.a, x.b, x.app, x.n as n_1, x.delta as delta_1, x.lo as lo_1
 @query("c12_cross_release", CROSS, rnd="delta_1 lo_1 hi_1 delta_2 lo_2 hi_2 abs_delta_diff")
 def c12(spark, sf):
     d = dci(spark, sf)
-    return C.cross_release(release(d, "AFRICA"), release(d, "ASIA"))
+    return C.cross_release(of_release(d, "AFRICA"), of_release(d, "ASIA"))
 
 
 cte("cslay", f"select layer, family, subsystem_id, case_id, method, avg(score) as score from {layered('case_scores')} group by all")
@@ -321,7 +339,7 @@ def c23(spark, sf):
     x = csf(spark, sf).filter(F.col("family").isin("AFRICA", "ASIA"))
     shared = C.common_values(x, "fault", "family")
     d = C.pair_deltas(C.pair_diffs(x.join(shared, "fault", "left_semi"))).withColumn("lo", F.col("delta")).withColumn("hi", F.col("delta"))
-    return C.cross_release(release(d, "AFRICA"), release(d, "ASIA")).select("a", "b", "app", "n_1", "delta_1", "n_2", "delta_2", "sign_agree")
+    return C.cross_release(of_release(d, "AFRICA"), of_release(d, "ASIA")).select("a", "b", "app", "n_1", "delta_1", "n_2", "delta_2", "sign_agree")
 
 
 cte("views", """select 'pooled' as "view", method, count(*) as n, avg(score) as acc from cs group by all

@@ -12,7 +12,7 @@ from seismark.operators import infer as I
 from seismark.operators import ranking as K
 from seismark.operators import resample as R
 from seismark.plans import fixtures as X
-from seismark.plans.q_compare import cs, deltas
+from seismark.plans.q_compare import deltas, kept
 from seismark.plans.registry import cte, query, table
 from seismark.plans.sqltext import h32, sg
 
@@ -113,7 +113,7 @@ cte("manoms", f"""select case_id, system, component, metric_id, pct, {CLASSIFY}
   select 'day' || cast(cast(ts as date) as varchar) as case_id, case user_id % 4 when 0 then 'Bank' when 1 then 'Telecom' when 2 then 'Market_cloudbed-1' else 'Market_cloudbed-2' end as system,
    case when user_id % 3 = 0 then 'node-' || cast(user_id % 5 as varchar) else 'svc' || cast(user_id % 5 as varchar) end as component,
    case when user_id % 3 = 0 then 'node-' || cast(user_id % 5 as varchar) else 'svc' || cast(user_id % 5 as varchar) end || '__' || ([{KPI_LIST}])[event_id % {len(KPIS)} + 1] as metric_id, max(value) as pct
-  from events group by all)))""")
+  from events group by all))""")
 
 
 def manoms(spark, sf):
@@ -448,7 +448,7 @@ cte("tdiffs", """select x.method as a, y.method as b, x.system, x.case_id, x.tol
 
 
 def tdiffs(spark, sf):
-    return C.pair_diffs(tol_scores(spark, sf), ["system", "case_id", "tol"]).select("a", "b", "system", "case_id", "tol", "d")
+    return C.pair_diffs(kept(spark, sf, "tol_scores", lambda: tol_scores(spark, sf)), ["system", "case_id", "tol"]).select("a", "b", "system", "case_id", "tol", "d")
 
 
 @query("r11_flip_cases", """
@@ -477,7 +477,7 @@ cte("tcurve", "select * from tpoint join (select a, b, tol, quantile_cont(d, 0.0
 
 def tpair(spark, sf):
     """Pair differences per tolerance and replicate, systems weighing the same."""
-    r = R.tolerance_replicates(tol_scores(spark, sf), REPS)
+    r = R.tolerance_replicates(kept(spark, sf, "tol_scores", lambda: tol_scores(spark, sf)), REPS)
     return C.pair_diffs(r, ["system", "rep", "tol"]).groupBy("a", "b", "rep", "tol").agg(F.avg("d").alias("d"))
 
 

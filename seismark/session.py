@@ -1,4 +1,4 @@
-"""Session helpers: builder defaults, durable checkpoints, size-checked broadcast."""
+"""Session helpers: builder defaults, durable checkpoints, folders for written tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[8]", app: str = "seismark", shuffle_partitions: int = 8,
@@ -53,10 +52,11 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def broadcast_if_small(df: DataFrame, limit_bytes: int = 32 * 1024 * 1024) -> DataFrame:
-    """Hint a broadcast only where the optimizer's size estimate proves the side is small.
-
-    Beyond the limit the plain DataFrame is returned and the join shuffles (AQE splits skewed keys).
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= limit_bytes else df
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A folder for written tables: under ``spark.checkpoint.dir`` on a cluster, a temporary one for a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root.rstrip('/')}/seismark/{spark.sparkContext.applicationId}/{name}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")), name)

@@ -290,10 +290,12 @@ def stratified_deltas(cs: DataFrame) -> DataFrame:
 
 def common_values(df: DataFrame, value: str, over: str, keys: Sequence[str] = ()) -> DataFrame:
     """Values of ``value`` present under every ``over`` of their group."""
-    seen = df.select(*keys, value, over).distinct().withColumn("_g", F.lit(1))
-    total = seen.groupBy("_g", *keys).agg(F.count_distinct(over).alias("_k"))
-    have = seen.groupBy("_g", *keys, value).agg(F.count("*").alias("_h"))
-    return have.join(total, ["_g", *keys]).filter("_h = _k").select(*keys, value)
+    seen = df.select(*keys, value, over).distinct()
+    have = seen.groupBy(*keys, value).agg(F.count("*").alias("_h"))
+    if not keys:
+        return have.filter(F.col("_h") == seen.agg(F.count_distinct(over)).scalar()).select(value)
+    total = seen.groupBy(*keys).agg(F.count_distinct(over).alias("_k"))
+    return have.join(total, list(keys)).filter("_h = _k").select(*keys, value)
 
 
 def reweighted(cs: DataFrame) -> DataFrame:

@@ -213,6 +213,12 @@ def onset_strict(grid: DataFrame, lookback: int = 30, base: int = 120, min_base:
     return g.select(*SERIES, F.coalesce("hard", F.when(F.col("top") > 3.0, F.col("soft"))).alias("onset"), F.col("hard").isNotNull().alias("strict")).filter("onset is not null")
 
 
+def safe_corr(x: str, y: str, least: float = SD_MIN) -> Column:
+    """Correlation, null where a side hardly varies (the built-in one fails on a zero variance in ANSI mode)."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx >= least) & (sy >= least), F.covar_pop(x, y) / (sx * sy))
+
+
 # ---- component series and graphs -----------------------------------------------------------------------------
 
 def component_series(grid: DataFrame) -> DataFrame:
@@ -235,14 +241,14 @@ def lagcorr_graph(series: DataFrame, threshold: float = 0.35, margin: float = 0.
     x = x.withColumn("zp", F.get("_p", 0)).filter("zp is not null")
     g = x.groupBy("case_id", "step").agg(F.collect_list(F.struct("component", "z", "zp")).alias("c"))
     prs = F.flatten(F.transform("c", lambda u: F.transform(
-        F.filter("c", lambda v: u["component"] != v["component"]),
-        lambda v: F.struct(u["component"].alias("src"), v["component"].alias("dst"), u["zp"].alias("x"), v["z"].alias("y")))))
+        F.filter("c", lambda v: u["component"] < v["component"]),
+        lambda v: F.struct(u["component"].alias("u"), v["component"].alias("v"), u["z"].alias("uz"), u["zp"].alias("up"), v["z"].alias("vz"), v["zp"].alias("vp")))))
     e = g.select("case_id", F.explode(prs).alias("p")).select("case_id", "p.*")
-    c = e.groupBy("case_id", "src", "dst").agg(F.corr("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    ok = (F.col("sx") >= SD_MIN) & (F.col("sy") >= SD_MIN)
-    c = c.select("case_id", "src", "dst", F.when(ok & ~F.isnan("c"), F.col("c")).alias("c"))
-    back = c.select("case_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.coalesce("c", F.lit(0.0)).alias("rev"))
-    j = c.join(back, ["case_id", "src", "dst"])
+    # both directions of a pair come from the same rows
+    c = e.groupBy("case_id", "u", "v").agg(safe_corr("up", "vz").alias("uv"), safe_corr("vp", "uz").alias("vu"))
+    both = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("uv").alias("c"), F.coalesce("vu", F.lit(0.0)).alias("rev")),
+                   F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), F.col("vu").alias("c"), F.coalesce("uv", F.lit(0.0)).alias("rev")))
+    j = c.select("case_id", F.explode(both).alias("b")).select("case_id", "b.*")
     return j.filter((F.round("c", 9) >= threshold) & (F.round(F.col("c") - F.col("rev"), 9) >= margin)).select("case_id", "src", "dst", F.col("c").alias("weight"))
 
 
@@ -314,11 +320,11 @@ def all_distances(edges: DataFrame, max_hops: int = 64) -> DataFrame:
 def graph_distance(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Distance between predicted and true node; diameter + 1 where a node is missing or out of reach."""
     d = all_distances(edges)
-    fall = d.agg((F.max("dist") + 1).alias("fallback")).withColumn("_g", F.lit(1))
+    fallback = d.agg(F.max("dist") + 1).scalar()
     j = pairs.join(d.select(F.col("node").alias("pred"), F.col("other").alias("truth"), "dist"), ["pred", "truth"], "left")
     nodes = d.select(F.col("node").alias("truth")).distinct().withColumn("in_graph", F.lit(True))
-    j = j.join(nodes, "truth", "left").withColumn("_g", F.lit(1)).join(fall, "_g")
-    return j.select(*pairs.columns, F.coalesce("dist", "fallback").alias("dist"), F.coalesce("in_graph", F.lit(False)).alias("in_graph"))
+    j = j.join(nodes, "truth", "left")
+    return j.select(*pairs.columns, F.coalesce(F.col("dist"), fallback).alias("dist"), F.coalesce("in_graph", F.lit(False)).alias("in_graph"))
 
 
 def prefilter_topk(scores: DataFrame, grid: DataFrame, k: int, corr_max: float = 0.98) -> DataFrame:
@@ -332,7 +338,7 @@ def prefilter_topk(scores: DataFrame, grid: DataFrame, k: int, corr_max: float =
     g = x.groupBy("case_id", "step").agg(F.collect_list(F.struct("rank", "value")).alias("c"))
     prs = F.flatten(F.transform("c", lambda u: F.transform(
         F.filter("c", lambda v: u["rank"] < v["rank"]), lambda v: F.struct(u["rank"].alias("i"), v["rank"].alias("j"), u["value"].alias("x"), v["value"].alias("y")))))
-    near = (g.select("case_id", F.explode(prs).alias("p")).select("case_id", "p.*").groupBy("case_id", "i", "j").agg(F.corr("x", "y").alias("c"))
+    near = (g.select("case_id", F.explode(prs).alias("p")).select("case_id", "p.*").groupBy("case_id", "i", "j").agg(safe_corr("x", "y").alias("c"))
             .filter(F.round(F.abs("c"), 9) >= corr_max).groupBy("case_id").agg(F.collect_set(F.struct("i", "j")).alias("near")))
     names = pool.groupBy("case_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks")).filter(F.size("ranks") >= 3).join(near, "case_id", "left")
     none = F.array().cast("array<struct<i:int,j:int>>")

@@ -223,31 +223,31 @@ def _design(cells: DataFrame, factors: Sequence[str], numeric: Sequence[str]):
     return Pipeline(stages=stages).fit(cells).transform(cells)
 
 
-def _llf(pred: DataFrame) -> DataFrame:
-    p = F.least(F.greatest("prediction", F.lit(1e-12)), F.lit(1 - 1e-12))
-    return pred.agg(F.sum(_binom(F.col("n"), F.col("n") * F.col("p"), p)).alias("llf"))
+def _cell_llf(p: str | Column) -> Column:
+    p = F.col(p) if isinstance(p, str) else p
+    p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    return F.sum(_binom(F.col("n"), F.col("n") * F.col("p"), p))
 
 
-def glm_llf(cells: DataFrame, factors: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
-    """Log-likelihood (one row) of a binomial GLM on the cells, fitted by Spark ML."""
-    from pyspark.ml.regression import GeneralizedLinearRegression
+def _saturated() -> Column:
+    return F.sum(_binom(F.col("n"), F.col("n") * F.col("p"), F.col("p")))
 
-    x = _design(cells, factors, numeric)
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="p", weightCol="n", maxIter=50, tol=1e-10)
-    return _llf(glr.fit(x).transform(x))
 
+def glm_predict(cells: DataFrame, factors: Sequence[str], name: str, numeric: Sequence[str] = ()) -> DataFrame:
+    """Cells with the fitted means of a binomial GLM (Spark ML) as column ``name``."""
+    from pyspark.ml.regression import GeneralizedLinearRegression
 
-def _with_one(df: DataFrame) -> DataFrame:
-    return df.withColumn("_one", F.lit(1))
+    x = _design(cells, factors, numeric)
+    glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="p", weightCol="n", maxIter=50, tol=1e-10, predictionCol=name)
+    return glr.fit(x).transform(x).select(*cells.columns, name)
 
 
 def joint_interaction(cells: DataFrame) -> DataFrame:
     """All methods at once: saturated cells against method + system."""
-    full = cells.agg(F.sum(_binom(F.col("n"), F.col("n") * F.col("p"), F.col("p"))).alias("llf_full"),
-                     ((F.count_distinct("method") - 1) * (F.count_distinct("sys") - 1)).alias("lrt_df"))
-    red = glm_llf(cells, ["method", "sys"]).withColumnRenamed("llf", "llf_reduced")
-    return _with_one(full).join(_with_one(red), "_one").select(
-        "llf_full", "llf_reduced", (2 * (F.col("llf_full") - F.col("llf_reduced"))).alias("lrt"), "lrt_df")
+    x = glm_predict(cells, ["method", "sys"], "additive")
+    g = x.agg(_saturated().alias("llf_full"), _cell_llf("additive").alias("llf_reduced"),
+              ((F.count_distinct("method") - 1) * (F.count_distinct("sys") - 1)).alias("lrt_df"))
+    return g.select("llf_full", "llf_reduced", (2 * (F.col("llf_full") - F.col("llf_reduced"))).alias("lrt"), "lrt_df")
 
 
 def difficulty_nested(cells: DataFrame, diff: DataFrame, covariate: str) -> DataFrame:
@@ -261,30 +261,27 @@ def difficulty_nested(cells: DataFrame, diff: DataFrame, covariate: str) -> Data
     for i, m in enumerate(methods[1:]):
         x = x.withColumn(f"slope_{i}", F.when(F.col("method") == m, F.col("cov")).otherwise(0.0))
         num.append(f"slope_{i}")
-    add = glm_llf(x, ["method", "sys"]).withColumnRenamed("llf", "llf_additive")
-    slo = glm_llf(x, ["method", "sys"], num).withColumnRenamed("llf", "llf_slopes")
-    full = x.agg(F.sum(_binom(F.col("n"), F.col("n") * F.col("p"), F.col("p"))).alias("llf_full"))
-    j = _with_one(add).join(_with_one(slo), "_one").join(_with_one(full), "_one").drop("_one")
-    return j.select("*", (2 * (F.col("llf_slopes") - F.col("llf_additive"))).alias("lrt_slopes"), F.lit(len(num)).alias("df_slopes"),
+    y = glm_predict(glm_predict(x, ["method", "sys"], "additive"), ["method", "sys"], "slopes", num)
+    g = y.agg(_cell_llf("additive").alias("llf_additive"), _cell_llf("slopes").alias("llf_slopes"), _saturated().alias("llf_full"))
+    return g.select("*", (2 * (F.col("llf_slopes") - F.col("llf_additive"))).alias("lrt_slopes"), F.lit(len(num)).alias("df_slopes"),
                     (2 * (F.col("llf_full") - F.col("llf_slopes"))).alias("lrt_left"))
 
 
 def l2_interaction(cells: DataFrame, reg: float = 0.01) -> DataFrame:
     """Penalised logit with and without interaction columns; finite even under separation."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
 
-    both = cells.withColumn("cell", F.concat_ws("@", "method", "sys")).select("*", F.explode(F.array(
+    x = cells.withColumn("cell", F.concat_ws("@", "method", "sys")).select("*", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("w")))).alias("o")).select("*", "o.*").filter("w > 0")
-    out = []
+        F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("w")))).alias("o")).select("*", "o.*").drop("o").filter("w > 0")
     for name, factors in (("reduced", ["method", "sys"]), ("full", ["method", "sys", "cell"])):
-        x = _design(both, factors, [])
-        model = LogisticRegression(regParam=reg, elasticNetParam=0.0, weightCol="w", maxIter=200, tol=1e-10).fit(x)
-        from pyspark.ml.functions import vector_to_array
-        p = F.get(vector_to_array(F.col("probability")), 1)
-        ll = model.transform(x).agg(F.sum(F.col("w") * F.when(F.col("label") == 1, F.ln(p)).otherwise(F.ln(1 - p))).alias(f"llf_{name}"))
-        out.append(_with_one(ll))
-    return out[0].join(out[1], "_one").drop("_one").withColumn("lrt", 2 * (F.col("llf_full") - F.col("llf_reduced")))
+        d = _design(x, factors, [])
+        lr = LogisticRegression(regParam=reg, elasticNetParam=0.0, weightCol="w", maxIter=200, tol=1e-10)
+        x = lr.fit(d).transform(d).select(*x.columns, F.get(vector_to_array(F.col("probability")), 1).alias(name))
+    ll = lambda c: F.sum(F.col("w") * F.when(F.col("label") == 1, F.ln(c)).otherwise(F.ln(1 - F.col(c))))
+    g = x.agg(ll("reduced").alias("llf_reduced"), ll("full").alias("llf_full"))
+    return g.withColumn("lrt", 2 * (F.col("llf_full") - F.col("llf_reduced")))
 
 
 def drop_separating(cells: DataFrame) -> DataFrame:

@@ -183,8 +183,8 @@ def survey_counts(df: DataFrame, excluded: DataFrame, key: str, by: str, column:
 def inclusion_gate(df: DataFrame) -> DataFrame:
     """Which methods can enter the main comparison: those with cases on every subsystem."""
     d = df.select("method", "family", "subsystem_id").distinct()
-    total = d.agg(F.count_distinct("subsystem_id").alias("k")).withColumn("_g", F.lit(1))
-    m = d.groupBy("method").agg(F.count_distinct("subsystem_id").alias("covered"), F.count_distinct("family").alias("families")).withColumn("_g", F.lit(1))
+    m = d.groupBy("method").agg(F.count_distinct("subsystem_id").alias("covered"), F.count_distinct("family").alias("families"))
+    m = m.withColumn("k", d.agg(F.count_distinct("subsystem_id")).scalar())
     full = F.col("covered") == F.col("k")
-    return m.join(total, "_g").select("method", "covered", "families", F.when(full, "yes").otherwise("no").alias("main"),
+    return m.select("method", "covered", "families", F.when(full, "yes").otherwise("no").alias("main"),
                                       F.when(full, F.lit("covers all subsystems")).otherwise(F.format_string("covers %d of %d subsystems", "covered", "k")).alias("reason"))

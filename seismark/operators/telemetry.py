@@ -31,10 +31,11 @@ def resample(df: DataFrame, frame: Sequence[str], metric: str, seconds: int, ts:
     """
     frame = list(frame)
     cells = df.groupBy(*frame, metric, step_of(ts, seconds).alias("step")).agg(F.avg(value).alias("value"))
-    span = cells.groupBy(*frame).agg(F.min("step").alias("_s0"), F.max("step").alias("_s1"))
-    metrics = cells.select(*frame, metric).distinct()
-    grid = (metrics.join(span, frame)
-            .select(*frame, metric, "_s0", "_s1", F.explode(F.sequence("_s0", "_s1", F.lit(GRID_CHUNK))).alias("_b"))
+    # first and last step per metric come from the readings (a map-side min and max), the frame's from a window over metrics
+    w = W.partitionBy(*frame)
+    own = df.groupBy(*frame, metric).agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
+    span = own.withColumn("_s0", step_of(F.min("_t0").over(w), seconds)).withColumn("_s1", step_of(F.max("_t1").over(w), seconds))
+    grid = (span.select(*frame, metric, "_s0", "_s1", F.explode(F.sequence("_s0", "_s1", F.lit(GRID_CHUNK))).alias("_b"))
             .select(*frame, metric, F.explode(F.sequence("_b", F.least(F.col("_b") + (GRID_CHUNK - 1), F.col("_s1")))).alias("step")))
     return grid.join(cells, [*frame, metric, "step"], "left")
 

@@ -48,7 +48,7 @@ def reps(spark, sf):
 
 
 def dci(spark, sf):
-    return R.attach_ci(deltas(spark, sf), reps(spark, sf))
+    return kept(spark, sf, "dci", lambda: R.attach_ci(deltas(spark, sf), reps(spark, sf)))
 
 
 @query("c01_case_score_mean", "select family, subsystem_id, case_id, method, score from cs", rnd="score")

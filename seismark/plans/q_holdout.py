@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seismark.operators import compare as C
 from seismark.operators import holdout as H
 from seismark.plans import fixtures as X
-from seismark.plans.q_compare import cs, dci, deltas
+from seismark.plans.q_compare import cs, dci, deltas, kept
 from seismark.plans.registry import cte, query
 from seismark.plans.sqltext import sg
 
@@ -148,7 +148,7 @@ CURVE_RND = "coverage rule_error_rate flagged_error_rate"
 
 
 def curve(spark, sf):
-    o = H.outcomes(decisions(spark, sf, "all"))
+    o = kept(spark, sf, "outcomes", lambda: H.outcomes(decisions(spark, sf, "all")))
     return o, H.curve(o, THRESHOLDS)
 
 

@@ -138,13 +138,13 @@ def s08(spark, sf):
 UNITS = ["u0", "u1", "u2"]
 
 
-@query("s09_parse_published_table", """select subsystem_id || '.' || method as method, unit, value from (select subsystem_id, method, round(acc, 2) as u0, round(acc / 2, 3) as u1, 0.25::double as u2 from acc)
+@query("s09_parse_published_table", """select replace(subsystem_id || '.' || method, ' ', '_') as method, unit, value from (select subsystem_id, method, round(acc, 2) as u0, round(acc / 2, 3) as u1, 0.25::double as u2 from acc)
   unpivot (value for unit in (u0, u1, u2))""", rnd="value")
 def s09(spark, sf):
     """Accuracies printed as fixed-width lines between heading lines, then parsed back."""
     from seismark.operators.compare import accuracy
     a = accuracy(cs(spark, sf))
-    line = F.format_string("  %-40s %8s  %8s    .25", F.concat_ws(".", "subsystem_id", "method"), F.format_number(F.round("acc", 2), 2), F.format_number(F.round(F.col("acc") / 2, 3), 3))
+    line = F.format_string("  %-40s %8s  %8s    .25", F.replace(F.concat_ws(".", "subsystem_id", "method"), F.lit(" "), F.lit("_")), F.format_number(F.round("acc", 2), 2), F.format_number(F.round(F.col("acc") / 2, 3), 3))
     lines = a.select(F.explode(F.array(F.lit("Table 6: method u0 u1 u2"), line)).alias("value"))
     return S.parse_published_table(lines, UNITS)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seismark.operators import detect as D
 from seismark.operators import telemetry as T
 from seismark.plans import fixtures as X
+from seismark.plans.q_compare import kept
 from seismark.plans.registry import cte, query, table
 from seismark.plans.sqltext import sg
 
@@ -24,7 +25,11 @@ def comp_series(spark, sf):
 
 
 def grid(spark, sf, seconds=HOUR):
-    return T.resample(comp_series(spark, sf), ["case_id"], "metric_id", seconds)
+    return kept(spark, sf, f"grid{seconds}", lambda: T.resample(comp_series(spark, sf), ["case_id"], "metric_id", seconds))
+
+
+def filled(spark, sf):
+    return kept(spark, sf, "filled", lambda: T.ffill_zero(grid(spark, sf), KEYS))
 
 
 def register_grid(name: str, seconds: int) -> None:
@@ -119,7 +124,7 @@ with d as (select *, value - lag(value) over (partition by case_id, metric_id or
 select case_id, count(*) as metrics, count(*) filter (where constant) as constant, count(*) filter (where monotone and not constant) as monotone,
   avg((monotone and not constant)::int::double) as monotone_share from m group by all""", rnd="monotone_share")
 def t09(spark, sf):
-    return T.counter_profile(T.ffill_zero(grid(spark, sf), KEYS), KEYS, ["case_id"])
+    return T.counter_profile(filled(spark, sf), KEYS, ["case_id"])
 
 
 @query("t10_table_shapes", """
@@ -356,7 +361,7 @@ def d24(spark, sf):
 
 # component series over gap-free hourly means; four components of three series each
 def comp_grid(spark, sf):
-    g = T.ffill_zero(grid(spark, sf), KEYS)
+    g = filled(spark, sf)
     return g.withColumn("component", F.concat(F.lit("c"), (F.substring("metric_id", 4, 9).cast("int") % 4).cast("string")))
 
 
@@ -384,7 +389,7 @@ THR = 0.1  # independent readings correlate weakly; a lower threshold keeps edge
 
 
 def lagcorr(spark, sf):
-    return D.lagcorr_graph(D.component_series(comp_grid(spark, sf)), THR)
+    return D.lagcorr_graph(kept(spark, sf, "cseries", lambda: D.component_series(comp_grid(spark, sf))), THR)
 
 
 @query("d14_lagcorr_graph", "select * from lagcorr", rnd="weight")
@@ -436,7 +441,7 @@ with anc as ({ancestors_sql('mgraph', 'case_id')}),
 select *, row_number() over (partition by case_id order by round(root_score, 9) desc, round(max_pct, 9) desc, component) as rank from g""", rnd="root_score max_pct")
 def d17(spark, sf):
     g = comp_grid(spark, sf).withColumn("component", F.col("metric_id"))
-    edges = D.lagcorr_graph(D.component_series(g), THR)
+    edges = D.lagcorr_graph(kept(spark, sf, "mseries", lambda: D.component_series(g)), THR)
     a = anomalies(spark, sf).groupBy("case_id", F.concat(F.lit("c"), (F.substring("component", 4, 9).cast("int") % 4).cast("string")).alias("c"), "component").agg(F.max("pct").alias("pct"))
     a = a.select("case_id", F.col("c").alias("component"), F.col("component").alias("metric_id"), "pct")
     return D.rank_causal_metric(a, edges)
@@ -481,7 +486,7 @@ cte("greedy", """select case_id, 0 as r, []::bigint[] as kept from pool group by
 def d20(spark, sf):
     """The near-copy limit is low here because the series are independent."""
     s = D.robust_scores(comp_series(spark, sf), absolute=True)
-    return D.prefilter_topk(s, T.ffill_zero(grid(spark, sf), KEYS), 3, 0.12)
+    return D.prefilter_topk(s, filled(spark, sf), 3, 0.12)
 
 
 cte("acounts", "select case_id, count(*) filter (where z > 2) as anomalous, count(*) as metrics from zs group by all")

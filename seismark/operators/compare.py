@@ -194,31 +194,31 @@ def subsystem_sizes(cs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 def regret(cs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Loss of using the pooled winner everywhere. Winner and runner-up come from methods present on every
-    subsystem; the best of a subsystem comes from all methods."""
+    subsystem; the best of a subsystem comes from all methods.
+
+    All steps are windows over the accuracy table (subsystems x methods rows). A complete method has a row in every
+    subsystem, so the leaderboard can be read inside each subsystem.
+    """
     grp = [*extra, "family"]
-    acc = accuracy(cs, extra).drop("n").join(subsystem_sizes(cs, extra), [*grp, "subsystem_id"])
-    k = acc.groupBy(*grp).agg(F.count_distinct("subsystem_id").alias("k"))
-    per = (acc.groupBy(*grp, "method").agg(
-        F.count("*").alias("ks"), (F.sum(F.col("acc") * F.col("n_cases")) / F.sum("n_cases")).alias("cw"), F.avg("acc").alias("se"))
-        .join(k, grp).withColumn("complete", F.col("ks") == F.col("k")))
-    ex = per.groupBy(*grp).agg(
-        F.count_if("complete").alias("methods_ranked"),
-        F.array_join(F.sort_array(F.collect_list(F.when(~F.col("complete"), F.col("method")))), ";").alias("methods_excluded"))
-    long = per.filter("complete").select(*grp, "method", F.explode(F.array(
+    fam, meth, sub = W.partitionBy(*grp), W.partitionBy(*grp, "method"), W.partitionBy(*grp, "subsystem_id")
+    x = accuracy(cs, extra).drop("n").join(subsystem_sizes(cs, extra), [*grp, "subsystem_id"])
+    x = x.withColumn("complete", F.count("*").over(meth) == F.size(F.collect_set("subsystem_id").over(fam)))
+    x = x.withColumn("cw", F.sum(F.col("acc") * F.col("n_cases")).over(meth) / F.sum("n_cases").over(meth)).withColumn("se", F.avg("acc").over(meth))
+    names = lambda keep: F.collect_set(F.when(F.col("complete") == keep, F.col("method"))).over(fam)
+    x = x.withColumn("methods_ranked", F.size(names(True))).withColumn("methods_excluded", F.array_join(F.sort_array(names(False)), ";"))
+    long = x.select("*", F.explode(F.array(
         F.struct(F.lit("case_weighted").alias("weighting"), F.col("cw").alias("pooled")),
-        F.struct(F.lit("system_equal").alias("weighting"), F.col("se").alias("pooled")))).alias("p")).select(*grp, "method", "p.*")
-    ranked = long.withColumn("r", F.row_number().over(
-        W.partitionBy(*grp, "weighting").orderBy(F.round("pooled", 9).desc(), "method")))
-    top = ranked.filter("r <= 2").groupBy(*grp, "weighting").agg(
-        F.max(F.when(F.col("r") == 1, F.col("method"))).alias("winner"), F.max(F.when(F.col("r") == 1, F.col("pooled"))).alias("winner_pooled"),
-        F.max(F.when(F.col("r") == 2, F.col("method"))).alias("runner_up"), F.max(F.when(F.col("r") == 2, F.col("pooled"))).alias("runner_up_pooled"))
-    best = acc.groupBy(*grp, "subsystem_id", "n_cases").agg(
+        F.struct(F.lit("system_equal").alias("weighting"), F.col("se").alias("pooled")))).alias("p")).select("*", "p.*")
+    lead = F.struct((~F.col("complete")).alias("c"), (-F.round("pooled", 9)).alias("p"), F.col("method").alias("m"))
+    g = long.groupBy(*grp, "weighting", "subsystem_id", "n_cases", "methods_ranked", "methods_excluded").agg(
+        F.array_sort(F.collect_list(F.struct(lead.alias("o"), "method", "pooled", "acc", "complete"))).alias("b"),
         F.min_by("method", F.struct(-F.round("acc", 9), F.col("method"))).alias("best_method"), F.max("acc").alias("best_acc"))
-    win = acc.select(*grp, "subsystem_id", F.col("method").alias("winner"), F.col("acc").alias("winner_acc"))
-    return (top.join(best, grp).join(win, [*grp, "subsystem_id", "winner"]).join(ex, grp)
-            .select(*grp, "weighting", "winner", "winner_pooled", "runner_up", "runner_up_pooled", "subsystem_id", "n_cases",
-                    "winner_acc", "best_method", "best_acc", (F.col("best_acc") - F.col("winner_acc")).alias("regret"),
-                    "methods_ranked", "methods_excluded"))
+    w, r = F.get("b", 0), F.get("b", 1)
+    second = lambda f: F.when(r["complete"], r[f])
+    return g.filter(w["complete"]).select(
+        *grp, "weighting", w["method"].alias("winner"), w["pooled"].alias("winner_pooled"), second("method").alias("runner_up"),
+        second("pooled").alias("runner_up_pooled"), "subsystem_id", "n_cases", w["acc"].alias("winner_acc"), "best_method", "best_acc",
+        (F.col("best_acc") - w["acc"]).alias("regret"), "methods_ranked", "methods_excluded")
 
 
 def small_sample(d: DataFrame, mins: Sequence[int] = (0, 25, 50)) -> DataFrame:

@@ -91,14 +91,22 @@ def best_assignment(n: Column, gain) -> Column:
     return F.get(F.aggregate(F.sequence(F.lit(0), n - 1), start, add_slot), full)
 
 
-def _scored(df: DataFrame, time_gain) -> DataFrame:
-    """Adds ``best`` (total gain of the best assignment, 0 where the numbers of slots differ) and ``criteria``."""
+def parse_slots(df: DataFrame) -> DataFrame:
+    """Answers and scoring points parsed once: predictions ``_p``, truths ``_t``, truth times ``_ts``, slots ``_n``."""
     x = df.withColumn("_p", parse_answers("prediction")).withColumn("_t", parse_truth("scoring_points"))
     x = x.withColumn("_p", F.transform("_p", lambda p: F.struct(p["component"].alias("c"), p["reason"].alias("r"), seconds(p["dt"]).alias("s"))))
     x = x.withColumn("_ts", F.transform("_t.times", seconds))
     nc, nr, nt = F.size("_t.components"), F.size("_t.reasons"), F.size("_t.times")
-    x = x.withColumn("_n", F.greatest(nc, nr, nt)).withColumn("criteria", nc + nr + nt)
+    return x.withColumn("_n", F.greatest(nc, nr, nt)).withColumn("criteria", nc + nr + nt)
+
+
+PARSED = ["_p", "_t", "_ts", "_n"]
+
+
+def _best(x: DataFrame, time_gain) -> DataFrame:
+    """Adds ``best``: total gain of the best assignment, 0 where the numbers of slots differ."""
     n = F.col("_n")
+    nc, nr, nt = F.size("_t.components"), F.size("_t.reasons"), F.size("_t.times")
 
     def gain(slot, j):
         p = F.get("_p", j)
@@ -107,15 +115,20 @@ def _scored(df: DataFrame, time_gain) -> DataFrame:
         time = F.when(nt == n, F.coalesce(time_gain(F.abs(F.get("_ts", slot) - p["s"])), F.lit(0.0))).otherwise(0.0)
         return comp + reason + time
 
-    ok = (n > 0) & (F.size("_p") == n)
-    return x.withColumn("best", F.when(ok, best_assignment(n, gain)).otherwise(0.0)).drop("_p", "_t", "_ts", "_n")
+    fits = (n > 0) & (F.size("_p") == n)
+    best = F.when(~fits, 0.0).when(n == 1, gain(F.lit(0), F.lit(0))).otherwise(best_assignment(n, gain))
+    return x.withColumn("best", best)
 
 
 def score_answer(df: DataFrame, tolerance: Column | int = 60) -> DataFrame:
-    """Share of matched components, reasons and times (within the tolerance), rounded half-even to two digits."""
+    """Share of matched components, reasons and times (within the tolerance), rounded half-even to two digits.
+
+    ``df`` may come from ``parse_slots`` already, so that several tolerances share one parse.
+    """
     tol = F.lit(tolerance) if isinstance(tolerance, int) else tolerance
-    x = _scored(df, lambda d: F.when(d <= tol, 1.0).otherwise(0.0))
-    return x.withColumn("score", F.when(F.col("criteria") > 0, F.bround(F.col("best") / F.col("criteria"), 2)).otherwise(0.0)).drop("best", "criteria")
+    x = df if "_p" in df.columns else parse_slots(df)
+    x = _best(x, lambda d: F.when(d <= tol, 1.0).otherwise(0.0))
+    return x.withColumn("score", F.when(F.col("criteria") > 0, F.bround(F.col("best") / F.col("criteria"), 2)).otherwise(0.0)).drop("best", "criteria", *PARSED)
 
 
 def with_tolerances(df: DataFrame, tolerances: Sequence[int]) -> DataFrame:
@@ -123,14 +136,14 @@ def with_tolerances(df: DataFrame, tolerances: Sequence[int]) -> DataFrame:
 
 
 def score_sweep(df: DataFrame, tolerances: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    s = score_answer(with_tolerances(df, tolerances), F.col("tol"))
+    s = score_answer(with_tolerances(parse_slots(df), tolerances), F.col("tol"))
     return s.groupBy(*by, "tol").agg(F.count("*").alias("n"), F.count_if(F.col("score") == 1).alias("correct"),
                                      F.count_if((F.col("score") > 0) & (F.col("score") < 1)).alias("partial"), F.avg("score").alias("mean_score"))
 
 
 def score_continuous(df: DataFrame, kind: str, p: float) -> DataFrame:
-    x = _scored(df, lambda d: time_credit(d.cast("double"), kind, p))
-    return x.withColumn("score", F.when(F.col("criteria") > 0, F.col("best") / F.col("criteria")).otherwise(0.0)).drop("best", "criteria")
+    x = _best(parse_slots(df), lambda d: time_credit(d.cast("double"), kind, p))
+    return x.withColumn("score", F.when(F.col("criteria") > 0, F.col("best") / F.col("criteria")).otherwise(0.0)).drop("best", "criteria", *PARSED)
 
 
 def post_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -112,7 +112,15 @@ def value_histogram(diffs: DataFrame, keys: Sequence[str], value: str = "d", dig
     return diffs.groupBy(*keys, F.round(value, digits).alias("v")).agg(F.count("*").alias("c"))
 
 
-def histogram_replicates(hist: DataFrame, keys: Sequence[str], reps: int, seed: int = 7, block: int = 1000) -> DataFrame:
+def deltas_of_histogram(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count, mean and its sampling variance from the value counts, without another pass over the cases."""
+    c, v = F.col("c"), F.col("v")
+    g = hist.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(c * v) / F.sum("c")).alias("delta"), F.sum(c * v * v).alias("_ss"))
+    var = F.try_divide(F.greatest(F.col("_ss") - F.col("n") * F.col("delta") * F.col("delta"), F.lit(0.0)), F.col("n") * (F.col("n") - 1))
+    return g.select(*keys, "n", "delta", var.alias("var"))
+
+
+def histogram_replicates(hist: DataFrame, keys: Sequence[str], reps: int, seed: int = 7, block: int = 2500) -> DataFrame:
     """Replicate means (keys, rep, d) by multinomial draws on a value histogram, in blocks of replicates.
 
     The work per group is ``distinct values x reps``. Groups with many distinct values are still split over

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seismark.plans.registry import cte, table
+from seismark.session import spread
 
 # (method, seed, role): one entry per run that every case is scored under
 RUNS = [("m_cust", None, "published"), ("m_price", None, "published"), ("m_prio", None, "probe"),
@@ -16,7 +17,7 @@ RUNS = [("m_cust", None, "published"), ("m_price", None, "published"), ("m_prio"
 
 
 def case_scores(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf, "nation")
     r = table(spark, sf, "region")
@@ -167,7 +168,7 @@ def _answers_columns(s: str) -> list[str]:
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").selectExpr(*_answers_columns("string"))
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).selectExpr(*_answers_columns("string"))
 
 
 cte("answers", "select " + ", ".join(_answers_columns("varchar")) + " from orders")

@@ -32,15 +32,20 @@ def release(spark):
 
 
 def cs(spark, sf):
-    return kept(spark, sf, "cs", lambda: C.case_score(X.case_scores(spark, sf)))
+    return C.case_score(X.case_scores(spark, sf))
 
 
-def deltas(spark, sf):
-    return C.pair_deltas(C.pair_diffs(cs(spark, sf)))
+def shared_cs(spark, sf):
+    """Case scores for queries that read them in several branches."""
+    return kept(spark, sf, "cs", lambda: cs(spark, sf))
+
+
+def deltas(spark, sf, shared=False):
+    return C.pair_deltas(C.pair_diffs(shared_cs(spark, sf) if shared else cs(spark, sf)))
 
 
 def mreps(spark, sf):
-    return kept(spark, sf, "mreps", lambda: R.method_replicates(cs(spark, sf), REPS))
+    return kept(spark, sf, "mreps", lambda: R.method_replicates(shared_cs(spark, sf), REPS))
 
 
 def reps(spark, sf):
@@ -48,7 +53,7 @@ def reps(spark, sf):
 
 
 def dci(spark, sf):
-    return kept(spark, sf, "dci", lambda: R.attach_ci(deltas(spark, sf), reps(spark, sf)))
+    return kept(spark, sf, "dci", lambda: R.attach_ci(deltas(spark, sf, True), reps(spark, sf)))
 
 
 @query("c01_case_score_mean", "select family, subsystem_id, case_id, method, score from cs", rnd="score")

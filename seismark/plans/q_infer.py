@@ -9,7 +9,7 @@ from seismark.operators import compare as C
 from seismark.operators import infer as I
 from seismark.operators import resample as R
 from seismark.plans import fixtures as X
-from seismark.plans.q_compare import cs, csf, dci, deltas, difficulty, mreps, reps
+from seismark.plans.q_compare import cs, csf, dci, deltas, difficulty, kept, mreps, reps, shared_cs
 from seismark.plans.registry import cte, query
 from seismark.plans.sqltext import REPS, h32, names, sg
 
@@ -37,9 +37,9 @@ def i01p(spark, sf):
 @query("i01_boot_histogram")
 def i01h(spark, sf):
     """10,000 replicates per pair and subsystem from value counts; numpy draws, so rows only."""
-    d = C.pair_diffs(cs(spark, sf))
-    h = R.value_histogram(d, [*C.PAIR, "subsystem_id"])
-    return R.attach_ci(C.pair_deltas(d), R.histogram_replicates(h, [*C.PAIR, "subsystem_id"], 10000))
+    keys = [*C.PAIR, "subsystem_id"]
+    h = kept(spark, sf, "histogram", lambda: R.value_histogram(C.pair_diffs(cs(spark, sf)), keys))
+    return R.attach_ci(R.deltas_of_histogram(h, keys), R.histogram_replicates(h, keys, 10000))
 
 
 cte("preps", "select family, a, b, rep, sum(n * d) / sum(n) as cw, avg(d) as se from reps join deltas using (family, a, b, subsystem_id) group by all")
@@ -49,13 +49,13 @@ cte("preps", "select family, a, b, rep, sum(n * d) / sum(n) as cw, avg(d) as se
   quantile_cont(se, 0.025) as pooled_se_lo, quantile_cont(se, 0.975) as pooled_se_hi from preps group by all""",
        rnd="pooled_cw_lo pooled_cw_hi pooled_se_lo pooled_se_hi")
 def i02(spark, sf):
-    return R.pooled_ci(deltas(spark, sf), reps(spark, sf))
+    return R.pooled_ci(deltas(spark, sf, True), reps(spark, sf))
 
 
 @query("i03_centred_p", """select family, a, b, subsystem_id, avg(case when abs(d - delta) >= abs(delta) - 1e-9 then 1.0::double else 0.0::double end) as p
   from reps join deltas using (family, a, b, subsystem_id) group by all""", rnd="p")
 def i03(spark, sf):
-    return R.centred_p(reps(spark, sf), deltas(spark, sf), [*C.PAIR, "subsystem_id"])
+    return R.centred_p(reps(spark, sf), deltas(spark, sf, True), [*C.PAIR, "subsystem_id"])
 
 
 cte("cross_p", """select family, a, b, subsystem_id, least(1.0::double, 2 * least(avg((d <= 1e-9)::int::double), avg((d >= -1e-9)::int::double))) as p from reps group by all""")
@@ -77,7 +77,7 @@ cte("strata", f"""select family, subsystem_id, rep, method, avg(m) as score from
 
 @query("i05_boot_strata", """select family, subsystem_id, method, quantile_cont(score, 0.025) as lo, quantile_cont(score, 0.975) as hi from strata group by all""", rnd="lo hi")
 def i05(spark, sf):
-    return R.percentile_ci(R.strata_replicates(csf(spark, sf), REPS), ["family", "subsystem_id", "method"], "score")
+    return R.percentile_ci(R.strata_replicates(kept(spark, sf, "csf", lambda: csf(spark, sf)), REPS), ["family", "subsystem_id", "method"], "score")
 
 
 @query("i06_bonferroni", """
@@ -86,7 +86,7 @@ select family, a, b, subsystem_id, m, list_sort(ds)[1 + floor(q * 99)::int] * (1
 from (select family, a, b, subsystem_id, list(d) as ds from reps group by all) join (select family, count(*) as m, 0.05::double / 2 / count(*) as q from deltas group by all) using (family)
 join deltas using (family, a, b, subsystem_id)""", rnd="lo hi delta")
 def i06(spark, sf):
-    return R.bonferroni(deltas(spark, sf), reps(spark, sf))
+    return R.bonferroni(deltas(spark, sf, True), reps(spark, sf))
 
 
 @query("i07_holm", """
@@ -115,7 +115,7 @@ with j as (select x.family, x.method as a, y.method as b, x.subsystem_id, x.scor
 select family, a, b, subsystem_id, avg(({sg('d')} = 1)::int::double) as p_a, avg(({sg('d')} = -1)::int::double) as p_b, avg(({sg('d')} = 0)::int::double) as p_tie,
   quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from j group by all""", rnd="p_a p_b p_tie lo hi")
 def i09(spark, sf):
-    x = cs(spark, sf)
+    x = shared_cs(spark, sf)
     return R.win_probability(R.method_replicates(x, REPS, 7), R.method_replicates(x, REPS, 8))
 
 
@@ -135,7 +135,7 @@ select * from (select a, b, max(delta) filter (where subsystem_id = 'ASIA::NATIO
 join (select a, b, quantile_cont(c, 0.025) as lo, quantile_cont(c, 0.975) as hi, avg((c <= 1e-9)::int::double) as p_le_0 from c group by all) using (a, b)""",
        rnd="contrast lo hi p_le_0")
 def i28(spark, sf):
-    return R.focal_contrast(reps(spark, sf), deltas(spark, sf), "ASIA::NATION_2")
+    return R.focal_contrast(reps(spark, sf), deltas(spark, sf, True), "ASIA::NATION_2")
 
 
 @query("i30_ci_separation", f"""
@@ -344,7 +344,7 @@ with o as (select family, lrt as obs from lrt_perm where rep = -1)
 select family, obs as lrt_observed, count(*) as perms, avg((lrt >= obs - 1e-9)::int::double) as p_perm, avg(lrt) as lrt_mean from lrt_perm join o using (family) where rep >= 0 group by all""",
        rnd="lrt_observed p_perm lrt_mean")
 def i27(spark, sf):
-    return I.permutation_test(I.permutation_lrt(cs(spark, sf), "m_cust", "m_price", PERMS))
+    return I.permutation_test(I.permutation_lrt(shared_cs(spark, sf), "m_cust", "m_price", PERMS))
 
 
 DROP = ["AFRICA::NATION_0", "ASIA::NATION_2"]

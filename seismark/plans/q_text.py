@@ -434,7 +434,7 @@ def tol_scores(spark, sf):
     variants = F.array(*[F.struct(F.lit(m).alias("method"), F.expr(e).alias("prediction")) for m, e in METHODS])
     a = X.answers(spark, sf)
     x = a.select("case_id", "scoring_points", F.explode(variants).alias("v")).select("case_id", "scoring_points", "v.*")
-    s = K.score_answer(K.with_tolerances(x, TOLS), F.col("tol"))
+    s = K.score_answer(K.with_tolerances(K.parse_slots(x), TOLS), F.col("tol"))
     return s.select(F.concat(F.lit("sys"), (F.col("case_id").cast("bigint") % 5).cast("string")).alias("system"), "case_id", "method", "tol", "score")
 
 

@@ -52,6 +52,15 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where a scan has fewer splits than the session has (one small file is one split).
+
+    A large table has more splits than cores and is returned as it is, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder for written tables: under ``spark.checkpoint.dir`` on a cluster, a temporary one for a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -174,3 +174,21 @@ def test_heterogeneity_of_equal_effects_is_zero(spark):
     rows = [Row(family="f", a="x", b="y", subsystem_id=f"s{i}", delta=0.1, var=0.01 * (i + 1)) for i in range(6)]
     r = I.meta(spark.createDataFrame(rows)).first()
     assert r.tau2 < 1e-12 and r.i2 == 0.0 and math.isclose(r.re_delta, 0.1)
+
+
+# published values: case counts and accuracies of two methods on eleven subsystems, and what their comparison came to
+GOLDEN_N = [125, 125, 125, 136, 70, 78, 51, 26, 26, 8, 8]
+GOLDEN_A = [0.392, 0.376, 0.048, 0.17213235294117646, 0.144, 0.19653846153846155, 0.2415686274509804, 0.038461538461538464, 0.0, 0.0, 0.25]
+GOLDEN_B = [0.736, 0.848, 0.56, 0.16044117647058823, 0.05714285714285714, 0.10576923076923077, 0.18274509803921568, 0.15384615384615385,
+            0.15384615384615385, 0.25, 0.25]
+GOLDEN = {"pooled_cw": -0.20212082262210795, "pooled_se": -0.14537178997473116, "sd_sub_delta": 0.22128348915704182, "lrt": 104.92165662686511}
+
+
+def test_published_pair_is_reproduced(spark):
+    rows = [Row(family="all", a="x", b="y", subsystem_id=f"s{i:02d}", n=n, acc_a=p, acc_b=q, delta=p - q)
+            for i, (n, p, q) in enumerate(zip(GOLDEN_N, GOLDEN_A, GOLDEN_B))]
+    d = spark.createDataFrame(rows)
+    r, s, i = C.reversals(d).first(), C.spread(d).first(), I.interaction_lrt(d).first()
+    got = {"pooled_cw": r.pooled_cw, "pooled_se": r.pooled_se, "sd_sub_delta": s.sd_sub_delta, "lrt": i.lrt}
+    assert all(math.isclose(got[k], v, rel_tol=1e-7) for k, v in GOLDEN.items())
+    assert (r.n_rev_cw, r.rev_cw, r.n_rev_se, s.n_pos, s.n_neg, i.lrt_df) == (4, "s03;s04;s05;s06", 4, 4, 6, 10)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seismark.functions.series import row_index
 from seismark.functions.stats import TIE_EPS
 
 
@@ -195,6 +195,6 @@ def before_after(a: DataFrame, b: DataFrame, values: Sequence[str]) -> DataFrame
     return j.select("*", *[(F.col(f"{v}_after") - F.col(f"{v}_before")).alias(f"{v}_change") for v in values])
 
 
-def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Number repeats of a key from zero in an explicit order (query index)."""
-    return df.withColumn("q_idx", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+def query_index(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column]) -> DataFrame:
+    """Number repeats of a key from zero in an explicit order; ``chunk`` is coarse and non-decreasing along it."""
+    return row_index(df, keys, chunk, order, "q_idx")

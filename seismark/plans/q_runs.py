@@ -12,7 +12,6 @@ from seismark.operators import quality as Q
 from seismark.operators import runs as B
 from seismark.plans import fixtures as X
 from seismark.plans.q_compare import alt_cs, cs, deltas
-from seismark.plans.q_text import p11 as _p11  # noqa: F401  (registers the text tables used below)
 from seismark.plans.q_text import p13, picks
 from seismark.plans.registry import cte, query, table
 from seismark.plans.sqltext import h32
@@ -308,7 +307,8 @@ def b22(spark, sf):
 @query("b00_query_index", "select case_id, method, score, row_number() over (partition by subsystem_id, fault, method, coalesce(seed, -1) order by case_id) - 1 as q_idx from case_scores where seed is null", rnd="score")
 def b00(spark, sf):
     x = X.case_scores(spark, sf).filter("seed is null")
-    return B.first_by(x, ["subsystem_id", "fault", "method"], [F.col("case_id")]).select("case_id", "method", "score", "q_idx")
+    chunk = F.substring(F.substring_index("case_id", "|", -1), 1, 2)  # ids of a subsystem sort by this prefix first
+    return B.query_index(x, ["subsystem_id", "fault", "method"], chunk, [F.col("case_id")]).select("case_id", "method", "score", "q_idx")
 
 
 # ---- integrity ---------------------------------------------------------------------------------------------------

@@ -531,7 +531,7 @@ def sign_class(src: str) -> str:
       case when min(delta) > 1e-9 then 'pos' when max(delta) < -1e-9 then 'neg' else 'mixed' end as sign_class from ({src}) group by all"""
 
 
-@query("i14_influence_loso", sign_class("select x.a, x.b, 'loso:' || s.system as check_name, x.tol, avg(x.d) as delta from tdiffs x join (select distinct system from tdiffs) s on x.system <> s.system group by all"), rnd="min_delta max_delta")
+@query("i14_influence_loso", sign_class("select x.a, x.b, 'loso:' || s.system as check_name, x.tol, avg(x.d) as delta from tdiffs x join (select distinct system from tdiffs) s on x.system <> s.system group by all"), rnd="min_delta max_delta", digits=8)
 def i14(spark, sf):
     d = tdiffs(spark, sf).groupBy("a", "b", "system", "tol").agg(F.count("*").alias("n"), F.avg("d").alias("delta"))
     return I.influence_loso(d)

@@ -67,14 +67,17 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None, rnd: str = "") -> Callable:
-    """Register ``fn`` under ``name``; ``rnd`` names the double columns of the SQL twin."""
+def query(name: str, sql: str | None = None, rnd: str = "", digits: int = DIGITS) -> Callable:
+    """Register ``fn`` under ``name``; ``rnd`` names the double columns of the SQL twin.
+
+    ``digits`` differs where results are short decimals that would end exactly between two rounded values.
+    """
 
     def deco(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_utc(spark)
-            return rounded(fn(spark, sf_dir))
+            return rounded(fn(spark, sf_dir), digits)
 
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
@@ -82,7 +85,7 @@ def query(name: str, sql: str | None = None, rnd: str = "") -> Callable:
         if sql is not None:
             body = sql.strip()
             if rnd:
-                rep = ", ".join(f"round({c}, {DIGITS}) + 0.0 as {c}" for c in rnd.split())
+                rep = ", ".join(f"round({c}, {digits}) + 0.0 as {c}" for c in rnd.split())
                 body = f"select * replace ({rep}) from ({body}) final_rows"
             else:
                 body = f"select * from ({body}) final_rows"

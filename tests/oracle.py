@@ -20,7 +20,7 @@ def connect(sf_dir: str):
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.6f}".replace("-0.000000", "0.000000")
+        return "nan" if math.isnan(v) else f"{v:.9f}"
     if isinstance(v, bool) or v is None:
         return str(v)
     if isinstance(v, int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.llm import language_id, packing, quality_rules, token_store, url_filter
+from seismark.llm import language_id, packing, quality_rules, substring_dedup, token_store, url_filter
 from seismark.llm.registry import query, table
 
 
@@ -38,3 +38,9 @@ def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = quality_rules.train(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judge(docs.select("doc_id", "text"), trees).drop("text")
+
+
+@query("op1_substring_dedup")
+def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.llm import language_id, packing, quality_rules, substring_dedup, token_store, url_filter
+from seismark.llm import decontamination, language_id, packing, quality_rules, substring_dedup, token_store, url_filter
 from seismark.llm.registry import query, table
 
 
@@ -40,7 +40,36 @@ def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select("doc_id", "text"), trees).drop("text")
 
 
-@query("op1_substring_dedup")
+OP1_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, s, array_to_string(list_slice(w, s + 1, s + 20), ' ') as k from (select doc_id, w, unnest(range(len(w) - 19)) as s from d where len(w) >= 20)),
+firsts as (select k, min({'d': doc_id, 's': s}) as f from win group by k having count(*) > 1),
+gone as (select doc_id, list(distinct p) as p from (select doc_id, unnest(range(s, s + 20)) as p from win join firsts using (k) where f <> {'d': doc_id, 's': s}) group by doc_id),
+kept as (select d.doc_id, w, p, list_filter(range(len(w)), lambda i: not list_contains(coalesce(p, []), i)) as stay from d left join gone using (doc_id))
+select doc_id, len(w)::bigint as n_words, coalesce(len(p), 0)::bigint as n_removed, sha256(array_to_string(list_transform(stay, lambda i: w[i + 1]), ' ')) as kept_sha256 from kept"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
 def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark where item_id is not null),
+iw as (select distinct item_id, least(len(w), 10) as l, array_to_string(list_slice(w, s + 1, s + 10), ' ') as k
+  from (select item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) as s from b where len(w) > 0)),
+dw as (select doc_id, s, l, array_to_string(list_slice(w, s + 1, s + l), ' ') as k from
+  (select doc_id, w, l, unnest(range(len(w) - l + 1)) as s from d, (select distinct l from iw) where len(w) >= l)),
+hits as (select doc_id, s, dw.l as l, item_id from dw join iw on dw.l = iw.l and dw.k = iw.k),
+cover as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + l)) as p from hits) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as names from (select distinct doc_id, item_id::varchar as i from hits) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated from d left join cover using (doc_id) left join its using (doc_id)"""
+
+
+@query("op10_decontamination", OP10_SQL)
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

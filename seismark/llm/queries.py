@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.llm import decontamination, language_id, packing, quality_rules, substring_dedup, token_store, url_filter
+from seismark.llm import decontamination, jaccard_join, language_id, packing, quality_rules, substring_dedup, token_store, url_filter
 from seismark.llm.registry import query, table
 
 
@@ -73,3 +73,18 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP2_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, array_to_string(list_slice(w, s + 1, s + 5), ' ') as k from (select doc_id, w, unnest(range(greatest(len(w) - 5, 0) + 1)) as s from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+pairs as (select x.doc_id as a, y.doc_id as b, count(*) as c from sh x join sh y on x.k = y.k and x.doc_id <> y.doc_id group by all),
+links as (select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)),
+reach as (select doc_id as a, doc_id as b from d union select reach.a, links.b from reach join links on reach.b = links.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id from d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from reach group by a) using (doc_id)"""
+
+
+@query("op2_jaccard_join", OP2_SQL)
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -335,5 +335,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     """Of each group the document with the smallest id stays (of rows that repeat it, one); all columns stay."""
     named = docs.withColumns({"kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "tv": F.xxhash64("text")})
     lead = groups(docs, shingle, percent).where("doc_id <=> component_id").groupBy("kid").agg(F.min("tv").alias("tv"))
-    one = named.join(lead, ["kid", "tv"], "left_semi").select(*docs.columns)
-    return one
+    return named.join(lead, ["kid", "tv"], "left_semi").dropDuplicates(["kid", "tv"]).select(*docs.columns)

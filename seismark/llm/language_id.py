@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from seismark.llm.common import MULT, STEP, U64, chunks, mix, worker_state
 
 SAMPLE, PROFILE, SIZES, HASHES = 2000, 20_000, (3, 4), 3
+#: Bytes of text worked on at once: several 8-byte numbers stand for each character.
+CHARS = 1 << 21
 
 
 def letters() -> np.ndarray:
@@ -115,7 +117,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> Filt
     chosen = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2**20)) < share)
 
     def count(batches):
-        for t in chunks(batches):
+        for t in chunks(batches, CHARS):
             names, texts = np.array(t.column("lang").to_pylist(), object), t.column("text").to_pylist()
             for lang in sorted(set(names)):
                 h, n = np.unique(grams([x for x, k in zip(texts, names == lang) if k])[0], return_counts=True)
@@ -135,7 +137,7 @@ def identify(docs: DataFrame, model: Filter, key: str = "doc_id") -> DataFrame:
 
     def apply(batches):
         f = shipped.value
-        for t in chunks(batches):
+        for t in chunks(batches, CHARS):
             texts = t.column("text").to_pylist()
             if f.langs:
                 shares, ok = f.shares(texts)

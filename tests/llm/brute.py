@@ -26,3 +26,25 @@ def substring(rows, width=20):
         kept = [x for i, x in enumerate(w) if i not in gone]
         out[d] = (len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
     return out
+
+
+def jaccard(rows, shingle=5, percent=75):
+    """[(doc_id, text)] -> {doc_id: (n_shingles, component_id)}"""
+    sets = {}
+    for d, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(s), find(d)) for d, s in sets.items()}

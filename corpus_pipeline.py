@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seismark.llm import packing, quality_rules
+from pyspark.sql import functions as F
+
+from seismark.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup
 from seismark.llm.common import written
 from seismark.llm.registry import table
 
@@ -19,11 +21,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.judge(docs, trees).where("kept").select(*docs.columns)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that start earlier elsewhere go; documents of which nothing is left go. n_chars follows the new text, and a
+    document without repeated passages keeps its text as it is."""
+    return substring_dedup.cut(docs).where("text is not null and length(text) > 0").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept document's pieces and their places in the batches."""
     return packing.pack(packing.word_lengths(docs))
 
 
-STAGES = [("quality_rules", quality_stage), ("packing", packing_stage)]
+STAGES = [("quality_rules", quality_stage), ("jaccard_join", near_duplicate_stage), ("substring_dedup", substring_stage),
+          ("decontamination", benchmark_stage), ("packing", packing_stage)]
 #: SQL cannot express the boosted trees of the first stage.
 ORACLE_SQL = None
 

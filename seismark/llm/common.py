@@ -174,6 +174,11 @@ def keyed(docs: DataFrame) -> DataFrame:
                        F.col("text"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
+def rows_keyed(docs: DataFrame) -> DataFrame:
+    """kid and tv as in keyed(), and the whole row as a struct, so that no column of it clashes."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64("text").alias("tv"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+
+
 def chunks(batches, limit: int = 2 << 23):
     """Arrow batches joined or cut to about ``limit`` bytes of their text column each; a single longer text stays whole."""
     held: list[pa.RecordBatch] = []

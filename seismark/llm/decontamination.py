@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seismark.llm.common import written
+from seismark.llm.common import rows_keyed, written
 from seismark.llm.url_filter import LOWER, UPPER
 
 WIDTH, DEPTH, SLACK, BLOCK = 10, 3, 5, 50_000
@@ -108,11 +108,8 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, zero, step, lambda acc: acc["n"])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, depth: int = DEPTH, near: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ascending as strings), contaminated; one row for each row of docs.
-
-    near adds n_near: how many windows have all their chosen terms close together there.
-    """
+def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, depth: int = DEPTH, near: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The judged rows (kid, tv, doc_id, n_words, n_hit, wids), the items of the windows, and the proximity matches."""
     text = keyed_words(docs)
     wins, items = windows(benchmark, width)
     wins = written(wins, "windows")
@@ -131,9 +128,23 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, depth: int =
     judged = (text.join(candidates, ["kid", "tv"], "left").select("kid", "tv", "doc_id", F.size("words").cast("long").alias("n_words"), exact.alias("exact"))
               .select("kid", "tv", "doc_id", "n_words", covered(F.sort_array(F.transform("exact", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"))))).alias("n_hit"),
                       F.array_distinct(F.transform("exact", lambda c: c["wid"])).alias("wids")))
-    judged = written(judged, "judged")
+    return written(judged, "judged"), items, reduce(DataFrame.unionByName, close).distinct() if near else None
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
+    """The documents without a hit; all columns stay."""
+    hit = search(docs, benchmark, width, depth)[0].where("n_hit > 0").select("kid", "tv").distinct()
+    return rows_keyed(docs).join(hit, ["kid", "tv"], "left_anti").select("row.*")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, depth: int = DEPTH, near: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ascending as strings), contaminated; one row for each row of docs.
+
+    near adds n_near: how many windows have all their chosen terms close together there.
+    """
+    judged, items, close = search(docs, benchmark, width, depth, near)
     hit_items = judged.where("n_hit > 0").select("kid", "tv", F.explode("wids").alias("wid")).join(items, "wid").groupBy("kid", "tv").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     out = judged.join(hit_items, ["kid", "tv"], "left")
     if near:
-        out = out.join(reduce(DataFrame.unionByName, close).distinct().groupBy("kid", "tv").agg(F.count("*").alias("n_near")), ["kid", "tv"], "left").fillna(0, ["n_near"])
+        out = out.join(close.groupBy("kid", "tv").agg(F.count("*").alias("n_near")), ["kid", "tv"], "left").fillna(0, ["n_near"])
     return out.select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.col("n_hit") > 0).alias("contaminated"), *(["n_near"] if near else []))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seismark.llm.common import LOWER, U64, by_bucket, chunks, keyed, mix, partitions, piece_hash, text_buffer, window_hash, word_bounds, written
+from seismark.llm.common import LOWER, U64, by_bucket, chunks, keyed, mix, partitions, piece_hash, rows_keyed, text_buffer, window_hash, word_bounds, written
 
 SHINGLE, PERCENT = 5, 75
 #: Sets of a star that a block of its unlinked sets is compared with at once.
@@ -333,6 +333,5 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of each group the document with the smallest id stays (of rows that repeat it, one); all columns stay."""
-    named = docs.withColumns({"kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "tv": F.xxhash64("text")})
     lead = groups(docs, shingle, percent).where("doc_id <=> component_id").groupBy("kid").agg(F.min("tv").alias("tv"))
-    return named.join(lead, ["kid", "tv"], "left_semi").dropDuplicates(["kid", "tv"]).select(*docs.columns)
+    return rows_keyed(docs).join(lead, ["kid", "tv"], "left_semi").dropDuplicates(["kid", "tv"]).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.llm import decontamination, jaccard_join, language_id, packing, quality_rules, substring_dedup, token_store, url_filter
+from seismark.llm import decontamination, jaccard_join, language_id, license_scan, packing, perplexity, quality_rules, substring_dedup, token_store, url_filter
 from seismark.llm.registry import query, table
 
 
@@ -88,3 +88,13 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id from d lef
 @query("op2_jaccard_join", OP2_SQL)
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_perplexity")
+def perplexity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_license_scan")
+def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(table(spark, sf_dir, "documents"))

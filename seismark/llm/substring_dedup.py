@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seismark.llm.common import U64, by_bucket, chunks, double, keyed, partitions, piece_hash, sliding, text_buffer, window_hash, word_bounds
+from seismark.llm.common import U64, by_bucket, chunks, double, keyed, partitions, piece_hash, rows_keyed, sliding, text_buffer, window_hash, word_bounds
 
 BLOCK_SCHEMA = "bucket int, own boolean, docs binary, counts binary, pos binary, key binary, hash binary, known binary"
 ARROW_BLOCK = pa.schema([("bucket", pa.int32()), ("own", pa.bool_()), *((c, pa.binary()) for c in ("docs", "counts", "pos", "key", "hash", "known"))])
+PLACED = "__places_of_windows"
 PLACES = "kid long, tv long, places binary"
 TOP = U64(2**64 - 1)
 
@@ -179,7 +180,7 @@ def meet(found: DataFrame, last: bool) -> DataFrame:
 
 def repeats(docs: DataFrame, width: int = 20, first: int = 10) -> DataFrame:
     """kid, tv, places (arrays of 32-bit starts): windows of ``width`` words that start earlier elsewhere. docs: see keyed()."""
-    if first < 1 or width % first or (width // first) & (width // first - 1):
+    if first < 1 or first >= width or width % first or (width // first) & (width // first - 1):
         raise ValueError("width must be first times a power of two")
     n = partitions(docs.sparkSession)
     length, before, source = first, None, docs
@@ -190,28 +191,44 @@ def repeats(docs: DataFrame, width: int = 20, first: int = 10) -> DataFrame:
         source, before, length = docs.join(found, ["kid", "tv"]), length, 2 * length
 
 
+def kept_words(text: str | None, places: list[bytes] | None, width: int) -> tuple[list[bytes], int]:
+    """The words of a text without those that its windows at ``places`` cover, and how many it had."""
+    words = text.encode().split() if text else []
+    if not places:
+        return words, len(words)
+    cover = np.zeros(len(words) + width, np.int32)
+    at = np.unique(np.frombuffer(b"".join(places), np.int32))
+    cover[at] += 1
+    cover[at + width] -= 1
+    return list(compress(words, (np.cumsum(cover[: len(words)]) == 0).tolist())), len(words)
+
+
 def dedup(docs: DataFrame, width: int = 20, first: int = 10) -> DataFrame:
     """doc_id, text -> doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
-    if width == first:
-        raise ValueError("first must be below width")
     docs = keyed(docs)
 
     def keep(batches):
         for t in chunks(batches):
             n_words, n_removed, kept = [], [], []
             for text, places in zip(t.column("text").to_pylist(), t.column("places").to_pylist()):
-                words = text.encode().split() if text else []
-                n_words.append(len(words))
-                if places:
-                    cover = np.zeros(len(words) + width, np.int32)
-                    at = np.unique(np.frombuffer(b"".join(places), np.int32))
-                    cover[at] += 1
-                    cover[at + width] -= 1
-                    stay = np.cumsum(cover[: len(words)]) == 0
-                    words = list(compress(words, stay.tolist()))
-                n_removed.append(n_words[-1] - len(words))
+                words, n = kept_words(text, places, width)
+                n_words.append(n)
+                n_removed.append(n - len(words))
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
                                              names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return docs.join(repeats(docs, width, first), ["kid", "tv"], "left").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+def cut(docs: DataFrame, width: int = 20, first: int = 10) -> DataFrame:
+    """docs with repeated passages cut out of the text; texts without any stay as they are, white space too."""
+    found = repeats(keyed(docs), width, first)
+
+    def keep(batches):
+        for t in chunks(batches):
+            texts = [x if not places else b" ".join(kept_words(x, places, width)[0]).decode() for x, places in zip(t.column("text").to_pylist(), t.column(PLACED).to_pylist())]
+            out = t.drop_columns([PLACED])
+            yield from out.set_column(out.column_names.index("text"), "text", pa.array(texts, pa.string())).combine_chunks().to_batches()
+
+    return rows_keyed(docs).join(found.withColumnRenamed("places", PLACED), ["kid", "tv"], "left").select("row.*", PLACED).mapInArrow(keep, docs.schema)

@@ -2,11 +2,11 @@
 
 A sentence that names a license opens a candidate block. For each template, the block is taken as many words long as the
 template (with what follows, up to a blank line) and compressed twice with zstandard: alone, and with the template as raw
-dictionary. The share of bytes that the template saves ranks the templates; the winners are confirmed, in that order, by
-the exact differences in wording (words of the template that the block lacks, words that it adds).
+dictionary. The bytes that a template saves rank the templates; the winners are confirmed by the exact differences in wording
+(words of the template that the block lacks, words that it adds), and the one with the most words in common stays.
 
-Defined results: null and blank texts have no blocks; several blocks of a document are all reported; a block is the template
-with the fewest differences among those of the highest savings, ties go to the longer template, then to the first by name;
+Defined results: null and blank texts have no blocks; several blocks of a document are all reported; ties go to
+the first template by name;
 repeated rows are scanned alike; other columns are ignored; an empty table gives no rows.
 """
 
@@ -113,14 +113,14 @@ def find_licenses(text: str) -> list[dict]:
                 raw = " ".join(words).encode()
                 blocks[n] = words, raw, len(plain.compress(raw))
             words, raw, alone = blocks[n]
-            gain = 1 - len(packer.compress(raw)) / max(alone, 1)
-            if gain >= LEAST_GAIN:
-                ranked.append((gain, name, template, words))
+            saved = alone - len(packer.compress(raw))
+            if saved >= LEAST_GAIN * alone:
+                ranked.append((saved, saved / alone, name, template, words))
         best = None
-        for gain, name, template, words in sorted(ranked, key=lambda r: (-r[0], r[1]))[:6]:
+        for _, gain, name, template, words in sorted(ranked, key=lambda r: (-r[0], r[2])):
             missing, added, used = differences(template, words)
             if missing + added <= MOST_CHANGED * len(template):
-                key = (missing + added, -len(template), name)
+                key = (missing + added - len(template), name)
                 if best is None or key < best[0]:
                     best = key, {"line": text.count("\n", 0, start), "license": name, "gain": round(gain, 6), "missing": missing, "added": added, "exact": missing + added == 0}, used
         done = start + 1

@@ -95,12 +95,18 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, s
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Exact linear-interpolation percentiles per key without holding a key's values in one task.
 
-    Distinct values are counted first; counts are cumulated inside value chunks (asinh spreads any magnitude) and
-    over the chunk totals; the values at the wanted ranks are then picked by a filter.
+    Only finite values count. Distinct values are counted first; counts are cumulated inside value chunks and over the chunk
+    totals; the values at the wanted ranks are then picked by a filter. A chunk is a band of magnitude (asinh spreads any)
+    cut into 64 equal parts of the range the key really has in that band, so a narrow metric is split too.
     """
     keys = list(keys)
-    vc = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    vc = vc.withColumn("_chunk", F.floor(F.asinh(value) * 32))
+    real = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    vc = df.filter(real).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    vc = vc.withColumn("_band", F.floor(F.asinh(value) * 4))
+    ranges = vc.groupBy(*keys, "_band").agg(F.min(value).alias("_from"), F.max(value).alias("_to"))
+    vc = _with_summary(vc, ranges, [*keys, "_band"], ["_from", "_to"])
+    part = F.when(F.col("_to") > F.col("_from"), F.least(F.floor((F.col(value) - F.col("_from")) / (F.col("_to") - F.col("_from")) * 64), F.lit(63))).otherwise(F.lit(0))
+    vc = vc.withColumn("_chunk", F.col("_band") * 64 + part).drop("_band", "_from", "_to")
     tot = vc.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_cc"))
     wk = W.partitionBy(*keys)
     tot = (tot.withColumn("_off", F.coalesce(F.sum("_cc").over(wk.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import types as T
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 # fixed values: a pooled difference this small is a tie; held-out ties use the finer one
 TIE_EPS = 1e-9
@@ -63,31 +60,26 @@ def t975(df) -> Column:
     return F.when(df < 1, F.lit(None).cast("double")).when(df <= 30, F.get(table, df.cast("int") - 1)).otherwise(far)
 
 
-def _chi2_sf(x: float, k: int) -> float:
-    if x is None or k is None or math.isnan(x) or k < 1:
-        return float("nan")
-    if x <= 0:
-        return 1.0
-    h = x / 2.0
-    if k % 2 == 0:
-        term = total = math.exp(-h)
-        for i in range(1, k // 2):
-            term *= h / i
-            total += term
-        return min(1.0, total)
-    total = math.erfc(math.sqrt(h))
-    term = math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
-    for i in range((k - 1) // 2):
-        if i:
-            term *= h / (i + 0.5)
-        total += term
-    return min(1.0, total)
-
-
-@pandas_udf(T.DoubleType())
-def chi2_sf(x: pd.Series, k: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution for integer degrees of freedom (small result tables only)."""
-    return pd.Series([_chi2_sf(a, None if pd.isna(b) else int(b)) for a, b in zip(x, k)], dtype="float64")
+def chi2_sf(x, k) -> Column:
+    """Upper tail of the chi-square distribution for integer degrees of freedom; null below one of them.
+
+    A sum of Poisson-like terms whose logarithms are carried along, so large x and k neither underflow nor overflow. For odd
+    k the complementary error function comes first; its series is such a sum as well.
+    """
+    x, k = _c(x).cast("double"), _c(k).cast("int")
+    h, zero = x / 2, F.lit(0.0)
+    start = F.when(k % 2 == 0, zero).otherwise(F.lit(0.5))  # exponent of the first term; its Gamma is 1 or sqrt(pi) / 2
+    first = -h + start * F.log(h) - F.when(k % 2 == 0, zero).otherwise(F.lit(math.log(math.pi) / 2 - math.log(2)))
+
+    def total(n) -> Column:
+        terms = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+        step = lambda acc, i: F.struct((acc["t"] + F.log(h) - F.log(i + start)).alias("t"), F.when(i < n, acc["s"] + F.exp(acc["t"] + F.log(h) - F.log(i + start))).otherwise(acc["s"]).alias("s"))
+        return F.aggregate(terms, F.struct(first.alias("t"), F.exp(first).alias("s")), step, lambda acc: acc["s"])
+
+    erfc = F.when(h <= 40, F.greatest(1 - total(F.lit(200)), zero)).otherwise(zero)  # below 1e-18 beyond
+    half = F.floor(k / 2).cast("int")
+    sf = F.when(k % 2 == 0, total(half)).otherwise(erfc + F.when(half > 0, total(half)).otherwise(zero))
+    return F.when(x.isNull() | F.isnan(x) | (k < 1), F.lit(None).cast("double")).when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), sf))
 
 
 def pctl(col, q: float) -> Column:

@@ -230,14 +230,14 @@ def small_sample(d: DataFrame, mins: Sequence[int] = (0, 25, 50)) -> DataFrame:
 
 
 def compare_conditions(ref: DataFrame, alt: DataFrame) -> DataFrame:
-    """Sign change and reversal status of each pair x subsystem under two conditions."""
+    """Sign change (a tie against either side counts) and reversal status of each pair x subsystem under two conditions."""
     def side(d: DataFrame, tag: str) -> DataFrame:
         x = join_pooled(d)
         return x.select(*PAIR, "subsystem_id", F.col("delta").alias(f"delta_{tag}"), F.col("pooled_se").alias(f"pooled_{tag}"),
                         (sgn("delta") * sgn("pooled_se") < 0).alias(f"rev_{tag}"))
 
     return side(ref, "ref").join(side(alt, "alt"), [*PAIR, "subsystem_id"]).select(
-        "*", (sgn("delta_ref") * sgn("delta_alt") < 0).alias("sign_change"),
+        "*", (sgn("delta_ref") != sgn("delta_alt")).alias("sign_change"),
         (F.col("rev_ref") != F.col("rev_alt")).alias("status_change"))
 
 
@@ -268,16 +268,20 @@ def coverage(df: DataFrame) -> DataFrame:
 
 
 def denominator_effect(df: DataFrame) -> DataFrame:
-    """Deltas with all cases and with valid rows only as denominator, per pair and subsystem."""
-    def acc(x: DataFrame, tag: str) -> DataFrame:
-        m = case_score(x).groupBy("family", "subsystem_id", "method").agg(F.avg("score").alias("score"))
-        p = pair_diffs(m, ["family", "subsystem_id"])
-        pooled = p.groupBy(*PAIR).agg(F.avg("d").alias(f"pooled_{tag}"))
-        return p.select(*PAIR, "subsystem_id", F.col("d").alias(f"delta_{tag}")).join(pooled, PAIR)
-
-    j = acc(df, "all").join(acc(df.filter("valid_output = 1"), "valid"), [*PAIR, "subsystem_id"])
-    return j.select("*", (sgn("delta_all") * sgn("delta_valid") < 0).alias("sign_change"),
-                    ((sgn("delta_all") * sgn("pooled_all") < 0) != (sgn("delta_valid") * sgn("pooled_valid") < 0)).alias("status_change"))
+    """Deltas with all cases and with valid rows only as denominator, per pair and subsystem.
+
+    Both accuracies are taken per seed (hits over all or over valid rows), then averaged over the seeds. Pooled values are
+    means over the subsystems where both methods have valid rows, two at least.
+    """
+    n_valid = F.sum("valid_output")
+    seeds = df.groupBy("family", "subsystem_id", "method", "seed").agg(F.avg("score").alias("_all"), F.when(n_valid > 0, F.sum("score") / n_valid).alias("_valid"))
+    m = seeds.groupBy("family", "subsystem_id", "method").agg(F.struct(F.avg("_all").alias("x"), F.avg("_valid").alias("v")).alias("score")).filter("score.v is not null")
+    g = m.groupBy("family", "subsystem_id").agg(F.collect_list(F.struct("method", "score")).alias("ms"))
+    j = g.select("family", "subsystem_id", F.explode(pair_array("ms")).alias("p")).select(
+        "family", "p.a", "p.b", "subsystem_id", (F.col("p.ya.x") - F.col("p.yb.x")).alias("delta_all"), (F.col("p.ya.v") - F.col("p.yb.v")).alias("delta_valid"))
+    pooled = j.groupBy(*PAIR).agg(F.avg("delta_all").alias("pooled_all"), F.avg("delta_valid").alias("pooled_valid"), F.count("*").alias("_k")).filter("_k >= 2").drop("_k")
+    return j.join(pooled, PAIR).select("*", (sgn("delta_all") != sgn("delta_valid")).alias("sign_change"),
+                                       ((sgn("delta_all") * sgn("pooled_all") < 0) != (sgn("delta_valid") * sgn("pooled_valid") < 0)).alias("status_change"))
 
 
 def stratified_deltas(cs: DataFrame) -> DataFrame:

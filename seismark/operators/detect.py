@@ -7,6 +7,7 @@ extremes of the event side, so readings are scanned once and never sorted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,14 +36,14 @@ def side_stats(df: DataFrame, keys: Sequence[str] = METRIC) -> DataFrame:
     b, a = F.when(before_event(), v), F.when(~before_event(), v)
     return df.groupBy(*keys).agg(
         F.count(b).alias("n_base"), F.avg(b).alias("mu"), F.stddev_pop(b).alias("sd_pop"), F.stddev_samp(b).alias("sd_samp"),
-        F.count(a).alias("n_event"), F.max(a).alias("w_max"), F.min(a).alias("w_min"))
+        F.count(a).alias("n_event"), F.max(a).alias("w_max"), F.min(a).alias("w_min"), F.count_if(F.abs("value") == float("inf")).alias("n_inf"))
 
 
 def max_abs_z(df: DataFrame) -> DataFrame:
-    """Largest |z| of the event side against the baseline (population SD); 0 where it is not defined."""
+    """Largest |z| of the event side against the baseline (population SD); 0 where it is not defined or not finite."""
     s = side_stats(df)
     far = F.greatest(F.abs(F.col("w_max") - F.col("mu")), F.abs(F.col("w_min") - F.col("mu")))
-    return s.select(*METRIC, F.coalesce(F.when(F.col("sd_pop") > 0, far / F.col("sd_pop")), F.lit(0.0)).alias("z"))
+    return s.select(*METRIC, F.coalesce(F.when((F.col("sd_pop") > 0) & (F.col("n_inf") == 0), far / F.col("sd_pop")), F.lit(0.0)).alias("z"))
 
 
 def _down(c: str) -> Column:
@@ -63,13 +64,13 @@ def alert_count(scores: DataFrame, threshold: float = 3.0) -> DataFrame:
     return x.withColumn("rank", F.row_number().over(w))
 
 
-def robust_scores(df: DataFrame, absolute: bool = False) -> DataFrame:
+def robust_scores(df: DataFrame, absolute: bool = False, constant: bool = False) -> DataFrame:
     """(v - median) / IQR against the baseline: signed maximum, or the largest absolute value.
 
-    Constant baselines and short sides drop out; an IQR of zero divides by one.
+    Short sides drop out, constant baselines too unless ``constant``; an IQR of zero divides by one.
     """
     q = exact_percentiles(df.filter(before_event()), METRIC, "value", [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
-    s = side_stats(df).filter((F.col("sd_samp") > SD_MIN) & (F.col("n_base") >= 5) & (F.col("n_event") >= 2))
+    s = side_stats(df).filter((F.lit(constant) | (F.col("sd_samp") > SD_MIN)) & (F.col("n_base") >= 5) & (F.col("n_event") >= 2))
     iqr = F.col("q3") - F.col("q1")
     scale = F.when(iqr > 1e-12, iqr).otherwise(1.0)
     top = F.col("w_max") - F.col("q2")
@@ -302,13 +303,13 @@ def graph_protocol(edges: DataFrame, protocol: str) -> DataFrame:
     raise ValueError(f"unknown graph protocol {protocol}")
 
 
-def all_distances(edges: DataFrame, max_hops: int = 64) -> DataFrame:
-    """Undirected shortest-path lengths from every node: a join per hop, lineage cut after each."""
+def all_distances(edges: DataFrame) -> DataFrame:
+    """Undirected shortest-path lengths from every node: a join per hop until no new pair appears, lineage cut after each."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = checkpoint(both)
     seen = both.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("other"), F.lit(0).alias("dist"))
     front = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         nxt = front.join(both, front["other"] == both["src"]).select("node", F.col("dst").alias("other")).distinct()
         front = checkpoint(nxt.join(seen, ["node", "other"], "left_anti").withColumn("dist", F.lit(hop)))
         if front.isEmpty():
@@ -331,7 +332,7 @@ def prefilter_topk(scores: DataFrame, grid: DataFrame, k: int, corr_max: float =
     """The k best metrics of a case that are not near-copies of a better one.
 
     Candidates are the 3k best by score. Their correlations are partial aggregates over steps; the greedy choice
-    folds over at most 3k positions.
+    folds over at most 3k positions. A case with fewer than three survivors has none.
     """
     pool = rank_metrics(scores).filter(F.col("rank") <= 3 * k).select("case_id", "metric_id", "rank")
     x = grid.join(pool, ["case_id", "metric_id"])
@@ -345,7 +346,8 @@ def prefilter_topk(scores: DataFrame, grid: DataFrame, k: int, corr_max: float =
     names = names.withColumn("near", F.coalesce("near", none))
     kept = F.aggregate("ranks", F.array().cast("array<int>"), lambda acc, r: F.when(
         (F.size(acc) < k) & ~F.exists(acc, lambda a: F.array_contains("near", F.struct(a.alias("i"), r.alias("j")))), F.concat(acc, F.array(r))).otherwise(acc))
-    return names.select("case_id", F.explode(kept).alias("rank")).join(pool, ["case_id", "rank"])
+    names = names.select("case_id", kept.alias("kept")).filter(F.size("kept") >= 3)
+    return names.select("case_id", F.explode("kept").alias("rank")).join(pool, ["case_id", "rank"])
 
 
 def anomalous_counts(scores: DataFrame, threshold: float = 3.0) -> DataFrame:
@@ -359,8 +361,12 @@ def count_profile(counts: DataFrame, system: Column) -> DataFrame:
 
 
 def sigma_rank(df: DataFrame) -> DataFrame:
-    """Components by number of metrics above mean + 3 SD; inside, alerting metrics first, then deviation, then name."""
-    s = side_stats(df).filter((F.col("n_base") >= 2) & (F.col("n_event") >= 1))
+    """Components by number of metrics above mean + 3 SD; inside, alerting metrics first, then deviation, then name.
+
+    Readings that are not finite count as 0.
+    """
+    zero = F.when(F.isnan("value") | (F.abs("value") == float("inf")), F.lit(0.0)).otherwise(F.col("value"))
+    s = side_stats(df.withColumn("value", zero)).filter((F.col("n_base") >= 2) & (F.col("n_event") >= 1))
     x = s.select(*METRIC, (F.col("w_max") > F.col("mu") + 3 * F.col("sd_pop")).alias("alerted"),
                  F.when(F.col("sd_pop") > 1e-9, F.abs(F.col("w_max") - F.col("mu")) / F.col("sd_pop")).otherwise(0.0).alias("z"))
     x = x.withColumn("alerts", F.count_if("alerted").over(W.partitionBy("case_id", "component")))

@@ -233,7 +233,16 @@ def verdict(c: DataFrame, b: DataFrame, frozen: str = "1.0", by: Sequence[str] =
 
 
 def cross_decisions(train: DataFrame, held: DataFrame, c: float = 1.0) -> DataFrame:
-    """Neighbours of one release's leaderboard, judged on every subsystem of another release."""
+    """Neighbours of one release's leaderboard, judged on every subsystem of another release.
+
+    Only methods that cover every subsystem of both releases are ranked; a pair without direction is never recommended.
+    """
+    def whole(x: DataFrame) -> DataFrame:
+        all_of = x.agg(F.count_distinct("subsystem_id").alias("_all"))
+        return x.groupBy("method").agg(F.count_distinct("subsystem_id").alias("_n")).crossJoin(F.broadcast(all_of)).filter("_n = _all").select("method")  # one row
+
+    both = whole(train).join(whole(held), "method")
+    train = train.join(both, "method", "left_semi")
     per = train.groupBy("method").agg(F.avg("acc").alias("se"), F.map_from_entries(F.collect_list(F.struct("subsystem_id", "acc"))).alias("v"))
     board = per.groupBy(F.lit(1).alias("_g")).agg(F.array_sort(F.collect_list(F.struct((-F.round("se", 9)).alias("o"), F.col("method"), F.col("se"), F.col("v")))
                                                               , _by_order).alias("ms"))
@@ -247,7 +256,7 @@ def cross_decisions(train: DataFrame, held: DataFrame, c: float = 1.0) -> DataFr
     j = p.select("a", "b", "rank_a", "m_se", "sd").join(ha, "a").join(hb, ["b", "held_out"])
     d = F.col("xa") - F.col("xb")
     return j.select("a", "b", "rank_a", "m_se", "sd", "held_out", d.alias("d_held"), (sgn("m_se") * sgn(d) < 0).alias("error"),
-                    (F.abs("m_se") >= c * F.col("sd")).alias("recommended"))
+                    ((sgn("m_se") != 0) & (F.abs("m_se") >= c * F.col("sd"))).alias("recommended"))
 
 
 def _by_order(x: Column, y: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seismark.functions.stats import hash32
 
 
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,11 +16,12 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def check_case_sets(df: DataFrame) -> DataFrame:
-    """Per subsystem: do all methods cover the same cases? Sets are compared by count and sum of hashes."""
+    """Per subsystem: do all methods cover the same cases? They do if each case is covered by all methods."""
     d = df.select("subsystem_id", "method", "case_id").distinct()
-    f = d.groupBy("subsystem_id", "method").agg(F.count("*").alias("n"), F.sum(hash32("case_id")).alias("h"))
-    return f.groupBy("subsystem_id").agg(F.count("*").alias("methods"), F.min("n").alias("n_min"), F.max("n").alias("n_max"),
-                                         (F.count_distinct("n", "h") == 1).alias("same_cases"))
+    f = d.groupBy("subsystem_id", "method").agg(F.count("*").alias("n"))
+    least = d.groupBy("subsystem_id", "case_id").agg(F.count("*").alias("m")).groupBy("subsystem_id").agg(F.min("m").alias("_least"))
+    g = f.groupBy("subsystem_id").agg(F.count("*").alias("methods"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    return g.join(least, "subsystem_id").select("subsystem_id", "methods", "n_min", "n_max", (F.col("_least") == F.col("methods")).alias("same_cases"))
 
 
 def check_recorded(df: DataFrame, recorded: DataFrame, keys: Sequence[str], tol: float = 1e-6) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from seismark.functions.series import row_index
 from seismark.functions.stats import TIE_EPS, hash32, pctl, sgn
-from seismark.operators.compare import PAIR, pair_array
+from seismark.operators.compare import CASE, PAIR, pair_array
 
 SLOT_BLOCK = 4096
 
@@ -74,8 +74,17 @@ def method_replicates(cs: DataFrame, reps: int, seed: int = 7) -> DataFrame:
     return r.select("family", "subsystem_id", "rep", F.col("name").alias("method"), F.col("mean").alias("score"))
 
 
-def pair_replicates(mr: DataFrame) -> DataFrame:
-    """Difference of replicate means per method pair; equals the mean difference when all methods cover all cases."""
+def pair_replicates(cs: DataFrame, reps: int, seed: int = 7) -> DataFrame:
+    """Mean paired difference per replicate over the drawn cases that both methods of the pair cover, so the interval belongs
+    to the delta of the matched cases. The draws are those of ``method_replicates``."""
+    prs = F.transform(pair_array("ms"), lambda p: F.struct(F.concat_ws("|", p["a"], p["b"]).alias("name"), (p["ya"] - p["yb"]).alias("v")))
+    items = cs.groupBy(*CASE).agg(F.collect_list(F.struct("method", "score")).alias("ms")).select(*CASE, prs.alias("items"))
+    r = slot_replicates(items, "subsystem_id", "case_id", reps, seed, keep=["family"])
+    return r.select("family", F.substring_index("name", "|", 1).alias("a"), F.substring_index("name", "|", -1).alias("b"), "subsystem_id", "rep", F.col("mean").alias("d"))
+
+
+def replicate_differences(mr: DataFrame) -> DataFrame:
+    """Difference of replicate means per method pair; the paired one only where all methods cover all cases."""
     g = mr.groupBy("family", "subsystem_id", "rep").agg(
         F.collect_list(F.struct("method", "score")).alias("ms"))
     return (g.select("family", "subsystem_id", "rep", F.explode(pair_array("ms")).alias("p"))

@@ -175,12 +175,12 @@ cte("answers", "select " + ", ".join(_answers_columns("varchar")) + " from order
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").filter("l_quantity >= 49 and l_suppkey % 40 <> l_partkey % 40")
-    return li.select(F.concat(F.lit("n"), (F.col("l_suppkey") % 40).cast("string")).alias("src"),
-                     F.concat(F.lit("n"), (F.col("l_partkey") % 40).cast("string")).alias("dst")).distinct()
+    li = table(spark, sf, "lineitem").filter("l_suppkey % 40 <> l_partkey % 40")
+    src, dst = (F.concat(F.lit("n"), (F.col(c) % 40).cast("string")).alias(n) for c, n in (("l_suppkey", "src"), ("l_partkey", "dst")))
+    return li.groupBy(src, dst).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q")).filter("q % 23 = 0").select("src", "dst")
 
 
 cte("edges", """
-select distinct concat('n', cast(l_suppkey % 40 as varchar)) as src, concat('n', cast(l_partkey % 40 as varchar)) as dst
-from lineitem where l_quantity >= 49 and l_suppkey % 40 <> l_partkey % 40
+select concat('n', cast(l_suppkey % 40 as varchar)) as src, concat('n', cast(l_partkey % 40 as varchar)) as dst
+from lineitem where l_suppkey % 40 <> l_partkey % 40 group by all having sum(l_quantity::bigint) % 23 = 0
 """)

@@ -49,7 +49,7 @@ def mreps(spark, sf):
 
 
 def reps(spark, sf):
-    return R.pair_replicates(mreps(spark, sf))
+    return kept(spark, sf, "reps", lambda: R.pair_replicates(shared_cs(spark, sf), REPS))
 
 
 def dci(spark, sf):
@@ -250,7 +250,7 @@ cte("alt_deltas", deltas_sql("alt_diffs"))
 cte("alt_pooled", pool_sql("alt_deltas"))
 cte("conds", f"""select x.family, x.a, x.b, x.subsystem_id, x.delta as delta_ref, p.pooled_se as pooled_ref,
   {sg('x.delta')} * {sg('p.pooled_se')} < 0 as rev_ref, y.delta as delta_alt, q.pooled_se as pooled_alt, {sg('y.delta')} * {sg('q.pooled_se')} < 0 as rev_alt,
-  {sg('x.delta')} * {sg('y.delta')} < 0 as sign_change,
+  {sg('x.delta')} <> {sg('y.delta')} as sign_change,
   ({sg('x.delta')} * {sg('p.pooled_se')} < 0) <> ({sg('y.delta')} * {sg('q.pooled_se')} < 0) as status_change
   from deltas x join pooled p using (family, a, b) join alt_deltas y using (family, a, b, subsystem_id) join alt_pooled q using (family, a, b)""")
 
@@ -291,13 +291,13 @@ def c18(spark, sf):
 
 
 @query("c19_denominator_effect", f"""
-with ma as (select family, subsystem_id, method, avg(score) as score from cs group by all),
- mv as (select family, subsystem_id, method, avg(score) as score from
-         (select family, subsystem_id, case_id, method, avg(score) as score from case_scores where valid_output = 1 group by all) group by all),
- pa as ({diffs_sql('ma', 'family, subsystem_id')}), pv as ({diffs_sql('mv', 'family, subsystem_id')}),
- qa as (select *, avg(d) over (partition by family, a, b) as p from pa), qv as (select *, avg(d) over (partition by family, a, b) as p from pv)
-select x.family, x.a, x.b, x.subsystem_id, x.d as delta_all, x.p as pooled_all, y.d as delta_valid, y.p as pooled_valid, {sg('x.d')} * {sg('y.d')} < 0 as sign_change,
-  ({sg('x.d')} * {sg('x.p')} < 0) <> ({sg('y.d')} * {sg('y.p')} < 0) as status_change from qa x join qv y using (family, a, b, subsystem_id)""",
+with ps as (select family, subsystem_id, method, seed, avg(score) as s_all, case when sum(valid_output) > 0 then sum(score) / sum(valid_output) end as s_valid from case_scores group by all),
+ m as (select family, subsystem_id, method, avg(s_all) as s_all, avg(s_valid) as s_valid from ps group by all),
+ j as (select x.family, x.method as a, y.method as b, x.subsystem_id, x.s_all - y.s_all as delta_all, x.s_valid - y.s_valid as delta_valid from m x join m y
+   on x.family = y.family and x.subsystem_id = y.subsystem_id and x.method < y.method where x.s_valid is not null and y.s_valid is not null),
+ p as (select family, a, b, avg(delta_all) as pooled_all, avg(delta_valid) as pooled_valid from j group by all having count(*) >= 2)
+select family, a, b, subsystem_id, delta_all, pooled_all, delta_valid, pooled_valid, {sg('delta_all')} <> {sg('delta_valid')} as sign_change,
+  ({sg('delta_all')} * {sg('pooled_all')} < 0) <> ({sg('delta_valid')} * {sg('pooled_valid')} < 0) as status_change from j join p using (family, a, b)""",
        rnd="delta_all pooled_all delta_valid pooled_valid")
 def c19(spark, sf):
     return C.denominator_effect(X.case_scores(spark, sf))

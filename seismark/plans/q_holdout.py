@@ -196,10 +196,12 @@ def h10(spark, sf):
 
 # train on one release (AFRICA) and hold out the subsystems of another (ASIA)
 @query("h10_cross_decisions", f"""
-with tr as (select method, avg(acc) as se, row_number() over (order by round(avg(acc), 9) desc, method) as rank from acc where family = 'AFRICA' group by method),
+with cov as (select family, method, count(*) as n from acc group by all), fam as (select family, count(distinct subsystem_id) as n from acc group by all),
+ ok as (select method from cov join fam using (family, n) where family in ('AFRICA', 'ASIA') group by method having count(*) = 2),
+ tr as (select method, avg(acc) as se, row_number() over (order by round(avg(acc), 9) desc, method) as rank from acc where family = 'AFRICA' and method in (select method from ok) group by method),
  p as (select x.method as a, y.method as b, x.rank as rank_a, x.se - y.se as m_se, stddev_samp(u.acc - v.acc) as sd from tr x join tr y on y.rank = x.rank + 1
    join acc u on u.family = 'AFRICA' and u.method = x.method join acc v on v.family = 'AFRICA' and v.method = y.method and v.subsystem_id = u.subsystem_id group by all)
-select p.a, p.b, rank_a, m_se, sd, h.subsystem_id as held_out, h.acc - g.acc as d_held, {sg('m_se')} * {sg('(h.acc - g.acc)')} < 0 as error, abs(m_se) >= sd as recommended
+select p.a, p.b, rank_a, m_se, sd, h.subsystem_id as held_out, h.acc - g.acc as d_held, {sg('m_se')} * {sg('(h.acc - g.acc)')} < 0 as error, {sg('m_se')} <> 0 and abs(m_se) >= sd as recommended
 from p join acc h on h.family = 'ASIA' and h.method = p.a join acc g on g.family = 'ASIA' and g.method = p.b and g.subsystem_id = h.subsystem_id""", rnd="m_se sd d_held")
 def h10x(spark, sf):
     acc = C.accuracy(cs(spark, sf)).filter(F.col("family").isin("AFRICA", "ASIA"))

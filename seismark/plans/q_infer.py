@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seismark.functions.stats import T_975
+from seismark.functions.stats import T_975, chi2_sf
 from seismark.operators import compare as C
 from seismark.operators import infer as I
 from seismark.operators import resample as R
 from seismark.plans import fixtures as X
 from seismark.plans.q_compare import cs, csf, dci, deltas, difficulty, kept, mreps, reps, shared_cs
 from seismark.plans.registry import cte, query
-from seismark.plans.sqltext import REPS, h32, names, sg
+from seismark.plans.sqltext import REPS, chi2_sql, h32, names, sg
 
 
 @query("i01_boot_ci", "select family, a, b, subsystem_id, n, delta, lo, hi from dci", rnd="delta lo hi")
@@ -277,23 +277,50 @@ def i19a(spark, sf):
     return I.interaction_lrt(deltas(spark, sf), ["a", "b"])
 
 
-@query("i19_interaction_p", "select family, a, b, lrt, exp(-lrt / 2) * (1 + lrt / 2) as p from lrt_fam where lrt_df = 4", rnd="lrt p")
+cte("lrt_p", f"select family, a, b, lrt, lrt_df, {chi2_sql('lrt', 'lrt_df')} as p from lrt_fam")
+
+
+@query("i19_interaction_p", "select * from lrt_p", rnd="lrt p")
 def i19p(spark, sf):
-    from seismark.functions.stats import chi2_sf
-    x = I.interaction_lrt(deltas(spark, sf)).filter("lrt_df = 4")
-    return x.select("family", "a", "b", "lrt", chi2_sf("lrt", "lrt_df").alias("p"))
+    return I.interaction_lrt(deltas(spark, sf)).select("family", "a", "b", "lrt", "lrt_df", chi2_sf("lrt", "lrt_df").alias("p"))
+
+
+HOLM = """select family, a, b, p, max(step) over (partition by family order by r) as p_holm from (select *, least(1.0::double, p * (count(p) over (partition by family) - r + 1)) as step
+  from (select *, row_number() over (partition by family order by p, a, b) as r from {src}))"""
+
+
+@query("i07_holm_lrt", HOLM.format(src="lrt_p"), rnd="p p_holm")
+def i07l(spark, sf):
+    x = I.interaction_lrt(deltas(spark, sf)).select("family", "a", "b", chi2_sf("lrt", "lrt_df").alias("p"))
+    return R.holm(x, ["family"], tie=["a", "b"])
+
 
+@query("i15_q_p", f"select family, a, b, k, q, case when q is not null then {chi2_sql('q', '(k - 1)')} end as p from meta_fam", rnd="q p")
+def i15p(spark, sf):
+    return I.meta(deltas(spark, sf)).select("family", "a", "b", "k", "q", F.when(F.col("q").isNotNull(), chi2_sf("q", F.col("k") - 1)).alias("p"))
 
-@query("i20_interaction_wald", """
+
+WALD = """
 with g as (select family, a, b, subsystem_id, count(*) as n, avg(ya) as pa, avg(yb) as pb, var_pop(ya) as saa, var_pop(yb) as sbb, covar_pop(ya, yb) as sab from diffs group by all),
  x as (select family, a, b, pa * (1 - pa) > 1e-12 and pb * (1 - pb) > 1e-12 as ok, ln(pa / (1 - pa)) - ln(pb / (1 - pb)) as theta,
    (saa / (pa * (1 - pa)) ** 2 - 2 * sab / (pa * (1 - pa)) / (pb * (1 - pb)) + sbb / (pb * (1 - pb)) ** 2) / n as v from g)
 select family, a, b, case when bool_and(ok) then sum(theta * theta / v) - sum(theta / v) ** 2 / sum(1 / v) end as wald, count(*) - 1 as wald_df, not bool_and(ok) as separation
-from x group by all""", rnd="wald")
+from x group by all"""
+
+
+@query("i20_interaction_wald", WALD, rnd="wald")
 def i20(spark, sf):
     return I.interaction_wald(C.pair_diffs(cs(spark, sf)))
 
 
+cte("wald_p", f"select family, a, b, wald, wald_df, {chi2_sql('wald', 'wald_df')} as p from ({WALD})")
+
+
+@query("i20_wald_p", "select * from wald_p", rnd="wald p")
+def i20p(spark, sf):
+    return I.interaction_wald(C.pair_diffs(cs(spark, sf))).select("family", "a", "b", "wald", "wald_df", chi2_sf("wald", "wald_df").alias("p"))
+
+
 def cells(spark, sf):
     return I.cells_of(cs(spark, sf))
 

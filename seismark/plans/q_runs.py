@@ -9,15 +9,24 @@ from seismark.functions import text as X2
 from seismark.functions.names import service_from_col
 from seismark.operators import compare as C
 from seismark.operators import quality as Q
+from seismark.operators import resample as R
 from seismark.operators import runs as B
 from seismark.plans import fixtures as X
 from seismark.plans.q_compare import alt_cs, cs, deltas
 from seismark.plans.q_text import p13, picks
 from seismark.plans.registry import cte, query, table
-from seismark.plans.sqltext import h32
+from seismark.plans.sqltext import REPS, deltas_sql, diffs_sql, h32
 
 KEYS = ["case_id", "method", "seed"]
 OK_SQL = "cast(split_part(split_part(case_id, '|', 2), '#', 1) as bigint)"
+RUN_KEYS = ["case_id", "method", "run"]
+
+
+def with_run(df):
+    """The seed as a key that is never null."""
+    return df.withColumn("run", F.coalesce("seed", F.lit(-1)))
+
+
 ON = "{0}.case_id = {1}.case_id and {0}.method = {1}.method and {0}.seed is not distinct from {1}.seed"
 
 
@@ -83,7 +92,8 @@ def b03(spark, sf):
     return B.overlay(X.case_scores(spark, sf), patch(spark, sf), KEYS, ["method", "seed"], ["m_price"], "superseded")
 
 
-@query("b04_swap_condition", f"select * from case_scores b where not exists (select 1 from contrast c where {ON.format('c', 'b')}) union all select * from contrast", rnd="score score_strict")
+@query("b04_swap_condition", """select b.* from case_scores b anti join (select case_id, method, coalesce(seed, -1) as s from contrast) c on c.case_id = b.case_id and c.method = b.method and c.s = coalesce(b.seed, -1)
+  union all select * from contrast""", rnd="score score_strict")
 def b04(spark, sf):
     return B.swap_condition(X.case_scores(spark, sf), X.contrast(spark, sf), KEYS)
 
@@ -142,11 +152,10 @@ def b08(spark, sf):
 
 
 @query("b09_compare_runs", """select method, count(*) as n, count(p.case_id) as matched, count(*) filter (where p.case_id is not null and b.score is not distinct from p.score) as identical,
-  avg((p.case_id is not null and b.score is not distinct from p.score)::int::double) as identical_share from (select * from case_scores where seed is null) b
-  left join (select case_id, method, score from patch where seed is null) p using (case_id, method) group by all""", rnd="identical_share")
+  avg((p.case_id is not null and b.score is not distinct from p.score)::int::double) as identical_share from (select *, coalesce(seed, -1) as run from case_scores) b
+  left join (select case_id, method, coalesce(seed, -1) as run, score from patch) p using (case_id, method, run) group by all""", rnd="identical_share")
 def b09(spark, sf):
-    a = X.case_scores(spark, sf).filter("seed is null")
-    return B.compare_runs(a, patch(spark, sf).filter("seed is null"), ["case_id", "method"], "score", ["method"])
+    return B.compare_runs(with_run(X.case_scores(spark, sf)), with_run(patch(spark, sf)), RUN_KEYS, "score", ["method"])
 
 
 STAT = "case when error is not null then 'error' when is_default then 'fallback' else 'ok' end"
@@ -190,21 +199,21 @@ def b13(spark, sf):
 
 
 @query("b14_window_flips", """select method, count(*) as n, count(*) filter (where a.score = 1 and b.score < 1) as lost, count(*) filter (where a.score < 1 and b.score = 1) as gained, avg(a.score) as acc_a, avg(b.score) as acc_b
-  from (select * from case_scores where seed is null) a join (select * from contrast where seed is null) b using (case_id, method) group by all""", rnd="acc_a acc_b")
+  from (select *, coalesce(seed, -1) as run from case_scores) a join (select *, coalesce(seed, -1) as run from contrast) b using (case_id, method, run) group by all""", rnd="acc_a acc_b")
 def b14(spark, sf):
-    return B.window_flips(X.case_scores(spark, sf).filter("seed is null"), X.contrast(spark, sf).filter("seed is null"), ["case_id", "method"], ["method"])
+    return B.window_flips(with_run(X.case_scores(spark, sf)), with_run(X.contrast(spark, sf)), RUN_KEYS, ["method"])
 
 
 @query("b15_patch_effect", f"""
-with n as (select case_id, method, {OK_SQL} % 3 = 0 as affected, case when {OK_SQL} % 3 = 0 and method = 'm_cust' then 1 - score_strict else score end as score from case_scores where seed is null)
+with n as (select case_id, method, coalesce(seed, -1) as run, {OK_SQL} % 3 = 0 as affected, case when {OK_SQL} % 3 = 0 and method = 'm_cust' then 1 - score_strict else score end as score from case_scores)
 select method, count(*) filter (where affected) as n_affected, count(*) filter (where not affected) as n_other, avg(o.score) filter (where affected) as affected_before, avg(n.score) filter (where affected) as affected_after,
-  avg(o.score) filter (where not affected) as other_before, avg(n.score) filter (where not affected) as other_after from (select * from case_scores where seed is null) o join n using (case_id, method) group by all""",
+  avg(o.score) filter (where not affected) as other_before, avg(n.score) filter (where not affected) as other_after from (select *, coalesce(seed, -1) as run from case_scores) o join n using (case_id, method, run) group by all""",
        rnd="affected_before affected_after other_before other_after")
 def b15(spark, sf):
-    old = X.case_scores(spark, sf).filter("seed is null")
+    old = with_run(X.case_scores(spark, sf))
     aff = order_no() % 3 == 0
     new = old.withColumn("affected", aff).withColumn("score", F.when(F.col("affected") & (F.col("method") == "m_cust"), 1.0 - F.col("score_strict")).otherwise(F.col("score")))
-    return B.patch_effect(old, new, ["case_id", "method"], ["method"])
+    return B.patch_effect(old, new, RUN_KEYS, ["method"])
 
 
 # one row per case and method: first answer, hits, errors
@@ -304,11 +313,11 @@ def b22(spark, sf):
     return B.before_after(C.pool(deltas(spark, sf)), after, ["pooled_se"])
 
 
-@query("b00_query_index", "select case_id, method, score, row_number() over (partition by subsystem_id, fault, method, coalesce(seed, -1) order by case_id) - 1 as q_idx from case_scores where seed is null", rnd="score")
+@query("b00_query_index", "select case_id, method, score, row_number() over (partition by subsystem_id, fault, method, coalesce(seed, -1) order by case_id) - 1 as q_idx from case_scores", rnd="score")
 def b00(spark, sf):
-    x = X.case_scores(spark, sf).filter("seed is null")
+    x = X.case_scores(spark, sf)
     chunk = F.substring(F.substring_index("case_id", "|", -1), 1, 2)  # ids of a subsystem sort by this prefix first
-    return B.query_index(x, ["subsystem_id", "fault", "method"], chunk, [F.col("case_id")]).select("case_id", "method", "score", "q_idx")
+    return B.query_index(x, ["subsystem_id", "fault", "method", "seed"], chunk, [F.col("case_id")]).select("case_id", "method", "score", "q_idx")
 
 
 # ---- integrity ---------------------------------------------------------------------------------------------------
@@ -318,9 +327,10 @@ def q01(spark, sf):
     return Q.check_unique(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("q02_check_case_sets", f"""
-with f as (select subsystem_id, method, count(*) as n, sum({h32('case_id')}) as h from (select distinct subsystem_id, method, case_id from gappy) group by all)
-select subsystem_id, count(*) as methods, min(n) as n_min, max(n) as n_max, count(distinct (n, h)) = 1 as same_cases from f group by all""")
+@query("q02_check_case_sets", """
+with d as (select distinct subsystem_id, method, case_id from gappy), f as (select subsystem_id, method, count(*) as n from d group by all),
+ e as (select subsystem_id, min(m) as least from (select subsystem_id, case_id, count(*) as m from d group by all) group by all)
+select subsystem_id, count(*) as methods, min(n) as n_min, max(n) as n_max, any_value(least) = count(*) as same_cases from f join e using (subsystem_id) group by subsystem_id""")
 def q02(spark, sf):
     return Q.check_case_sets(gappy(spark, sf))
 
@@ -349,9 +359,9 @@ def q05(spark, sf):
 
 
 @query("q06_check_alignment", """select method, count(*) as keys_all, count(*) filter (where b.i is null) as only_a, count(*) filter (where a.i is null) as only_b, max(abs(a.score - b.score)) as max_abs_diff from
-  (select *, 1 as i from gappy where seed is null) a full join (select case_id, method, score, 1 as i from contrast where seed is null) b using (case_id, method) group by all""", rnd="max_abs_diff")
+  (select *, coalesce(seed, -1) as run, 1 as i from gappy) a full join (select case_id, method, coalesce(seed, -1) as run, score, 1 as i from contrast) b using (case_id, method, run) group by all""", rnd="max_abs_diff")
 def q06(spark, sf):
-    return Q.check_alignment(gappy(spark, sf).filter("seed is null"), X.contrast(spark, sf).filter("seed is null"), ["case_id", "method"], ["method"])
+    return Q.check_alignment(with_run(gappy(spark, sf)), with_run(X.contrast(spark, sf)), RUN_KEYS, ["method"])
 
 
 MS = ["m_cust", "m_price", "m_prio", "m_seeded"]
@@ -486,3 +496,24 @@ def q15(spark, sf):
   from (select method, count(distinct subsystem_id) as covered, count(distinct family) as families from gappy group by all), (select count(distinct subsystem_id) as k from gappy)""")
 def q16(spark, sf):
     return Q.inclusion_gate(gappy(spark, sf))
+
+
+# ---- intervals where methods miss cases ----------------------------------------------------------------------------
+
+cte("gcs", "select family, subsystem_id, case_id, method, avg(score) as score from gappy group by all")
+cte("gdiffs", diffs_sql("gcs"))
+cte("gdeltas", deltas_sql("gdiffs"))
+cte("gcasesx", """select family, subsystem_id, case_id, row_number() over (partition by subsystem_id order by md5(case_id), case_id) - 1 as idx,
+  count(*) over (partition by subsystem_id) as n from (select distinct family, subsystem_id, case_id from gcs)""")
+cte("greps", f"""select x.family, x.a, x.b, w.subsystem_id, w.rep, avg(x.d) as d from (select subsystem_id, rep, {h32("'7'", 'rep', 'subsystem_id', 'slot')} % n as idx from
+    (select subsystem_id, rep, n, unnest(range(n)) as slot from (select distinct subsystem_id, n from gcasesx) cross join (select unnest(range({REPS})) as rep))) w
+  join gcasesx c on w.subsystem_id = c.subsystem_id and w.idx = c.idx join gdiffs x on x.case_id = c.case_id group by all""")
+
+
+@query("i01_boot_ci_gaps", """select family, a, b, subsystem_id, n, delta, lo, hi from gdeltas join (select family, a, b, subsystem_id, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi
+  from greps group by all) using (family, a, b, subsystem_id)""", rnd="delta lo hi")
+def i01g(spark, sf):
+    """Each method misses other cases; deltas and intervals are of the matched ones."""
+    g = C.case_score(gappy(spark, sf))
+    d = R.attach_ci(C.pair_deltas(C.pair_diffs(g)), R.pair_replicates(g, REPS))
+    return d.select("family", "a", "b", "subsystem_id", "n", "delta", "lo", "hi")

@@ -36,9 +36,8 @@ def s02(spark, sf):
     c = ranked_cases(spark, sf)
     case = F.struct(F.col("case_id").alias("case"), F.col("truth").alias("true_service"), "ranks", F.size("ranks").alias("n_ranks"), F.get("ranks", 0).alias("top1"))
     run = F.floor(F.col("case_id").cast("bigint") / 1000)
-    c.groupBy(run.alias("run")).agg(F.count("*").alias("n"), F.collect_list(case).alias("cases")).drop("run").write.mode("overwrite").json(path)
-    back = spark.read.schema("n bigint, cases array<struct<case:string,true_service:string,ranks:array<string>,n_ranks:bigint,top1:string>>").json(path)
-    return back.select(F.explode("cases").alias("c")).select("c.case", "c.true_service", "c.n_ranks", "c.top1")
+    c.groupBy(run.alias("run")).agg(F.count("*").alias("n"), F.collect_list(case).alias("cases")).write.mode("overwrite").partitionBy("run").json(path)
+    return S.read_run_json(spark, path).select("case", "true_service", "n_ranks", "top1")
 
 
 @query("s03_read_rank_runs", "select 'run' || (case_id::bigint // 500)::varchar as run, case_id, pos, item from rankings")
@@ -50,13 +49,12 @@ def s03(spark, sf):
     return S.read_rank_runs(runs, c.select("run", "idx", "case_id"), ["run"])
 
 
-@query("s04_read_case_csv", "select case_id, method, case when role = 'probe' then 'probe' else 'published' end as scenario_file, method as method_file, score from case_scores where seed is null", rnd="score")
+@query("s04_read_case_csv", "select case_id, method, case when role = 'probe' then 'probe' else 'published' end as scenario_file, method as method_file, seed, score from case_scores", rnd="score")
 def s04(spark, sf):
     root = scratch_dir(spark, "case_csv")
-    x = X.case_scores(spark, sf).filter("seed is null").select("case_id", "method", "score", "role")
-    x.select("case_id", "score", F.concat_ws("__", "method", "role").alias("file"), "method").write.mode("overwrite").partitionBy("file").option("header", True).csv(root)
-    back = spark.read.csv(root, header=True, schema="case_id string, score double, method string, file string")
-    return back.select("case_id", "method", F.substring_index("file", "__", -1).alias("scenario_file"), F.substring_index("file", "__", 1).alias("method_file"), "score")
+    x = X.case_scores(spark, sf).select("case_id", "seed", "score", "method", F.concat_ws("__", "method", "role").alias("file"))
+    x.write.mode("overwrite").partitionBy("file").option("header", True).csv(root)
+    return S.read_case_csv(spark, root, "case_id string, seed int, score double, method string").select("case_id", "method", "scenario_file", "method_file", "seed", "score")
 
 
 @query("s05_union_telemetry", """select timestamp, cmdb_id, kpi_name, value, cmdb_id || '__' || kpi_name as metric_id from (select floor(epoch(ts))::bigint as timestamp, 'svc' || user_id % 12 as cmdb_id, event_type as kpi_name, value from events)""", rnd="value")
@@ -149,12 +147,12 @@ def s09(spark, sf):
     return S.parse_published_table(lines, UNITS)
 
 
-@query("s10_load_sources", """select benchmark, system, case_id, method, correct from (select 'main' as benchmark, subsystem_id as system, case_id, method, score as correct from case_scores where seed is null
-  union all select 'alt', subsystem_id, case_id, method, score_strict from contrast where seed is null)""", rnd="correct")
+@query("s10_load_sources", """select benchmark, system, case_id, method, correct from (select 'main' as benchmark, subsystem_id as system, case_id, method, score as correct from case_scores
+  union all select 'alt', subsystem_id, case_id, method, score_strict from contrast)""", rnd="correct")
 def s10(spark, sf):
     root = scratch_dir(spark, "sources")
-    X.case_scores(spark, sf).filter("seed is null").write.mode("overwrite").parquet(f"{root}/main")
-    X.contrast(spark, sf).filter("seed is null").withColumnRenamed("method", "algo").write.mode("overwrite").parquet(f"{root}/alt")
+    X.case_scores(spark, sf).write.mode("overwrite").parquet(f"{root}/main")
+    X.contrast(spark, sf).withColumnRenamed("method", "algo").write.mode("overwrite").parquet(f"{root}/alt")
     return S.load_sources(spark, [("main", f"{root}/main", "score", {"subsystem_id": "system"}), ("alt", f"{root}/alt", "score_strict", {"subsystem_id": "system", "algo": "method"})])
 
 
@@ -200,10 +198,13 @@ def s14(spark, sf):
     return S.keep_dates(e, S.dates_needed(q, F.col("date"))).select("event_id", "date")
 
 
-@query("s15_table_fingerprint", """select count(*) as rows, cast(sum(('0x' || substr(md5(concat_ws('|', case_id, method, coalesce(seed::varchar, '~'), role, (score * 2)::int::varchar)), 1, 8))::bigint) as varchar) as fingerprint from case_scores""")
+@query("s15_table_fingerprint", """select count(*) as rows, cast(sum(('0x' || substr(md5(concat_ws('|', """ + ", ".join(
+    f"coalesce({c}::varchar, '~')" for c in ["family", "subsystem_id", "case_id", "fault", "method", "seed", "role", "valid_output", "round(score * 1000000)::bigint", "round(score_strict * 1000000)::bigint"])
+    + """)), 1, 15))::bigint) as varchar) as fingerprint from case_scores""")
 def s15(spark, sf):
-    x = X.case_scores(spark, sf).withColumn("twice", (F.col("score") * 2).cast("int"))
-    return S.table_fingerprint(x, ["case_id", "method", "seed", "role", "twice"])
+    """Scores enter in millionths, so that the text of a double does not matter."""
+    x = X.case_scores(spark, sf).withColumns({c: F.round(F.col(c) * 1000000).cast("bigint") for c in ("score", "score_strict")})
+    return S.table_fingerprint(x, ["family", "subsystem_id", "case_id", "fault", "method", "seed", "role", "valid_output", "score", "score_strict"])
 
 
 @query("s19_validate_schema", """

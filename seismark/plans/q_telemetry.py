@@ -255,9 +255,9 @@ def d06(spark, sf):
 
 
 @query("d07_rank_by_z", """select *, row_number() over (partition by case_id order by round(max_z, 9) desc, component) as rank from comps
-  where component in (select 'svc' || s_suppkey from supplier where s_suppkey < 8)""", rnd="max_z max_pct")
+  where component in (select 'svc' || s_suppkey from supplier where s_suppkey % 3 <> 0)""", rnd="max_z max_pct")
 def d07(spark, sf):
-    cand = table(spark, sf, "supplier").filter("s_suppkey < 8").select(F.concat(F.lit("svc"), F.col("s_suppkey").cast("string")).alias("component"))
+    cand = table(spark, sf, "supplier").filter("s_suppkey % 3 <> 0").select(F.concat(F.lit("svc"), F.col("s_suppkey").cast("string")).alias("component"))
     return D.rank_by_z(comps(spark, sf), cand)
 
 
@@ -311,7 +311,7 @@ def d10(spark, sf):
 
 cte("maxdiff", """
 select case_id, metric_id, coalesce(by_diff, onset) as onset, by_diff is not null as from_diff from (
- select case_id, metric_id, case when nrows >= 20 and base >= 1e-8 and top >= 3 * base and inc_at - place <= 30 then place end as by_diff from (
+ select case_id, metric_id, case when nrows >= 20 and base >= 1e-8 and top >= 3 * base and (inc_at - place) * 15 <= 30 then place end as by_diff from (
   select *, case when n_pre >= 5 and sd_pre >= 1e-8 then sd_pre else sd_all end as base from (
    select case_id, metric_id, inc_at, count(*) as nrows, count(diff) filter (where pos < half) as n_pre, stddev_samp(diff) filter (where pos < half) as sd_pre, stddev_samp(diff) as sd_all,
      max(diff) as top, first(step order by round(diff, 9) desc, step) filter (where diff is not null) as place from (
@@ -323,7 +323,7 @@ select case_id, metric_id, coalesce(by_diff, onset) as onset, by_diff is not nul
 
 def onsets(spark, sf):
     g = fine(spark, sf)
-    return D.onset_max_diff(g, D.onset_first_cross(g))
+    return D.onset_max_diff(g, D.onset_first_cross(g), step_minutes=15.0)  # the grid has a row each 15 minutes
 
 
 @query("d11_onset_max_diff", "select * from maxdiff")
@@ -462,7 +462,7 @@ def named_pairs(spark, sf):
 
 @query("d19_graph_distance", """
 with recursive both_ways as (select src, dst from edges union select dst, src from edges),
- walk as (select distinct src as node, src as other, 0 as d from both_ways union select w.node, b.dst, d + 1 from walk w join both_ways b on b.src = w.other where d < 6),
+ walk as (select distinct src as node, src as other, 0 as d from both_ways union select w.node, b.dst, d + 1 from walk w join both_ways b on b.src = w.other where d < (select count(distinct src) from both_ways)),
  dist as (select node, other, min(d) as dist from walk group by all)
 select pred, truth, coalesce(dist, (select max(dist) + 1 from dist)) as dist, truth in (select node from dist) as in_graph
 from (select distinct 'n' || o_orderkey % 41 as pred, 'n' || o_custkey % 41 as truth from orders) p left join dist on node = pred and other = truth""")
@@ -474,7 +474,7 @@ cte("pool", """select case_id, metric_id, rank from (select case_id, metric_id,
 cte("crobust", """select case_id, metric_id, greatest(abs(w_max - q2), abs(w_min - q2)) / case when q3 - q1 > 1e-12 then q3 - q1 else 1 end as za from
   (select case_id, component as metric_id, count(value) filter (where ts < t0) as n_base, stddev_samp(value) filter (where ts < t0) as sd, count(value) filter (where ts >= t0) as n_event,
      max(value) filter (where ts >= t0) as w_max, min(value) filter (where ts >= t0) as w_min, quantile_cont(value, 0.25) filter (where ts < t0) as q1,
-     quantile_cont(value, 0.5) filter (where ts < t0) as q2, quantile_cont(value, 0.75) filter (where ts < t0) as q3 from telemetry group by all) where sd > 1e-8 and n_base >= 5 and n_event >= 2""")
+     quantile_cont(value, 0.5) filter (where ts < t0) as q2, quantile_cont(value, 0.75) filter (where ts < t0) as q3 from telemetry group by all) where n_base >= 5 and n_event >= 2""")
 cte("nearpairs", """select x.case_id, p.rank as i, q.rank as j from filled x join filled y on x.case_id = y.case_id and x.step = y.step join pool p on p.case_id = x.case_id and p.metric_id = x.metric_id
   join pool q on q.case_id = y.case_id and q.metric_id = y.metric_id and p.rank < q.rank group by all having round(abs(corr(x.value, y.value)), 9) >= 0.12""")
 cte("greedy", """select case_id, 0 as r, []::bigint[] as kept from pool group by case_id having count(*) >= 3
@@ -482,10 +482,10 @@ cte("greedy", """select case_id, 0 as r, []::bigint[] as kept from pool group by
     then list_append(kept, r + 1) else kept end from greedy g left join pool p on p.case_id = g.case_id and p.rank = g.r + 1 where r < 9""", recursive=True)
 
 
-@query("d20_prefilter_topk", "select p.case_id, p.rank, p.metric_id from pool p join (select case_id, unnest(kept) as rank from greedy where r = 9) using (case_id, rank)")
+@query("d20_prefilter_topk", "select p.case_id, p.rank, p.metric_id from pool p join (select case_id, unnest(kept) as rank from greedy where r = 9 and len(kept) >= 3) using (case_id, rank)")
 def d20(spark, sf):
     """The near-copy limit is low here because the series are independent."""
-    s = D.robust_scores(comp_series(spark, sf), absolute=True)
+    s = D.robust_scores(comp_series(spark, sf), absolute=True, constant=True)
     return D.prefilter_topk(s, filled(spark, sf), 3, 0.12)
 
 

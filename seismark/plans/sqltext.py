@@ -62,8 +62,18 @@ cte("draws", f"""select subsystem_id, rep, {h32("'7'", 'rep', 'subsystem_id', 's
     (select distinct subsystem_id, n from casesx) cross join (select unnest(range({REPS})) as rep))""")
 cte("mreps", """select c.family, d.subsystem_id, d.rep, s.method, avg(s.score) as score
   from draws d join casesx c on d.subsystem_id = c.subsystem_id and d.idx = c.idx join cs s on s.case_id = c.case_id group by all""")
-cte("reps", """select x.family, x.method as a, y.method as b, x.subsystem_id, x.rep, x.score - y.score as d
-  from mreps x join mreps y on x.subsystem_id = y.subsystem_id and x.rep = y.rep and x.method < y.method""")
+cte("reps", """select x.family, x.a, x.b, w.subsystem_id, w.rep, avg(x.d) as d
+  from draws w join casesx c on w.subsystem_id = c.subsystem_id and w.idx = c.idx join diffs x on x.case_id = c.case_id group by all""")
 cte("dci", """select deltas.*, lo, hi from deltas join (select family, a, b, subsystem_id, quantile_cont(d, 0.025) as lo,
   quantile_cont(d, 0.975) as hi from reps group by all) using (family, a, b, subsystem_id)""")
 cte("dcip", "select * from dci join pooled using (family, a, b)")
+
+
+def chi2_sql(x: str, k: str) -> str:
+    """Upper tail of the chi-square distribution: Poisson-like sums in log space, and erfc by its series for odd k."""
+    h = f"({x} / 2)"
+    even = f"list_sum(list_transform(range({k} // 2), lambda i: exp(-{h} + i * ln({h}) - lgamma(i + 1))))"
+    odd = f"coalesce(list_sum(list_transform(range(({k} - 1) // 2), lambda i: exp(-{h} + (i + 0.5) * ln({h}) - lgamma(i + 1.5)))), 0)"
+    erf = f"list_sum(list_transform(range(200), lambda i: exp(-{h} + (i + 0.5) * ln({h}) - lgamma(i + 1.5))))"
+    tail = f"case when {h} <= 40 then greatest(1 - {erf}, 0) else 0 end"
+    return f"(case when {x} is null or {k} is null or {k} < 1 then null when {x} <= 0 then 1.0::double when {k} % 2 = 0 then least(1.0::double, {even}) else least(1.0::double, {tail} + {odd}) end)"

@@ -39,8 +39,9 @@ def read_rank_runs(runs: DataFrame, cases: DataFrame, keys: Sequence[str] = ())
 
 
 def read_case_csv(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Result CSVs of several scenarios; scenario and method come from the file name ``method__scenario.csv``."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv", 1)
+    """Result CSVs of several scenarios; scenario and method come from the name ``method__scenario`` of the file, or of the
+    folder (``file=method__scenario``) where a scenario has several files."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+__[^/.]+)(?:\.csv|/[^/]*)$", 1)
     df = spark.read.csv(glob, header=True, schema=schema)
     return df.select("*", F.substring_index(name, "__", 1).alias("method_file"), F.substring_index(name, "__", -1).alias("scenario_file"))
 
@@ -208,8 +209,7 @@ def keep_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Row count and an order-insensitive sum of row hashes over the named columns."""
-    from seismark.functions.stats import hash32
-
-    row = hash32(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    return df.agg(F.count("*").alias("rows"), F.sum(row.cast("decimal(20,0)")).cast("string").alias("fingerprint"))
+    """Row count and an order-insensitive sum of 60-bit row hashes over the named columns."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    row = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("rows"), F.sum(row).cast("string").alias("fingerprint"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from seismark.functions import names as N
 from seismark.functions import series as Z
-from seismark.functions.stats import _chi2_sf, t975
+from seismark.functions.stats import chi2_sf, t975
 from seismark.operators import compare as C
+from seismark.operators import holdout as H
 from seismark.operators import detect as D
 from seismark.operators import infer as I
 from seismark.operators import ranking as K
@@ -87,9 +88,9 @@ def test_three_kernels_agree_on_the_spread(spark):
     d = C.pair_diffs(x).filter("a = 'x' and b = 'y'")
     want = {r.subsystem_id: math.sqrt(r.var) for r in C.pair_deltas(d).collect()}
     sd = lambda df: {r.subsystem_id: r.sd for r in df.groupBy("subsystem_id").agg(F.stddev_samp("d").alias("sd")).collect()}
-    pair = lambda mr: R.pair_replicates(mr).filter("a = 'x' and b = 'y'")
+    of = "a = 'x' and b = 'y'"
     keys = [*C.PAIR, "subsystem_id"]
-    kernels = [pair(R.method_replicates(x, 300)), pair(R.poisson_replicates(x, 300)), R.histogram_replicates(R.value_histogram(d, keys), keys, 2000)]
+    kernels = [R.pair_replicates(x, 300).filter(of), R.replicate_differences(R.poisson_replicates(x, 300)).filter(of), R.histogram_replicates(R.value_histogram(d, keys), keys, 2000)]
     for k in kernels:
         got = sd(k)
         assert all(abs(got[s] / want[s] - 1) < 0.2 for s in want)
@@ -150,11 +151,58 @@ def test_exact_percentiles_with_ties_and_signs(spark):
         assert all(math.isclose(x[f"q{i}"], want[x.k][i], rel_tol=1e-9, abs_tol=1e-9) for i in range(len(qs)))
 
 
-def test_chi_square_tail():
-    assert math.isclose(_chi2_sf(3.841458820694124, 1), 0.05, rel_tol=1e-9)
-    assert math.isclose(_chi2_sf(9.487729036781154, 4), 0.05, rel_tol=1e-9)
-    assert math.isclose(_chi2_sf(11.070497693516351, 5), 0.05, rel_tol=1e-9)
-    assert _chi2_sf(-1e-9, 4) == 1.0
+def test_chi_square_tail(spark):
+    rows = [(3.841458820694124, 1, 0.05), (9.487729036781154, 4, 0.05), (11.070497693516351, 5, 0.05), (-1e-9, 4, 1.0), (4e-9, 2, 1.0), (1e6, 3, 0.0), (6.0, 0, None), (None, 3, None)]
+    # Wilson-Hilferty is good to three digits for many degrees of freedom
+    far = [(1500.0, 1500), (2000.0, 2001), (1700.0, 1500), (400.0, 501), (90.0, 101)]
+    rows += [(x, k, 0.5 * math.erfc(((x / k) ** (1 / 3) - 1 + 2 / (9 * k)) / math.sqrt(4 / (9 * k)))) for x, k in far]
+    got = spark.createDataFrame(rows, "x double, k int, p double").select(chi2_sf("x", "k").alias("got"), "p").collect()
+    assert all((r.got is None) == (r.p is None) and (r.p is None or math.isclose(r.got, r.p, abs_tol=1e-3)) for r in got)
+    assert all(math.isclose(r.got, 0.05, rel_tol=1e-9) for r in got[:3])
+
+
+def test_percentiles_of_finite_values_and_narrow_metrics(spark):
+    inf = float("inf")
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, 4.0, 5.0, float("nan"), inf, -inf, None)] + [("b", 100 + i * 3 / 999) for i in range(1000)]
+    got = {r.k: (r.q1, r.q2, r.q3) for r in Z.exact_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0.25, 0.5, 0.75], ["q1", "q2", "q3"]).collect()}
+    assert got["a"] == (2.0, 3.0, 4.0)
+    assert all(math.isclose(x, y) for x, y in zip(got["b"], (100.75, 101.5, 102.25)))
+
+
+def test_intervals_belong_to_matched_cases(spark):
+    """B covers only the easy half of A's cases and equals A there: no difference, and no interval away from zero."""
+    rows = [Row(family="f", subsystem_id="s", case_id=f"c{i}", method="A", score=float(i % 2)) for i in range(200)]
+    rows += [Row(family="f", subsystem_id="s", case_id=f"c{i}", method="B", score=1.0) for i in range(1, 200, 2)]
+    x = spark.createDataFrame(rows)
+    r = R.attach_ci(C.pair_deltas(C.pair_diffs(x)), R.pair_replicates(x, 100)).first()
+    assert (r.n, r.delta, r.lo, r.hi) == (100, 0.0, 0.0, 0.0)
+
+
+def test_a_tie_against_a_side_is_a_sign_change(spark):
+    row = lambda s, d: Row(family="f", a="x", b="y", subsystem_id=s, n=10, delta=d, acc_a=0.5, acc_b=0.5 - d)
+    ref, alt = spark.createDataFrame([row("p", 0.0), row("q", 0.2)]), spark.createDataFrame([row("p", 0.3), row("q", 0.1)])
+    assert {r.subsystem_id: r.sign_change for r in C.compare_conditions(ref, alt).collect()} == {"p": True, "q": False}
+
+
+def test_valid_only_accuracy_is_taken_per_seed(spark):
+    rows = [("A", 1, 1.0, 1), ("A", 1, 1.0, 1), ("A", 2, 1.0, 1), ("A", 2, 0.0, 1), ("B", 1, 1.0, 1), ("B", 1, 0.0, 0), ("B", 2, 1.0, 1), ("B", 2, 0.0, 1)]
+    rows = [("f", s, f"c{i % 2}", m, seed, score, v) for s in ("p", "q") for i, (m, seed, score, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "family string, subsystem_id string, case_id string, method string, seed int, score double, valid_output int")
+    r = C.denominator_effect(df).first()
+    assert (r.delta_all, r.delta_valid) == (0.25, 0.0)  # B: all (0.5 + 0.5) / 2, valid (1.0 + 0.5) / 2; A: (1.0 + 0.5) / 2
+
+
+def test_release_with_two_equal_methods_recommends_nothing(spark):
+    acc = [(m, s, v) for m, v in (("A", 0.5), ("B", 0.5), ("C", 0.4)) for s in ("s1", "s2") if (m, s) != ("C", "s2")]
+    df = spark.createDataFrame(acc, "method string, subsystem_id string, acc double")
+    rows = H.cross_decisions(df, df).collect()
+    assert rows and {(r.a, r.b, r.recommended) for r in rows} == {("A", "B", False)}
+
+
+def test_paths_of_any_length(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "src string, dst string")
+    pairs = spark.createDataFrame([("n0", "n12"), ("n3", "zz")], "pred string, truth string")
+    assert {(r.pred, r.dist) for r in D.graph_distance(pairs, edges).collect()} == {("n0", 12), ("n3", 13)}
 
 
 def test_t_quantile_beyond_the_table(spark):

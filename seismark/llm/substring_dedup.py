@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seismark.llm.common import U64, by_bucket, chunks, double, keyed, partitions, piece_hash, rows_keyed, sliding, text_buffer, window_hash, word_bounds
+from seismark.llm.common import U64, by_bucket, chunks, double, keyed, mix, partitions, piece_hash, rows_keyed, sliding, text_buffer, window_hash, word_bounds
 
 BLOCK_SCHEMA = "bucket int, own boolean, docs binary, counts binary, pos binary, key binary, hash binary, known binary"
 ARROW_BLOCK = pa.schema([("bucket", pa.int32()), ("own", pa.bool_()), *((c, pa.binary()) for c in ("docs", "counts", "pos", "key", "hash", "known"))])
@@ -67,9 +67,8 @@ class Words:
     def alive_after(self, length: int, places: list) -> np.ndarray:
         """Full windows whose representative at a length is among the places found repeated."""
         found = np.zeros(len(self.hashes[length]), bool)
-        for d, parts in enumerate(places):
-            if parts:
-                found[self.off[d] + np.frombuffer(b"".join(parts), np.int32)] = True
+        for d, at in enumerate(places):
+            found[self.off[d] + np.frombuffer(at, np.int32)] = True
         return self.whole & (sliding(np.minimum, np.where(found, self.hashes[length], TOP), self.width - length + 1) == self.least(length))
 
 
@@ -130,8 +129,9 @@ def level(docs: DataFrame, before: int | None, length: int, first: int, width: i
     return docs.mapInArrow(emit, BLOCK_SCHEMA)
 
 
-def meet(found: DataFrame, last: bool) -> DataFrame:
-    """kid, tv, places: per document, the places whose key occurs elsewhere too; at the last length, earlier."""
+def meet(found: DataFrame, last: bool, n_shards: int) -> DataFrame:
+    """kid, tv, places: per document, the places whose key occurs elsewhere too; at the last length, earlier. The places
+    go back to shards of documents in blocks, and each document gets one row."""
 
     def reduce(table: pa.Table) -> pa.Table:
         out = []
@@ -169,13 +169,28 @@ def meet(found: DataFrame, last: bool) -> DataFrame:
                 part = part[other[group] & ~known[part]]
             out.append((at[part], pos[part]))
         at, pos = (np.concatenate([o[i] for o in out]) for i in (0, 1))
-        order = np.lexsort((pos, at[:, 1], at[:, 0]))
-        at, pos = at[order], pos[order].astype(np.int32)
-        start = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]).any(axis=1)))) if len(at) else np.zeros(0, np.int64)
-        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer((np.append(start, len(at)) if len(start) else np.zeros(1)).astype(np.int64) * 4), pa.py_buffer(pos)])
-        return pa.table({"kid": at[start, 0], "tv": at[start, 1], "places": raw.cast(pa.binary())})
+        shard = (mix(at[:, 0].view(U64) ^ mix(at[:, 1].view(U64))) % U64(n_shards)).astype(np.int64)
+        by, bounds = by_bucket(shard, n_shards)
+        rows = [{"shard": i, **dict(zip(("docs", "counts", "pos"), per_document(at[by[bounds[i]: bounds[i + 1]]], pos[by[bounds[i]: bounds[i + 1]]])))} for i in range(n_shards) if bounds[i] < bounds[i + 1]]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("docs", "counts", "pos"))]))
 
-    return found.groupBy("bucket").applyInArrow(reduce, PLACES).groupBy("kid", "tv").agg(F.collect_list("places").alias("places"))
+    def gather(t: pa.Table) -> pa.Table:
+        docs, counts, pos = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("docs", np.int64), ("counts", np.uint32), ("pos", np.uint32)))
+        docs = docs.reshape(-1, 2)
+        docs, counts, pos = per_document(docs[np.repeat(np.arange(len(docs)), counts)], pos)
+        docs, ends = np.frombuffer(docs, np.int64).reshape(-1, 2), np.cumsum(np.frombuffer(counts, np.uint32), dtype=np.int64) * 4
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(np.concatenate((np.zeros(1, np.int64), ends))), pa.py_buffer(pos)])
+        return pa.table({"kid": docs[:, 0], "tv": docs[:, 1], "places": raw.cast(pa.binary())})
+
+    return found.groupBy("bucket").applyInArrow(reduce, "shard int, docs binary, counts binary, pos binary").groupBy("shard").applyInArrow(gather, PLACES)
+
+
+def per_document(at: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Documents, their numbers of places, and the places, in order."""
+    order = np.lexsort((pos, at[:, 1], at[:, 0]))
+    at, pos = at[order], pos[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), (at[1:] != at[:-1]).any(axis=1))))
+    return at[start].tobytes(), np.diff(np.append(start, len(at))).astype(np.uint32).tobytes(), pos.astype(np.uint32).tobytes()
 
 
 def repeats(docs: DataFrame, width: int = 20, first: int = 10) -> DataFrame:
@@ -185,19 +200,19 @@ def repeats(docs: DataFrame, width: int = 20, first: int = 10) -> DataFrame:
     n = partitions(docs.sparkSession)
     length, before, source = first, None, docs
     while True:
-        found = meet(level(source, before, length, first, width, n), length == width and before is not None)
+        found = meet(level(source, before, length, first, width, n), length == width, n)
         if length == width:
             return found
         source, before, length = docs.join(found, ["kid", "tv"]), length, 2 * length
 
 
-def kept_words(text: str | None, places: list[bytes] | None, width: int) -> tuple[list[bytes], int]:
+def kept_words(text: str | None, places: bytes | None, width: int) -> tuple[list[bytes], int]:
     """The words of a text without those that its windows at ``places`` cover, and how many it had."""
     words = text.encode().split() if text else []
     if not places:
         return words, len(words)
     cover = np.zeros(len(words) + width, np.int32)
-    at = np.unique(np.frombuffer(b"".join(places), np.int32))
+    at = np.frombuffer(places, np.int32)
     cover[at] += 1
     cover[at + width] -= 1
     return list(compress(words, (np.cumsum(cover[: len(words)]) == 0).tolist())), len(words)

@@ -15,22 +15,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The small labelled table the model learns from: hosts and paths of unwanted and of ordinary pages.
-UNWANTED = """casino-royal.example/bonus poker-room.example/play sports-bets.example/odds bets-online.example/live slots-win.example/jackpot
-win-prizes.example/claim big-win.example/now lucky-casino.example/spin cheap-meds.example/buy online-pills.example/order diet-pills.example/offer
-cheap-watches.example/sale cheap-loans.example/apply free-money.example/get free-gifts.example/claim free-casino.example/join adult-video.example/watch
-adult-chat.example/live xxx-movies.example/hot sex-dates.example/join spam-mail.example/list link-farm.example/links farm-of-links.example/seo
-ads-server.example/banner track-clicks.example/pixel ad-tracker.example/t ads-network.example/serve click-track.example/go popup-ads.example/p
-pharmacy-cheap.example/rx viagra-pills.example/shop payday-loan.example/fast crypto-win.example/double warez-crack.example/keygen seo-spam.example/backlinks
-m.casino-games.example/play www.bets-tips.example/today blog.spam-links.example/post www.adult-shop.example/x ads.track-users.example/u"""
-ORDINARY = """www.library.example/catalogue museum.example/visit news.example/world/2021 www.university.example/courses weather.example/today
-blog.gardening.example/roses recipes.example/bread www.city-council.example/minutes history.example/articles/rome science.example/physics/12
-docs.software.example/install forum.cycling.example/thread/8 www.bookshop.example/novels travel.example/lisbon/guide music.example/jazz
-art-school.example/drawing www.hospital.example/wards railway.example/timetable parks.example/trails film.example/review/44
-wiki.example/page shop.tools.example/hammers www.theatre.example/season farming.example/wheat chess.example/openings
-maths.example/algebra/3 language.example/en/lesson bank.example/branches www.airport.example/arrivals court.example/decisions
-m.newsroom.example/en/17 blog.teacher.example/de/lesson.html health.example/fr/advice data.example/tables/2 archive.example/es/letters
-ocean.example/tides stars.example/maps insects.example/bees www.river.example/levels mountains.example/huts"""
+#: The small labelled table the model learns from: names of unwanted and of ordinary sites, each seen under several
+#: subdomains, domains and paths, so that these tell nothing.
+UNWANTED = """casino-royal poker-room sports-bets bets-online slots-win win-prizes big-win lucky-casino cheap-meds online-pills diet-pills cheap-watches cheap-loans free-money
+free-gifts free-casino adult-video adult-chat xxx-movies sex-dates spam-mail link-farm farm-links ads-server track-clicks ad-tracker ads-network click-track popup-ads pharmacy-cheap
+viagra-pills payday-loan crypto-win warez-crack seo-spam casino-games bets-tips spam-links adult-shop ads-track-users
+free-spins best-bets bets-now free-prizes banner-ads ads-click free-slots track-user odds-bets"""
+ORDINARY = """library museum news-today university weather gardening recipes city-council history science software-docs cycling bookshop travel-guide jazz art-school hospital railway
+parks film-review wiki hammer-tools theatre farming-wheat chess maths language-school bank airport court-records newsroom teachers health-advice data-tables archive ocean-tides stars
+insects river-levels mountain-huts school orchestra church bakery flowers physics chemistry biology geology poetry painting pottery sailing hiking running swimming football tennis
+choir village harbour castle forest desert island winter summer spring autumn letters stories essays novels grammar lessons homework kitchen engines bridges tunnels tractors trains
+buses ships planes maps atlas globe telescope microscope theorem proof numbers lighthouse orchard vineyard beekeeping weaving carpentry masonry plumbing theory tonight thanks there other
+shelter nation thing ending another without weather-station reading meeting trading treasure trenches threads thrones"""
+SUBDOMAINS, DOMAINS, PATHS = ["", "www.", "m.", "blog."], ["com", "net", "org"], ["", "/", "/en/7", "/de/12.html", "/fr/205/", "/es/index.html"]
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -65,11 +62,12 @@ def features(df: DataFrame, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The built-in labelled table: url, label (1: unwanted)."""
-    rows = [(f"https://{u}", 1.0) for u in UNWANTED.split()] + [(f"https://{u}", 0.0) for u in ORDINARY.split()]
+    rows = [(f"https://{SUBDOMAINS[(i + j) % 4]}{name}.example.{DOMAINS[(i + j) % 3]}{path}", label) for names, label in ((UNWANTED, 1.0), (ORDINARY, 0.0))
+            for i, name in enumerate(names.split()) for j, path in enumerate(PATHS)]
     return spark.createDataFrame(rows, "url string, label double").coalesce(1)
 
 
-def train(labelled: DataFrame, bits: int = 14, reg: float = 0.01) -> PipelineModel:
+def train(labelled: DataFrame, bits: int = 14, reg: float = 0.001) -> PipelineModel:
     """url, label (1: block) -> model. The labelled table is small by its nature; Spark fits it where it lies."""
     parts = [HashingTF(inputCol=c, outputCol=f"{c}_tf", numFeatures=1 << bits, binary=True) for c in ("_host_grams", "_path_grams")]
     both = VectorAssembler(inputCols=["_host_grams_tf", "_path_grams_tf"], outputCol="_features")

@@ -28,21 +28,30 @@ WIDTH, DEPTH, SLACK, BLOCK = 10, 3, 5, 50_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def keys() -> list[Column]:
+    """What tells documents apart: the id (null: before all others) and the text's hash."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64("text").alias("tv")]
+
+
 def words(text: Column) -> Column:
     """The words of a text: runs of digits, letters and all characters beyond ASCII; A-Z in lower case."""
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD), lambda w: w != "")
 
 
 def keyed_words(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64("text").alias("tv"),
-                       F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
+    return docs.select(*keys(), words(F.col("text")).alias("words"))
+
+
+def window_id(terms: Column) -> Column:
+    """128 bits of a window's words; windows are compared by it."""
+    return F.unhex(F.md5(F.array_join(terms, " ").cast("binary")))
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Different windows (wid, terms) and the items they come from (wid, item_id). wid: 128 bits of the window's words."""
+    """Different windows (wid, terms) and the items they come from (wid, item_id)."""
     w = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     each = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))).alias("s")).select("item_id", F.slice("w", F.col("s"), F.lit(width)).alias("terms"))
-    each = each.select("item_id", F.md5(F.array_join("terms", " ").cast("binary")).alias("wid"), "terms")
+    each = each.select("item_id", window_id(F.col("terms")).alias("wid"), "terms")
     return each.groupBy("wid").agg(F.first("terms").alias("terms")), each.select("wid", "item_id").distinct()
 
 
@@ -52,14 +61,14 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def choose_terms(wins: DataFrame, counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """wid, terms, probes: the rarest terms of each window with their offsets, rarest first. A window with a term that the
+    """wid, length, probes: the rarest terms of each window with their offsets, rarest first. A window with a term that the
     corpus lacks cannot occur and is left out."""
     terms = wins.select("wid", "terms", F.posexplode("terms").alias("offset", "term"))
     vocabulary = terms.select("term").distinct()
     known = vocabulary.join(counts, "term").select("term", "n")
-    rank = terms.join(known, "term", "left").groupBy("wid").agg(F.first("terms").alias("terms"), F.min(F.col("n").isNotNull()).alias("whole"),
+    rank = terms.join(known, "term", "left").groupBy("wid").agg(F.count("*").cast("int").alias("length"), F.min(F.col("n").isNotNull()).alias("whole"),
                                                                 F.sort_array(F.collect_list(F.struct("n", "term", "offset"))).alias("by_n"))
-    return rank.where("whole").select("wid", "terms", F.slice("by_n", 1, depth).alias("probes"))
+    return rank.where("whole").select("wid", "length", F.slice("by_n", 1, depth).alias("probes"))
 
 
 def index(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -69,31 +78,34 @@ def index(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return written(each.groupBy("term", "kid", "tv").agg(F.sort_array(F.collect_set("pos")).alias("positions")), "postings")
 
 
+def probe(chosen: DataFrame, i: int) -> DataFrame:
+    """wid, length, term, offset of the windows' probe number i; at most BLOCK rows."""
+    return F.broadcast(chosen.where(F.size("probes") > i).select("wid", "length", F.col("probes")[i]["term"].alias("term"), F.col("probes")[i]["offset"].alias("offset")))
+
+
+def short_of(chosen: DataFrame, i: int) -> DataFrame:
+    return F.broadcast(chosen.where(F.size("probes") <= i).select("wid"))
+
+
 def phrase_starts(postings: DataFrame, chosen: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """kid, tv, wid, terms, starts: where all chosen terms of a window stand at their offsets."""
-    probe = lambda i: F.col("probes")[i]
-    shifted = lambda i: F.transform("positions", lambda p: p - probe(i)["offset"])
-    first = chosen.withColumn("term", probe(0)["term"])
-    found = postings.join(F.broadcast(first), "term").select("kid", "tv", "wid", "terms", "probes", F.filter(shifted(0), lambda s: s >= 0).alias("starts")).where(F.size("starts") > 0)
+    """kid, tv, wid, starts: where all chosen terms of a window stand at their offsets."""
+    shifted = F.transform("positions", lambda p: p - F.col("offset"))
+    found = postings.join(probe(chosen, 0), "term").select("kid", "tv", "wid", F.filter(shifted, lambda s: s >= 0).alias("starts")).where(F.size("starts") > 0)
     for i in range(1, depth):
-        more = found.where(F.size("probes") > i).withColumn("term", probe(i)["term"]).join(postings, ["kid", "tv", "term"])
-        more = more.select("kid", "tv", "wid", "terms", "probes", F.array_intersect("starts", shifted(i)).alias("starts")).where(F.size("starts") > 0)
-        found = more.unionByName(found.where(F.size("probes") <= i)) if i > 1 or depth > 1 else more
-    return found.select("kid", "tv", "wid", "terms", "starts")
+        more = found.join(probe(chosen, i), "wid").join(postings, ["kid", "tv", "term"]).select("kid", "tv", "wid", F.array_intersect("starts", shifted).alias("starts")).where(F.size("starts") > 0)
+        found = more.unionByName(found.join(short_of(chosen, i), "wid", "left_semi"))
+    return found
 
 
 def near_windows(postings: DataFrame, chosen: DataFrame, depth: int = DEPTH, slack: int = SLACK) -> DataFrame:
     """kid, tv, wid: documents where all chosen terms of a window stand within window length + slack words, in any order."""
-    probe = lambda i: F.col("probes")[i]
-    reach = F.size("terms") + slack
-    first = chosen.withColumn("term", probe(0)["term"])
-    found = postings.join(F.broadcast(first), "term").select("kid", "tv", "wid", "terms", "probes", F.transform("positions", lambda p: F.struct(p.alias("lo"), p.alias("hi"))).alias("spans"))
+    reach = F.col("length") + slack
+    found = postings.join(probe(chosen, 0), "term").select("kid", "tv", "wid", F.transform("positions", lambda p: F.struct(p.alias("lo"), p.alias("hi"))).alias("spans"))
     for i in range(1, depth):
-        more = found.where(F.size("probes") > i).withColumn("term", probe(i)["term"]).join(postings, ["kid", "tv", "term"])
         grown = F.flatten(F.transform("spans", lambda s: F.transform(
             F.filter("positions", lambda p: (F.greatest(s["hi"], p) - F.least(s["lo"], p)) < reach), lambda p: F.struct(F.least(s["lo"], p).alias("lo"), F.greatest(s["hi"], p).alias("hi")))))
-        more = more.select("kid", "tv", "wid", "terms", "probes", F.array_distinct(grown).alias("spans")).where(F.size("spans") > 0)
-        found = more.unionByName(found.where(F.size("probes") <= i))
+        more = found.join(probe(chosen, i), "wid").join(postings, ["kid", "tv", "term"]).select("kid", "tv", "wid", F.array_distinct(grown).alias("spans")).where(F.size("spans") > 0)
+        found = more.unionByName(found.join(short_of(chosen, i), "wid", "left_semi"))
     return found.select("kid", "tv", "wid")
 
 
@@ -119,13 +131,14 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, depth: int
     for b in range(n_blocks):
         part = chosen.where(F.pmod(F.xxhash64("wid"), F.lit(n_blocks)) == b)
         postings = index(text, part)
-        found.append(phrase_starts(postings, part, depth))
+        found.append(phrase_starts(postings, part, depth).join(F.broadcast(part.select("wid", "length")), "wid"))
         if near:
             close.append(near_windows(postings, part, depth))
-    each = F.explode("starts").alias("start")
-    candidates = reduce(DataFrame.unionByName, found).select("kid", "tv", "wid", "terms", each).groupBy("kid", "tv").agg(F.collect_list(F.struct("start", F.size("terms").alias("length"), "wid", "terms")).alias("candidates"))
-    exact = F.filter(F.coalesce("candidates", F.array()), lambda c: F.slice("words", c["start"] + 1, c["length"]) == c["terms"])
-    judged = (text.join(candidates, ["kid", "tv"], "left").select("kid", "tv", "doc_id", F.size("words").cast("long").alias("n_words"), exact.alias("exact"))
+    candidates = reduce(DataFrame.unionByName, found).select("kid", "tv", F.explode("starts").alias("start"), "length", "wid").groupBy("kid", "tv").agg(F.collect_list(F.struct("start", "length", "wid")).alias("candidates"))
+    exact = F.filter(F.coalesce("candidates", F.array()), lambda c: window_id(F.slice("words", c["start"] + 1, c["length"])) == c["wid"])
+    # texts travel, not their words
+    whole = docs.select(*keys(), F.col("doc_id").cast("long").alias("doc_id"), "text").join(candidates, ["kid", "tv"], "left").withColumn("words", words(F.col("text")))
+    judged = (whole.select("kid", "tv", "doc_id", F.size("words").cast("long").alias("n_words"), exact.alias("exact"))
               .select("kid", "tv", "doc_id", "n_words", covered(F.sort_array(F.transform("exact", lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"))))).alias("n_hit"),
                       F.array_distinct(F.transform("exact", lambda c: c["wid"])).alias("wids")))
     return written(judged, "judged"), items, reduce(DataFrame.unionByName, close).distinct() if near else None

@@ -382,16 +382,19 @@ def stability_lines(d: DataFrame, ref: str) -> DataFrame:
         F.min_by("subsystem_id", F.struct(F.round("gap", 9), F.col("subsystem_id"))).alias("worst_subsystem"), F.min("gap").alias("worst_gap"))
 
 
-def seed_effect(variants: DataFrame) -> DataFrame:
-    """Pairs in which a single seed changes the pooled sign or the reversal status of the seed mean.
+def seed_effect(d: DataFrame, randomized: DataFrame) -> DataFrame:
+    """Per pair and subsystem: does some single seed change the sign of the delta, or its reversal status, of the seed mean?
 
-    ``variants``: (variant, family, a, b, pooled_se, n_rev_se) with variant 'mean' or 'seed<k>'.
+    ``d``: deltas with ``variant`` 'mean' or 'seed<k>'. Only pairs with a method of ``randomized`` (column ``method``) count.
     """
-    m = variants.filter("variant = 'mean'").select(*PAIR, F.col("pooled_se").alias("pm"), F.col("n_rev_se").alias("rm"))
-    s = variants.filter("variant <> 'mean'").join(m, PAIR)
-    return s.groupBy(*PAIR).agg(
-        F.count("*").alias("seeds"), F.bool_or(sgn("pooled_se") != sgn("pm")).alias("any_sign"),
-        F.bool_or((F.col("n_rev_se") > 0) != (F.col("rm") > 0)).alias("any_status"))
+    keys = ["variant", *PAIR]
+    x = join_pooled(d, keys).select(*keys, "subsystem_id", sgn("delta").alias("s"), (sgn("delta") * sgn("pooled_se") < 0).alias("r"))
+    own = F.array("a", "b")
+    pairs = x.select(*PAIR, F.explode(own).alias("method")).distinct().join(randomized.select("method").distinct(), "method", "left_semi").select(*PAIR).distinct()
+    x = x.join(pairs, PAIR, "left_semi")
+    m = x.filter("variant = 'mean'").select(*PAIR, "subsystem_id", F.col("s").alias("sm"), F.col("r").alias("rm"))
+    s = x.filter("variant <> 'mean'").join(m, [*PAIR, "subsystem_id"])
+    return s.groupBy(*PAIR, "subsystem_id").agg(F.count("*").alias("seeds"), F.bool_or(F.col("s") != F.col("sm")).alias("any_sign"), F.bool_or(F.col("r") != F.col("rm")).alias("any_status"))
 
 
 def factor_summary(c: DataFrame, by: Sequence[str]) -> DataFrame:

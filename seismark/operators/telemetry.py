@@ -55,9 +55,10 @@ def ffill_zero(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     return x.withColumn("value", F.coalesce("_f", F.lit(0.0))).drop("_f")
 
 
-def metric_quality(grid: DataFrame, raw: DataFrame, keys: Sequence[str], min_samples: int, max_null: float) -> DataFrame:
-    """Samples, null share on the grid and distinct values per metric, with the keep decision."""
+def metric_quality(grid: DataFrame, raw: DataFrame, keys: Sequence[str], min_samples: int, max_null: float, fill: int = 3) -> DataFrame:
+    """Samples, null share on the grid after filling gaps of at most ``fill`` steps, and the keep decision."""
     keys = list(keys)
+    grid = ffill_limit(grid, keys, fill)
     n = raw.groupBy(*keys).agg(F.count("*").alias("samples"))
     g = grid.groupBy(*keys).agg(F.avg(F.col("value").isNull().cast("double")).alias("null_share"),
                                 F.min("value").alias("_lo"), F.max("value").alias("_hi"))
@@ -65,9 +66,10 @@ def metric_quality(grid: DataFrame, raw: DataFrame, keys: Sequence[str], min_sam
     return n.join(g, keys).select(*keys, "samples", "null_share", F.coalesce(keep, F.lit(False)).alias("keep"))
 
 
-def prune_metrics(grid: DataFrame, raw: DataFrame, keys: Sequence[str], min_samples: int, max_null: float) -> DataFrame:
-    q = metric_quality(grid, raw, keys, min_samples, max_null).filter("keep").select(*keys)
-    return grid.join(q, list(keys), "left_semi")
+def prune_metrics(grid: DataFrame, raw: DataFrame, keys: Sequence[str], min_samples: int, max_null: float, fill: int = 3) -> DataFrame:
+    """The filled grid of the metrics that are kept."""
+    q = metric_quality(grid, raw, keys, min_samples, max_null, fill).filter("keep").select(*keys)
+    return ffill_limit(grid, keys, fill).join(q, list(keys), "left_semi")
 
 
 def window_case(df: DataFrame, case: str, n: int, ts: str = "ts", t0: str = "t0") -> DataFrame:

@@ -431,22 +431,27 @@ cte("variants", f"""select variant, family, a, b, pooled_se, count(*) filter (wh
   from vd join ({pool_sql('vd', 'variant, family, a, b')}) using (variant, family, a, b) group by all""")
 
 
-def variants(spark, sf):
+def variant_deltas(spark, sf):
     """The seed mean and each seed, from one scan: a row is sent to the variants it belongs to."""
     x = X.case_scores(spark, sf)
     all_v = F.array(*[F.lit(v) for v in ("mean", "seed0", "seed1", "seed2")])
     own = F.array(F.lit("mean"), F.concat(F.lit("seed"), F.col("seed").cast("string")))
     x = x.withColumn("variant", F.explode(F.when(F.col("seed").isNull(), all_v).otherwise(own)))
-    d = C.pair_deltas(C.pair_diffs(C.case_score(x, extra=["variant"]), ["variant", *C.CASE]), ["variant", *C.PAIR, "subsystem_id"])
-    return C.reversals(d, ["variant", *C.PAIR]).select("variant", *C.PAIR, "pooled_se", "n_rev_se")
+    return C.pair_deltas(C.pair_diffs(C.case_score(x, extra=["variant"]), ["variant", *C.CASE]), ["variant", *C.PAIR, "subsystem_id"])
+
+
+def variants(spark, sf):
+    return C.reversals(variant_deltas(spark, sf), ["variant", *C.PAIR]).select("variant", *C.PAIR, "pooled_se", "n_rev_se")
 
 
 @query("c30_seed_effect", f"""
-select s.family, s.a, s.b, count(*) as seeds, bool_or({sg('s.pooled_se')} <> {sg('m.pooled_se')}) as any_sign,
-  bool_or((s.n_rev_se > 0) <> (m.n_rev_se > 0)) as any_status from variants s join variants m using (family, a, b)
-where s.variant <> 'mean' and m.variant = 'mean' group by all""")
+with r as (select distinct method from case_scores where seed is not null),
+ x as (select vd.variant, vd.family, vd.a, vd.b, subsystem_id, {sg('delta')} as s, {sg('delta')} * {sg('pooled_se')} < 0 as r from vd join variants using (variant, family, a, b)
+   where vd.a in (select method from r) or vd.b in (select method from r))
+select k.family, k.a, k.b, k.subsystem_id, count(*) as seeds, bool_or(k.s <> m.s) as any_sign, bool_or(k.r <> m.r) as any_status
+from x k join x m using (family, a, b, subsystem_id) where k.variant <> 'mean' and m.variant = 'mean' group by all""")
 def c30(spark, sf):
-    return C.seed_effect(variants(spark, sf))
+    return C.seed_effect(variant_deltas(spark, sf), X.case_scores(spark, sf).filter("seed is not null"))
 
 
 @query("c31_factor_summary", """select a, b, count(*) as comparisons, count(*) filter (where sign_change) as sign_changes, avg(sign_change::double) as sign_share,

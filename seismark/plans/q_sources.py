@@ -119,7 +119,7 @@ def s17(spark, sf):
 @query("s18_log_table", f"""
 with l as (select conv_id * 1000 + turn as k, role, text as message, case when turn % 5 = 1 then 'connection Refused' end as error from conversations),
  m as (select k, role, message as raw, case when error is not null then message || ' ' || error else message end as message from l)
-select make_timestamp(k * 1000000) as time, role as service_name, message, nullif(regexp_extract(raw, '\\b({S.LOG_LEVELS})\\b', 1), '') as level, regexp_matches(message, '(?i)({S.ERROR_WORDS})') as has_error from m""")
+select make_timestamp(k * 1000000) as time, role as service_name, null::varchar as trace_id, null::varchar as span_id, message, nullif(regexp_extract(raw, '\\b({S.LOG_LEVELS})\\b', 1), '') as level, regexp_matches(message, '(?i)({S.ERROR_WORDS})') as has_error from m""")
 def s18(spark, sf):
     c = table(spark, sf, "conversations")
     k = F.col("conv_id") * 1000 + F.col("turn")

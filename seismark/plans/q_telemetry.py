@@ -58,24 +58,27 @@ def t01b(spark, sf):
         "event_type", T.step_start("step", 300).alias("start_ts"), "value")
 
 
-@query("t02_ffill_limit", """select case_id, metric_id, step, last_value(value ignore nulls) over (partition by case_id, metric_id order by step rows between 2 preceding and current row) as value from grid""", rnd="value")
+cte("shortfilled", "select case_id, metric_id, step, last_value(value ignore nulls) over (partition by case_id, metric_id order by step rows between 2 preceding and current row) as value from grid")
+
+
+@query("t02_ffill_limit", "select * from shortfilled", rnd="value")
 def t02(spark, sf):
     return T.ffill_limit(grid(spark, sf), KEYS, 2)
 
 
 cte("mq", """select case_id, metric_id, samples, null_share, coalesce(samples >= 20 and null_share < 0.5 and lo < hi, false) as keep from
   (select case_id, component as metric_id, count(*) as samples from telemetry group by all)
-  join (select case_id, metric_id, avg((value is null)::int::double) as null_share, min(value) as lo, max(value) as hi from grid group by all) using (case_id, metric_id)""")
+  join (select case_id, metric_id, avg((value is null)::int::double) as null_share, min(value) as lo, max(value) as hi from shortfilled group by all) using (case_id, metric_id)""")
 
 
 @query("t03_metric_quality", "select * from mq", rnd="null_share")
 def t03(spark, sf):
-    return T.metric_quality(grid(spark, sf), comp_series(spark, sf), KEYS, 20, 0.5)
+    return T.metric_quality(grid(spark, sf), comp_series(spark, sf), KEYS, 20, 0.5, 2)
 
 
-@query("t03_prune_metrics", "select grid.* from grid join mq using (case_id, metric_id) where keep", rnd="value")
+@query("t03_prune_metrics", "select shortfilled.* from shortfilled join mq using (case_id, metric_id) where keep", rnd="value")
 def t03p(spark, sf):
-    return T.prune_metrics(grid(spark, sf), comp_series(spark, sf), KEYS, 20, 0.5)
+    return T.prune_metrics(grid(spark, sf), comp_series(spark, sf), KEYS, 20, 0.5, 2)
 
 
 @query("t04_ffill_zero", "select * from filled", rnd="value")

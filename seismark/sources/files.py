@@ -149,13 +149,13 @@ ERROR_WORDS = "error|fail|exception|timeout|refused"
 
 
 def log_table(df: DataFrame) -> DataFrame:
-    """Typed logs: error text appended to the message, level from a column or the message, a flag for error words."""
+    """Typed logs (trace and span ids are not known and null): error text appended to the message, level from a column or the message, a flag for error words."""
     has = set(df.columns)
     msg = F.when(F.col("error").isNotNull(), F.concat_ws(" ", "message", "error")).otherwise(F.col("message")) if "error" in has else F.col("message")
     level = F.col("level") if "level" in has else F.nullif(F.regexp_extract("message", rf"\b({LOG_LEVELS})\b", 1), F.lit(""))
     opt = [F.col(c).cast("string").alias(f"attr_{c}") for c in ("req_path", "cluster_id", "log_template") if c in has]
     x = df.select(F.timestamp_micros(F.floor(F.col("timestamp") / 1000)).cast("timestamp_ntz").alias("time"), F.col("container_name").alias("service_name"),
-                  msg.alias("message"), level.alias("level"), *opt)
+                  F.lit(None).cast("string").alias("trace_id"), F.lit(None).cast("string").alias("span_id"), msg.alias("message"), level.alias("level"), *opt)
     return x.withColumn("has_error", F.coalesce(F.col("message").rlike(f"(?i){ERROR_WORDS}"), F.lit(False)))
 
 

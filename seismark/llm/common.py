@@ -179,7 +179,7 @@ def rows_keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64("text").alias("tv"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
 
 
-def chunks(batches, limit: int = 2 << 23):
+def chunks(batches, limit: int = 1 << 23):
     """Arrow batches joined or cut to about ``limit`` bytes of their text column each; a single longer text stays whole."""
     held: list[pa.RecordBatch] = []
     size = 0

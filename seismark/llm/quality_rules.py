@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from seismark.llm.common import MULT, WHITE, chunks, mix, piece_hash, text_buffer, window_hash, word_bounds
 
+#: Bytes of text worked on at once: several numbers stand for each byte.
+BYTES = 1 << 22
 #: Labelled documents that the trees are fitted on; those of the lowest id hashes where there are more.
 SAMPLE = 20_000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -177,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | N
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def measure(batches):
-        for t in chunks(batches):
+        for t in chunks(batches, BYTES):
             x = statistics(t.column("text"))[1]
             yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), t.column("quality").combine_chunks().cast(pa.float64())], names=["x", "y"])
 
@@ -196,7 +198,7 @@ def judge(docs: DataFrame, trees: Trees | None, least_kept: float = 0.5) -> Data
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in names]).schema), *(f"{c} long" for c in STATS), "base_failed boolean, score double, kept boolean"])
 
     def apply(batches):
-        for t in chunks(batches):
+        for t in chunks(batches, BYTES):
             stats, x = statistics(t.column("text"))
             failed = (stats[:, 0] < 20) | (100 * stats[:, 4] > 30 * stats[:, 0])
             score = trees.score(x) if trees is not None else np.ones(len(x))

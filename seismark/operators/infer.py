@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seismark.functions.series import row_index
-from seismark.functions.stats import TIE_EPS, hash32, pctl, sgn, t975
+from seismark.functions.stats import chi2_sf, TIE_EPS, hash32, pctl, sgn, t975
 from seismark.operators.compare import PAIR, pair_diffs
 
 STEPS = 60  # bisection steps
@@ -243,11 +243,13 @@ def glm_predict(cells: DataFrame, factors: Sequence[str], name: str, numeric: Se
 
 
 def joint_interaction(cells: DataFrame) -> DataFrame:
-    """All methods at once: saturated cells against method + system."""
+    """All methods at once: saturated cells against method + system. The degrees of freedom are the cells that exist, less
+    those that the methods and systems explain."""
     x = glm_predict(cells, ["method", "sys"], "additive")
     g = x.agg(_saturated().alias("llf_full"), _cell_llf("additive").alias("llf_reduced"),
-              ((F.count_distinct("method") - 1) * (F.count_distinct("sys") - 1)).alias("lrt_df"))
-    return g.select("llf_full", "llf_reduced", (2 * (F.col("llf_full") - F.col("llf_reduced"))).alias("lrt"), "lrt_df")
+              (F.count("*") - F.count_distinct("method") - F.count_distinct("sys") + 1).alias("lrt_df"))
+    g = g.select("llf_full", "llf_reduced", (2 * (F.col("llf_full") - F.col("llf_reduced"))).alias("lrt"), "lrt_df")
+    return g.withColumn("p", chi2_sf("lrt", "lrt_df"))
 
 
 def difficulty_nested(cells: DataFrame, diff: DataFrame, covariate: str) -> DataFrame:
@@ -285,9 +287,9 @@ def l2_interaction(cells: DataFrame, reg: float = 0.01) -> DataFrame:
 
 
 def drop_separating(cells: DataFrame) -> DataFrame:
-    """Cells without the systems in which some method has no or only hits."""
-    bad = cells.groupBy("sys").agg(F.bool_or((F.col("p") <= 1e-12) | (F.col("p") >= 1 - 1e-12)).alias("bad")).filter("bad").select("sys")
-    return cells.join(bad, "sys", "left_anti")
+    """Cells without the most separating one: the cell with no or only hits that has the most trials (then by name)."""
+    bad = cells.filter((F.col("p") <= 1e-12) | (F.col("p") >= 1 - 1e-12)).orderBy(F.desc("n"), "method", "sys").limit(1).select("method", "sys")
+    return cells.join(bad, ["method", "sys"], "left_anti")
 
 
 def permutation_lrt(cs: DataFrame, a: str, b: str, perms: int, seed: int = 11) -> DataFrame:

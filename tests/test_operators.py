@@ -199,6 +199,16 @@ def test_release_with_two_equal_methods_recommends_nothing(spark):
     assert rows and {(r.a, r.b, r.recommended) for r in rows} == {("A", "B", False)}
 
 
+def test_one_separating_cell_is_dropped(spark):
+    rows = [(m, s, 40.0, p) for m, ps in (("A", (0.5, 0.6, 1.0)), ("B", (0.4, 0.7, 0.3)), ("C", (0.2, 0.3, 0.8))) for s, p in zip("xyz", ps)]
+    cells = spark.createDataFrame(rows, "method string, sys string, n double, p double")
+    left = I.drop_separating(cells)
+    assert left.count() == 8 and left.filter("method = 'A' and sys = 'z'").count() == 0
+    r = I.joint_interaction(left).first()
+    assert r.lrt_df == 3 and r.lrt > 0 and 0 <= r.p <= 1
+    assert I.joint_interaction(cells.filter("p < 1 or method <> 'A'")).first().lrt_df == 3
+
+
 def test_paths_of_any_length(spark):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)], "src string, dst string")
     pairs = spark.createDataFrame([("n0", "n12"), ("n3", "zz")], "pred string, truth string")

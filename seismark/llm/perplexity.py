@@ -29,7 +29,7 @@ from seismark.llm.common import U64, by_bucket, mix, partitions, worker_state, w
 ORDER, START, BASE_BITS = 4, 1, 16
 #: Characters that are worked on at once.
 CHARS = 1 << 21
-QUANTILE, MARGIN = 0.995, 0.05
+QUANTILE, MARGIN, SALTS = 0.995, 0.05, 64
 
 
 def white_points() -> np.ndarray:
@@ -90,7 +90,7 @@ COUNTED = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("grams", pa
 
 
 def count_grams(docs: DataFrame, trusted: DataFrame, n_buckets: int) -> DataFrame:
-    """bucket, shard, grams (64-bit, different), counts (their number in trusted text)."""
+    """bucket, shard, grams (64-bit, different), counts (their number in the shard's trusted text, 32-bit)."""
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = left.column("doc_id").to_pylist(), left.column("text").to_pylist()
@@ -105,7 +105,7 @@ def count_grams(docs: DataFrame, trusted: DataFrame, n_buckets: int) -> DataFram
             return COUNTED.empty_table()
         shard = left.column("shard")[0].as_py()
         order, bounds = by_bucket((mix(g) % U64(n_buckets)).astype(np.int64), n_buckets)
-        rows = [{"bucket": b, "shard": shard, "grams": g[order[bounds[b]: bounds[b + 1]]].tobytes(), "counts": c[order[bounds[b]: bounds[b + 1]]].tobytes()} for b in range(n_buckets)]
+        rows = [{"bucket": b, "shard": shard, "grams": g[order[bounds[b]: bounds[b + 1]]].tobytes(), "counts": c[order[bounds[b]: bounds[b + 1]]].astype(np.uint32).tobytes()} for b in range(n_buckets)]
         return pa.Table.from_pylist([r for r in rows if r["grams"]], schema=COUNTED)
 
     return docs.groupBy("shard").cogroup(trusted.groupBy("shard")).applyInArrow(count, "bucket int, shard int, grams binary, counts binary")
@@ -115,7 +115,7 @@ def gram_table(counted: DataFrame) -> DataFrame:
     """bucket, g, c: every n-gram of the corpus and its count in trusted text."""
 
     def add(t: pa.Table) -> pa.Table:
-        g, c = (np.frombuffer(b"".join(t.column(x).to_pylist()), k) for x, k in (("grams", U64), ("counts", np.int64)))
+        g, c = (np.frombuffer(b"".join(t.column(x).to_pylist()), k) for x, k in (("grams", U64), ("counts", np.uint32)))
         g, c = merged(g, c)
         return pa.table({"bucket": pa.array(np.full(len(g), t.column("bucket")[0].as_py(), np.int32)), "g": g.view(np.int64), "c": c})
 
@@ -176,7 +176,7 @@ def answers(counted: DataFrame, scored: DataFrame) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, trusted, n_chars, loss (mean negative logarithm per character, null without characters)."""
     n = partitions(docs.sparkSession)
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).cast("int").alias("shard")
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("shard")
     docs = docs.select(shard, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     trusted = (labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
                .where("q > 0 and coalesce(t, 0) = 0").select(shard, "doc_id"))
@@ -211,7 +211,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     good = losses.where("trusted and loss is not null")
     limit = lambda df, *by: df.groupBy(*by).agg((F.percentile_approx("loss", quantile, 100_000) * (1 + margin)).alias("limit"))
     whole = F.broadcast(limit(good).select(F.col("limit").alias("overall")))  # one row
-    out = losses.join(limit(good, "lang"), "lang", "left").crossJoin(whole)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("_salt")  # one language may hold most documents
+    limits = limit(good, "lang").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    out = losses.select("*", salt).join(limits, ["lang", "_salt"], "left").crossJoin(whole)
     bound = F.coalesce("limit", "overall")
     return out.select("doc_id", "lang", "n_chars", F.exp("loss").alias("perplexity"), F.exp(bound).alias("limit"),
                       F.coalesce(F.col("loss") <= F.coalesce(bound, F.lit(float("inf"))), F.lit(False)).alias("kept"))

@@ -31,7 +31,7 @@ from seismark.llm.common import LOWER, U64, by_bucket, chunks, keyed, mix, parti
 
 SHINGLE, PERCENT = 5, 75
 #: Sets of a star that a block of its unlinked sets is compared with at once.
-ROWS, COLUMNS = 512, 4096
+ROWS, COLUMNS = 256, 2048
 KEY_BITS = 40
 POSTINGS = "bucket int, sids binary, sizes binary, counts binary, keys binary"
 CHOICES = "shard int, sids binary, sizes binary, counts binary, freq binary, token binary, leads binary"
@@ -282,7 +282,8 @@ def links_in_stars(diffs: DataFrame, percent: int) -> DataFrame:
         some = label != np.arange(len(ids))
         return pa.table({"a": ids[some], "b": ids[label[some]]})
 
-    return rows.unionByName(columns).groupBy("lead", "b", "c").applyInArrow(match, "a long, b long")
+    # the blocks of a star are dealt out one by one; else they stay where the join by leader has put them
+    return rows.unionByName(columns).repartition("lead", "b", "c").groupBy("lead", "b", "c").applyInArrow(match, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:

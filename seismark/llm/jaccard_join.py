@@ -306,7 +306,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kid, tv."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kid, tv, root (a set of the group; null: empty set)."""
     n = partitions(docs.sparkSession)
     docs = keyed(docs)
     known = written(classes(docs, shingle), "classes")
@@ -326,13 +326,15 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     roots = connected(edges)
     each = known.where("sid is not null").groupBy("sid").agg(F.min("kid").alias("kid")).join(roots, F.col("sid") == F.col("node"), "left").select("sid", "kid", F.coalesce("root", "sid").alias("root"))
     first = each.groupBy("root").agg(F.min("kid").alias("component"))
-    of_set = each.join(first, "root").select("sid", "component")
+    of_set = each.join(first, "root").select("sid", "component", "root")
     out = known.join(of_set, "sid", "left")
     own = F.coalesce("component", "kid")
-    return out.select("doc_id", "n_shingles", F.when(own != F.lit(-(2**63)), own).alias("component_id"), "kid", "tv")
+    return out.select("doc_id", "n_shingles", F.when(own != F.lit(-(2**63)), own).alias("component_id"), "kid", "tv", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Of each group the document with the smallest id stays (of rows that repeat it, one); all columns stay."""
-    lead = groups(docs, shingle, percent).where("doc_id <=> component_id").groupBy("kid").agg(F.min("tv").alias("tv"))
+    """Of each group the document with the smallest id stays (of rows that repeat it, one; of its texts under that id, the one
+    with the smallest hash); a document with an empty set is a group of its own; all columns stay."""
+    alone = [F.when(F.col("root").isNull(), F.col(c)) for c in ("kid", "tv")]
+    lead = groups(docs, shingle, percent).groupBy("root", *alone).agg(F.min(F.struct("kid", "tv")).alias("k")).select("k.kid", "k.tv")
     return rows_keyed(docs).join(lead, ["kid", "tv"], "left_semi").dropDuplicates(["kid", "tv"]).select("row.*")

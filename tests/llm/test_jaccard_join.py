@@ -55,6 +55,13 @@ def test_repeated_rows_null_ids_clashing_columns(spark):
     assert kept == [(-1, 3), (2, 1)]
 
 
+def test_one_document_of_each_group_not_of_each_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a, 1), (None, b, 2), (7, a + " q", 3), (7, c, 4), (7, d, 5), (8, d + " q", 6), (9, b, 7), (None, "", 8), (None, None, 9), (None, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    assert sorted(r.n for r in J.keep_one(df).collect()) == [1, 2, 4, 5, 8, 9]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert J.groups(df).collect() == []

@@ -1,18 +1,22 @@
 """License scans by conditional compression.
 
-A sentence that names a license opens a candidate block. For each template, the block is taken as many words long as the
-template (with what follows, up to a blank line) and compressed twice with zstandard: alone, and with the template as raw
-dictionary. The bytes that a template saves rank the templates; the winners are confirmed by the exact differences in wording
+Around each word that names a license, candidate blocks start at the sentence, at the template's own first word, and where the
+template's word for the sign falls on the sign. For each template, a block is taken as many words long as the template (and an
+eighth more), across lines; one with too few of the template's words cannot be confirmed and is left. The others are compressed
+twice with zstandard: alone, and with the template as raw dictionary. The bytes that a template saves rank the templates; the winners are confirmed by the exact differences in wording
 (words of the template that the block lacks, words that it adds), and the one with the most words in common stays.
 
-Defined results: null and blank texts have no blocks; several blocks of a document are all reported; ties go to
-the first template by name;
+Defined results: null and blank texts have no blocks; several blocks of a document are all reported, and none
+shares words with another; ties go to the template with fewer differences, then to the first by name;
 repeated rows are scanned alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -45,7 +49,6 @@ TEMPLATES = {
 SIGNS = r"(?i)licen[sc]e|licensed|copyright|permission (?:is hereby granted|to use)|redistribution and use|public domain|free software|applicable law or agreed"
 #: A winner saves at least this share of a block's bytes and differs in at most this share of the template's words.
 LEAST_GAIN, MOST_CHANGED, LEVEL = 0.3, 0.2, 3
-SENTENCE = re.compile(r"[.!?]\s+")
 WORDS = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 FOUND = "array<struct<line:long,license:string,gain:double,missing:long,added:long,exact:boolean>>"
 
@@ -71,20 +74,6 @@ def compressors() -> list[tuple]:
     return state["licenses"]
 
 
-def block_words(text: str, at: int, n: int) -> list[str]:
-    """Words from ``at`` on, by whole lines, until there are n or a blank line comes."""
-    out: list[str] = []
-    while at < len(text) and len(out) < n:
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end
-        words = normal(text[at: min(end, at + 40 * (n + 8))])
-        if not words and out:
-            break
-        out += words
-        at = end + 1
-    return out
-
-
 def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
     """Words of the template that are missing, words added between its first and last word, and words of the block used."""
     same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
@@ -97,39 +86,55 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
 
 def find_licenses(text: str) -> list[dict]:
     """All confirmed blocks of one text."""
-    found, done = [], -1
     rows, plain = compressors()
+    words, begins, ends, same = [], array("q"), array("q"), {}
+    places: dict[str, list[int]] = {template[0]: [] for _, template, _ in rows}
+    for i, m in enumerate(WORDS.finditer(text)):
+        w = m.group().lower()
+        words.append(same.setdefault(w, w))
+        begins.append(m.start()), ends.append(m.end())
+        if w in places:
+            places[w].append(i)
+    bags = [Counter(template) for _, template, _ in rows]
+    stops = array("q", (m.end() for m in re.finditer(r"[.!?]\s+|\n", text)))
+    found, done, failed = [], 0, set()
+
+    def judge(r: int, start: int):
+        name, template, packer = rows[r]
+        n = len(template)
+        block = words[start: start + n + n // 8]
+        have = Counter(block)
+        if sum(min(v, have[w]) for w, v in bags[r].items()) < n - MOST_CHANGED * n:
+            return None
+        raw = " ".join(block).encode()
+        alone = len(plain.compress(raw))
+        saved = alone - len(packer.compress(raw))
+        missing, added, used = differences(template, block)
+        if saved < LEAST_GAIN * alone or missing + added > MOST_CHANGED * n:
+            return None
+        row = {"line": text.count("\n", 0, begins[start]), "license": name, "gain": round(saved / alone, 6), "missing": missing, "added": added, "exact": missing + added == 0}
+        return (missing + added - n, missing + added, name, -start), row, start + used
+
     for sign in re.finditer(SIGNS, text):
-        start = text.rfind("\n", 0, sign.start()) + 1
-        for stop in SENTENCE.finditer(text, max(start, sign.start() - 400), sign.start()):
-            start = stop.end()
-        if start < done:
-            continue
-        ranked, blocks = [], {}
-        for name, template, packer in rows:
-            n = len(template)
-            if n not in blocks:
-                words = block_words(text, start, n)[: n + n // 8]
-                raw = " ".join(words).encode()
-                blocks[n] = words, raw, len(plain.compress(raw))
-            words, raw, alone = blocks[n]
-            saved = alone - len(packer.compress(raw))
-            if saved >= LEAST_GAIN * alone:
-                ranked.append((saved, saved / alone, name, template, words))
-        best = None
-        for _, gain, name, template, words in sorted(ranked, key=lambda r: (-r[0], r[2])):
-            missing, added, used = differences(template, words)
-            if missing + added <= MOST_CHANGED * len(template):
-                key = (missing + added - len(template), name)
-                if best is None or key < best[0]:
-                    best = key, {"line": text.count("\n", 0, start), "license": name, "gain": round(gain, 6), "missing": missing, "added": added, "exact": missing + added == 0}, used
-        done = start + 1
-        if best:
+        k = bisect_right(ends, sign.start())
+        before = bisect_right(stops, sign.start())
+        sentence = bisect_left(begins, stops[before - 1]) if before else 0
+        while done <= k < len(words):
+            best = None
+            for r, (_, template, _) in enumerate(rows):
+                at, least = places[template[0]], max(done, k - len(template) - len(template) // 8 + 1)
+                starts = {sentence, *at[bisect_left(at, least): bisect_right(at, k)], *(k - j for j, w in enumerate(template) if w == words[k])}
+                for start in starts:
+                    if done <= start <= k and (r, start) not in failed:
+                        got = judge(r, start)
+                        if got is None:
+                            failed.add((r, start))
+                        elif best is None or got[0] < best[0]:
+                            best = got
+            if best is None:
+                break
             found.append(best[1])
-            for i, word in enumerate(WORDS.finditer(text, start), 1):
-                done = word.end()
-                if i >= best[2]:
-                    break
+            done = best[2]
     return found
 
 

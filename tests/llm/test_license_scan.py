@@ -22,6 +22,18 @@ def test_prose_and_other_licenses():
     assert [f["license"] for f in L.find_licenses("Released under the MIT License.\n\nx\nLicensed under CC BY 4.0.")] == ["MIT", "CC-BY-4.0"]
 
 
+@pytest.mark.parametrize("text, names", [
+    ("The content is licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+    ("This project is released under the MIT License.", ["MIT"]),
+    ("This project is licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+    ("word " * 500 + "released under the MIT License " + "word " * 500, ["MIT"]),
+    ("This license page says: the code is released under the MIT License, the text is licensed under CC BY 4.0", ["MIT", "CC-BY-4.0"]),
+])
+def test_notice_inside_a_sentence(text, names):
+    found = L.find_licenses(text)
+    assert [f["license"] for f in found] == names and all(f["exact"] for f in found)
+
+
 def test_rows(spark):
     mit = "Released under the MIT License."
     rows = [(1, mit, "x"), (1, mit, "x"), (None, mit, "y"), (2, None, "z"), (3, "", "z"), (4, "word " * 50_000 + "\n" + mit, "z"), (5, "license " * 2000, "z")]

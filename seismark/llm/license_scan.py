@@ -6,6 +6,9 @@ eighth more), across lines; one with too few of the template's words cannot be c
 twice with zstandard: alone, and with the template as raw dictionary. The bytes that a template saves rank the templates; the winners are confirmed by the exact differences in wording
 (words of the template that the block lacks, words that it adds), and the one with the most words in common stays.
 
+Short licences are compared to the end of their full text, so ``exact`` says that all their clauses agree; of long ones
+(Apache, GPL, MPL, Creative Commons) the notices are compared. An opening without its clauses is reported, never as exact.
+
 Defined results: null and blank texts have no blocks; several blocks of a document are all reported, and none
 shares words with another; ties go to the template with fewer differences, then to the first by name;
 repeated rows are scanned alike; other columns are ignored; an empty table gives no rows.
@@ -25,13 +28,22 @@ from pyspark.sql import functions as F
 
 from seismark.llm.common import chunks, worker_state
 
-# The wording of common license notices.
+# Openings and conditions of full licence texts.
+BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+MIT_OPENING = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+ISC_OPENING = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+UNLICENSE_OPENING = "This is free and unencumbered software released into the public domain."
+# The wording of common license notices, and the full texts of the short licences.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
                    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
                    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.",
-                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", f"{BSD_OPENING} 1. {BSD_SOURCE} 2. {BSD_BINARY} {BSD_DISCLAIMER}"],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", f"{BSD_OPENING} 1. {BSD_SOURCE} 2. {BSD_BINARY} 3. {BSD_NAMES} {BSD_DISCLAIMER}"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -40,12 +52,14 @@ TEMPLATES = {
                 "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "ISC": [ISC_OPENING + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'],
     "MIT": ["Released under the MIT License.",
-            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'],
+            MIT_OPENING + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Unlicense": [UNLICENSE_OPENING + ' Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
 }
+#: Openings whose later clauses are missing or other than in any full text: never exact. The BSD licences share theirs.
+OPENINGS = {"BSD": [BSD_OPENING], "ISC": [ISC_OPENING], "MIT": [MIT_OPENING], "Unlicense": [UNLICENSE_OPENING]}
 SIGNS = r"(?i)licen[sc]e|licensed|copyright|permission (?:is hereby granted|to use)|redistribution and use|public domain|free software|applicable law or agreed"
 #: A winner saves at least this share of a block's bytes and differs in at most this share of the template's words.
 LEAST_GAIN, MOST_CHANGED, LEVEL = 0.3, 0.2, 3
@@ -58,7 +72,7 @@ def normal(text: str) -> list[str]:
 
 
 def compressors() -> list[tuple]:
-    """license, words of a template, its compressor; and the one without dictionary. Made once a worker."""
+    """license, words of a template, whether it is all of the licence or notice, its compressor; and the one without dictionary. Made once a worker."""
     import zstandard as z
 
     state = worker_state()
@@ -66,10 +80,10 @@ def compressors() -> list[tuple]:
         how = dict(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False) if hasattr(z, "ZstdCompressionParameters") else {}
         params = z.ZstdCompressionParameters.from_level(how.pop("level"), **how)
         rows = []
-        for name in sorted(TEMPLATES):
-            for t in TEMPLATES[name]:
+        for whole, texts in ((True, TEMPLATES), (False, OPENINGS)):
+            for name, t in ((name, t) for name in sorted(texts) for t in texts[name]):
                 w = normal(t)
-                rows.append((name, w, z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(" ".join(w).encode(), dict_type=z.DICT_TYPE_RAWCONTENT))))
+                rows.append((name, w, whole, z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(" ".join(w).encode(), dict_type=z.DICT_TYPE_RAWCONTENT))))
         state["licenses"] = (rows, z.ZstdCompressor(compression_params=params))
     return state["licenses"]
 
@@ -88,19 +102,19 @@ def find_licenses(text: str) -> list[dict]:
     """All confirmed blocks of one text."""
     rows, plain = compressors()
     words, begins, ends, same = [], array("q"), array("q"), {}
-    places: dict[str, list[int]] = {template[0]: [] for _, template, _ in rows}
+    places: dict[str, list[int]] = {template[0]: [] for _, template, _, _ in rows}
     for i, m in enumerate(WORDS.finditer(text)):
         w = m.group().lower()
         words.append(same.setdefault(w, w))
         begins.append(m.start()), ends.append(m.end())
         if w in places:
             places[w].append(i)
-    bags = [Counter(template) for _, template, _ in rows]
+    bags = [Counter(template) for _, template, _, _ in rows]
     stops = array("q", (m.end() for m in re.finditer(r"[.!?]\s+|\n", text)))
     found, done, failed = [], 0, set()
 
     def judge(r: int, start: int):
-        name, template, packer = rows[r]
+        name, template, whole, packer = rows[r]
         n = len(template)
         block = words[start: start + n + n // 8]
         have = Counter(block)
@@ -112,7 +126,7 @@ def find_licenses(text: str) -> list[dict]:
         missing, added, used = differences(template, block)
         if saved < LEAST_GAIN * alone or missing + added > MOST_CHANGED * n:
             return None
-        row = {"line": text.count("\n", 0, begins[start]), "license": name, "gain": round(saved / alone, 6), "missing": missing, "added": added, "exact": missing + added == 0}
+        row = {"line": text.count("\n", 0, begins[start]), "license": name, "gain": round(saved / alone, 6), "missing": missing, "added": added, "exact": whole and missing + added == 0}
         return (missing + added - n, missing + added, name, -start), row, start + used
 
     for sign in re.finditer(SIGNS, text):
@@ -121,7 +135,7 @@ def find_licenses(text: str) -> list[dict]:
         sentence = bisect_left(begins, stops[before - 1]) if before else 0
         while done <= k < len(words):
             best = None
-            for r, (_, template, _) in enumerate(rows):
+            for r, (_, template, _, _) in enumerate(rows):
                 at, least = places[template[0]], max(done, k - len(template) - len(template) // 8 + 1)
                 starts = {sentence, *at[bisect_left(at, least): bisect_right(at, k)], *(k - j for j, w in enumerate(template) if w == words[k])}
                 for start in starts:

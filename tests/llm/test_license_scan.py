@@ -34,6 +34,22 @@ def test_notice_inside_a_sentence(text, names):
     assert [f["license"] for f in found] == names and all(f["exact"] for f in found)
 
 
+def test_clauses_tell_licences_apart():
+    def scan(text):
+        return [(f["license"], f["exact"]) for f in L.find_licenses(text)]
+
+    opening = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    clauses = ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+               "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    bsd2 = "\n\n".join([opening, *(f"{i}. {c}" for i, c in enumerate(clauses, 1)), L.TEMPLATES["BSD-3-Clause"][1][-len(L.BSD_DISCLAIMER):]])
+    assert scan(bsd2) == [("BSD-2-Clause", True)]
+    assert scan(opening + " The colour is blue.") == [("BSD", False)]
+    mit = L.TEMPLATES["MIT"][1]
+    assert scan(mit) == [("MIT", True)]
+    assert scan(mit.replace("shall be included in all copies", "may be left out of some copies")) == [("MIT", False)]
+    assert scan(mit[:mit.index(" The above")] + " Military use is forbidden.") == [("MIT", False)]
+
+
 def test_rows(spark):
     mit = "Released under the MIT License."
     rows = [(1, mit, "x"), (1, mit, "x"), (None, mit, "y"), (2, None, "z"), (3, "", "z"), (4, "word " * 50_000 + "\n" + mit, "z"), (5, "license " * 2000, "z")]

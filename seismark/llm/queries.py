@@ -75,6 +75,13 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op10_proximity")
+def proximity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_decontamination and n_near; on its own, as the twin of that query has the exact columns only."""
+    out = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
+
+
 OP2_SQL = r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 sh as (select distinct doc_id, array_to_string(list_slice(w, s + 1, s + 5), ' ') as k from (select doc_id, w, unnest(range(greatest(len(w) - 5, 0) + 1)) as s from d where len(w) > 0)),

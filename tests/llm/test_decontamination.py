@@ -50,6 +50,18 @@ def test_near(spark):
     assert got == {1: (10, 1), 2: (0, 1), 3: (0, 0), 4: (10, 1)}
 
 
+def test_near_is_registered(spark, tmp_path):
+    from seismark.llm import queries, registry  # noqa: F401
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, item), (2, item.replace("gamma", "gamma indeed")), (3, "nothing of it"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = registry.QUERIES["op10_proximity"](spark, str(tmp_path))
+    assert out.columns == [*registry.QUERIES["op10_decontamination"](spark, str(tmp_path)).columns, "n_near"]
+    assert {r.doc_id: (r.contaminated, r.n_near) for r in out.collect()} == {1: (True, 1), 2: (False, 1), 3: (False, 0), 4: (False, 0)}
+
+
 def test_clean_repeated_rows_null_ids_clashing_columns(spark):
     item = " ".join(f"q{i}" for i in range(12))
     docs = spark.createDataFrame([(1, item, 0), (1, item, 0), (None, item, 1), (2, "fine", 2), (None, "fine", 3)], "doc_id long, text string, tv long")

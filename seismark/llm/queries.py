@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.llm import decontamination, jaccard_join, language_id, license_scan, packing, perplexity, quality_rules, substring_dedup, token_store, url_filter
+from seismark.llm import decontamination, jaccard_join, language_id, license_scan, packing, perplexity, quality_rules, simhash_join, substring_dedup, token_store, url_filter
 from seismark.llm.registry import query, table
 
 
@@ -105,3 +105,10 @@ def perplexity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scan")
 def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(table(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash_join")
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No twin: DuckDB has no XXH64 with a seed; tests compare with all pairs."""
+    out = simhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash_join.digits().alias("fingerprint"), "component_id")

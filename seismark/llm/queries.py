@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.llm import decontamination, jaccard_join, language_id, license_scan, packing, perplexity, quality_rules, simhash_join, substring_dedup, token_store, url_filter
+from seismark.llm import decontamination, hard_negatives, jaccard_join, language_id, license_scan, packing, perplexity, quality_rules, simhash_join, substring_dedup, token_store, url_filter
 from seismark.llm.registry import query, table
 
 
@@ -112,3 +112,18 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No twin: DuckDB has no XXH64 with a seed; tests compare with all pairs."""
     out = simhash_join.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash_join.digits().alias("fingerprint"), "component_id")
+
+
+OP13_SQL = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, (row_number() over w)::integer as rank, id as negative_id, positive_score, score as negative_score from p join s using (anchor_id)
+  where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+  window w as (partition by anchor_id, positive_id order by score desc, id) qualify row_number() over w <= 10"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.prepared(table(spark, sf_dir, "embeddings")), F.col("kid") % 100 == 0)

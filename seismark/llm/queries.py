@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.llm import decontamination, hard_negatives, jaccard_join, language_id, license_scan, packing, perplexity, quality_rules, simhash_join, substring_dedup, token_store, url_filter
+from seismark.llm import decontamination, hard_negatives, jaccard_join, language_id, license_scan, packing, perplexity, quality_rules, ranked_search, simhash_join, substring_dedup, token_store, url_filter
 from seismark.llm.registry import query, table
 
 
@@ -127,3 +127,20 @@ select anchor_id, positive_id, (row_number() over w)::integer as rank, id as neg
 @query("op13_hard_negatives", OP13_SQL)
 def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.prepared(table(spark, sf_dir, "embeddings")), F.col("kid") % 100 == 0)
+
+
+OP11_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as t from documents),
+q as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as t from benchmark),
+c as (select count(*)::bigint as n, sum(len(t))::bigint as l from d where len(t) > 0),
+qt as (select item_id, term, count(*) as times from (select item_id, unnest(t) as term from q) group by all),
+tf as (select doc_id, term, count(*) as tf, any_value(m) as m from (select doc_id, unnest(t) as term, 75 + (25 * len(t) * n) // l as m from d, c where len(t) > 0) where term in (select term from qt) group by all),
+w as (select term, floor(1000 * ln((2 * n + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, c group by term, n),
+s as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from qt join w using (term) join tf using (term) group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::integer as rank, doc_id, score from s where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

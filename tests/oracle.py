@@ -51,7 +51,7 @@ def compare(spark, con, name, fn, sql, sf_dir) -> dict:
     stypes = dict(df.dtypes)
     bad = [c for c, t in zip(cols, types)
            if (t in ("DOUBLE", "FLOAT")) != (stypes[c] == "double") or t in ("HUGEINT", "UBIGINT") or t.startswith("DECIMAL")
-           or (t in ("BIGINT", "INTEGER")) != (stypes[c] == "bigint") or (t == "BOOLEAN") != (stypes[c] == "boolean")]
+           or (t in ("BIGINT", "INTEGER")) != (stypes[c] == "bigint" or stypes[c] == "int" and t == "INTEGER") or (t == "BOOLEAN") != (stypes[c] == "boolean")]
     if bad:
         out["why"] = "types " + str([(c, stypes[c], dict(zip(cols, types))[c]) for c in bad])
         out["ok"] = False

@@ -2,10 +2,10 @@
 
 Three kernels give the same kind of table (keys, rep, name, mean):
 
-* ``slot_replicates``: n index draws per replicate from hashed slots, the textbook case bootstrap;
+* ``draws.replicate_means``: the case bootstrap as multinomial draws on the counts of joint score vectors; the draws are shared
+  by all methods and hashed, the cost depends on the number of distinct vectors and not on n;
 * ``poisson_replicates``: independent Poisson(1) case weights, one pass and no join, for very large n;
-* ``histogram_replicates``: multinomial draws on the counts of distinct values. The distribution is that of
-  the case bootstrap, but the cost depends on the number of distinct values and not on n.
+* ``histogram_replicates``: multinomial draws on the counts of distinct values of one pair.
 """
 
 from __future__ import annotations
@@ -18,11 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seismark.functions.series import row_index
 from seismark.functions.stats import TIE_EPS, hash32, pctl, sgn
-from seismark.operators.compare import CASE, PAIR, pair_array
-
-SLOT_BLOCK = 4096
+from seismark.operators.compare import PAIR, pair_array
+from seismark.operators.draws import counted_quantiles, replicate_means, replicate_values
 
 
 def spread_parts(df: DataFrame) -> int:
@@ -30,38 +28,6 @@ def spread_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def index_units(df: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
-    """Give each unit a 0-based ``idx`` in an order that is independent of the data layout."""
-    h = F.md5(F.col(unit))
-    x = row_index(df.withColumn("_h", h), keys, F.substring("_h", 1, 3), [F.col("_h"), F.col(unit)], "idx")
-    return x.drop("_h")
-
-
-def slot_draws(sizes: DataFrame, group: str, reps: int, seed: int) -> DataFrame:
-    """(group, rep, idx): n draws with replacement for each replicate; slots are made in spread-out blocks."""
-    parts = spread_parts(sizes)
-    blocks = (
-        sizes.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SLOT_BLOCK))).alias("block"))
-        .repartition(parts, group, "rep", "block")
-    )
-    lo = F.col("block") * SLOT_BLOCK
-    slots = blocks.select(group, "n", "rep", F.explode(
-        F.sequence(lo, F.least(lo + (SLOT_BLOCK - 1), F.col("n") - 1))).alias("slot"))
-    return slots.select(group, "rep", (hash32(F.lit(seed), "rep", group, "slot") % F.col("n")).alias("idx"))
-
-
-def slot_replicates(items: DataFrame, group: str, unit: str, reps: int, seed: int,
-                    keep: Sequence[str] = ()) -> DataFrame:
-    """Replicate means per (group, rep, name) of ``items``: one row per unit with an array of (name, v)."""
-    indexed = index_units(items, [group], unit)
-    sizes = items.groupBy(group).agg(F.count("*").alias("n"))
-    # the planner cannot see that the draws are reps times the cases; without the hint it may broadcast them
-    drawn = slot_draws(sizes, group, reps, seed).join(indexed.hint("shuffle_hash"), [group, "idx"])
-    return (drawn.select(group, *keep, "rep", F.explode("items").alias("it"))
-            .groupBy(group, *keep, "rep", F.col("it.name").alias("name")).agg(F.avg("it.v").alias("mean")))
-
-
 def case_items(cs: DataFrame) -> DataFrame:
     """One row per case with the array of its method scores (as many entries as there are methods)."""
     return cs.groupBy("family", "subsystem_id", "case_id").agg(
@@ -70,17 +36,15 @@ def case_items(cs: DataFrame) -> DataFrame:
 
 def method_replicates(cs: DataFrame, reps: int, seed: int = 7) -> DataFrame:
     """(family, subsystem_id, rep, method, score) from one set of draws shared by all methods."""
-    r = slot_replicates(case_items(cs), "subsystem_id", "case_id", reps, seed, keep=["family"])
+    r = replicate_means(case_items(cs), "subsystem_id", reps, seed, keep=["family"])
     return r.select("family", "subsystem_id", "rep", F.col("name").alias("method"), F.col("mean").alias("score"))
 
 
 def pair_replicates(cs: DataFrame, reps: int, seed: int = 7) -> DataFrame:
     """Mean paired difference per replicate over the drawn cases that both methods of the pair cover, so the interval belongs
     to the delta of the matched cases. The draws are those of ``method_replicates``."""
-    prs = F.transform(pair_array("ms"), lambda p: F.struct(F.concat_ws("|", p["a"], p["b"]).alias("name"), (p["ya"] - p["yb"]).alias("v")))
-    items = cs.groupBy(*CASE).agg(F.collect_list(F.struct("method", "score")).alias("ms")).select(*CASE, prs.alias("items"))
-    r = slot_replicates(items, "subsystem_id", "case_id", reps, seed, keep=["family"])
-    return r.select("family", F.substring_index("name", "|", 1).alias("a"), F.substring_index("name", "|", -1).alias("b"), "subsystem_id", "rep", F.col("mean").alias("d"))
+    r = replicate_means(case_items(cs), "subsystem_id", reps, seed, keep=["family"], pairs=True)
+    return r.select("family", "a", "b", "subsystem_id", "rep", F.col("mean").alias("d"))
 
 
 def replicate_differences(mr: DataFrame) -> DataFrame:
@@ -203,24 +167,26 @@ def strata_replicates(cs: DataFrame, reps: int, seed: int = 7) -> DataFrame:
     cell = F.concat_ws("@", "subsystem_id", "fault")
     items = cs.withColumn("cell", cell).groupBy("family", "subsystem_id", "cell", "case_id").agg(
         F.collect_list(F.struct(F.col("method").alias("name"), F.col("score").alias("v"))).alias("items"))
-    r = slot_replicates(items, "cell", "case_id", reps, seed, keep=["family", "subsystem_id"])
+    r = replicate_means(items, "cell", reps, seed, keep=["family", "subsystem_id"])
     return (r.groupBy("family", "subsystem_id", "rep", F.col("name").alias("method")).agg(F.avg("mean").alias("score")))
 
 
-def bonferroni(deltas: DataFrame, reps: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Intervals at level alpha / m, with m the number of (pair, subsystem) comparisons of the family."""
+def bonferroni(cs: DataFrame, deltas: DataFrame, pooled: DataFrame, reps: int = 400_000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
+    """Intervals at level alpha and at alpha / m, with m the number of (pair, subsystem) comparisons, and the reversals each supports.
+
+    A delta is reversed when its sign differs from the pooled one (subsystems equal), supported when the interval lies off zero.
+    """
+    keys = [*PAIR, "subsystem_id"]
     m = deltas.groupBy("family").agg(F.count("*").alias("m"))
-    ordered = reps.groupBy(*PAIR, "subsystem_id").agg(F.sort_array(F.collect_list("d")).alias("ds"))
+    values = replicate_values(case_items(cs), "subsystem_id", reps, seed, keep=["family"]).join(F.broadcast(m), "family")  # a row per family
     q = F.lit(alpha) / (2 * F.col("m"))
-
-    def at(p: Column) -> Column:
-        pos = p * (F.size("ds") - 1)
-        lo = F.floor(pos).cast("int")
-        hi = F.least(lo + 1, F.size("ds") - 1)
-        return F.get("ds", lo) + (pos - lo) * (F.get("ds", hi) - F.get("ds", lo))
-
-    return (ordered.join(m, "family").select(*PAIR, "subsystem_id", "m", at(q).alias("lo"), at(1 - q).alias("hi"))
-            .join(deltas.select(*PAIR, "subsystem_id", "n", "delta"), [*PAIR, "subsystem_id"]))
+    ci = counted_quantiles(values, [*keys, "m"], {"lo95": F.lit(alpha / 2), "hi95": F.lit(1 - alpha / 2), "lo": q, "hi": 1 - q})
+    zero = values.groupBy(*keys).agg((F.sum(F.when(F.abs("d") <= 1e-12, F.col("times")).otherwise(0)) / F.sum("times")).alias("p_zero"))
+    x = ci.join(zero, keys).join(deltas.select(*keys, "n", "delta"), keys).join(pooled.select(*PAIR, "pooled_se"), PAIR)
+    reversed_ = (F.abs("pooled_se") > TIE_EPS) & (F.col("delta") != 0) & (F.signum("delta") != F.signum("pooled_se"))
+    off = lambda lo, hi: (F.col(lo) > 0) | (F.col(hi) < 0)
+    return x.select(*keys, "m", "n", "delta", "pooled_se", "lo95", "hi95", "lo", "hi", "p_zero", reversed_.alias("point_reversal"),
+                    (reversed_ & off("lo95", "hi95")).alias("rev_ci95"), (reversed_ & off("lo", "hi")).alias("rev_ci_adj"))
 
 
 def holm(df: DataFrame, group: Sequence[str], p: str = "p", tie: Sequence[str] = ()) -> DataFrame:
@@ -263,7 +229,7 @@ def tolerance_replicates(scores: DataFrame, reps: int, seed: int = 7) -> DataFra
     """Replicate means per (system, tolerance, method); draws do not depend on the tolerance."""
     items = scores.groupBy("system", "case_id").agg(F.collect_list(
         F.struct(F.concat_ws("@", "method", F.col("tol").cast("string")).alias("name"), F.col("score").alias("v"))).alias("items"))
-    r = slot_replicates(items, "system", "case_id", reps, seed)
+    r = replicate_means(items, "system", reps, seed)
     return r.select("system", "rep", F.substring_index("name", "@", 1).alias("method"),
                     F.substring_index("name", "@", -1).cast("int").alias("tol"), F.col("mean").alias("score"))
 

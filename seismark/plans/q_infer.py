@@ -11,7 +11,7 @@ from seismark.operators import resample as R
 from seismark.plans import fixtures as X
 from seismark.plans.q_compare import cs, csf, dci, deltas, difficulty, kept, mreps, reps, shared_cs
 from seismark.plans.registry import cte, query
-from seismark.plans.sqltext import REPS, chi2_sql, h32, names, sg
+from seismark.plans.sqltext import FAMILY_OF, REPS, chi2_sql, draw_ctes, h32, means_sql, names, sg, vectors_sql
 
 
 @query("i01_boot_ci", "select family, a, b, subsystem_id, n, delta, lo, hi from dci", rnd="delta lo hi")
@@ -20,17 +20,18 @@ def i01(spark, sf):
 
 
 CUTS = R.POISSON1_CUTS
+POISSON_REPS = 100
 POIS = "(" + " + ".join(f"(h >= {c})::int" for c in CUTS) + ")"
 
 
 @query("i01_boot_poisson", f"""
 with w as (select family, subsystem_id, case_id, rep, {POIS} as w from (select family, subsystem_id, case_id, rep, {h32("'7'", 'rep', 'case_id')} as h
-           from casesx cross join (select unnest(range({REPS})) as rep)))
+           from casesx cross join (select unnest(range({POISSON_REPS})) as rep)))
 select w.family, w.subsystem_id, method, quantile_cont(score, 0.025) as lo, quantile_cont(score, 0.975) as hi from
  (select w.family, w.subsystem_id, rep, method, sum(w * score) / sum(w) as score from w join cs using (case_id) where w > 0
   group by w.family, w.subsystem_id, rep, method) w group by all""", rnd="lo hi")
 def i01p(spark, sf):
-    r = R.poisson_replicates(cs(spark, sf), REPS)
+    r = R.poisson_replicates(cs(spark, sf), POISSON_REPS)
     return R.percentile_ci(r, ["family", "subsystem_id", "method"], "score")
 
 
@@ -66,13 +67,9 @@ def i04(spark, sf):
     return R.crossing_p(reps(spark, sf), [*C.PAIR, "subsystem_id"])
 
 
-cte("cells5", """select family, subsystem_id, cell, case_id, row_number() over (partition by cell order by md5(case_id), case_id) - 1 as idx,
-  count(*) over (partition by cell) as n from (select distinct family, subsystem_id, concat_ws('@', subsystem_id, fault) as cell, case_id from csf)""")
-cte("strata", f"""select family, subsystem_id, rep, method, avg(m) as score from (
-  select c.family, c.subsystem_id, d.cell, d.rep, s.method, avg(s.score) as m from
-   (select cell, rep, {h32("'7'", 'rep', 'cell', 'slot')} % n as idx from (select cell, rep, n, unnest(range(n)) as slot from
-      (select distinct cell, n from cells5) cross join (select unnest(range({REPS})) as rep))) d
-   join cells5 c on c.cell = d.cell and c.idx = d.idx join cs s on s.case_id = c.case_id group by all) group by all""")
+draw_ctes("draws5", vectors_sql("(select *, concat_ws('@', subsystem_id, fault) as cell5 from csf)", "cell5"), "cell5", REPS)
+cte("strata", f"""select family, subsystem_id, rep, name as method, avg(mean) as score from ({means_sql("draws5", "cell5")})
+  join (select distinct family, subsystem_id, concat_ws('@', subsystem_id, fault) as cell5 from csf) using (cell5) group by all""")
 
 
 @query("i05_boot_strata", """select family, subsystem_id, method, quantile_cont(score, 0.025) as lo, quantile_cont(score, 0.975) as hi from strata group by all""", rnd="lo hi")
@@ -80,13 +77,11 @@ def i05(spark, sf):
     return R.percentile_ci(R.strata_replicates(kept(spark, sf, "csf", lambda: csf(spark, sf)), REPS), ["family", "subsystem_id", "method"], "score")
 
 
-@query("i06_bonferroni", """
-select family, a, b, subsystem_id, m, list_sort(ds)[1 + floor(q * 99)::int] * (1 - (q * 99 - floor(q * 99))) + list_sort(ds)[2 + floor(q * 99)::int] * (q * 99 - floor(q * 99)) as lo,
-  list_sort(ds)[1 + floor((1 - q) * 99)::int] * (1 - ((1 - q) * 99 - floor((1 - q) * 99))) + list_sort(ds)[2 + floor((1 - q) * 99)::int] * ((1 - q) * 99 - floor((1 - q) * 99)) as hi, n, delta
-from (select family, a, b, subsystem_id, list(d) as ds from reps group by all) join (select family, count(*) as m, 0.05::double / 2 / count(*) as q from deltas group by all) using (family)
-join deltas using (family, a, b, subsystem_id)""", rnd="lo hi delta")
+@query("i06_bonferroni")
 def i06(spark, sf):
-    return R.bonferroni(deltas(spark, sf, True), reps(spark, sf))
+    """400,000 replicates, so that the tails of 0.05 / (2 m) hold hundreds of them; rows only, tests compare with numpy."""
+    d = deltas(spark, sf, True)
+    return R.bonferroni(shared_cs(spark, sf), d, C.pool(d))
 
 
 @query("i07_holm", """
@@ -103,10 +98,8 @@ def i08(spark, sf):
     return R.both_signs(reps(spark, sf))
 
 
-cte("mreps2", f"""select c.family, d.subsystem_id, d.rep, s.method, avg(s.score) as score from
-  (select subsystem_id, rep, {h32("'8'", 'rep', 'subsystem_id', 'slot')} % n as idx from
-    (select subsystem_id, rep, n, unnest(range(n)) as slot from (select distinct subsystem_id, n from casesx) cross join (select unnest(range({REPS})) as rep))) d
-  join casesx c on d.subsystem_id = c.subsystem_id and d.idx = c.idx join cs s on s.case_id = c.case_id group by all""")
+draw_ctes("drawsb", vectors_sql("cs", "subsystem_id"), "subsystem_id", REPS, seed=8)
+cte("mreps2", f"select family, m.subsystem_id, rep, name as method, mean as score from ({means_sql('drawsb', 'subsystem_id')}) m join {FAMILY_OF} using (subsystem_id)")
 
 
 @query("i09_win_probability", f"""

@@ -15,7 +15,7 @@ from seismark.plans import fixtures as X
 from seismark.plans.q_compare import alt_cs, cs, deltas
 from seismark.plans.q_text import p13, picks
 from seismark.plans.registry import cte, query, table
-from seismark.plans.sqltext import REPS, deltas_sql, diffs_sql, h32
+from seismark.plans.sqltext import REPS, deltas_sql, diffs_sql, draw_ctes, h32, pair_means_sql, vectors_sql
 
 KEYS = ["case_id", "method", "seed"]
 OK_SQL = "cast(split_part(split_part(case_id, '|', 2), '#', 1) as bigint)"
@@ -503,11 +503,8 @@ def q16(spark, sf):
 cte("gcs", "select family, subsystem_id, case_id, method, avg(score) as score from gappy group by all")
 cte("gdiffs", diffs_sql("gcs"))
 cte("gdeltas", deltas_sql("gdiffs"))
-cte("gcasesx", """select family, subsystem_id, case_id, row_number() over (partition by subsystem_id order by md5(case_id), case_id) - 1 as idx,
-  count(*) over (partition by subsystem_id) as n from (select distinct family, subsystem_id, case_id from gcs)""")
-cte("greps", f"""select x.family, x.a, x.b, w.subsystem_id, w.rep, avg(x.d) as d from (select subsystem_id, rep, {h32("'7'", 'rep', 'subsystem_id', 'slot')} % n as idx from
-    (select subsystem_id, rep, n, unnest(range(n)) as slot from (select distinct subsystem_id, n from gcasesx) cross join (select unnest(range({REPS})) as rep))) w
-  join gcasesx c on w.subsystem_id = c.subsystem_id and w.idx = c.idx join gdiffs x on x.case_id = c.case_id group by all""")
+draw_ctes("gdraws", vectors_sql("gcs", "subsystem_id"), "subsystem_id", REPS)
+cte("greps", f"select family, a, b, p.subsystem_id, rep, d from ({pair_means_sql('gdraws', 'subsystem_id')}) p join (select distinct family, subsystem_id from gcs) using (subsystem_id)")
 
 
 @query("i01_boot_ci_gaps", """select family, a, b, subsystem_id, n, delta, lo, hi from gdeltas join (select family, a, b, subsystem_id, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi

@@ -1,5 +1,6 @@
 """SQL twins shared by several queries."""
 
+from seismark.operators.draws import MIX_1, MIX_2, STEP
 from seismark.plans.registry import cte
 
 
@@ -11,7 +12,7 @@ def names(cond: str) -> str:
     return f"coalesce(string_agg(subsystem_id, ';' order by subsystem_id) filter (where {cond}), '')"
 
 
-REPS = 100
+REPS = 10_000
 
 
 def layered(src: str) -> str:
@@ -53,17 +54,69 @@ def h32(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::bigint"
 
 
-# bootstrap: cases in hash order, hashed slots, replicate means per method, replicate differences per pair
-cte("casesx", """select family, subsystem_id, case_id,
-  row_number() over (partition by subsystem_id order by md5(case_id), case_id) - 1 as idx,
-  count(*) over (partition by subsystem_id) as n from (select distinct family, subsystem_id, case_id from cs)""")
-cte("draws", f"""select subsystem_id, rep, {h32("'7'", 'rep', 'subsystem_id', 'slot')} % n as idx from
-  (select subsystem_id, rep, n, unnest(range(n)) as slot from
-    (select distinct subsystem_id, n from casesx) cross join (select unnest(range({REPS})) as rep))""")
-cte("mreps", """select c.family, d.subsystem_id, d.rep, s.method, avg(s.score) as score
-  from draws d join casesx c on d.subsystem_id = c.subsystem_id and d.idx = c.idx join cs s on s.case_id = c.case_id group by all""")
-cte("reps", """select x.family, x.a, x.b, w.subsystem_id, w.rep, avg(x.d) as d
-  from draws w join casesx c on w.subsystem_id = c.subsystem_id and w.idx = c.idx join diffs x on x.case_id = c.case_id group by all""")
+def mixed(src: str, x: str, y: str) -> str:
+    """``src`` with the hash ``draws.mix32`` of the expression x as column y. One step a subquery: DuckDB would repeat the
+    expression of an alias that is used twice."""
+    step = lambda inner, e, c: f"(select *, {e} as {c} from {inner})"
+    out = step(src, x, f"{y}0")
+    out = step(out, f"(xor({y}0, {y}0 >> 16) * {MIX_1}) % 4294967296", f"{y}1")
+    out = step(out, f"(xor({y}1, {y}1 >> 15) * {MIX_2}) % 4294967296", f"{y}2")
+    return f"(select * exclude ({y}0, {y}1, {y}2), xor({y}2, {y}2 >> 15) as {y} from {out})"
+
+
+def draw_ctes(name: str, vectors: str, group: str, reps: int, seed: int = 7, height: int = 6, powers: int = 14) -> None:
+    """Multinomial draws of the cells of each group as ``name`` (group, rep, cell, n), level by level down the tree over the cells.
+
+    ``vectors``: (group, v, c), the distinct score vectors and their counts; at most 2 ** height of them in a group, and
+    fewer than 2 ** powers cases.
+    """
+    cte(f"{name}_c", f"select {group}, v, c, row_number() over (partition by {group} order by v) - 1 as cell from ({vectors})")
+    cte(f"{name}_w", f"""select {group}, h, cell >> (h + 1) as i, {h32(f"'{seed}'", group)} as stream, coalesce(sum(c) filter (where (cell >> h) % 2 = 0), 0)::bigint as wl, sum(c)::bigint as w
+      from {name}_c cross join (select unnest(range({height})) as h) group by all""")
+    cte(f"{name}_t", f"""select {group}, h, i, j, count(*) filter (where t <= 0) as base, coalesce(list(t order by x) filter (where t > 0 and t < 4294967296), []) as cuts
+      from (select {group}, h, i, j, m, x, floor(least(1.0::double, sum(exp(lgamma(m + 1) - lgamma(x + 1) - lgamma(m - x + 1) + x * ln(p) + (m - x) * ln(1 - p)))
+          over (partition by {group}, h, i, j order by x)) * 4294967296)::bigint as t
+        from (select *, unnest(range(m)) as x from (select {group}, h, i, j, wl / w as p, 1 << j as m from {name}_w cross join (select unnest(range({powers})) as j)
+          join (select {group}, sum(c) as total from {name}_c group by all) sizes using ({group}) where wl > 0 and wl < w and 1 << j <= total)))
+      where x < m group by all""")
+    before = f"{name}_top"
+    cte(before, f"select {group}, rep, 0 as i, sum(c)::bigint as n from {name}_c cross join (select unnest(range({reps})) as rep) group by all")
+    for h in range(height - 1, -1, -1):
+        hashed = "bits"
+        for x, y in ((f"(stream + ({h} * 64 + j) * {STEP}) % 4294967296", "a"), ("(a + i) % 4294967296", "b"), ("(b + rep) % 4294967296", "c"), ("(c + a) % 4294967296", "u")):
+            hashed = mixed(hashed, x, y)
+        cte(f"{name}_l{h}", f"""
+          with node as (select l.{group}, rep, l.i, n, wl, w, stream from {before} l join {name}_w k on k.{group} = l.{group} and k.i = l.i where k.h = {h} and n > 0),
+          bits as (select {group}, rep, i, stream, unnest(list_filter(range({powers}), lambda b: (n >> b) % 2 = 1)) as j from node where wl > 0 and wl < w),
+          keyed as (select r.{group}, rep, r.i, u, base, cuts from {hashed} r join {name}_t t on t.{group} = r.{group} and t.i = r.i and t.j = r.j where t.h = {h}),
+          lefts as (select {group}, rep, i, sum(base + len(list_filter(cuts, lambda t: t <= u)))::bigint as k from keyed group by all),
+          both_ as (select {group}, rep, i, n, case when wl = w then n when wl = 0 then 0 else coalesce(k, 0) end as k from node left join lefts using ({group}, rep, i))
+          select {group}, rep, 2 * i as i, k as n from both_ where k > 0 union all select {group}, rep, 2 * i + 1, n - k from both_ where n > k""")
+        before = f"{name}_l{h}"
+    cte(name, f"select {group}, rep, i as cell, n from {before}")
+
+
+def vectors_sql(src: str, group: str, keys: str = "case_id", item: str = "method", value: str = "score") -> str:
+    return (f"select {group}, v, count(*) as c from (select {group}, {keys}, list({{'name': {item}, 'v': {value}}} order by {item}) as v from {src} group by all) group by all")
+
+
+def means_sql(name: str, group: str) -> str:
+    """(group, rep, name, mean)"""
+    return (f"select d.{group}, rep, e.name as name, sum(n * e.v) / sum(n) as mean from {name} d join (select {group}, cell, unnest(v) as e from {name}_c) using ({group}, cell) group by all")
+
+
+def pair_means_sql(name: str, group: str) -> str:
+    """(group, rep, a, b, d)"""
+    return (f"select d.{group}, rep, a, b, sum(n * y) / sum(n) as d from {name} d join (select x.{group}, x.cell, x.e.name as a, y.e.name as b, x.e.v - y.e.v as y "
+            f"from (select {group}, cell, unnest(v) as e from {name}_c) x join (select {group}, cell, unnest(v) as e from {name}_c) y on x.{group} = y.{group} and x.cell = y.cell and x.e.name < y.e.name) "
+            f"using ({group}, cell) group by all")
+
+
+# bootstrap: multinomial draws of the joint score vectors, replicate means per method, replicate differences per pair
+FAMILY_OF = "(select distinct family, subsystem_id from cs)"
+draw_ctes("draws", vectors_sql("cs", "subsystem_id"), "subsystem_id", REPS)
+cte("mreps", f"select family, m.subsystem_id, rep, name as method, mean as score from ({means_sql('draws', 'subsystem_id')}) m join {FAMILY_OF} using (subsystem_id)")
+cte("reps", f"select family, a, b, p.subsystem_id, rep, d from ({pair_means_sql('draws', 'subsystem_id')}) p join {FAMILY_OF} using (subsystem_id)")
 cte("dci", """select deltas.*, lo, hi from deltas join (select family, a, b, subsystem_id, quantile_cont(d, 0.025) as lo,
   quantile_cont(d, 0.975) as hi from reps group by all) using (family, a, b, subsystem_id)""")
 cte("dcip", "select * from dci join pooled using (family, a, b)")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seismark.functions.stats import TIE_EPS, sgn
+from seismark.functions.stats import TIE_EPS, sgn, pctl
 
 PAIR = ["family", "a", "b"]
 CASE = ["family", "subsystem_id", "case_id"]
@@ -230,15 +230,22 @@ def small_sample(d: DataFrame, mins: Sequence[int] = (0, 25, 50)) -> DataFrame:
 
 
 def compare_conditions(ref: DataFrame, alt: DataFrame) -> DataFrame:
-    """Sign change (a tie against either side counts) and reversal status of each pair x subsystem under two conditions."""
+    """Sign change (a tie against either side counts) and reversal status of each pair x subsystem under two conditions.
+
+    With intervals (lo, hi) in both tables also the reversals that these confirm, and where the confirmation changes.
+    """
+    ci = {"lo", "hi"} <= set(ref.columns) & set(alt.columns)
+
     def side(d: DataFrame, tag: str) -> DataFrame:
         x = join_pooled(d)
-        return x.select(*PAIR, "subsystem_id", F.col("delta").alias(f"delta_{tag}"), F.col("pooled_se").alias(f"pooled_{tag}"),
-                        (sgn("delta") * sgn("pooled_se") < 0).alias(f"rev_{tag}"))
+        named = [F.col(c).alias(f"{c}_{tag}") for c in ("n", "acc_a", "acc_b", "delta", *(("lo", "hi") if ci else ()))]
+        flags = [ci_reversal("pooled_se").alias(f"rev_ci_{tag}")] if ci else []
+        return x.select(*PAIR, "subsystem_id", *named, F.col("pooled_se").alias(f"pooled_{tag}"), (sgn("delta") * sgn("pooled_se") < 0).alias(f"rev_{tag}"), *flags)
 
-    return side(ref, "ref").join(side(alt, "alt"), [*PAIR, "subsystem_id"]).select(
+    j = side(ref, "ref").join(side(alt, "alt"), [*PAIR, "subsystem_id"]).select(
         "*", (sgn("delta_ref") != sgn("delta_alt")).alias("sign_change"),
         (F.col("rev_ref") != F.col("rev_alt")).alias("status_change"))
+    return j.withColumn("ci_status_change", F.col("rev_ci_ref") != F.col("rev_ci_alt")) if ci else j
 
 
 def kendall_tau(ref: DataFrame, alt: DataFrame) -> DataFrame:
@@ -302,15 +309,37 @@ def common_values(df: DataFrame, value: str, over: str, keys: Sequence[str] = ()
     return have.join(total, list(keys)).filter("_h = _k").select(*keys, value)
 
 
+def common_faults(cs: DataFrame) -> DataFrame:
+    """Scores of the fault classes that every subsystem of the family has."""
+    return cs.join(common_values(cs, "fault", "subsystem_id", ["family"]), ["family", "fault"], "left_semi")
+
+
 def reweighted(cs: DataFrame) -> DataFrame:
     """Deltas with each common fault class weighing the same."""
-    common = common_values(cs, "fault", "subsystem_id", ["family"])
-    d = pair_diffs(cs, [*CASE, "fault"]).join(common, ["family", "fault"], "left_semi")
+    d = pair_diffs(common_faults(cs), [*CASE, "fault"])
     cell = d.groupBy(*PAIR, "subsystem_id", "fault").agg(F.avg("d").alias("cell"), F.count("*").alias("n"), F.sum("d").alias("s"))
     return cell.groupBy(*PAIR, "subsystem_id").agg(
         F.count("*").alias("classes"), (F.sum("s") / F.sum("n")).alias("delta_raw"), F.avg("cell").alias("delta_rw"))
 
 
+def reweighted_reversals(cs: DataFrame, rw: DataFrame, reps: DataFrame) -> DataFrame:
+    """Plain and re-weighted deltas of each pair x subsystem with their pooled values, the interval of the re-weighted delta and
+    the reversals under both; pairs of one subsystem only are left out.
+
+    ``cs``: scores of all faults, ``rw``: their ``reweighted``, ``reps``: (family, a, b, subsystem_id, rep, d) of the re-weighted delta.
+    """
+    keys = [*PAIR, "subsystem_id"]
+    faults = pair_diffs(cs, [*CASE, "fault"]).groupBy(*keys, "fault").agg(F.avg("d").alias("d"), F.sum("d").alias("s"), F.count("*").alias("c"))
+    ref = faults.groupBy(*keys).agg((F.sum("s") / F.sum("c")).alias("delta_ref"), ((F.max("d") > 0) & (F.min("d") < 0)).alias("fault_sign_disagree"))
+    ci = reps.groupBy(*keys).agg(pctl("d", 0.025).alias("lo_rw"), pctl("d", 0.975).alias("hi_rw"))
+    x = ref.join(rw.select(*keys, "classes", "delta_rw"), keys).join(ci, keys)
+    w = W.partitionBy(*PAIR)  # the subsystems of a pair
+    x = x.withColumns({"pooled_ref": F.avg("delta_ref").over(w), "pooled_rw": F.avg("delta_rw").over(w), "_k": F.count("*").over(w)}).filter("_k >= 2")
+    off = ((F.col("pooled_rw") > TIE_EPS) & (F.col("hi_rw") < 0)) | ((F.col("pooled_rw") < -TIE_EPS) & (F.col("lo_rw") > 0))
+    return x.drop("_k").select("*", (sgn("delta_ref") * sgn("pooled_ref") < 0).alias("rev_ref"), (sgn("delta_rw") * sgn("pooled_rw") < 0).alias("rev_rw"),
+                               off.alias("rev_ci_rw"), (sgn("delta_ref") != sgn("delta_rw")).alias("sign_change"))
+
+
 def fault_composition(cs: DataFrame, faults: Sequence[str]) -> DataFrame:
     x = cs.select(*CASE, "fault").distinct()
     return x.groupBy("family", "subsystem_id").pivot("fault", list(faults)).count().na.fill(0)

@@ -303,29 +303,65 @@ def graph_protocol(edges: DataFrame, protocol: str) -> DataFrame:
     raise ValueError(f"unknown graph protocol {protocol}")
 
 
-def all_distances(edges: DataFrame) -> DataFrame:
-    """Undirected shortest-path lengths from every node: a join per hop until no new pair appears, lineage cut after each."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = checkpoint(both)
-    seen = both.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("other"), F.lit(0).alias("dist"))
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Every edge in both directions, once."""
+    return checkpoint(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+
+
+def distances_from(both: DataFrame, sources: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(node, other, dist): shortest-path lengths from the nodes of ``sources``, a join per hop, lineage cut after each.
+
+    With ``wanted`` (node, other) a node's search ends when all its wanted nodes are found.
+    """
+    seen = checkpoint(sources.select("node").distinct().select("node", F.col("node").alias("other"), F.lit(0).alias("dist")))
     front = seen
     for hop in count(1):
+        if wanted is not None:
+            open_ = wanted.join(seen, ["node", "other"], "left_anti").select("node").distinct()
+            front = front.join(open_, "node", "left_semi")
         nxt = front.join(both, front["other"] == both["src"]).select("node", F.col("dst").alias("other")).distinct()
         front = checkpoint(nxt.join(seen, ["node", "other"], "left_anti").withColumn("dist", F.lit(hop)))
         if front.isEmpty():
-            break
+            return seen
         seen = checkpoint(seen.unionByName(front))
-    return seen
+
+
+def diameter(both: DataFrame, at_once: int = 16) -> int:
+    """The longest shortest path, from a few searches: a search from v with eccentricity e bounds every node u it reaches,
+    max(d, e - d) <= ecc(u) <= e + d. Nodes that cannot exceed the best lower bound are out; the most promising are searched next.
+    """
+    inf = 2**31 - 1
+    state = both.select(F.col("src").alias("node")).distinct().withColumns({"lo": F.lit(0), "hi": F.lit(inf)})
+    state, best = checkpoint(state), 0
+    while True:
+        pick = state.filter(F.col("hi") > best).orderBy(F.desc("hi"), F.desc("lo"), F.xxhash64("node")).limit(at_once).select("node")
+        d = distances_from(both, checkpoint(pick))
+        ecc = d.groupBy("node").agg(F.max("dist").alias("e"))
+        top = ecc.agg(F.max("e")).first()[0]
+        if top is None:  # no node is left that could lie farther
+            return best
+        best = max(best, top)
+        b = d.join(ecc, "node").groupBy("other").agg(F.max(F.greatest("dist", F.col("e") - F.col("dist"))).alias("l"), F.min(F.col("e") + F.col("dist")).alias("h"))
+        own = ecc.select(F.col("node").alias("other"), F.col("e").alias("l2"))
+        b = b.join(own, "other", "left").select(F.col("other").alias("node"), F.coalesce("l2", "l").alias("l"), F.coalesce("l2", "h").alias("h"))
+        state = checkpoint(state.join(b, "node", "left").select("node", F.greatest("lo", F.coalesce("l", "lo")).alias("lo"), F.least("hi", F.coalesce("h", "hi")).alias("hi")))
+        best = max(best, state.agg(F.max("lo")).first()[0])
 
 
 def graph_distance(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Distance between predicted and true node; diameter + 1 where a node is missing or out of reach."""
-    d = all_distances(edges)
-    fallback = d.agg(F.max("dist") + 1).scalar()
+    """Distance between predicted and true node; diameter + 1 where a node is missing or out of reach.
+
+    Only the predicted nodes are searched from, and only until their true nodes are found; the diameter is made if it is needed.
+    """
+    both = both_ways(edges)
+    nodes = both.select(F.col("src").alias("node")).distinct()
+    asked = checkpoint(pairs.select(F.col("pred").alias("node"), F.col("truth").alias("other")).distinct().join(nodes, "node", "left_semi").join(
+        nodes.select(F.col("node").alias("other")), "other", "left_semi").select("node", "other"))
+    d = distances_from(both, asked, asked)
     j = pairs.join(d.select(F.col("node").alias("pred"), F.col("other").alias("truth"), "dist"), ["pred", "truth"], "left")
-    nodes = d.select(F.col("node").alias("truth")).distinct().withColumn("in_graph", F.lit(True))
-    j = j.join(nodes, "truth", "left")
-    return j.select(*pairs.columns, F.coalesce(F.col("dist"), fallback).alias("dist"), F.coalesce("in_graph", F.lit(False)).alias("in_graph"))
+    j = j.join(nodes.select(F.col("node").alias("truth"), F.lit(True).alias("in_graph")), "truth", "left")
+    far = None if j.filter("dist is null").isEmpty() else diameter(both) + 1
+    return j.select(*pairs.columns, F.coalesce(F.col("dist"), F.lit(far).cast("int")).alias("dist"), F.coalesce("in_graph", F.lit(False)).alias("in_graph"))
 
 
 def prefilter_topk(scores: DataFrame, grid: DataFrame, k: int, corr_max: float = 0.98) -> DataFrame:

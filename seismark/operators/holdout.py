@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seismark.functions.series import row_index
 from seismark.functions.stats import HELDOUT_EPS, sgn
 from seismark.operators.compare import PAIR
 
@@ -179,26 +180,38 @@ def curve(o: DataFrame, thresholds: Sequence[float], by: Sequence[str] = ()) ->
         F.count("*").alias("n_decisions"), F.count_if("ok").alias("recommended"), F.count_if(F.col("ok") & err).alias("rule_errors"),
         F.count_if(F.col("ok") & (F.col("out_rule") == "tie")).alias("rule_ties"), F.count_if(F.col("ok") & F.col("strict_rule")).alias("rule_strict_errors"),
         F.count_if(~F.col("ok")).alias("flagged"), F.count_if(~F.col("ok") & err).alias("flagged_errors"),
-        F.count_if(F.col("dir_rule") != 0).alias("n_directed"), F.count_if((F.col("dir_rule") != 0) & err).alias("all_errors"))
+        F.count_if(~F.col("ok") & (F.col("out_rule") == "tie")).alias("flagged_ties"), F.count_if(~F.col("ok") & F.col("strict_rule")).alias("flagged_strict_errors"),
+        F.count_if(F.col("dir_rule") != 0).alias("n_directed"), F.count_if((F.col("dir_rule") != 0) & err).alias("all_errors"),
+        F.count_if((F.col("dir_rule") != 0) & F.col("strict_rule")).alias("all_strict_errors"))
     return g.select("*", (F.col("recommended") / F.col("n_decisions")).alias("coverage"),
-                    F.try_divide("rule_errors", "recommended").alias("rule_error_rate"), F.try_divide("flagged_errors", "flagged").alias("flagged_error_rate"))
+                    F.try_divide("rule_errors", "recommended").alias("rule_error_rate"),
+                    F.try_divide("rule_strict_errors", "recommended").alias("rule_strict_error_rate"), F.try_divide("flagged_errors", "flagged").alias("flagged_error_rate"))
 
 
 def budget_baseline(o: DataFrame, c: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Errors of the r decisions with the largest absolute margin, r being what the rule recommends."""
+    """Errors, ties and strict errors of the r decisions with the largest absolute margin, r being what the rule recommends.
+
+    Ranks run over the whole table, so they come from bands of the margin: counts of the bands before give a band its offset,
+    and no task holds more than a band.
+    """
     by = list(by)
-    tiebreak = ["family", "held_out", "a", "b"]
     out = c.select(*by, "threshold", "recommended")
-    one = o.withColumn("_g", F.lit(1))
-    r = out.withColumn("_g", F.lit(1))
-    for tag, m in (("cw", "m_cw"), ("rule", "m_se")):
-        w = W.partitionBy("_g", *by).orderBy(F.round(F.abs(m), 9).desc(), *tiebreak)
-        ranked = one.filter(F.col(f"dir_{tag}") != 0).withColumn("r", F.row_number().over(w)).select(
-            "_g", *by, "r", (F.col(f"out_{tag}") == "error").cast("int").alias("e"))
-        cum = ranked.withColumn(f"{tag}_errors", F.sum("e").over(W.partitionBy("_g", *by).orderBy("r"))).drop("e").withColumnRenamed("r", "recommended")
-        r = r.join(cum, ["_g", *by, "recommended"], "left")
-    return r.select(*by, "threshold", "recommended", F.coalesce("cw_errors", F.lit(0)).alias("pooled_only_errors"),
-                    F.coalesce("rule_errors", F.lit(0)).alias("system_equal_errors"))
+    budgets = out.select(*by, "recommended").distinct()
+    for tag, name, m in (("cw", "pooled_only", "m_cw"), ("rule", "system_equal", "m_se")):
+        size = F.round(F.abs(m), 9)
+        directed = o.filter(F.col(f"dir_{tag}") != 0)
+        # bands in falling order of the margin; margins lie in [0, 1] for scores in [0, 1], larger ones share band 0
+        band = F.greatest(F.lit(0), 1024 - F.floor(size * 1024))
+        ranked = row_index(directed, by, band, [size.desc(), F.col("family"), F.col("held_out"), F.col("a"), F.col("b")], "_i")
+        marks = ranked.select(*by, "_i", *[v.cast("long").alias(k) for k, v in (("errors", F.col(f"out_{tag}") == "error"), ("ties", F.col(f"out_{tag}") == "tie"), ("strict_errors", F.col(f"strict_{tag}")))])
+        cond = F.col("d._i") < F.col("r.recommended")
+        for k in by:
+            cond = cond & F.col(f"d.{k}").eqNullSafe(F.col(f"r.{k}"))
+        # one row for each budget, that is for each threshold at most
+        top = marks.alias("d").join(F.broadcast(budgets).alias("r"), cond).groupBy(*[F.col(f"r.{k}").alias(k) for k in by], F.col("r.recommended").alias("recommended")).agg(
+            F.count("*").alias(f"{name}_n"), *[F.sum(f"d.{k}").alias(f"{name}_{k}") for k in ("errors", "ties", "strict_errors")])
+        out = out.join(top, [*by, "recommended"], "left")
+    return out.select(*by, "threshold", "recommended", *[F.coalesce(f"{n}_{k}", F.lit(0)).alias(f"{n}_{k}") for n in ("pooled_only", "system_equal") for k in ("n", "errors", "ties", "strict_errors")])
 
 
 def _log_choose(n: Column, k: Column) -> Column:
@@ -215,7 +228,8 @@ def random_baseline(c: DataFrame) -> DataFrame:
     probs = F.transform(F.when(lo <= e, F.sequence(lo.cast("long"), e.cast("long"))).otherwise(F.array().cast("array<bigint>")),
                         lambda i: F.exp(_log_choose(k, i) + _log_choose(n - k, r - i) - total))
     p = F.aggregate(probs, F.lit(0.0), lambda s, v: s + v)
-    return c.select("*", F.try_divide(r * k, n).alias("random_expected_errors"),
+    return c.select("*", F.try_divide(r * k, n).alias("random_expected_errors"), F.try_divide(k, n).alias("random_error_rate"),
+                    F.try_divide(r * F.col("all_strict_errors"), n).alias("random_expected_strict_errors"),
                     F.when((n > 0) & (r > 0), F.least(F.lit(1.0), p)).alias("p_random_le_rule"))
 
 

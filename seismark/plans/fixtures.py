@@ -175,12 +175,17 @@ cte("answers", "select " + ", ".join(_answers_columns("varchar")) + " from order
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A call graph: every source keeps the three targets it sends most to."""
+    from pyspark.sql import Window as W
+
     li = table(spark, sf, "lineitem").filter("l_suppkey % 40 <> l_partkey % 40")
     src, dst = (F.concat(F.lit("n"), (F.col(c) % 40).cast("string")).alias(n) for c, n in (("l_suppkey", "src"), ("l_partkey", "dst")))
-    return li.groupBy(src, dst).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q")).filter("q % 23 = 0").select("src", "dst")
+    q = li.groupBy(src, dst).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    return q.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy(F.desc("q"), "dst"))).filter("r <= 3").select("src", "dst")
 
 
 cte("edges", """
-select concat('n', cast(l_suppkey % 40 as varchar)) as src, concat('n', cast(l_partkey % 40 as varchar)) as dst
-from lineitem where l_suppkey % 40 <> l_partkey % 40 group by all having sum(l_quantity::bigint) % 23 = 0
+select src, dst from (select *, row_number() over (partition by src order by q desc, dst) as r from
+  (select concat('n', cast(l_suppkey % 40 as varchar)) as src, concat('n', cast(l_partkey % 40 as varchar)) as dst, sum(l_quantity::bigint) as q
+   from lineitem where l_suppkey % 40 <> l_partkey % 40 group by all)) where r <= 3
 """)

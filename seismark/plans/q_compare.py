@@ -9,7 +9,7 @@ from seismark.operators import compare as C
 from seismark.operators import resample as R
 from seismark.plans import fixtures as X
 from seismark.plans.registry import cte, query
-from seismark.plans.sqltext import REPS, deltas_sql, diffs_sql, layered, names, pool_sql, sg
+from seismark.plans.sqltext import REPS, complete_draws, complete_pairs, deltas_sql, diffs_sql, layered, names, pool_sql, sg
 
 FAULTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -248,11 +248,18 @@ cte("alt_cs", "select family, subsystem_id, case_id, method, avg(score) as score
 cte("alt_diffs", diffs_sql("alt_cs"))
 cte("alt_deltas", deltas_sql("alt_diffs"))
 cte("alt_pooled", pool_sql("alt_deltas"))
-cte("conds", f"""select x.family, x.a, x.b, x.subsystem_id, x.delta as delta_ref, p.pooled_se as pooled_ref,
-  {sg('x.delta')} * {sg('p.pooled_se')} < 0 as rev_ref, y.delta as delta_alt, q.pooled_se as pooled_alt, {sg('y.delta')} * {sg('q.pooled_se')} < 0 as rev_alt,
-  {sg('x.delta')} <> {sg('y.delta')} as sign_change,
-  ({sg('x.delta')} * {sg('p.pooled_se')} < 0) <> ({sg('y.delta')} * {sg('q.pooled_se')} < 0) as status_change
-  from deltas x join pooled p using (family, a, b) join alt_deltas y using (family, a, b, subsystem_id) join alt_pooled q using (family, a, b)""")
+complete_draws("altdraws", "alt_cs", "subsystem_id", REPS)
+cte("alt_ci", f"""select a, b, p.subsystem_id, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from ({complete_pairs('altdraws', 'subsystem_id')}) p group by all""")
+
+
+def cond_side(tag: str, d: str, p: str, ci: str) -> str:
+    return (f"{d}.n as n_{tag}, {d}.acc_a as acc_a_{tag}, {d}.acc_b as acc_b_{tag}, {d}.delta as delta_{tag}, {ci}.lo as lo_{tag}, {ci}.hi as hi_{tag}, {p}.pooled_se as pooled_{tag}, "
+            f"{sg(f'{d}.delta')} * {sg(f'{p}.pooled_se')} < 0 as rev_{tag}, ({p}.pooled_se > 1e-9 and {ci}.hi < 0) or ({p}.pooled_se < -1e-9 and {ci}.lo > 0) as rev_ci_{tag}")
+
+
+cte("conds", f"""select *, {sg('delta_ref')} <> {sg('delta_alt')} as sign_change, rev_ref <> rev_alt as status_change, rev_ci_ref <> rev_ci_alt as ci_status_change from (
+  select x.family, x.a, x.b, x.subsystem_id, {cond_side('ref', 'x', 'p', 'x')}, {cond_side('alt', 'y', 'q', 'z')}
+  from dci x join pooled p using (family, a, b) join alt_deltas y using (family, a, b, subsystem_id) join alt_pooled q using (family, a, b) join alt_ci z using (a, b, subsystem_id))""")
 
 
 def alt_cs(spark, sf):
@@ -261,10 +268,12 @@ def alt_cs(spark, sf):
 
 
 def conds(spark, sf):
-    return C.compare_conditions(deltas(spark, sf), C.pair_deltas(C.pair_diffs(alt_cs(spark, sf))))
+    alt = kept(spark, sf, "alt_cs", lambda: alt_cs(spark, sf))
+    alt_ci = R.attach_ci(C.pair_deltas(C.pair_diffs(alt)), R.pair_replicates(alt, REPS))
+    return C.compare_conditions(dci(spark, sf), alt_ci)
 
 
-@query("c16_compare_conditions", "select * from conds", rnd="delta_ref pooled_ref delta_alt pooled_alt")
+@query("c16_compare_conditions", "select * from conds", rnd="acc_a_ref acc_b_ref delta_ref lo_ref hi_ref pooled_ref acc_a_alt acc_b_alt delta_alt lo_alt hi_alt pooled_alt")
 def c16(spark, sf):
     return conds(spark, sf)
 
@@ -321,11 +330,25 @@ cte("common_faults", """select x.family, x.fault from (select family, fault, cou
   join (select family, count(distinct subsystem_id) as k from csf group by all) y on x.family = y.family and x.h = y.k""")
 
 
-@query("c21_reweighted", """
-with cell as (select family, a, b, subsystem_id, fault, avg(d) as cell, count(*) as n, sum(d) as s from fdiffs join common_faults using (family, fault) group by all)
-select family, a, b, subsystem_id, count(*) as classes, sum(s) / sum(n) as delta_raw, avg(cell) as delta_rw from cell group by all""", rnd="delta_raw delta_rw")
+cte("csf_common", "select csf.*, concat_ws('@', subsystem_id, fault) as stratum from csf join common_faults using (family, fault)")
+complete_draws("drawsf", "csf_common", "stratum", REPS)
+cte("rwreps", f"""select family, a, b, subsystem_id, rep, avg(d) as d from ({complete_pairs('drawsf', 'stratum')})
+  join (select distinct family, subsystem_id, stratum from csf_common) using (stratum) group by all""")
+
+
+@query("c21_reweighted", f"""
+with cell as (select family, a, b, subsystem_id, fault, avg(d) as cell, count(*) as n, sum(d) as s from fdiffs group by all),
+ ref as (select family, a, b, subsystem_id, sum(s) / sum(n) as delta_ref, max(cell) > 0 and min(cell) < 0 as fault_sign_disagree from cell group by all),
+ rw as (select family, a, b, subsystem_id, count(*) as classes, avg(cell) as delta_rw from cell join common_faults using (family, fault) group by all),
+ ci as (select family, a, b, subsystem_id, quantile_cont(d, 0.025) as lo_rw, quantile_cont(d, 0.975) as hi_rw from rwreps group by all),
+ j as (select *, avg(delta_ref) over w as pooled_ref, avg(delta_rw) over w as pooled_rw, count(*) over w as k from ref join rw using (family, a, b, subsystem_id) join ci using (family, a, b, subsystem_id)
+   window w as (partition by family, a, b))
+select * exclude (k), {sg('delta_ref')} * {sg('pooled_ref')} < 0 as rev_ref, {sg('delta_rw')} * {sg('pooled_rw')} < 0 as rev_rw,
+  (pooled_rw > 1e-9 and hi_rw < 0) or (pooled_rw < -1e-9 and lo_rw > 0) as rev_ci_rw, {sg('delta_ref')} <> {sg('delta_rw')} as sign_change from j where k >= 2""",
+       rnd="delta_ref delta_rw lo_rw hi_rw pooled_ref pooled_rw")
 def c21(spark, sf):
-    return C.reweighted(csf(spark, sf))
+    x = kept(spark, sf, "csf", lambda: csf(spark, sf))
+    return C.reweighted_reversals(x, C.reweighted(x), R.strata_pair_replicates(C.common_faults(x), REPS))
 
 
 @query("c22_fault_composition", "select family, subsystem_id, " + ", ".join(

@@ -138,13 +138,14 @@ def h06(spark, sf):
 THRESHOLDS = [0.25 * i for i in range(13)]
 PTS = "(select unnest([" + ", ".join(f"{{'threshold': '{c}', 'c': {c}::double}}" for c in THRESHOLDS) + ", {'threshold': 'allwin', 'c': null}], recursive := true))"
 cte("curve_pts", f"""
-select *, recommended / n_decisions as coverage, rule_errors / nullif(recommended, 0) as rule_error_rate, flagged_errors / nullif(flagged, 0) as flagged_error_rate from (
+select *, recommended / n_decisions as coverage, rule_errors / nullif(recommended, 0) as rule_error_rate, rule_strict_errors / nullif(recommended, 0) as rule_strict_error_rate, flagged_errors / nullif(flagged, 0) as flagged_error_rate from (
  select threshold, count(*) as n_decisions, count(*) filter (where ok) as recommended, count(*) filter (where ok and out_rule = 'error') as rule_errors,
   count(*) filter (where ok and out_rule = 'tie') as rule_ties, count(*) filter (where ok and strict_rule) as rule_strict_errors, count(*) filter (where not ok) as flagged,
-  count(*) filter (where not ok and out_rule = 'error') as flagged_errors, count(*) filter (where dir_rule <> 0) as n_directed,
+  count(*) filter (where not ok and out_rule = 'error') as flagged_errors, count(*) filter (where not ok and out_rule = 'tie') as flagged_ties,
+  count(*) filter (where not ok and strict_rule) as flagged_strict_errors, count(*) filter (where dir_rule <> 0 and strict_rule) as all_strict_errors, count(*) filter (where dir_rule <> 0) as n_directed,
   count(*) filter (where dir_rule <> 0 and out_rule = 'error') as all_errors
  from (select *, dir_rule <> 0 and case when c is null then train_wins = k_train else t >= c end as ok from outs cross join {PTS}) group by all)""")
-CURVE_RND = "coverage rule_error_rate flagged_error_rate"
+CURVE_RND = "coverage rule_strict_error_rate rule_error_rate flagged_error_rate"
 
 
 def curve(spark, sf):
@@ -157,11 +158,14 @@ def h07(spark, sf):
     return curve(spark, sf)[1]
 
 
-cte("budget", """
-with c as (select (out_cw = 'error')::int as e, row_number() over (order by round(abs(m_cw), 9) desc, family, held_out, a, b) as r from outs where dir_cw <> 0),
- s as (select (out_rule = 'error')::int as e, row_number() over (order by round(abs(m_se), 9) desc, family, held_out, a, b) as r from outs where dir_rule <> 0)
-select threshold, recommended, coalesce((select sum(e) from c where r <= recommended), 0)::bigint as pooled_only_errors,
-  coalesce((select sum(e) from s where r <= recommended), 0)::bigint as system_equal_errors from curve_pts""")
+def top_of(dirn: str, m: str) -> str:
+    return (f"select (out_{dirn} = 'error')::int as errors, (out_{dirn} = 'tie')::int as ties, strict_{dirn}::int as strict_errors, "
+            f"row_number() over (order by round(abs({m}), 9) desc, family, held_out, a, b) as r from outs where dir_{dirn} <> 0")
+
+
+cte("budget", f"with c as ({top_of('cw', 'm_cw')}), s as ({top_of('rule', 'm_se')}) select threshold, recommended, " + ", ".join(
+    [f"(select count(*) from {t} where r <= recommended) as {n}_n" for t, n in (("c", "pooled_only"), ("s", "system_equal"))]
+    + [f"coalesce((select sum({k}) from {t} where r <= recommended), 0)::bigint as {n}_{k}" for t, n in (("c", "pooled_only"), ("s", "system_equal")) for k in ("errors", "ties", "strict_errors")]) + " from curve_pts")
 
 
 @query("h08_budget_baseline", "select * from budget")
@@ -174,10 +178,11 @@ def lchoose(n: str, k: str) -> str:
 
 
 @query("h09_random_baseline", f"""
-select *, recommended * all_errors / nullif(n_directed, 0) as random_expected_errors, case when n_directed > 0 and recommended > 0 then
+select *, recommended * all_errors / nullif(n_directed, 0) as random_expected_errors, all_errors / nullif(n_directed, 0) as random_error_rate,
+  recommended * all_strict_errors / nullif(n_directed, 0) as random_expected_strict_errors, case when n_directed > 0 and recommended > 0 then
   least(1.0::double, coalesce((select sum(exp({lchoose('all_errors::double', 'i')} + {lchoose('(n_directed - all_errors)::double', '(recommended - i)')} - {lchoose('n_directed::double', 'recommended')}))
     from (select unnest(range(greatest(0, recommended + all_errors - n_directed), rule_errors + 1)) as i)), 0)) end as p_random_le_rule from curve_pts""",
-       rnd=CURVE_RND + " random_expected_errors p_random_le_rule")
+       rnd=CURVE_RND + " random_expected_errors random_error_rate random_expected_strict_errors p_random_le_rule")
 def h09(spark, sf):
     return H.random_baseline(curve(spark, sf)[1])
 

@@ -11,7 +11,7 @@ from seismark.operators import resample as R
 from seismark.plans import fixtures as X
 from seismark.plans.q_compare import cs, csf, dci, deltas, difficulty, kept, mreps, reps, shared_cs
 from seismark.plans.registry import cte, query
-from seismark.plans.sqltext import FAMILY_OF, REPS, chi2_sql, draw_ctes, h32, means_sql, names, sg, vectors_sql
+from seismark.plans.sqltext import FAMILY_OF, REPS, chi2_sql, complete_draws, complete_means, h32, names, sg
 
 
 @query("i01_boot_ci", "select family, a, b, subsystem_id, n, delta, lo, hi from dci", rnd="delta lo hi")
@@ -67,8 +67,8 @@ def i04(spark, sf):
     return R.crossing_p(reps(spark, sf), [*C.PAIR, "subsystem_id"])
 
 
-draw_ctes("draws5", vectors_sql("(select *, concat_ws('@', subsystem_id, fault) as cell5 from csf)", "cell5"), "cell5", REPS)
-cte("strata", f"""select family, subsystem_id, rep, name as method, avg(mean) as score from ({means_sql("draws5", "cell5")})
+complete_draws("draws5", "(select *, concat_ws('@', subsystem_id, fault) as cell5 from csf)", "cell5", REPS)
+cte("strata", f"""select family, subsystem_id, rep, name as method, avg(mean) as score from ({complete_means("draws5", "cell5")})
   join (select distinct family, subsystem_id, concat_ws('@', subsystem_id, fault) as cell5 from csf) using (cell5) group by all""")
 
 
@@ -98,8 +98,8 @@ def i08(spark, sf):
     return R.both_signs(reps(spark, sf))
 
 
-draw_ctes("drawsb", vectors_sql("cs", "subsystem_id"), "subsystem_id", REPS, seed=8)
-cte("mreps2", f"select family, m.subsystem_id, rep, name as method, mean as score from ({means_sql('drawsb', 'subsystem_id')}) m join {FAMILY_OF} using (subsystem_id)")
+complete_draws("drawsb", "cs", "subsystem_id", REPS, seed=8)
+cte("mreps2", f"select family, m.subsystem_id, rep, name as method, mean as score from ({complete_means('drawsb', 'subsystem_id')}) m join {FAMILY_OF} using (subsystem_id)")
 
 
 @query("i09_win_probability", f"""

@@ -14,9 +14,9 @@ from seismark.operators import resample as R
 from seismark.plans import fixtures as X
 from seismark.plans.q_compare import deltas, kept
 from seismark.plans.registry import cte, query, table
-from seismark.plans.sqltext import h32, sg
+from seismark.plans.sqltext import draw_ctes, h32, means_sql, sg, vectors_sql
 
-REPS = 50
+REPS = 2000
 
 
 # ---- metric names: one spelling per event, so every branch of the extractors is met --------------------------------
@@ -71,7 +71,7 @@ def comp_text(kind: str) -> str:
 
 
 cte("rcomps", f"select distinct {comp_text('varchar')} as component from customer")
-cte("rcands", "select 'app' || s_suppkey as name from supplier where s_suppkey % 4 <> 0 union select 'app' || s_suppkey || '-3' from supplier where s_suppkey % 4 = 1")
+cte("rcands", "select 'app' || s_suppkey as name from supplier union select 'app' || s_suppkey || '-3' from supplier where s_acctbal < 0")
 
 
 def rcomps(spark, sf):
@@ -86,8 +86,8 @@ select component, name as mapped from h where pri < 3 or best = 3""")
 def p06(spark, sf):
     s = table(spark, sf, "supplier")
     k = F.col("s_suppkey").cast("string")
-    cand = s.filter("s_suppkey % 4 <> 0").select(F.concat(F.lit("app"), k).alias("name")).unionByName(
-        s.filter("s_suppkey % 4 = 1").select(F.concat(F.lit("app"), k, F.lit("-3")).alias("name"))).distinct()
+    cand = s.select(F.concat(F.lit("app"), k).alias("name")).unionByName(
+        s.filter("s_acctbal < 0").select(F.concat(F.lit("app"), k, F.lit("-3")).alias("name"))).distinct()
     return N.map_candidate(rcomps(spark, sf), cand)
 
 
@@ -466,12 +466,11 @@ def r12(spark, sf):
     return K.to_case_schema(tol_scores(spark, sf), 60, "open")
 
 
-cte("tidx", "select system, case_id, row_number() over (partition by system order by md5(case_id), case_id) - 1 as idx, count(*) over (partition by system) as n from (select distinct system, case_id from tscores)")
-cte("treps", f"""select d.system, d.rep, s.method, s.tol, avg(s.score) as score from (select system, rep, {h32("'7'", 'rep', 'system', 'slot')} % n as idx from
-  (select system, rep, n, unnest(range(n)) as slot from (select distinct system, n from tidx) cross join (select unnest(range({REPS})) as rep))) d
-  join tidx i on i.system = d.system and i.idx = d.idx join tscores s on s.case_id = i.case_id group by all""")
+draw_ctes("tdraws", vectors_sql("(select *, concat_ws('@', method, tol::varchar) as name from tscores)", "system", item="name"), "system", REPS, height=8)
+cte("tsize", "select system, count(distinct case_id) as n from tscores group by all")
+cte("treps", f"select system, rep, split_part(name, '@', 1) as method, split_part(name, '@', 2)::int as tol, mean as score from ({means_sql('tdraws', 'system')})")
 cte("tpair", """select x.method as a, y.method as b, x.rep, x.tol, sum(n * (x.score - y.score)) / sum(n) as d from treps x join treps y on x.system = y.system and x.rep = y.rep and x.tol = y.tol and x.method < y.method
-  join (select distinct system, n from tidx) z on z.system = x.system group by all""")
+  join tsize z on z.system = x.system group by all""")
 cte("tpoint", "select a, b, tol, avg(d) as delta from tdiffs group by all")
 cte("tcurve", "select * from tpoint join (select a, b, tol, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from tpair group by all) using (a, b, tol)")
 

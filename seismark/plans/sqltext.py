@@ -112,11 +112,34 @@ def pair_means_sql(name: str, group: str) -> str:
             f"using ({group}, cell) group by all")
 
 
+#: The methods of the score tables; every case has a score of each, in this order in a vector.
+METHODS = ["m_cust", "m_price", "m_prio", "m_seeded"]
+
+
+def complete_draws(name: str, src: str, group: str, reps: int, seed: int = 7) -> None:
+    """``draw_ctes`` of a table without missing scores, and the drawn sums of each method as ``name``_s (group, rep, k, s1 ...)."""
+    draw_ctes(name, vectors_sql(src, group), group, reps, seed)
+    sums = ", ".join(f"sum(n * v[{i + 1}].v) as s{i + 1}" for i in range(len(METHODS)))
+    cte(f"{name}_s", f"select d.{group}, rep, sum(n) as k, {sums} from {name} d join {name}_c c on c.{group} = d.{group} and c.cell = d.cell group by all")
+
+
+def complete_means(name: str, group: str) -> str:
+    """(group, rep, name, mean)"""
+    each = ", ".join(f"{{'name': '{m}', 'mean': s{i + 1} / k}}" for i, m in enumerate(METHODS))
+    return f"select {group}, rep, unnest([{each}], recursive := true) from {name}_s"
+
+
+def complete_pairs(name: str, group: str) -> str:
+    """(group, rep, a, b, d)"""
+    each = ", ".join(f"{{'a': '{x}', 'b': '{y}', 'd': (s{i + 1} - s{j + 1}) / k}}" for i, x in enumerate(METHODS) for j, y in enumerate(METHODS) if i < j)
+    return f"select {group}, rep, unnest([{each}], recursive := true) from {name}_s"
+
+
 # bootstrap: multinomial draws of the joint score vectors, replicate means per method, replicate differences per pair
 FAMILY_OF = "(select distinct family, subsystem_id from cs)"
-draw_ctes("draws", vectors_sql("cs", "subsystem_id"), "subsystem_id", REPS)
-cte("mreps", f"select family, m.subsystem_id, rep, name as method, mean as score from ({means_sql('draws', 'subsystem_id')}) m join {FAMILY_OF} using (subsystem_id)")
-cte("reps", f"select family, a, b, p.subsystem_id, rep, d from ({pair_means_sql('draws', 'subsystem_id')}) p join {FAMILY_OF} using (subsystem_id)")
+complete_draws("draws", "cs", "subsystem_id", REPS)
+cte("mreps", f"select family, m.subsystem_id, rep, name as method, mean as score from ({complete_means('draws', 'subsystem_id')}) m join {FAMILY_OF} using (subsystem_id)")
+cte("reps", f"select family, a, b, p.subsystem_id, rep, d from ({complete_pairs('draws', 'subsystem_id')}) p join {FAMILY_OF} using (subsystem_id)")
 cte("dci", """select deltas.*, lo, hi from deltas join (select family, a, b, subsystem_id, quantile_cont(d, 0.025) as lo,
   quantile_cont(d, 0.975) as hi from reps group by all) using (family, a, b, subsystem_id)""")
 cte("dcip", "select * from dci join pooled using (family, a, b)")

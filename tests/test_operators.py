@@ -250,3 +250,38 @@ def test_published_pair_is_reproduced(spark):
     got = {"pooled_cw": r.pooled_cw, "pooled_se": r.pooled_se, "sd_sub_delta": s.sd_sub_delta, "lrt": i.lrt}
     assert all(math.isclose(got[k], v, rel_tol=1e-7) for k, v in GOLDEN.items())
     assert (r.n_rev_cw, r.rev_cw, r.n_rev_se, s.n_pos, s.n_neg, i.lrt_df) == (4, "s03;s04;s05;s06", 4, 4, 6, 10)
+
+
+def test_distances_and_diameter(spark):
+    """A searched distance and the bounded diameter must be those of a plain breadth-first search."""
+    r = random.Random(8)
+    for n, m in ((24, 26), (12, 5)):
+        edges = {(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(m)} | {(f"n{i}", f"n{i + 1}") for i in range(n // 2)}
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+        dist = {}
+        for a in near:
+            front, d = {a}, 0
+            while front:
+                dist.update({(a, b): d for b in front if (a, b) not in dist})
+                front, d = {c for b in front for c in near[b] if (a, c) not in dist}, d + 1
+        far = max(dist.values())
+        df = spark.createDataFrame(sorted(edges), "src string, dst string")
+        assert D.diameter(D.both_ways(df), at_once=2) == far
+        pairs = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(20)] + [("x", "n0"), ("n0", "x")]
+        got = {(x.pred, x.truth): (x.dist, x.in_graph) for x in D.graph_distance(spark.createDataFrame(sorted(set(pairs)), "pred string, truth string"), df).collect()}
+        assert got == {(a, b): (dist.get((a, b), far + 1), b in near) for a, b in pairs}
+
+
+def test_budget_baseline_counts(spark):
+    r = random.Random(4)
+    o = [Row(family="f", held_out=f"h{i % 7}", a=f"a{i}", b="z", m_cw=round(r.uniform(-1.5, 1.5), 2), m_se=round(r.uniform(-1, 1), 2), dir_cw=r.choice([-1, 0, 1]), dir_rule=r.choice([-1, 1]),
+             out_cw=r.choice(["error", "tie", "correct"]), out_rule=r.choice(["error", "tie", "correct"]), strict_cw=r.random() < 0.3, strict_rule=r.random() < 0.3) for i in range(200)]
+    c = [Row(threshold=str(k), recommended=k) for k in (0, 1, 17, 120, 500)]
+    got = {x.threshold: x for x in H.budget_baseline(spark.createDataFrame(o), spark.createDataFrame(c)).collect()}
+    for k in (0, 1, 17, 120, 500):
+        for name, tag, m in (("pooled_only", "cw", "m_cw"), ("system_equal", "rule", "m_se")):
+            top = sorted((x for x in o if x[f"dir_{tag}"]), key=lambda x: (-abs(x[m]), x.family, x.held_out, x.a, x.b))[:k]
+            want = (len(top), sum(x[f"out_{tag}"] == "error" for x in top), sum(x[f"out_{tag}"] == "tie" for x in top), sum(x[f"strict_{tag}"] for x in top))
+            assert tuple(got[str(k)][f"{name}_{s}"] for s in ("n", "errors", "ties", "strict_errors")) == want

@@ -126,17 +126,38 @@ def draws(stream: int, weights: np.ndarray, n: np.ndarray, rep: np.ndarray, leve
     return out
 
 
+def without_replacement(rng: np.random.Generator, weights: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Counts (replicates, cells) of m cases drawn without replacement from cells of the given sizes, cell by cell.
+
+    ``weights`` is one row of sizes for all replicates or a row for each.
+    """
+    left = np.broadcast_to(weights, (len(m), weights.shape[-1])).astype(np.int64)
+    rest, todo, out = left.sum(axis=1), m.copy(), np.zeros(left.shape, np.int64)
+    for j in range(left.shape[1]):
+        rest = rest - left[:, j]
+        out[:, j] = rng.hypergeometric(left[:, j], rest, todo)
+        todo = todo - out[:, j]
+    return out
+
+
+def stream_of(stream: int, *parts: int) -> np.random.Generator:
+    """Random numbers that depend on the given integers only."""
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([stream, *parts])))
+
+
 def score_cells(items: DataFrame, group: str, keep: Sequence[str] = ()) -> DataFrame:
     """The distinct score vectors of each group with their counts, numbered in order."""
     vec = items.groupBy(*keep, group, F.array_sort("items").alias("_v")).agg(F.count("*").alias("_c"))
     return row_index(vec, [group], F.get("_v", F.lit(0)), [F.col("_v")], "_cell")
 
 
-def replicate_sums(items: DataFrame, group: str, reps: int, seed: int = 7, keep: Sequence[str] = (), pairs: bool = False, counted: bool = False) -> DataFrame:
+def replicate_sums(items: DataFrame, group: str, reps: int, seed: int = 7, keep: Sequence[str] = (), pairs: bool = False, counted: bool = False,
+                   share: float | None = None) -> DataFrame:
     """(keep, group, name or a and b, rep, s, k, times): sum over the drawn cases that have the score (both scores), and their number.
 
     ``items``: one row per case with an array of (name, v); a null v is a missing score. With ``counted`` equal means of a block
-    are one row (s is the mean, k is 1, rep is negative) where a group is one bucket.
+    are one row (s is the mean, k is 1, rep is negative) where a group is one bucket. With ``share`` a replicate is a subsample of
+    floor(share * n) cases without replacement instead; a group then has at most 10^9 cases.
     """
     keys, blocks = [*keep, group], -(-reps // BLOCK)
     cells = checkpoint(score_cells(items, group, keep)).withColumn("_bucket", F.shiftright("_cell", CELL_BITS))
@@ -153,8 +174,13 @@ def replicate_sums(items: DataFrame, group: str, reps: int, seed: int = 7, keep:
         at, block = int(t["_bucket"][0].as_py()), int(t["_block"][0].as_py())
         stream, buckets = int(t["_stream"][0].as_py()), np.array(t["_totals"][0].as_py(), np.int64)
         rep = np.arange(block * BLOCK, min((block + 1) * BLOCK, reps))
-        n = draws(stream, buckets, np.full(len(rep), buckets.sum()), rep, CELL_BITS, 0, at)[:, 0]
-        drawn = draws(stream, t["_c"].to_numpy().astype(np.int64), n, rep, 0, at << (CELL_BITS - max(0, int(t.num_rows - 1).bit_length()))).astype(np.float64)
+        weights = t["_c"].to_numpy().astype(np.int64)
+        if share is None:
+            n = draws(stream, buckets, np.full(len(rep), buckets.sum()), rep, CELL_BITS, 0, at)[:, 0]
+            drawn = draws(stream, weights, n, rep, 0, at << (CELL_BITS - max(0, int(t.num_rows - 1).bit_length()))).astype(np.float64)
+        else:  # every bucket makes the same split over the buckets
+            m = without_replacement(stream_of(stream, block), buckets, np.full(len(rep), int(share * buckets.sum())))[:, at]
+            drawn = without_replacement(stream_of(stream, block, at + 1), weights, m).astype(np.float64)
         vectors = [{e["name"]: e["v"] for e in v if e["v"] is not None} for v in t["_v"].to_pylist()]
         labels = sorted({m for v in vectors for m in v})
         y = np.array([[v.get(m, np.nan) for m in labels] for v in vectors]).reshape(len(vectors), len(labels))

@@ -6,15 +6,22 @@ Root finding is a bisection expressed with ``aggregate`` over the short array of
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seismark.functions.series import row_index
 from seismark.functions.stats import chi2_sf, TIE_EPS, hash32, pctl, sgn, t975
 from seismark.operators.compare import PAIR, pair_diffs
+from seismark.operators.draws import replicate_sums, stream_of, without_replacement
+from seismark.session import checkpoint
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 STEPS = 60  # bisection steps
 
@@ -292,29 +299,111 @@ def drop_separating(cells: DataFrame) -> DataFrame:
     return cells.join(bad, ["method", "sys"], "left_anti")
 
 
-def permutation_lrt(cs: DataFrame, a: str, b: str, perms: int, seed: int = 11) -> DataFrame:
-    """Shuffle the case -> subsystem labels within a family and recompute the LRT; one row per family and rep.
+def additive_llf(y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-likelihood of logit(p) = system + method on (tables, systems, methods) hits and trials.
 
-    Label i goes to the case with the i-th smallest hash of (rep, case). Ranks come from hash-prefix chunks, so no
-    task sorts a whole replicate. Rep -1 is the observed labelling.
+    Newton steps on both factors at once: the Hessian is diagonal in the systems, so a step solves for the methods only. Systems
+    and methods with no hits, or with hits only, have fitted means of 0 or 1 and add nothing.
+    """
+    y, n = y.copy(), n.copy()
+    for _ in range(sum(y.shape[1:])):  # leaving a row out may empty a column
+        before = n.sum()
+        for axis in (1, 2):
+            hits, trials = y.sum(axis=axis, keepdims=True), n.sum(axis=axis, keepdims=True)
+            flat = (hits <= 1e-12) | (hits >= trials - 1e-12)
+            y, n = np.where(flat, 0.0, y), np.where(flat, 0.0, n)
+        if n.sum() == before:
+            break
+    tables, systems, methods = y.shape
+    alpha, beta = np.zeros((tables, systems)), np.zeros((tables, methods))
+
+    def value(al, be):
+        eta = al[:, :, None] + be[:, None, :]
+        return (y * eta - n * np.logaddexp(0.0, eta)).sum(axis=(1, 2))
+
+    now = value(alpha, beta)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(alpha[:, :, None] + beta[:, None, :])))
+        w, r = n * p * (1 - p), y - n * p
+        d, ga, gb = np.maximum(w.sum(axis=2), 1e-12), r.sum(axis=2), r.sum(axis=1)
+        schur = np.einsum("tm,mk->tmk", w.sum(axis=1), np.eye(methods)) - np.einsum("tsm,tsk->tmk", w / d[:, :, None], w)
+        schur += 1e-9 * np.eye(methods)  # the methods' common level is the systems'
+        db = np.linalg.solve(schur, (gb - np.einsum("tsm,ts->tm", w, ga / d))[:, :, None])[:, :, 0]
+        da = (ga - np.einsum("tsm,tm->ts", w, db)) / d
+        step = np.ones(tables)
+        for _ in range(30):
+            new = value(alpha + step[:, None] * da, beta + step[:, None] * db)
+            worse = ~(new >= now - 1e-12)
+            if not worse.any():
+                break
+            step = np.where(worse, step / 2, step)
+        alpha, beta = alpha + step[:, None] * da, beta + step[:, None] * db
+        done = np.abs(new - now).max(initial=0) < 1e-10
+        now = new
+        if done:
+            break
+    return now
+
+
+def saturated_llf(y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    p = np.divide(y, n, out=np.zeros_like(y), where=n > 0)
+    part = lambda k, q: np.where(k > 1e-12, k * np.log(np.where(q > 0, q, 1.0)), 0.0)
+    return (part(y, p) + part(n - y, 1 - p)).sum(axis=(1, 2))
+
+
+PERM_BLOCK = 100
+
+
+def permutation_lrt(cs: DataFrame, methods: Sequence[str], perms: int = 2000, seed: int = 11) -> DataFrame:
+    """Shuffle the case -> subsystem labels of a family and recompute the joint LRT of method x subsystem.
+
+    (family, rep, lrt, lrt_df); rep -1 is the observed labelling. Cases with equal score vectors are alike, so a shuffle is a
+    table of vectors x subsystems with fixed margins, drawn subsystem by subsystem without replacement: no row per case and
+    replicate. A task holds the counts of a family and a block of shuffles; a family has at most 10^9 cases.
     """
-    d = pair_diffs(cs.filter(F.col("method").isin(a, b))).select("family", "subsystem_id", "case_id", "ya", "yb")
-    base = row_index(d.withColumn("_h", F.md5("case_id")), ["family"], F.substring("_h", 1, 3), [F.col("_h"), F.col("case_id")], "idx")
-    labels = base.select("family", "idx", "subsystem_id")
-    reps = d.select("family", "case_id", "ya", "yb", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))).alias("rep"))
-    reps = reps.withColumn("_h", hash32(F.lit(seed), "rep", "case_id"))
-    shuffled = row_index(reps, ["family", "rep"], F.floor(F.col("_h") / (1 << 20)), [F.col("_h"), F.col("case_id")], "idx").drop("_h")
-    perm = shuffled.join(labels.hint("shuffle_hash"), ["family", "idx"]).select("family", "rep", "subsystem_id", "ya", "yb")
-    every = perm.unionByName(d.select("family", F.lit(-1).alias("rep"), "subsystem_id", "ya", "yb"))
-    cells = every.groupBy("family", "rep", "subsystem_id").agg(F.count("*").alias("n"), F.avg("ya").alias("acc_a"), F.avg("yb").alias("acc_b"))
-    return interaction_lrt(cells, ["family", "rep"]).select("family", "rep", "lrt")
+    item = F.array_sort(F.collect_list(F.struct(F.col("method").alias("name"), F.col("score").alias("v"))))
+    cases = cs.filter(F.col("method").isin(*methods)).groupBy("family", "subsystem_id", "case_id").agg(item.alias("v"))
+    cells = checkpoint(cases.groupBy("family", "v", "subsystem_id").agg(F.count("*").alias("c")))
+    blocks = -(-perms // PERM_BLOCK)
+    x = cells.withColumn("stream", hash32(F.lit(seed), "family")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def shuffle(t: pa.Table) -> pa.Table:
+        names = sorted(methods)
+        vectors = [tuple({e["name"]: e["v"] for e in v}.get(m) for m in names) for v in t["v"].to_pylist()]
+        kinds, systems = sorted(set(vectors), key=str), sorted(set(t["subsystem_id"].to_pylist()))
+        observed = np.zeros((1, len(systems), len(kinds)), np.int64)
+        for v, s, c in zip(vectors, t["subsystem_id"].to_pylist(), t["c"].to_pylist()):
+            observed[0, systems.index(s), kinds.index(v)] += c
+        value = np.array([[np.nan if e is None else min(max(e, 0.0), 1.0) for e in v] for v in kinds]).reshape(len(kinds), len(names))
+        has = ~np.isnan(value)
+
+        def lrt(table: np.ndarray) -> tuple[np.ndarray, int]:
+            y, n = table @ np.where(has, value, 0.0), (table @ has).astype(float)
+            used = n[0] > 0
+            return 2 * (saturated_llf(y, n) - additive_llf(y, n)), int(used.sum() - used.any(axis=0).sum() - used.any(axis=1).sum() + 1)
+
+        block = int(t["block"][0].as_py())
+        rep = np.arange(block * PERM_BLOCK, min((block + 1) * PERM_BLOCK, perms))
+        rng = stream_of(int(t["stream"][0].as_py()), block)
+        left, tables = np.repeat(observed.sum(axis=1), len(rep), axis=0), np.zeros((len(rep), len(systems), len(kinds)), np.int64)
+        for s, size in enumerate(observed[0].sum(axis=1)):
+            tables[:, s] = without_replacement(rng, left, np.full(len(rep), size))
+            left = left - tables[:, s]
+        stat, df = lrt(np.concatenate((observed, tables)) if block == 0 else tables)
+        df = lrt(observed)[1]
+        rep = np.concatenate(([-1], rep)) if block == 0 else rep
+        return pa.table({"family": pa.array([t["family"][0].as_py()] * len(rep), pa.string()), "rep": pa.array(rep.astype(np.int32)), "lrt": stat, "lrt_df": np.full(len(rep), df, np.int64)})
+
+    return x.groupBy("family", "block").applyInArrow(shuffle, "family string, rep int, lrt double, lrt_df long")
 
 
 def permutation_test(lrts: DataFrame) -> DataFrame:
+    """Observed LRT, its share among the shuffles, and the spread of the shuffled ones."""
     obs = F.max(F.when(F.col("rep") == -1, F.col("lrt"))).over(W.partitionBy("family"))
     x = lrts.withColumn("obs", obs).filter("rep >= 0")
-    return x.groupBy("family", F.col("obs").alias("lrt_observed")).agg(
-        F.count("*").alias("perms"), F.avg(F.when(F.col("lrt") >= F.col("obs") - 1e-9, 1.0).otherwise(0.0)).alias("p_perm"), F.avg("lrt").alias("lrt_mean"))
+    return x.groupBy("family", F.col("obs").alias("lrt_observed"), "lrt_df").agg(
+        F.count("*").alias("perms"), F.avg(F.when(F.col("lrt") >= F.col("obs") - 1e-9, 1.0).otherwise(0.0)).alias("p_perm"), F.avg("lrt").alias("lrt_mean"),
+        pctl("lrt", 0.5).alias("lrt_median"), pctl("lrt", 0.95).alias("lrt_p95"), pctl("lrt", 0.99).alias("lrt_p99"), F.max("lrt").alias("lrt_max"))
 
 
 def influence_loso(d: DataFrame) -> DataFrame:
@@ -357,15 +446,17 @@ def influence_top_k(diffs: DataFrame, ks: Sequence[int] = (1, 2, 5)) -> DataFram
     return _sign_class(left, ["a", "b", F.concat(F.lit("leave_top_"), F.col("k").cast("string")).alias("check_name")])
 
 
-def influence_subsample(diffs: DataFrame, reps: int, frac: float = 0.8, seed: int = 13) -> DataFrame:
-    """Exactly floor(frac * n) cases per system in each replicate, chosen by hash rank; counts of sign classes."""
-    cases = diffs.select("system", "case_id").distinct()
-    n = cases.groupBy("system").agg(F.count("*").alias("n"))
-    r = cases.select("system", "case_id", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    r = r.withColumn("_h", hash32(F.lit(seed), "rep", "case_id"))
-    r = row_index(r, ["system", "rep"], F.floor(F.col("_h") / (1 << 20)), [F.col("_h"), F.col("case_id")], "idx").join(n, "system")
-    keep = r.filter(F.col("idx") < F.floor(F.col("n") * frac)).select("system", "case_id", "rep")
-    curve = diffs.join(keep, ["system", "case_id"]).groupBy("a", "b", "rep", "tol").agg(F.avg("d").alias("delta"))
+def influence_subsample(diffs: DataFrame, reps: int = 200, frac: float = 0.8, seed: int = 13) -> DataFrame:
+    """Exactly floor(frac * n) cases per system in each replicate, drawn from the counts of equal cases; sign classes counted.
+
+    A case's vector holds its differences by pair and tolerance, so all pairs and tolerances share a subsample.
+    """
+    part = F.to_json(F.struct("a", "b", "tol"))
+    items = diffs.groupBy("system", "case_id").agg(F.collect_list(F.struct(part.alias("name"), F.col("d").alias("v"))).alias("items"))
+    r = replicate_sums(items, "system", reps, seed, share=frac)
+    kind = next(f.dataType.simpleString() for f in diffs.schema if f.name == "tol")
+    x = r.withColumn("of", F.from_json("name", f"a string, b string, tol {kind}")).select("of.*", "rep", "s", "k")
+    curve = x.groupBy("a", "b", "rep", "tol").agg((F.sum("s") / F.sum("k")).alias("delta"))
     s = _sign_class(curve, ["a", "b", "rep"])
     return s.groupBy("a", "b").agg(F.count("*").alias("reps"), F.count_if("inverted").alias("inverted"), *[
         F.count_if(F.col("sign_class") == c).alias(c) for c in ("pos", "neg", "mixed")])

@@ -14,7 +14,7 @@ from seismark.operators import resample as R
 from seismark.plans import fixtures as X
 from seismark.plans.q_compare import deltas, kept
 from seismark.plans.registry import cte, query, table
-from seismark.plans.sqltext import draw_ctes, h32, means_sql, sg, vectors_sql
+from seismark.plans.sqltext import draw_ctes, means_sql, sg, vectors_sql
 
 REPS = 2000
 
@@ -546,12 +546,7 @@ def i14k(spark, sf):
     return I.influence_top_k(tdiffs(spark, sf))
 
 
-@query("i14_influence_subsample", f"""
-with c as (select distinct system, case_id from tdiffs), r as (select *, row_number() over (partition by system, rep order by {h32("'13'", 'rep', 'case_id')}, case_id) - 1 as idx, count(*) over (partition by system, rep) as n
-   from c cross join (select unnest(range(20)) as rep)),
- k as (select x.a, x.b, rep, x.tol, avg(d) as delta from tdiffs x join r using (system, case_id) where idx < floor(n * 0.8) group by all),
- s as (select a, b, rep, max(delta) > 1e-9 and min(delta) < -1e-9 as inverted, case when min(delta) > 1e-9 then 'pos' when max(delta) < -1e-9 then 'neg' else 'mixed' end as sign_class from k group by all)
-select a, b, count(*) as reps, count(*) filter (where inverted) as inverted, count(*) filter (where sign_class = 'pos') as pos, count(*) filter (where sign_class = 'neg') as neg,
-  count(*) filter (where sign_class = 'mixed') as mixed from s group by all""")
+@query("i14_influence_subsample")
 def i14s(spark, sf):
-    return I.influence_subsample(tdiffs(spark, sf), 20)
+    """200 subsamples of 80 %; numpy draws, so rows only: tests compare with subsampled cases."""
+    return I.influence_subsample(tdiffs(spark, sf))

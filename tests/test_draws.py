@@ -10,6 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from seismark.operators import compare as C
 from seismark.operators import draws as D
+from seismark.operators import infer as I
 from seismark.operators import resample as R
 
 
@@ -115,3 +116,77 @@ def test_bonferroni_like_numpy(spark, monkeypatch, bits):
         assert abs(r.p_zero - (np.abs(v) < 1e-12).mean()) < 1e-9
         opposite = abs(r.pooled_se) > 1e-9 and r.delta != 0 and np.sign(r.delta) != np.sign(r.pooled_se)
         assert (r.point_reversal, r.rev_ci95, r.rev_ci_adj) == (opposite, opposite and (r.lo95 > 0 or r.hi95 < 0), opposite and (r.lo > 0 or r.hi < 0))
+
+
+def test_draws_without_replacement_have_exact_probabilities():
+    got = D.without_replacement(D.stream_of(3, 1), np.array([2, 3, 1]), np.full(100_000, 3))
+    assert (got.sum(axis=1) == 3).all() and (got <= [2, 3, 1]).all()
+    for counts, times in Counter(map(tuple, got.tolist())).items():
+        p = math.prod(math.comb(w, k) for w, k in zip([2, 3, 1], counts)) / math.comb(6, 3)
+        assert abs(times - 100_000 * p) < 5 * math.sqrt(100_000 * p)
+
+
+@pytest.mark.parametrize("bits", [10, 2])
+def test_subsamples(spark, monkeypatch, bits):
+    monkeypatch.setattr(D, "CELL_BITS", bits)
+    r = random.Random(6)
+    rows = [Row(system=f"s{s}", case_id=f"s{s}c{i}", a="x", b="y", tol=t, d=r.choice([-1.0, 0.0, 0.5, 1.0])) for s in range(2) for i in range(40) for t in (0, 60)]
+    df = spark.createDataFrame(rows)
+    got = I.influence_subsample(df, 400).first()
+    plain = Counter()
+    for _ in range(4000):
+        kept = {c for s in range(2) for c in r.sample([f"s{s}c{i}" for i in range(40)], 32)}
+        c = [np.mean([x.d for x in rows if x.case_id in kept and x.tol == t]) for t in (0, 60)] if _ < 400 else None
+        if c:
+            plain["pos" if min(c) > 1e-9 else "neg" if max(c) < -1e-9 else "mixed"] += 1
+    assert got.reps == 400 and got.pos + got.neg + got.mixed == 400
+    for k in ("pos", "neg", "mixed"):
+        p = (plain[k] + 1) / 402
+        assert abs(got[k] - plain[k]) <= 6 * math.sqrt(2 * 400 * p * (1 - p)) + 2
+
+
+def test_joint_lrt_like_the_pairwise_one_and_a_plain_fit(spark):
+    _, df = table(spark, n=60)
+    two = df.filter("method <> 'z'")
+    both = two.groupBy("case_id").count().filter("count = 2").select("case_id")
+    two = two.join(both, "case_id")
+    want = I.interaction_lrt(C.pair_deltas(C.pair_diffs(two))).first()
+    got = I.permutation_lrt(two, ["x|y", "y"], 5).filter("rep = -1").first()
+    assert abs(got.lrt - want.lrt) < 1e-6 and got.lrt_df == want.lrt_df
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 40, (3, 5, 4)).astype(float)
+    y = np.floor(rng.random((3, 5, 4)) * (n + 1))
+    y[0, 1] = 0  # a system without hits
+    for k in range(3):
+        design = np.array([[float(i == s) for s in range(5)] + [float(j == m) for m in range(1, 4)] for i in range(5) for j in range(4)])
+        b, yy, nn = np.zeros(8), y[k].ravel(), n[k].ravel()
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-design @ b))
+            b = b + np.linalg.solve(design.T @ (design * (nn * p * (1 - p))[:, None]) + 1e-9 * np.eye(8), design.T @ (yy - nn * p))
+            b = np.clip(b, -30, 30)
+        eta = design @ b
+        assert abs(I.additive_llf(y, n)[k] - (yy * eta - nn * np.logaddexp(0, eta)).sum()) < 1e-5
+
+
+def test_permutation_p_like_shuffled_cases(spark):
+    rows, df = table(spark, seed=9, n=25)
+    got = I.permutation_test(I.permutation_lrt(df, ["x|y", "y", "z"], 600)).first()
+    cases = {}
+    for r in rows:
+        cases.setdefault((r.subsystem_id, r.case_id), {})[r.method] = r.score
+    labels, values = [s for s, _ in cases], list(cases.values())
+    rng, stats = random.Random(2), []
+    for k in range(601):
+        own = list(labels)
+        if k:
+            rng.shuffle(own)
+        y, n = np.zeros((1, 3, 3)), np.zeros((1, 3, 3))
+        for s, v in zip(own, values):
+            for j, m in enumerate(("x|y", "y", "z")):
+                if m in v:
+                    y[0, int(s[1]), j] += v[m]
+                    n[0, int(s[1]), j] += 1
+        stats.append(2 * float((I.saturated_llf(y, n) - I.additive_llf(y, n))[0]))
+    assert abs(got.lrt_observed - stats[0]) < 1e-6 and got.perms == 600
+    p = sum(x >= stats[0] - 1e-9 for x in stats[1:]) / 600
+    assert abs(got.p_perm - p) < 5 * math.sqrt(2 * max(p * (1 - p), 0.01) / 600) and abs(got.lrt_mean / np.mean(stats[1:]) - 1) < 0.15

@@ -215,8 +215,9 @@ def separation(d: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
 
 
 def cells_of(cs: DataFrame, system: str = "subsystem_id") -> DataFrame:
-    """Hits and trials per (method, system): all a binomial model needs."""
-    return cs.groupBy("method", F.col(system).alias("sys")).agg(F.count("*").cast("double").alias("n"), F.avg("score").alias("p"))
+    """Hits and trials per (method, system), with the system's family if there is one: all a binomial model needs."""
+    family = ["family"] if "family" in cs.columns else []
+    return cs.groupBy(*family, "method", F.col(system).alias("sys")).agg(F.count("*").cast("double").alias("n"), F.avg("score").alias("p"))
 
 
 def _design(cells: DataFrame, factors: Sequence[str], numeric: Sequence[str]):
@@ -230,50 +231,100 @@ def _design(cells: DataFrame, factors: Sequence[str], numeric: Sequence[str]):
     return Pipeline(stages=stages).fit(cells).transform(cells)
 
 
-def _cell_llf(p: str | Column) -> Column:
-    p = F.col(p) if isinstance(p, str) else p
-    p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
-    return F.sum(_binom(F.col("n"), F.col("n") * F.col("p"), p))
+def system_fit(system: np.ndarray, z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, int]:
+    """(log-likelihood, rank) of logit(p) = effect of the system + z b on cells of y hits in n trials.
+
+    The Hessian is diagonal in the systems, so a Newton step solves for b only, by least squares: columns of z that depend on each
+    other or on the systems (nested or deficient designs) neither break the step nor count for the rank.
+    """
+    s = np.unique(system, return_inverse=True)[1]
+    k = int(s.max(initial=-1)) + 1
+    per = lambda v: np.stack([np.bincount(s, v[:, c], k) for c in range(v.shape[1])], axis=1)
+    size = np.bincount(s, minlength=k)
+    z = z[:, z.any(axis=0)]
+    within = z - (per(z) / size[:, None])[s]
+    rank = k + (int(np.linalg.matrix_rank(within, tol=1e-9 * max(1.0, np.abs(z).max(initial=0)) * np.sqrt(z.size + 1))) if z.shape[1] else 0)
+    alpha, b = np.zeros(k), np.zeros(z.shape[1])
+    value = lambda al, be: float((y * (al[s] + z @ be) - n * np.logaddexp(0.0, al[s] + z @ be)).sum())
+    now = value(alpha, b)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(alpha[s] + z @ b)))
+        w, r = n * p * (1 - p), y - n * p
+        d, ga = np.maximum(np.bincount(s, w, k), 1e-12), np.bincount(s, r, k)
+        wz = per(w[:, None] * z) if z.shape[1] else np.zeros((k, 0))
+        schur = z.T @ (w[:, None] * z) - wz.T @ (wz / d[:, None])
+        db = np.linalg.lstsq(schur, z.T @ r - wz.T @ (ga / d), rcond=1e-10)[0]
+        da = (ga - wz @ db) / d
+        step, new = 1.0, value(alpha + da, b + db)
+        while not new >= now - 1e-12 and step > 1e-9:
+            step /= 2
+            new = value(alpha + step * da, b + step * db)
+        alpha, b = alpha + step * da, b + step * db
+        if abs(new - now) < 1e-11 * (1 + abs(new)):
+            now = new
+            break
+        now = new
+    return now, rank
 
 
-def _saturated() -> Column:
-    return F.sum(_binom(F.col("n"), F.col("n") * F.col("p"), F.col("p")))
+def one_hot(values) -> np.ndarray:
+    code = np.unique(np.array(values, object).astype(str), return_inverse=True)[1]
+    return np.eye(int(code.max(initial=-1)) + 1)[code]
 
 
-def glm_predict(cells: DataFrame, factors: Sequence[str], name: str, numeric: Sequence[str] = ()) -> DataFrame:
-    """Cells with the fitted means of a binomial GLM (Spark ML) as column ``name``."""
-    from pyspark.ml.regression import GeneralizedLinearRegression
+def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    t = t.sort_by([("sys", "ascending"), ("method", "ascending")])
+    n = t["n"].to_numpy().astype(float)
+    return t, np.array(t["sys"].to_pylist(), object), np.clip(n * t["p"].to_numpy(), 0, n), n
 
-    x = _design(cells, factors, numeric)
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="p", weightCol="n", maxIter=50, tol=1e-10, predictionCol=name)
-    return glr.fit(x).transform(x).select(*cells.columns, name)
+
+def _cells_llf(y: np.ndarray, n: np.ndarray) -> float:
+    return float(saturated_llf(y[None, None], n[None, None])[0])
 
 
 def joint_interaction(cells: DataFrame) -> DataFrame:
-    """All methods at once: saturated cells against method + system. The degrees of freedom are the cells that exist, less
-    those that the methods and systems explain."""
-    x = glm_predict(cells, ["method", "sys"], "additive")
-    g = x.agg(_saturated().alias("llf_full"), _cell_llf("additive").alias("llf_reduced"),
-              (F.count("*") - F.count_distinct("method") - F.count_distinct("sys") + 1).alias("lrt_df"))
-    g = g.select("llf_full", "llf_reduced", (2 * (F.col("llf_full") - F.col("llf_reduced"))).alias("lrt"), "lrt_df")
-    return g.withColumn("p", chi2_sf("lrt", "lrt_df"))
+    """All methods at once, on hits and trials per method and system: (test, llf_full, llf_reduced, lrt, lrt_df, p).
+
+    ``method_x_subsystem``: saturated cells against method + system. ``method_x_family`` (if the cells have a family): own method
+    effects in each family against common ones, both with the systems, which are nested in the families. Degrees of freedom
+    are differences of ranks, over the cells that exist. The cells (methods x subsystems) are one small table by nature.
+    """
+    family = "family" in cells.columns
+
+    def fit(t: pa.Table) -> pa.Table:
+        t, system, y, n = _arrays(t)
+        method = t["method"].to_pylist()
+        reduced, rank = system_fit(system, one_hot(method), y, n)
+        rows = [("method_x_subsystem", _cells_llf(y, n), reduced, len(y) - rank)]
+        if family:
+            full, more = system_fit(system, one_hot([f"{f}\x00{m}" for f, m in zip(t["family"].to_pylist(), method)]), y, n)
+            rows.append(("method_x_family", full, reduced, more - rank))
+        return pa.table({"test": [r[0] for r in rows], "llf_full": [r[1] for r in rows], "llf_reduced": [r[2] for r in rows], "lrt_df": pa.array([r[3] for r in rows], pa.int64())})
+
+    x = cells.groupBy(F.lit(1).alias("all")).applyInArrow(fit, "test string, llf_full double, llf_reduced double, lrt_df long")
+    x = x.select("test", "llf_full", "llf_reduced", (2 * (F.col("llf_full") - F.col("llf_reduced"))).alias("lrt"), "lrt_df")
+    return x.withColumn("p", chi2_sf("lrt", "lrt_df"))
 
 
 def difficulty_nested(cells: DataFrame, diff: DataFrame, covariate: str) -> DataFrame:
     """Do method x difficulty slopes absorb the interaction? Nested models on the same cells.
 
-    ``diff``: (sys, covariate). Models: additive; additive + slope per method; saturated.
+    ``diff``: (sys, covariate). Models: additive; additive + slope per method; saturated. A common slope is a system effect, so
+    there is one slope less than methods.
     """
-    x = cells.join(diff.select("sys", F.col(covariate).alias("cov")), "sys")
-    methods = [r["method"] for r in x.select("method").distinct().orderBy("method").collect()]  # a handful of names
-    num = []
-    for i, m in enumerate(methods[1:]):
-        x = x.withColumn(f"slope_{i}", F.when(F.col("method") == m, F.col("cov")).otherwise(0.0))
-        num.append(f"slope_{i}")
-    y = glm_predict(glm_predict(x, ["method", "sys"], "additive"), ["method", "sys"], "slopes", num)
-    g = y.agg(_cell_llf("additive").alias("llf_additive"), _cell_llf("slopes").alias("llf_slopes"), _saturated().alias("llf_full"))
-    return g.select("*", (2 * (F.col("llf_slopes") - F.col("llf_additive"))).alias("lrt_slopes"), F.lit(len(num)).alias("df_slopes"),
-                    (2 * (F.col("llf_full") - F.col("llf_slopes"))).alias("lrt_left"))
+    x = cells.join(diff.select("sys", F.col(covariate).cast("double").alias("cov")), "sys")
+
+    def fit(t: pa.Table) -> pa.Table:
+        t, system, y, n = _arrays(t)
+        hot, cov = one_hot(t["method"].to_pylist()), t["cov"].to_numpy()
+        additive, rank = system_fit(system, hot, y, n)
+        slopes, more = system_fit(system, np.hstack([hot, hot * (cov - cov.mean())[:, None]]), y, n)
+        full = _cells_llf(y, n)
+        return pa.table({"llf_additive": [additive], "llf_slopes": [slopes], "llf_full": [full], "lrt_slopes": [2 * (slopes - additive)], "df_slopes": pa.array([more - rank], pa.int64()),
+                         "lrt_left": [2 * (full - slopes)], "df_left": pa.array([len(y) - more], pa.int64())})
+
+    g = x.groupBy(F.lit(1).alias("all")).applyInArrow(fit, "llf_additive double, llf_slopes double, llf_full double, lrt_slopes double, df_slopes long, lrt_left double, df_left long")
+    return g.select("*", chi2_sf("lrt_slopes", "df_slopes").alias("p_slopes"), chi2_sf("lrt_left", "df_left").alias("p_left"))
 
 
 def l2_interaction(cells: DataFrame, reg: float = 0.01) -> DataFrame:

@@ -318,7 +318,36 @@ def cells(spark, sf):
     return I.cells_of(cs(spark, sf))
 
 
-@query("i21_joint_interaction")
+def additive_ctes(name: str, src: str, slopes: bool = False, steps: int = 400) -> None:
+    """Log-likelihood and sizes of logit(p) = system + method (+ slope of the method on cov) for each f, by Newton steps on one
+    coordinate after the other. ``src``: (f, sys, method, n, y, cov)."""
+    eta = "(a[c.i] + b[c.j] + sl[c.j] * c.x)"
+    pr = f"(1 / (1 + exp(-{eta})))"
+
+    def moved(old: str, size: str, at: str, x: str = "1") -> str:
+        own = f"list_filter(cells, lambda c: c.{at} = t)"
+        return (f"list_transform(range(1, {size} + 1), lambda t: {old}[t] + list_sum(list_transform({own}, lambda c: {x} * (c.y - c.n * {pr}))) "
+                f"/ greatest(list_sum(list_transform({own}, lambda c: {x} * {x} * c.n * {pr} * (1 - {pr}))), 1e-12))")
+
+    cte(f"{name}_in", f"""select f, list({{'i': i, 'j': j, 'y': y, 'n': n, 'x': x}} order by i, j) as cells, max(i) as si, max(j) as mj from (select f, y, n::double as n, cov - avg(cov) over (partition by f) as x,
+      dense_rank() over (partition by f order by sys) as i, dense_rank() over (partition by f order by method) as j from ({src})) group by f""")
+    cte(f"{name}_it", f"""select f, cells, si, mj, 0 as k, list_transform(range(si), lambda t: 0.0::double) as a, list_transform(range(mj), lambda t: 0.0::double) as b,
+      list_transform(range(mj), lambda t: 0.0::double) as sl from {name}_in
+      union all select f, cells, si, mj, k + 1, a, b, {moved('sl', 'mj', 'j', 'c.x') if slopes else 'sl'} as sl from
+       (select f, cells, si, mj, k, a, {moved('b', 'mj', 'j')} as b, sl from (select f, cells, si, mj, k, {moved('a', 'si', 'i')} as a, b, sl from {name}_it where k < {steps}))""", recursive=True)
+    cte(name, f"""select f, list_sum(list_transform(cells, lambda c: c.y * {eta} - c.n * ln(1 + exp({eta})))) as llf, si + mj - 1 as rank, len(cells) as n_cells,
+      list_sum(list_transform(cells, lambda c: {binom('c.n', 'c.y', '(c.y / c.n)')})) as llf_full, mj from {name}_it where k = {steps}""")
+
+
+CELLS_SQL = "select family, method, subsystem_id as sys, count(*)::double as n, sum(score) as y, 0.0::double as cov from cs group by all"
+cte("glm_cells", CELLS_SQL)
+additive_ctes("add_all", "select *, 'all' as f from glm_cells")
+additive_ctes("add_fam", "select *, family as f from glm_cells")
+cte("joint_rows", """select 'method_x_subsystem' as test, llf_full, llf as llf_reduced, 2 * (llf_full - llf) as lrt, (n_cells - rank)::bigint as lrt_df from add_all
+  union all select 'method_x_family', x.llf, y.llf, 2 * (x.llf - y.llf), (x.rank - y.rank)::bigint from (select sum(llf) as llf, sum(rank) as rank from add_fam) x, add_all y""")
+
+
+@query("i21_joint_interaction", f"select *, {chi2_sql('lrt', 'lrt_df')} as p from joint_rows", rnd="llf_full llf_reduced lrt p")
 def i21(spark, sf):
     return I.joint_interaction(cells(spark, sf))
 
@@ -328,7 +357,14 @@ def i22(spark, sf):
     return I.separation(deltas(spark, sf))
 
 
-@query("i23_difficulty_nested")
+additive_ctes("add_dif", "select c.* replace (entropy_bits as cov), 'all' as f from glm_cells c join difficulty d on d.subsystem_id = c.sys")
+additive_ctes("add_slo", "select c.* replace (entropy_bits as cov), 'all' as f from glm_cells c join difficulty d on d.subsystem_id = c.sys", slopes=True, steps=1500)
+cte("nested", """select x.llf as llf_additive, y.llf as llf_slopes, x.llf_full, 2 * (y.llf - x.llf) as lrt_slopes, x.mj - 1 as df_slopes, 2 * (x.llf_full - y.llf) as lrt_left,
+  x.n_cells - x.rank - (x.mj - 1) as df_left from add_dif x cross join add_slo y""")
+
+
+@query("i23_difficulty_nested", f"select *, {chi2_sql('lrt_slopes', 'df_slopes')} as p_slopes, {chi2_sql('lrt_left', 'df_left')} as p_left from nested",
+       rnd="llf_additive llf_slopes llf_full lrt_slopes lrt_left p_slopes p_left")
 def i23(spark, sf):
     diff = difficulty(spark, sf).select(F.col("subsystem_id").alias("sys"), "entropy_bits")
     return I.difficulty_nested(cells(spark, sf), diff, "entropy_bits")
@@ -339,7 +375,15 @@ def i24(spark, sf):
     return I.l2_interaction(cells(spark, sf))
 
 
-@query("i25_drop_separating")
+cte("kept_cells", """select c.* from glm_cells c left join (select method, sys from glm_cells where y / n <= 1e-12 or y / n >= 1 - 1e-12 order by n desc, method, sys limit 1) x using (method, sys)
+  where x.method is null""")
+additive_ctes("kept_all", "select *, 'all' as f from kept_cells")
+additive_ctes("kept_fam", "select *, family as f from kept_cells")
+cte("kept_rows", """select 'method_x_subsystem' as test, llf_full, llf as llf_reduced, 2 * (llf_full - llf) as lrt, (n_cells - rank)::bigint as lrt_df from kept_all
+  union all select 'method_x_family', x.llf, y.llf, 2 * (x.llf - y.llf), (x.rank - y.rank)::bigint from (select sum(llf) as llf, sum(rank) as rank from kept_fam) x, kept_all y""")
+
+
+@query("i25_drop_separating", f"select *, {chi2_sql('lrt', 'lrt_df')} as p from kept_rows", rnd="llf_full llf_reduced lrt p")
 def i25(spark, sf):
     return I.joint_interaction(I.drop_separating(cells(spark, sf)))
 

@@ -179,6 +179,16 @@ def rows_keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64("text").alias("tv"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
 
 
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """text, and all other columns as the struct ``row``, so that none of them clashes with an operator's own."""
+    return docs.select("text", F.struct(*[f"`{c}`" for c in docs.columns if c != "text"]).alias("row"))
+
+
+def unpacked_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of packed_rows() as they were."""
+    return df.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
 def chunks(batches, limit: int = 1 << 23):
     """Arrow batches joined or cut to about ``limit`` bytes of their text column each; a single longer text stays whole."""
     held: list[pa.RecordBatch] = []

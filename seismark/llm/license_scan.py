@@ -3,14 +3,16 @@
 Around each word that names a license, candidate blocks start at the sentence, at the template's own first word, and where the
 template's word for the sign falls on the sign. For each template, a block is taken as many words long as the template (and an
 eighth more), across lines; one with too few of the template's words cannot be confirmed and is left. The others are compressed
-twice with zstandard: alone, and with the template as raw dictionary. The bytes that a template saves rank the templates; the winners are confirmed by the exact differences in wording
-(words of the template that the block lacks, words that it adds), and the one with the most words in common stays.
+twice with zstandard: alone, and with the template as raw dictionary. The bytes that a template saves rank the candidates; the wording only confirms: going down the ranks,
+the first one stays whose block with the fewest differences confirms it: the exact differences (words of the template that the block lacks, words that it adds) must be few and leave the words alone that tell licences apart. These are the version
+in the licence's name, qualifiers such as Lesser, Affero or NonCommercial, and the words that a template has over those of licences with nearly the same text (and these over it).
 
 Short licences are compared to the end of their full text, so ``exact`` says that all their clauses agree; of long ones
 (Apache, GPL, MPL, Creative Commons) the notices are compared. An opening without its clauses is reported, never as exact.
 
 Defined results: null and blank texts have no blocks; several blocks of a document are all reported, and none
-shares words with another; ties go to the template with fewer differences, then to the first by name;
+shares words with another; equal savings go to the template with fewer differences, then to the first by name; a licence that is in no template is
+not reported under the name of another;
 repeated rows are scanned alike; other columns are ignored; an empty table gives no rows.
 """
 
@@ -44,23 +46,31 @@ TEMPLATES = {
                    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License.", f"{BSD_OPENING} 1. {BSD_SOURCE} 2. {BSD_BINARY} {BSD_DISCLAIMER}"],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", f"{BSD_OPENING} 1. {BSD_SOURCE} 2. {BSD_BINARY} 3. {BSD_NAMES} {BSD_DISCLAIMER}"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    **{f"CC-BY{short}-4.0": [f"Licensed under CC BY{short} 4.0.", f"This work is licensed under a Creative Commons Attribution{long} 4.0 International License."]
+       for short, long in (("", ""), ("-NC", "-NonCommercial"), ("-NC-ND", "-NonCommercial-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-ND", "-NoDerivatives"), ("-SA", "-ShareAlike"))},
     "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.",
                 "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    **{name: [f"This work is licensed under the GNU {kind} General Public License, version {version}.",
+              f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation{stop} either version {version} of the License, or (at your option) any later version."]
+       for name, kind, version, what, mark, stop in (("AGPL-3.0", "Affero", "3", "program", ":", ","), ("LGPL-2.1", "Lesser", "2.1", "library", ";", ";"), ("LGPL-3.0", "Lesser", "3", "library", ":", ","))},
     "ISC": [ISC_OPENING + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'],
     "MIT": ["Released under the MIT License.",
             MIT_OPENING + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": [UNLICENSE_OPENING + ' Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
 }
+# How licences are named in identifiers and in short.
+for _name in TEMPLATES:
+    _gnu = re.match(r"([AL]?GPL)-(\d)(?:\.0)?(\.\d)?$", _name)
+    TEMPLATES[_name] += [f"SPDX-License-Identifier: {_name}{end}" for end in (("", "-only", "-or-later") if _gnu else ("",))] + ([f"under the {_gnu[1]}v{_gnu[2]}{_gnu[3] or ''}"] if _gnu else [])
+#: Words that make another licence of one, wherever they are added.
+QUALIFIERS = frozenset("affero lesser library documentation noncommercial noderivatives noderivs sharealike nc nd sa clear patent".split())
 #: Openings whose later clauses are missing or other than in any full text: never exact. The BSD licences share theirs.
 OPENINGS = {"BSD": [BSD_OPENING], "ISC": [ISC_OPENING], "MIT": [MIT_OPENING], "Unlicense": [UNLICENSE_OPENING]}
-SIGNS = r"(?i)licen[sc]e|licensed|copyright|permission (?:is hereby granted|to use)|redistribution and use|public domain|free software|applicable law or agreed"
+SIGNS = r"(?i)licen[sc]e|licensed|copyright|permission (?:is hereby granted|to use)|redistribution and use|public domain|free software|applicable law or agreed|\bunder the [al]?gplv\d"
 #: A winner saves at least this share of a block's bytes and differs in at most this share of the template's words.
 LEAST_GAIN, MOST_CHANGED, LEVEL = 0.3, 0.2, 3
 WORDS = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
@@ -72,7 +82,8 @@ def normal(text: str) -> list[str]:
 
 
 def compressors() -> list[tuple]:
-    """license, words of a template, whether it is all of the licence or notice, its compressor; and the one without dictionary. Made once a worker."""
+    """license, words of a template, whether it is all of the licence or notice, its compressor; the words that tell it from others; and the
+    compressor without dictionary. Made once a worker."""
     import zstandard as z
 
     state = worker_state()
@@ -84,23 +95,52 @@ def compressors() -> list[tuple]:
             for name, t in ((name, t) for name in sorted(texts) for t in texts[name]):
                 w = normal(t)
                 rows.append((name, w, whole, z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(" ".join(w).encode(), dict_type=z.DICT_TYPE_RAWCONTENT))))
-        state["licenses"] = (rows, z.ZstdCompressor(compression_params=params))
+        state["licenses"] = (rows, telling(rows), z.ZstdCompressor(compression_params=params))
     return state["licenses"]
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
-    """Words of the template that are missing, words added between its first and last word, and words of the block used."""
+def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str], int, int]:
+    """Words of the template that are missing, words added between its first and last word, and the part of the block used."""
     same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    kept = sum(m.size for m in same)
-    if not kept:
-        return len(template), 0, 0
-    first, last = same[0].b, same[-1].b + same[-1].size
-    return len(template) - kept, last - first - kept, last
-
-
-def find_licenses(text: str) -> list[dict]:
-    """All confirmed blocks of one text."""
-    rows, plain = compressors()
+    if not same:
+        return template, [], 0, 0
+    missing, added, a, b = [], [], 0, same[0].b
+    for m in same:
+        missing += template[a: m.a]
+        added += block[b: m.b]
+        a, b = m.a + m.size, m.b + m.size
+    return missing + template[a:], added, same[0].b, b
+
+
+def telling(rows: list[tuple]) -> list[tuple[set[str], list[tuple[set[str], set[str]]]]]:
+    """For each template the words for its licence's version, and for each other licence of nearly the same text the words
+    that only the one or only the other has."""
+    out = []
+    for name, w, whole, _ in rows:
+        version = re.search(r"-(\d+)\.(\d+)$", name)
+        words = {f"{version[1]}.{version[2]}", *([version[1]] if version[2] == "0" else [])} & set(w) if version else set()
+        near = []
+        for other, v, full, _ in rows:
+            common = sum((Counter(w) & Counter(v)).values())
+            if other != name and whole and full and common >= 0.6 * max(len(w), len(v)):
+                near.append((set(w) - set(v), set(v) - set(w)))
+        out.append((words, near))
+    return out
+
+
+def agrees(template: list[str], missing: list[str], added: list[str], version: set[str], near: list[tuple[set[str], set[str]]]) -> bool:
+    """Do the words that tell a licence from others agree?"""
+    parts = {p for w in template for p in w.split("-")}
+    if any(p in QUALIFIERS and p not in parts for w in added for p in w.split("-")) or any(p in QUALIFIERS for w in missing for p in w.split("-")):
+        return False
+    if version and version <= set(missing):
+        return False
+    return all(2 * len(own & set(missing)) < max(1, len(own)) + (not own) and 2 * len(theirs & set(added)) < max(1, len(theirs)) + (not theirs) for own, theirs in near)
+
+
+def find_licenses(text: str, every_start: bool = False) -> list[dict]:
+    """All confirmed blocks of one text; with ``every_start`` blocks from every word are tried (for tests)."""
+    rows, marks, plain = compressors()
     words, begins, ends, same = [], array("q"), array("q"), {}
     places: dict[str, list[int]] = {template[0]: [] for _, template, _, _ in rows}
     for i, m in enumerate(WORDS.finditer(text)):
@@ -123,11 +163,14 @@ def find_licenses(text: str) -> list[dict]:
         raw = " ".join(block).encode()
         alone = len(plain.compress(raw))
         saved = alone - len(packer.compress(raw))
-        missing, added, used = differences(template, block)
-        if saved < LEAST_GAIN * alone or missing + added > MOST_CHANGED * n:
+        if saved < LEAST_GAIN * alone:
+            return None
+        lost, more, first, used = differences(template, block)
+        missing, added = len(lost), len(more)
+        if missing + added > MOST_CHANGED * n or not agrees(template, lost, more, *marks[r]):
             return None
-        row = {"line": text.count("\n", 0, begins[start]), "license": name, "gain": round(saved / alone, 6), "missing": missing, "added": added, "exact": whole and missing + added == 0}
-        return (missing + added - n, missing + added, name, -start), row, start + used
+        row = {"line": text.count("\n", 0, begins[start + first]), "license": name, "gain": round(saved / alone, 6), "missing": missing, "added": added, "exact": whole and missing + added == 0}
+        return (missing + added, -saved, -start), row, start + used, (-saved, missing + added, name)
 
     for sign in re.finditer(SIGNS, text):
         k = bisect_right(ends, sign.start())
@@ -136,15 +179,18 @@ def find_licenses(text: str) -> list[dict]:
         while done <= k < len(words):
             best = None
             for r, (_, template, _, _) in enumerate(rows):
+                own = None  # the template's block with the fewest differences
                 at, least = places[template[0]], max(done, k - len(template) - len(template) // 8 + 1)
                 starts = {sentence, *at[bisect_left(at, least): bisect_right(at, k)], *(k - j for j, w in enumerate(template) if w == words[k])}
-                for start in starts:
+                for start in range(least, k + 1) if every_start else starts:
                     if done <= start <= k and (r, start) not in failed:
                         got = judge(r, start)
                         if got is None:
                             failed.add((r, start))
-                        elif best is None or got[0] < best[0]:
-                            best = got
+                        elif own is None or got[0] < own[0]:
+                            own = got
+                if own is not None and (best is None or own[3] < best[3]):
+                    best = own
             if best is None:
                 break
             found.append(best[1])

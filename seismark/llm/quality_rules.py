@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seismark.llm.common import MULT, WHITE, chunks, mix, piece_hash, text_buffer, window_hash, word_bounds
 
@@ -183,9 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | N
             x = statistics(t.column("text"))[1]
             yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), t.column("quality").combine_chunks().cast(pa.float64())], names=["x", "y"])
 
+    # one text for each id, so that at most ``sample`` rows are collected however often an id is repeated
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
-            .select("text", F.col("quality").cast("double").alias("quality")).mapInArrow(measure, "x array<double>, y double").collect())
-    rows = sorted((r["x"], r["y"]) for r in rows)[: 2 * sample]
+            .groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+            .select("text", "quality").mapInArrow(measure, "x array<double>, y double").collect())
+    rows = sorted((r["x"], r["y"]) for r in rows)
     x, y = np.array([r[0] for r in rows]), np.array([float(r[1] > 0) for r in rows])
     if not len(y) or y.min() == y.max():
         return None
@@ -195,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | N
 def judge(docs: DataFrame, trees: Trees | None, least_kept: float = 0.5) -> DataFrame:
     """docs with STATS, base_failed, score and kept added; every other column stays (own columns replace clashing ones)."""
     names = [c for c in docs.columns if c not in (*STATS, "base_failed", "score", "kept")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in names]).schema), *(f"{c} long" for c in STATS), "base_failed boolean, score double, kept boolean"])
+    own = [*((c, T.LongType()) for c in STATS), ("base_failed", T.BooleanType()), ("score", T.DoubleType()), ("kept", T.BooleanType())]
+    schema = T.StructType([*(f for f in docs.schema if f.name in names), *(T.StructField(c, kind) for c, kind in own)])
 
     def apply(batches):
         for t in chunks(batches, BYTES):

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seismark.llm.common import U64, by_bucket, chunks, double, keyed, mix, partitions, piece_hash, rows_keyed, sliding, text_buffer, window_hash, word_bounds
+from seismark.llm.common import U64, by_bucket, chunks, double, keyed, mix, partitions, piece_hash, rows_keyed, sliding, text_buffer, window_hash, word_bounds, unpacked_rows
 
 BLOCK_SCHEMA = "bucket int, own boolean, docs binary, counts binary, pos binary, key binary, hash binary, known binary"
 ARROW_BLOCK = pa.schema([("bucket", pa.int32()), ("own", pa.bool_()), *((c, pa.binary()) for c in ("docs", "counts", "pos", "key", "hash", "known"))])
@@ -246,4 +247,5 @@ def cut(docs: DataFrame, width: int = 20, first: int = 10) -> DataFrame:
             out = t.drop_columns([PLACED])
             yield from out.set_column(out.column_names.index("text"), "text", pa.array(texts, pa.string())).combine_chunks().to_batches()
 
-    return rows_keyed(docs).join(found.withColumnRenamed("places", PLACED), ["kid", "tv"], "left").select("row.*", PLACED).mapInArrow(keep, docs.schema)
+    rows = rows_keyed(docs).join(found.withColumnRenamed("places", PLACED), ["kid", "tv"], "left").select(F.col("row.text").alias("text"), F.col("row").dropFields("text").alias("row"), PLACED)
+    return unpacked_rows(rows.mapInArrow(keep, T.StructType([f for f in rows.schema if f.name != PLACED])), docs.columns)

@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import oracle
 import pytest
+from pyspark.sql import functions as F
 from seismark.llm import quality_rules, queries, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +44,16 @@ def test_stages_return_documents(spark):
         assert empty.columns == docs.columns and empty.count() == 0
 
 
+def test_stages_keep_other_columns(spark):
+    names = ["a.b", "score", "kept", "row", "n_words", "kid", "tv", "places", "root"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) > 50 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
 @pytest.fixture(scope="module")
 def con():
     return oracle.connect(SF)

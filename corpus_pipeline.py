@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seismark.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup
-from seismark.llm.common import written
+from seismark.llm.common import packed_rows, unpacked_rows, written
 from seismark.llm.registry import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the limits or the trees reject go."""
     trees = quality_rules.train(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, trees).where("kept").select(*docs.columns)
+    judged = quality_rules.judge(packed_rows(docs), trees)
+    return unpacked_rows(judged.where("kept"), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that start earlier elsewhere go; documents of which nothing is left go. n_chars follows the new text, and a
     document without repeated passages keeps its text as it is."""
-    return substring_dedup.cut(docs).where("text is not null and length(text) > 0").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return substring_dedup.cut(docs).where("text is not null and length(text) > 0").withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,10 +160,16 @@ def post_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                               F.min_by("answer", top).alias("modal_answer"), (F.max("c") / F.sum("c")).alias("modal_share"))
 
 
-def flip_cases(scores: DataFrame, a: str, b: str, t1: int, t2: int, k: int) -> DataFrame:
+def first_times(df: DataFrame) -> DataFrame:
+    """First predicted and first true time of parsed answers (``parse_slots``) as epoch seconds; null where there is none."""
+    return df.select("*", F.get("_p", F.lit(0))["s"].alias("pred_time"), F.get("_ts", F.lit(0)).alias("true_time"))
+
+
+def flip_cases(scores: DataFrame, a: str, b: str, t1: int, t2: int, k: int, times: DataFrame | None = None) -> DataFrame:
     """Cases in which A beats B at one tolerance and loses at the other; the k largest changes per system.
 
-    ``scores``: (system, case_id, method, tol, score). One conditional aggregation replaces four self joins.
+    ``scores``: (system, case_id, method, tol, score). One conditional aggregation replaces four self joins. With ``times``
+    (case_id, method, pred_time, true_time in seconds) also the true time, what both methods predicted, and how far off they are.
     """
     from seismark.functions.series import top_n
 
@@ -171,7 +177,13 @@ def flip_cases(scores: DataFrame, a: str, b: str, t1: int, t2: int, k: int) -> D
     at = lambda m, t: F.max(F.when((F.col("method") == m) & (F.col("tol") == t), F.col("score")))
     g = x.groupBy("system", "case_id").agg((at(a, t1) - at(b, t1)).alias("d1"), (at(a, t2) - at(b, t2)).alias("d2"))
     g = g.filter((F.col("d1") > 1e-9) & (F.col("d2") < -1e-9)).withColumn("magnitude", F.abs("d1") + F.abs("d2"))
-    return top_n(g, ["system"], [F.round("magnitude", 9).desc(), F.col("case_id")], k, "case_id")
+    top = top_n(g, ["system"], [F.round("magnitude", 9).desc(), F.col("case_id")], k, "case_id")
+    if times is None:
+        return top
+    of = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
+    t = times.join(top.select("case_id").distinct(), "case_id", "left_semi")
+    t = t.groupBy("case_id").agg(F.max("true_time").alias("true_time"), of(a, "pred_time").alias("time_a"), of(b, "pred_time").alias("time_b"))
+    return top.join(t, "case_id", "left").select("*", *[F.abs(F.col(f"time_{m}") - F.col("true_time")).alias(f"gap_{m}") for m in ("a", "b")])
 
 
 def to_case_schema(scores: DataFrame, tol: int, family: str) -> DataFrame:

@@ -430,11 +430,15 @@ def r13(spark, sf):
 METHODS = [("m_late", "replace(prediction, ':00\", ', ':40\", ')"), ("m_plain", "prediction"), ("m_wrong", "replace(prediction, '\"c0\"', '\"c9\"')")]
 
 
-def tol_scores(spark, sf):
+def tol_slots(spark, sf):
     variants = F.array(*[F.struct(F.lit(m).alias("method"), F.expr(e).alias("prediction")) for m, e in METHODS])
     a = X.answers(spark, sf)
     x = a.select("case_id", "scoring_points", F.explode(variants).alias("v")).select("case_id", "scoring_points", "v.*")
-    s = K.score_answer(K.with_tolerances(K.parse_slots(x), TOLS), F.col("tol"))
+    return K.parse_slots(x)
+
+
+def tol_scores(spark, sf):
+    s = K.score_answer(K.with_tolerances(tol_slots(spark, sf), TOLS), F.col("tol"))
     return s.select(F.concat(F.lit("sys"), (F.col("case_id").cast("bigint") % 5).cast("string")).alias("system"), "case_id", "method", "tol", "score")
 
 
@@ -455,9 +459,12 @@ def tdiffs(spark, sf):
 with g as (select system, case_id, max(score) filter (where method = 'm_plain' and tol = 60) - max(score) filter (where method = 'm_late' and tol = 60) as d1,
    max(score) filter (where method = 'm_plain' and tol = 30) - max(score) filter (where method = 'm_late' and tol = 30) as d2 from tscores group by all),
  f as (select *, abs(d1) + abs(d2) as magnitude from g where d1 > 1e-9 and d2 < -1e-9)
-select * from (select *, row_number() over (partition by system order by round(magnitude, 9) desc, case_id) as rank from f) where rank <= 20""", rnd="d1 d2 magnitude")
+select *, abs(time_a - true_time) as gap_a, abs(time_b - true_time) as gap_b from (select *, row_number() over (partition by system order by round(magnitude, 9) desc, case_id) as rank from f)
+  left join (select case_id, max(epoch(ts[1])::bigint) as true_time, max(epoch(pt[1])::bigint) filter (where method = 'm_plain') as time_a, max(epoch(pt[1])::bigint) filter (where method = 'm_late') as time_b
+    from mslots group by case_id) using (case_id) where rank <= 20""", rnd="d1 d2 magnitude")
 def r11(spark, sf):
-    return K.flip_cases(tol_scores(spark, sf), "m_plain", "m_late", 60, 30, 20)
+    times = K.first_times(tol_slots(spark, sf)).select("case_id", "method", "pred_time", "true_time")
+    return K.flip_cases(tol_scores(spark, sf), "m_plain", "m_late", 60, 30, 20, times)
 
 
 @query("r12_to_case_schema", """select 'open' as family, 'open::' || system as subsystem_id, 'open::' || system || '|' || case_id || '#0' as case_id, method, null::int as seed, score, (score = 1)::int::double as score_strict

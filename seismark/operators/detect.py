@@ -236,8 +236,12 @@ def lagcorr_graph(series: DataFrame, threshold: float = 0.35, margin: float = 0.
     """Edges u -> v where corr(u[t-1], v[t]) reaches the threshold and beats the reverse lag by the margin.
 
     The components of a case meet once per step (their number is the width of the system, not of the data);
-    correlations are partial aggregates, so nothing but moments is shuffled.
+    correlations are partial aggregates, so nothing but moments is shuffled. A case of fewer than five steps or two components
+    has no graph.
     """
+    steps = series.select("case_id", "step").distinct().groupBy("case_id").agg(F.count("*").alias("_s")).filter("_s >= 5")
+    parts = series.select("case_id", "component").distinct().groupBy("case_id").agg(F.count("*").alias("_c")).filter("_c >= 2")
+    series = series.join(steps.join(parts, "case_id").select("case_id"), "case_id", "left_semi")
     x = previous(series, ["case_id", "component"], F.floor(F.col("step") / 64), ["step"], "z", "_p", k=1)
     x = x.withColumn("zp", F.get("_p", 0)).filter("zp is not null")
     g = x.groupBy("case_id", "step").agg(F.collect_list(F.struct("component", "z", "zp")).alias("c"))

@@ -380,7 +380,8 @@ def d13(spark, sf):
 
 
 def lagcorr_sql(src: str, thr: float, margin: float) -> str:
-    return f"""with l as (select *, lag(z) over (partition by case_id, component order by step) as zp from {src}),
+    return f"""with l as (select *, lag(z) over (partition by case_id, component order by step) as zp from {src}
+   where case_id in (select case_id from {src} group by case_id having count(distinct step) >= 5 and count(distinct component) >= 2)),
  c as (select u.case_id, u.component as src, v.component as dst, case when stddev_pop(u.zp) >= 1e-8 and stddev_pop(v.z) >= 1e-8 then corr(u.zp, v.z) end as c
    from l u join l v on u.case_id = v.case_id and u.step = v.step and u.component <> v.component where u.zp is not null and v.zp is not null group by all)
 select x.case_id, x.src, x.dst, x.c as weight from c x join c y on x.case_id = y.case_id and x.src = y.dst and x.dst = y.src

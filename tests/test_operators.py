@@ -285,3 +285,10 @@ def test_budget_baseline_counts(spark):
             top = sorted((x for x in o if x[f"dir_{tag}"]), key=lambda x: (-abs(x[m]), x.family, x.held_out, x.a, x.b))[:k]
             want = (len(top), sum(x[f"out_{tag}"] == "error" for x in top), sum(x[f"out_{tag}"] == "tie" for x in top), sum(x[f"strict_{tag}"] for x in top))
             assert tuple(got[str(k)][f"{name}_{s}"] for s in ("n", "errors", "ties", "strict_errors")) == want
+
+
+def test_short_series_have_no_graph(spark):
+    rows = [("long", c, t, float((t * 7 + k * (t % 3)) % 5)) for k, c in enumerate("uv") for t in range(30)]
+    rows += [("short", c, t, float(t % 2)) for c in "uv" for t in range(4)] + [("one", "u", t, float(t % 3)) for t in range(30)]
+    df = spark.createDataFrame(rows, "case_id string, component string, step long, z double")
+    assert {r.case_id for r in D.lagcorr_graph(df, threshold=-1.0, margin=-2.0).collect()} == {"long"}

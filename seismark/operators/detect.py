@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seismark.functions.moments import numbered_items, pair_correlations
 from seismark.functions.series import exact_percentiles, previous
 from seismark.session import checkpoint
 
@@ -214,12 +215,6 @@ def onset_strict(grid: DataFrame, lookback: int = 30, base: int = 120, min_base:
     return g.select(*SERIES, F.coalesce("hard", F.when(F.col("top") > 3.0, F.col("soft"))).alias("onset"), F.col("hard").isNotNull().alias("strict")).filter("onset is not null")
 
 
-def safe_corr(x: str, y: str, least: float = SD_MIN) -> Column:
-    """Correlation, null where a side hardly varies (the built-in one fails on a zero variance in ANSI mode)."""
-    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
-    return F.when((sx >= least) & (sy >= least), F.covar_pop(x, y) / (sx * sy))
-
-
 # ---- component series and graphs -----------------------------------------------------------------------------
 
 def component_series(grid: DataFrame) -> DataFrame:
@@ -235,26 +230,18 @@ def component_series(grid: DataFrame) -> DataFrame:
 def lagcorr_graph(series: DataFrame, threshold: float = 0.35, margin: float = 0.05) -> DataFrame:
     """Edges u -> v where corr(u[t-1], v[t]) reaches the threshold and beats the reverse lag by the margin.
 
-    The components of a case meet once per step (their number is the width of the system, not of the data);
-    correlations are partial aggregates, so nothing but moments is shuffled. A case of fewer than five steps or two components
-    has no graph.
+    Pairs of components meet in blocks (``functions.moments``), so no row per pair and step is made. A case of fewer than five steps
+    or two components has no graph.
     """
     steps = series.select("case_id", "step").distinct().groupBy("case_id").agg(F.count("*").alias("_s")).filter("_s >= 5")
     parts = series.select("case_id", "component").distinct().groupBy("case_id").agg(F.count("*").alias("_c")).filter("_c >= 2")
     series = series.join(steps.join(parts, "case_id").select("case_id"), "case_id", "left_semi")
     x = previous(series, ["case_id", "component"], F.floor(F.col("step") / 64), ["step"], "z", "_p", k=1)
-    x = x.withColumn("zp", F.get("_p", 0)).filter("zp is not null")
-    g = x.groupBy("case_id", "step").agg(F.collect_list(F.struct("component", "z", "zp")).alias("c"))
-    prs = F.flatten(F.transform("c", lambda u: F.transform(
-        F.filter("c", lambda v: u["component"] < v["component"]),
-        lambda v: F.struct(u["component"].alias("u"), v["component"].alias("v"), u["z"].alias("uz"), u["zp"].alias("up"), v["z"].alias("vz"), v["zp"].alias("vp")))))
-    e = g.select("case_id", F.explode(prs).alias("p")).select("case_id", "p.*")
-    # both directions of a pair come from the same rows
-    c = e.groupBy("case_id", "u", "v").agg(safe_corr("up", "vz").alias("uv"), safe_corr("vp", "uz").alias("vu"))
-    both = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("uv").alias("c"), F.coalesce("vu", F.lit(0.0)).alias("rev")),
-                   F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), F.col("vu").alias("c"), F.coalesce("uv", F.lit(0.0)).alias("rev")))
-    j = c.select("case_id", F.explode(both).alias("b")).select("case_id", "b.*")
-    return j.filter((F.round("c", 9) >= threshold) & (F.round(F.col("c") - F.col("rev"), 9) >= margin)).select("case_id", "src", "dst", F.col("c").alias("weight"))
+    x = x.withColumn("zp", F.get("_p", F.lit(0))).select("case_id", "component", "step", "z", "zp")
+    c = pair_correlations(x, ["case_id"], "component", "step", "zp", "z", SD_MIN, numbered_items(series, ["case_id"], "component", "z", "z"))
+    way = lambda src, dst, c, rev: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(c).alias("weight"), F.coalesce(rev, F.lit(0.0)).alias("rev"))
+    e = c.select("case_id", F.explode(F.array(way("u", "v", "uv", "vu"), way("v", "u", "vu", "uv"))).alias("b")).select("case_id", "b.*")
+    return e.filter((F.round("weight", 9) >= threshold) & (F.round(F.col("weight") - F.col("rev"), 9) >= margin)).drop("rev")
 
 
 def ancestors(edges: DataFrame, depth: int = 3, keys: Sequence[str] = ()) -> DataFrame:
@@ -371,21 +358,18 @@ def graph_distance(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 def prefilter_topk(scores: DataFrame, grid: DataFrame, k: int, corr_max: float = 0.98) -> DataFrame:
     """The k best metrics of a case that are not near-copies of a better one.
 
-    Candidates are the 3k best by score. Their correlations are partial aggregates over steps; the greedy choice
-    folds over at most 3k positions. A case with fewer than three survivors has none.
+    Candidates are the 3k best by score. Their correlations are exact and come from blocks of series (``functions.moments``); the
+    greedy choice folds over at most 3k positions. A case with fewer than three survivors has none.
     """
     pool = rank_metrics(scores).filter(F.col("rank") <= 3 * k).select("case_id", "metric_id", "rank")
-    x = grid.join(pool, ["case_id", "metric_id"])
-    g = x.groupBy("case_id", "step").agg(F.collect_list(F.struct("rank", "value")).alias("c"))
-    prs = F.flatten(F.transform("c", lambda u: F.transform(
-        F.filter("c", lambda v: u["rank"] < v["rank"]), lambda v: F.struct(u["rank"].alias("i"), v["rank"].alias("j"), u["value"].alias("x"), v["value"].alias("y")))))
-    near = (g.select("case_id", F.explode(prs).alias("p")).select("case_id", "p.*").groupBy("case_id", "i", "j").agg(safe_corr("x", "y").alias("c"))
-            .filter(F.round(F.abs("c"), 9) >= corr_max).groupBy("case_id").agg(F.collect_set(F.struct("i", "j")).alias("near")))
+    x = grid.join(pool, ["case_id", "metric_id"]).select("case_id", "rank", "step", "value")
+    c = pair_correlations(x, ["case_id"], "rank", "step", "value", "value", SD_MIN)
+    near = c.filter(F.round(F.abs("uv"), 9) >= corr_max).groupBy("case_id", "v").agg(F.collect_list("u").alias("us"))
+    near = near.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("v", "us"))).alias("near"))
     names = pool.groupBy("case_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks")).filter(F.size("ranks") >= 3).join(near, "case_id", "left")
-    none = F.array().cast("array<struct<i:int,j:int>>")
-    names = names.withColumn("near", F.coalesce("near", none))
+    names = names.withColumn("near", F.coalesce("near", F.create_map().cast("map<int,array<int>>")))
     kept = F.aggregate("ranks", F.array().cast("array<int>"), lambda acc, r: F.when(
-        (F.size(acc) < k) & ~F.exists(acc, lambda a: F.array_contains("near", F.struct(a.alias("i"), r.alias("j")))), F.concat(acc, F.array(r))).otherwise(acc))
+        (F.size(acc) < k) & ~F.coalesce(F.arrays_overlap(acc, F.try_element_at("near", r)), F.lit(False)), F.concat(acc, F.array(r))).otherwise(acc))
     names = names.select("case_id", kept.alias("kept")).filter(F.size("kept") >= 3)
     return names.select("case_id", F.explode("kept").alias("rank")).join(pool, ["case_id", "rank"])
 

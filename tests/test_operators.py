@@ -292,3 +292,40 @@ def test_short_series_have_no_graph(spark):
     rows += [("short", c, t, float(t % 2)) for c in "uv" for t in range(4)] + [("one", "u", t, float(t % 3)) for t in range(30)]
     df = spark.createDataFrame(rows, "case_id string, component string, step long, z double")
     assert {r.case_id for r in D.lagcorr_graph(df, threshold=-1.0, margin=-2.0).collect()} == {"long"}
+
+
+def test_block_correlations_equal_numpy(spark, monkeypatch):
+    """Many blocks and chunks, missing steps, a constant series, one that is constant on the common steps, ties."""
+    import numpy as np
+
+    from seismark.functions import moments as M
+
+    monkeypatch.setattr(M, "BLOCK", 3)
+    monkeypatch.setattr(M, "STEPS", 16)
+    g = np.random.default_rng(5)
+    x, y, has = g.normal(100, 1, (8, 50)), g.normal(size=(8, 50)), g.random((8, 50)) < 0.8
+    x[2], y[2] = 7.1, 7.1
+    x[5], y[5] = x[4], y[4]
+    rows = [("k", f"m{i}", t, float(x[i, t]), float(y[i, t])) for i in range(8) for t in range(50) if has[i, t]] + [("k", "m0", 99, None, 1.0), ("alone", "m0", 0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "case_id string, name string, step long, x double, y double")
+    got = {(r.u, r.v): (r.uv, r.vu) for r in M.pair_correlations(df, ["case_id"], "name", "step", "x", "y", 1e-8).collect()}
+    assert len(got) == 28
+    for (u, v), (uv, vu) in got.items():
+        i, j = int(u[1:]), int(v[1:])
+        both = has[i] & has[j]
+        for a, b, c in ((x[i], y[j], uv), (x[j], y[i], vu)):
+            if 2 in (i, j) and (a is x[2] or b is y[2] or np.ptp(a[both]) == 0 or np.ptp(b[both]) == 0):
+                assert c is None
+            else:
+                assert c == pytest.approx(np.corrcoef(a[both], b[both])[0, 1], abs=1e-9)
+
+
+def test_prefilter_drops_near_copies_of_kept_metrics_only(spark):
+    """A copy of a dropped metric stays; fewer than three survivors give none."""
+    a, b, c, d = (noise(s) for s in (1, 2, 3, 4))
+    series = {"m1": a, "m2": lambda i: a(i) + 0.001 * b(i), "m3": lambda i: -2 * a(i), "m4": b, "m5": c, "m6": d}
+    rows = [(case, m, t, f(t)) for case, names in (("full", list(series)), ("few", ["m1", "m2", "m3", "m4"])) for m, f in series.items() if m in names for t in range(40)]
+    grid = spark.createDataFrame(rows, "case_id string, metric_id string, step long, value double")
+    scores = grid.select("case_id", "metric_id").distinct().withColumn("z", 10.0 - F.substring("metric_id", 2, 1).cast("double"))
+    got = [(r.case_id, r["rank"], r.metric_id) for r in D.prefilter_topk(scores, grid, 3).orderBy("rank").collect()]
+    assert got == [("full", 1, "m1"), ("full", 4, "m4"), ("full", 5, "m5")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def seconds(text: Column) -> Column:
 def best_assignment(n: Column, gain) -> Column:
     """Largest total gain of a one-to-one assignment of n predictions to n slots.
 
-    Dynamic programme over sets of used predictions: exact for any n, 2^n states instead of n! orders.
+    Dynamic programme over sets of used predictions: 2^n states instead of n! orders, for a few slots (``SET_SLOTS``).
     """
     full = F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), n).cast("int") - 1
     masks = F.sequence(F.lit(0), full)
@@ -91,6 +92,50 @@ def best_assignment(n: Column, gain) -> Column:
     return F.get(F.aggregate(F.sequence(F.lit(0), n - 1), start, add_slot), full)
 
 
+# slots up to which the assignment is a dynamic programme over 2^n sets; beyond, shortest augmenting paths in n^3 steps
+SET_SLOTS = 8
+
+
+def large_assignment():
+    """UDF: largest total gain of a one-to-one assignment for a square matrix of gains (rows: slots), null for null.
+
+    Every slot is added along the shortest augmenting path under reduced costs, so potentials stay feasible and the result is exact.
+    """
+    @F.pandas_udf("double")
+    def best(gains: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def solve(m):
+            cost = -np.stack([np.asarray(r, dtype=float) for r in m])
+            n = len(cost)
+            owner = np.full(n, -1)  # slot that a prediction is given to
+            of_slot, of_pred = np.zeros(n), np.zeros(n)
+            for slot in range(n):
+                dist, before, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n, dtype=bool)
+                row, last, reach = slot, -1, 0.0
+                while True:
+                    step = reach + cost[row] - of_slot[row] - of_pred
+                    closer = ~done & (step < dist)
+                    dist[closer], before[closer] = step[closer], last
+                    last = int(np.argmin(np.where(done, np.inf, dist)))
+                    reach, done[last] = dist[last], True
+                    if owner[last] < 0:
+                        break
+                    row = owner[last]
+                passed = done & (owner >= 0)
+                of_slot[slot] += reach
+                of_slot[owner[passed]] += reach - dist[passed]
+                of_pred[passed] -= reach - dist[passed]
+                while last >= 0:  # hand the predictions of the path on, back to the new slot
+                    owner[last] = owner[before[last]] if before[last] >= 0 else slot
+                    last = before[last]
+            return float(-cost[owner, np.arange(n)].sum())
+
+        return gains.map(lambda m: None if m is None else solve(m)).astype("float64")
+
+    return best
+
+
 def parse_slots(df: DataFrame) -> DataFrame:
     """Answers and scoring points parsed once: predictions ``_p``, truths ``_t``, truth times ``_ts``, slots ``_n``."""
     x = df.withColumn("_p", parse_answers("prediction")).withColumn("_t", parse_truth("scoring_points"))
@@ -116,8 +161,12 @@ def _best(x: DataFrame, time_gain) -> DataFrame:
         return comp + reason + time
 
     fits = (n > 0) & (F.size("_p") == n)
-    best = F.when(~fits, 0.0).when(n == 1, gain(F.lit(0), F.lit(0))).otherwise(best_assignment(n, gain))
-    return x.withColumn("best", best)
+    at = F.sequence(F.lit(0), n - 1)
+    gains = F.when(fits & (n > SET_SLOTS), F.transform(at, lambda i: F.transform(at, lambda j: gain(i, j))))
+    # exploding the one matrix of a row keeps its lambdas out of the UDF's argument, where they are not evaluated
+    x = x.select("*", F.explode(F.array(gains)).alias("_gains")).withColumn("_far", large_assignment()("_gains"))
+    best = F.when(~fits, 0.0).when(n == 1, gain(F.lit(0), F.lit(0))).when(n > SET_SLOTS, F.col("_far")).otherwise(best_assignment(n, gain))
+    return x.withColumn("best", best).drop("_gains", "_far")
 
 
 def score_answer(df: DataFrame, tolerance: Column | int = 60) -> DataFrame:

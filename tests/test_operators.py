@@ -115,6 +115,34 @@ def test_assignment_is_exact_for_any_length(spark):
         assert math.isclose(got, max(sum(g[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n))), abs_tol=1e-9)
 
 
+def test_augmenting_paths_equal_brute_force(spark):
+    import itertools
+    r = random.Random(4)
+    rows = []
+    for n in (1, 2, 3, 5, 7, 8):
+        for values in ([0.0, 1.0, 2.0, 3.0], [r.random() for _ in range(50)]):
+            g = [[r.choice(values) for _ in range(n)] for _ in range(n)]
+            rows.append(Row(g=g, want=max(sum(g[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))))
+    order = list(range(30))
+    r.shuffle(order)
+    rows.append(Row(g=[[3.0 if order[i] == j else r.choice([0.0, 1.0, 2.0]) for j in range(30)] for i in range(30)], want=90.0))
+    rows.append(Row(g=None, want=None))
+    df = spark.createDataFrame(rows, "g array<array<double>>, want double").withColumn("got", K.large_assignment()("g"))
+    for x in df.collect():
+        assert x.got == (None if x.want is None else pytest.approx(x.want, abs=1e-9))
+
+
+def test_thirty_slots_are_scored_exactly(spark):
+    """Slots in reverse order, half of the components named wrongly; slots of equal truths compete for one answer each."""
+    ans = lambda c, r, t: f'{{"root cause occurrence datetime": "2021-03-04 00:{t:02d}:00", "root cause component": "{c}", "root cause reason": "{r}"}}'
+    pts = "".join(f"The {i}-th predicted root cause component is c{i % 15}\nThe {i}-th predicted root cause reason is r{i}\n"
+                  f"The {i}-th root cause occurrence time is within 1 minutes (i.e., <=1min) of 2021-03-04 00:{i:02d}:00\n" for i in range(30))
+    full = "".join(ans(f"c{i % 15}", f"r{i}", i) for i in reversed(range(30)))
+    half = "".join(ans(f"c{i % 15}" if i % 2 else "no", f"r{i}", i) for i in reversed(range(30)))
+    df = spark.createDataFrame([Row(k=1, prediction=full, scoring_points=pts), Row(k=2, prediction=half, scoring_points=pts), Row(k=3, prediction=full + ans("x", "y", 1), scoring_points=pts)])
+    assert {x.k: x.score for x in K.score_answer(df).collect()} == {1: 1.0, 2: 0.83, 3: 0.0}
+
+
 def test_score_rules(spark):
     ans = lambda c, t: f'{{"root cause occurrence datetime": "2021-03-04 00:0{t}:00", "root cause component": "{c}", "root cause reason": "r"}}'
     pts = ("The only predicted root cause component is a\nThe only predicted root cause reason is q\n"

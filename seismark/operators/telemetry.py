@@ -99,6 +99,26 @@ def event_window(df: DataFrame, case: str, base: int, half: int, min_len: int =
     return df.join(keep, [case, ts])
 
 
+def clean_window(window: DataFrame, case: str, min_metrics: int = 5, sd_min: float = 1e-8, max_null: float = 0.5, ts: str = "ts") -> DataFrame:
+    """The window of ``event_window`` as a whole table (case, metric_id, ts, rel, value) without gaps.
+
+    Metrics that hardly vary (sample SD), or that lack ``max_null`` or more of the times of their window, go; gaps take the last value,
+    leading ones zero. A case with fewer than ``min_metrics`` metrics left has no rows. Null and NaN are gaps; readings of one
+    metric at one time are averaged; a metric with an infinite reading has no SD and goes. Every list and window below is as long as
+    an event window, so no metric is held in one task beyond it.
+    """
+    v = F.when(~F.isnan("value"), F.col("value"))
+    cells = window.groupBy(case, "metric_id", "rel").agg(F.avg(v).alias("value"))
+    times = window.groupBy(case).agg(F.sort_array(F.collect_set(F.struct("rel", F.col(ts).alias("ts")))).alias("_times"))
+    sd = F.stddev_samp("value")
+    own = cells.groupBy(case, "metric_id").agg(F.count("value").alias("_n"), F.when(~F.isnan(sd), sd).alias("_sd")).join(times, case)
+    own = own.filter((F.col("_sd") > sd_min) & (1 - F.col("_n") / F.size("_times") < max_null))
+    own = own.withColumn("_m", F.count("*").over(W.partitionBy(case))).filter(F.col("_m") >= min_metrics)
+    frame = own.select(case, "metric_id", F.explode("_times").alias("t")).select(case, "metric_id", F.col("t.ts").alias(ts), "t.rel")
+    last = F.last("value", ignorenulls=True).over(W.partitionBy(case, "metric_id").orderBy("rel"))
+    return frame.join(cells, [case, "metric_id", "rel"], "left").select(case, "metric_id", ts, "rel", F.coalesce(last, F.lit(0.0)).alias("value"))
+
+
 def align_baseline(normal: DataFrame, abnormal: DataFrame, case: str, step_s: int = 300) -> DataFrame:
     """Put a baseline that was recorded later in front of the event on an artificial axis.
 

@@ -104,6 +104,25 @@ def t06(spark, sf):
     return T.event_window(tele(spark, sf), "case_id", 240, 60)
 
 
+@query("t06_event_window_clean", """
+with c as (select case_id, component as metric_id, t0, to_timestamp(floor(epoch(ts) / 1800)::bigint * 1800)::timestamp as ts, avg(value) as value from telemetry group by all),
+ t as (select distinct case_id, ts, t0 from c), i as (select *, row_number() over (partition by case_id order by ts) - 1 as idx from t),
+ n as (select case_id, first(idx order by abs(epoch_us(ts) - epoch_us(t0)), idx desc) as inc_at, max(idx) as last from i group by all),
+ b as (select case_id, inc_at, greatest(0, inc_at - 60) as lo, least(last, inc_at + 12) as hi from n),
+ w as (select c.*, idx - inc_at as rel from c join i using (case_id, ts) join b using (case_id) where idx between lo and hi and hi - lo + 1 >= 30),
+ st as (select distinct case_id, ts, rel from w), ns as (select case_id, count(*) as steps from st group by all),
+ k as (select case_id, metric_id from w join ns using (case_id) group by case_id, metric_id, steps having stddev_samp(value) > 1e-8 and 1 - count(value) / steps < 0.5),
+ g as (select case_id from k group by all having count(*) >= 5)
+select case_id, metric_id, st.ts, rel, coalesce(last_value(w.value ignore nulls) over (partition by case_id, metric_id order by rel), 0) as value
+from k join g using (case_id) join st using (case_id) left join w using (case_id, metric_id, rel)""", rnd="value")
+def t06_clean(spark, sf):
+    """Half-hourly means of the components, cleaned inside the window."""
+    step = T.step_of("ts", 1800)
+    x = tele(spark, sf).groupBy("case_id", F.col("component").alias("metric_id"), "t0", step.alias("step")).agg(F.avg("value").alias("value"))
+    x = x.select("case_id", "metric_id", "t0", T.step_start("step", 1800).alias("ts"), "value")
+    return T.clean_window(T.event_window(x, "case_id", 48, 12), "case_id")
+
+
 # the event side of every case against a baseline of the same case recorded "later"
 @query("t07_align_baseline", """
 with n as (select *, dense_rank() over (partition by case_id order by ts) - 1 as idx from telemetry where ts < t0),

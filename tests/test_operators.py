@@ -16,6 +16,7 @@ from seismark.operators import detect as D
 from seismark.operators import infer as I
 from seismark.operators import ranking as K
 from seismark.operators import resample as R
+from seismark.operators import telemetry as T
 
 
 def signal_frame(spark, metrics, event=50, n=100):
@@ -357,3 +358,19 @@ def test_prefilter_drops_near_copies_of_kept_metrics_only(spark):
     scores = grid.select("case_id", "metric_id").distinct().withColumn("z", 10.0 - F.substring("metric_id", 2, 1).cast("double"))
     got = [(r.case_id, r["rank"], r.metric_id) for r in D.prefilter_topk(scores, grid, 3).orderBy("rank").collect()]
     assert got == [("full", 1, "m1"), ("full", 4, "m4"), ("full", 5, "m5")]
+
+
+def test_clean_window_drops_metrics_and_fills_gaps(spark):
+    """Constant, half-empty and infinite metrics go, exactly half is too empty; leading gaps are zero; small cases vanish."""
+    nan, inf = float("nan"), float("inf")
+    up = lambda t: float(t)
+    series = {"a": up, "b": lambda t: None if t < 2 else up(t), "c": lambda t: nan if t == 5 else -up(t), "d": lambda t: 2 * up(t), "e": lambda t: up(t) ** 2,
+              "const": lambda t: 3.0, "half": lambda t: up(t) if t % 2 else None, "inf": lambda t: inf if t == 4 else up(t), "empty": lambda t: None}
+    rows = [("big", m, t, f(t)) for m, f in series.items() for t in range(10)] + [("small", m, t, series[m](t)) for m in "abcd" for t in range(10)]
+    rows += [("big", "a", 3, 5.0)]  # a second reading at one time
+    df = spark.createDataFrame(rows, "case_id string, metric_id string, rel int, value double").withColumn("ts", F.timestamp_seconds("rel").cast("timestamp_ntz"))
+    got = {(r.metric_id, r.rel): r.value for r in T.clean_window(df, "case_id").collect() if r.case_id == "big"}
+    assert {m for m, _ in got} == set("abcde") and len(got) == 50
+    assert [got["b", t] for t in range(4)] == [0.0, 0.0, 2.0, 3.0] and got["c", 5] == -4.0 and got["a", 3] == 4.0
+    assert T.clean_window(df.filter("case_id = 'small'"), "case_id").isEmpty()
+    assert T.clean_window(df.limit(0), "case_id").isEmpty()

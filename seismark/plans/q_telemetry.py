@@ -420,6 +420,19 @@ def d14(spark, sf):
     return lagcorr(spark, sf)
 
 
+cte("fseries", """select case_id, component, step, max(abs(value - mu) / sd) as z from (select case_id, metric_id, component, floor(epoch(ts) / 3600)::bigint as step, avg(value) as value from telemetry group by all) join
+  (select case_id, component, metric_id, count(value) as n, avg(value) as mu, stddev_pop(value) as sd from (select case_id, metric_id, component, floor(epoch(ts) / 3600)::bigint as step, avg(value) as value from telemetry group by all) group by all)
+  using (case_id, component, metric_id) where n >= 5 and sd >= 1e-8 group by all""")
+
+
+@query("d14_lagcorr_default", lagcorr_sql("fseries", 0.35, 0.05), rnd="weight")
+def d14_default(spark, sf):
+    """All components of a case at the default threshold; hours without a reading are missing steps."""
+    step = T.step_of("ts", HOUR)
+    x = tele(spark, sf).groupBy("case_id", "component", "metric_id", step.alias("step")).agg(F.avg("value").alias("value"))
+    return D.lagcorr_graph(kept(spark, sf, "fseries", lambda: D.component_series(x)))
+
+
 def ancestors_sql(src: str, keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
     on = f" and e.{keys} = u.{keys}" if keys else ""

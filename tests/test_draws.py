@@ -190,3 +190,27 @@ def test_permutation_p_like_shuffled_cases(spark):
     assert abs(got.lrt_observed - stats[0]) < 1e-6 and got.perms == 600
     p = sum(x >= stats[0] - 1e-9 for x in stats[1:]) / 600
     assert abs(got.p_perm - p) < 5 * math.sqrt(2 * max(p * (1 - p), 0.01) / 600) and abs(got.lrt_mean / np.mean(stats[1:]) - 1) < 0.15
+
+
+def test_twin_draws_all_cases_of_large_groups():
+    """Over 2 ** 14 cases a group: the SQL draws as many as the kernel, from the same thresholds."""
+    import duckdb
+    from seismark.plans import registry, sqltext
+
+    weights, reps = [100_000, 7, 200_001, 69_992], 40
+    con = duckdb.connect()
+    con.execute("create table large_vectors as select 'g' as grp, unnest(range(4)) as v, unnest(?) as c", [weights])
+    before = dict(registry.CTES)
+    try:
+        sqltext.draw_ctes("large_draws", "select grp, v, c from large_vectors", "grp", reps)
+        got = con.execute(registry.with_ctes("select rep, cell, n from large_draws")).fetchall()
+    finally:
+        registry.CTES.clear()
+        registry.CTES.update(before)
+    stream = con.execute(f"select {sqltext.h32(chr(39) + '7' + chr(39), chr(39) + 'g' + chr(39))}").fetchone()[0]
+    # the twin walks from height 6; the kernel's tree is as high as it needs, with the same numbers of a node
+    want = D.draws(stream, np.array(weights), np.full(reps, sum(weights)), np.arange(reps))
+    have = np.zeros((reps, 4), np.int64)
+    for rep, cell, n in got:
+        have[rep, cell] = n
+    assert (have.sum(axis=1) == sum(weights)).all() and np.abs(have - want).max() <= 2

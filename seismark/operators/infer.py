@@ -475,36 +475,47 @@ def _sign_class(x: DataFrame, keys) -> DataFrame:
         F.when(lo > TIE_EPS, "pos").when(hi < -TIE_EPS, "neg").otherwise("mixed").alias("sign_class"))
 
 
-def influence_top_k(diffs: DataFrame, ks: Sequence[int] = (1, 2, 5)) -> DataFrame:
+def influence_top_k(diffs: DataFrame, ks: Sequence[int] = (1, 2, 5), weight: str | None = None, cases_of=None) -> DataFrame:
     """The curve without the k cases that move the two extreme tolerances most.
 
     ``diffs``: (a, b, system, case_id, tol, d). Only the largest k contributions per pair are ranked: each task
-    keeps its own top k first, so no task sorts all cases.
+    keeps its own top k first, so no task sorts all cases. With ``weight``, a row stands for that many equal cases of a kind (case_id);
+    ``cases_of`` then gives (system, kind, case_id) of the kinds (system, kind) that can be among the first k.
     """
     kmax = max(ks)
+    one = F.col(weight) if weight else F.lit(1)
     ext = diffs.groupBy("a", "b").agg(F.min("tol").alias("t_lo"), F.max("tol").alias("t_hi"))
     x = diffs.join(ext, ["a", "b"])
-    contrib = (x.filter("tol = t_lo or tol = t_hi").groupBy("a", "b", "system", "case_id").agg(F.sum(F.abs("d")).alias("c"))
-               .withColumn("c", F.round("c", 9)).withColumn("part", F.pmod(F.xxhash64("case_id"), F.lit(256))))
+    contrib = (x.filter("tol = t_lo or tol = t_hi").groupBy("a", "b", "system", "case_id").agg(F.sum(F.abs("d")).alias("c"), F.max(one).alias("_n"))
+               .withColumn("c", F.round("c", 9)))
+    if weight:
+        before = W.partitionBy("a", "b").orderBy(F.desc("c"), F.desc("system")).rowsBetween(W.unboundedPreceding, -1)
+        first = contrib.groupBy("a", "b", "system", "c").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+        first = contrib.join(first.filter(F.col("_before") < kmax).select("a", "b", "system", "c"), ["a", "b", "system", "c"]).withColumnRenamed("case_id", "kind")
+        contrib = first.join(cases_of(first.select("system", "kind").distinct()), ["system", "kind"])
+    else:
+        contrib = contrib.withColumn("kind", F.col("case_id"))
+    contrib = contrib.withColumn("part", F.pmod(F.xxhash64("case_id"), F.lit(256)))
     order = [F.desc("c"), F.desc("system"), F.desc("case_id")]
     local = contrib.withColumn("r", F.row_number().over(W.partitionBy("a", "b", "part").orderBy(*order))).filter(F.col("r") <= kmax)
     top = local.withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy(*order))).filter(F.col("r") <= kmax)
-    tot = diffs.groupBy("a", "b", "tol").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
-    sub = (top.select("a", "b", "system", "case_id", "r").join(diffs, ["a", "b", "system", "case_id"])
+    tot = diffs.groupBy("a", "b", "tol").agg(F.sum(one * F.col("d")).alias("s"), F.sum(one).alias("n"))
+    sub = (top.select("a", "b", "system", F.col("kind").alias("case_id"), "r").join(diffs, ["a", "b", "system", "case_id"])
            .select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).filter("r <= k")
            .groupBy("a", "b", "tol", "k").agg(F.sum("d").alias("ds"), F.count("*").alias("dn")))
     left = tot.join(sub, ["a", "b", "tol"]).select("a", "b", "k", "tol", F.try_divide(F.col("s") - F.col("ds"), F.col("n") - F.col("dn")).alias("delta"))
     return _sign_class(left, ["a", "b", F.concat(F.lit("leave_top_"), F.col("k").cast("string")).alias("check_name")])
 
 
-def influence_subsample(diffs: DataFrame, reps: int = 200, frac: float = 0.8, seed: int = 13) -> DataFrame:
+def influence_subsample(diffs: DataFrame, reps: int = 200, frac: float = 0.8, seed: int = 13, weight: str | None = None) -> DataFrame:
     """Exactly floor(frac * n) cases per system in each replicate, drawn from the counts of equal cases; sign classes counted.
 
-    A case's vector holds its differences by pair and tolerance, so all pairs and tolerances share a subsample.
+    A case's vector holds its differences by pair and tolerance, so all pairs and tolerances share a subsample. With ``weight``, a row
+    stands for that many equal cases.
     """
     part = F.to_json(F.struct("a", "b", "tol"))
-    items = diffs.groupBy("system", "case_id").agg(F.collect_list(F.struct(part.alias("name"), F.col("d").alias("v"))).alias("items"))
-    r = replicate_sums(items, "system", reps, seed, share=frac)
+    items = diffs.groupBy("system", "case_id", *([weight] if weight else [])).agg(F.collect_list(F.struct(part.alias("name"), F.col("d").alias("v"))).alias("items"))
+    r = replicate_sums(items, "system", reps, seed, share=frac, weight=weight)
     kind = next(f.dataType.simpleString() for f in diffs.schema if f.name == "tol")
     x = r.withColumn("of", F.from_json("name", f"a string, b string, tol {kind}")).select("of.*", "rep", "s", "k")
     curve = x.groupBy("a", "b", "rep", "tol").agg((F.sum("s") / F.sum("k")).alias("delta"))

@@ -35,3 +35,13 @@ def test_kinds_give_the_results_of_cases(spark):
     assert rows(R.method_replicates(kinds, 50, weight="times")) == rows(R.method_replicates(cs, 50))
     d = C.pair_deltas(C.pair_diffs(cs))
     assert rows(R.bonferroni(kinds, d, C.pool(d), 200, weight="times")) == rows(R.bonferroni(cs, d, C.pool(d), 200))
+
+
+def test_kinds_of_faults_give_the_reweighted_reversals_of_cases(spark):
+    cs = scores(spark).filter("method != 'm3' and subsystem_id != 's2'").withColumn("fault", F.when(F.hash("case_id") % 3 == 0, "x").otherwise("y"))
+    kinds = C.case_kinds(cs, ["fault"]).cache()
+    assert kinds.count() < cs.count() and kinds.agg(F.sum("times")).first()[0] == cs.count()
+    assert rows(C.reweighted(kinds, "times")) == rows(C.reweighted(cs))
+    assert rows(R.strata_pair_replicates(kinds, 50, weight="times")) == rows(R.strata_pair_replicates(cs, 50))
+    reps = R.strata_pair_replicates(cs, 50)
+    assert rows(C.reweighted_reversals(kinds, C.reweighted(cs), reps, "times")) == rows(C.reweighted_reversals(cs, C.reweighted(cs), reps))

@@ -214,3 +214,25 @@ def test_twin_draws_all_cases_of_large_groups():
     for rep, cell, n in got:
         have[rep, cell] = n
     assert (have.sum(axis=1) == sum(weights)).all() and np.abs(have - want).max() <= 2
+
+
+def test_reweighted_twin_has_the_thresholds_of_the_kernel():
+    """Strata of a million cases: the draws of c21's SQL follow the kernel's thresholds, where log factorials moved thousands of them."""
+    import duckdb
+    from seismark.plans import q_compare, registry  # noqa: F401
+
+    con = duckdb.connect()
+    con.execute("create table large_cells as select 's' as stratum, unnest(range(3)) as v, unnest(?) as c, unnest(range(3)) as cell", [[300_001, 611_953, 88_046]])
+    before = dict(registry.CTES)
+    try:
+        registry.CTES["drawsf_c"] = "select * from large_cells"
+        tables = con.execute(registry.with_ctes("select j, wl / w as p, base, cuts from drawsf_t join drawsf_w using (stratum, h, i)")).fetchall()
+    finally:
+        registry.CTES.clear()
+        registry.CTES.update(before)
+    moved = 0
+    for j, p, base, cuts in tables:
+        first, own = D.binomial_table(1 << j, p)
+        assert (base, len(cuts)) == (first, len(own))
+        moved += int((np.array(cuts, np.int64) != own).sum())
+    assert len(tables) >= 40 and moved <= 20

@@ -7,12 +7,15 @@ the share of common shingles reaches the threshold. Work is skipped twice:
   entries, so a set need only look at its rarest entries up to a position; later entries are skipped. A list is cut into
   overlapping blocks of similar set size, and a block that holds one set is skipped as a whole. A block names one of its
   sets as leader, and every set of the block is compared with the leader only: all sets that could link meet at a leader.
-* Answers: the comparison yields what a set lacks and adds against its leader. Sets of one leader differ little from it, so
-  the overlap of any two follows from these differences: |leader| - gone(x) - gone(y) + |differences in common|. Sets that
-  link with the leader already have their answer; only the others are compared with the rest, in blocks.
+* Answers: sets that link with the leader have their answer. Only the others are compared with the rest of the star, in
+  blocks, by sketches first: a bit for each range of the hash tells whether an odd number of a set's entries lie there, and
+  two sets differ in as many entries, at least, as in bits. Sets whose sketch rules out every link need no more; of the rest
+  the comparison with the leader yields what a set lacks and adds, and the overlap of any two follows from these
+  differences: |leader| - gone(x) - gone(y) + |differences in common|.
 
 Links that only repeat what is known of a group are never made; no link between different groups is lost. Entries of
 posting lists travel in blocks with five bytes a hash; a wrong match of those costs one comparison and changes no result.
+Whole sets are made again from the texts that a bitmap of fixed size lets through; one too many costs its way only.
 Sets are told apart by 64-bit hashes (expected number of confused pairs among N sets: N * N / 2 ** 65).
 
 Defined results: a null or blank text has an empty set and links with nothing; a text of fewer words than a shingle is one
@@ -32,6 +35,8 @@ from seismark.llm.common import LOWER, U64, by_bucket, chunks, keyed, mix, parti
 SHINGLE, PERCENT = 5, 75
 #: Sets of a star that a block of its unlinked sets is compared with at once.
 ROWS, COLUMNS = 256, 2048
+#: Slots of the bitmap of wanted documents; a sketch has four bits or more an entry of the leader, and so many at most.
+SLOTS, SKETCH = 1 << 26, 1 << 17
 KEY_BITS = 40
 POSTINGS = "bucket int, sids binary, sizes binary, counts binary, keys binary"
 CHOICES = "shard int, sids binary, sizes binary, counts binary, freq binary, token binary, leads binary"
@@ -191,6 +196,68 @@ def choose_leaders(found: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("shard").applyInArrow(choose, "sid long, lead long")
 
 
+def wanted(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with a bit for every kid and tv."""
+    out, part = np.zeros(SLOTS // 8, np.uint8), 32768
+    at = slot()
+    for r in keys.select(at.alias("slot")).groupBy(F.floor(F.col("slot") / part).alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % part).alias("bits")).collect():
+        out[r.part * part // 8: (r.part + 1) * part // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def slot():
+    return F.pmod(F.xxhash64("kid", "tv"), F.lit(SLOTS))
+
+
+def members(docs: DataFrame, known: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """sid, members: the sets of the pairs, and of a few other documents, made from the text of one document each."""
+    needed = pairs.select("sid").unionByName(pairs.select(F.col("lead").alias("sid"))).distinct()
+    chosen = known.where("sid is not null").groupBy("sid").agg(F.min(F.struct("kid", "tv")).alias("k")).join(needed, "sid").select("k.kid", "k.tv")
+    shipped = docs.sparkSession.sparkContext.broadcast(wanted(chosen))
+
+    def emit(batches):
+        bits = shipped.value
+
+        def passed():
+            for b in batches:
+                at = b.column("slot").to_numpy()
+                yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+        for t in chunks(passed()):
+            sets = list({set_id(s): s for s in shingle_sets(t.column("text"), shingle) if len(s)}.items())
+            for at in range(0, len(sets), 500):
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets[at: at + 500]], pa.int64()), pa.array([s.tobytes() for _, s in sets[at: at + 500]], pa.binary())], names=["sid", "members"])
+
+    return docs.select(slot().alias("slot"), "text").mapInArrow(emit, "sid long, members binary").groupBy("sid").agg(F.first("members").alias("members"))
+
+
+def with_leaders(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    both = pairs.select("lead", "sid").join(sets, "sid").join(sets.select(F.col("sid").alias("lead"), F.col("members").alias("lead_members")), "lead")
+    return both.select("lead", "sid", "members", "lead_members")
+
+
+def sketch(s: np.ndarray, n_lead: int) -> bytes:
+    """Whether the number of entries is odd, for each of equal ranges of the hash; as many ranges in every sketch of a star."""
+    bits = min(max(6, (4 * n_lead - 1).bit_length()), SKETCH.bit_length() - 1)
+    return np.packbits(np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).tobytes()
+
+
+def against_leaders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """lead, sid, n, linked, sketch: each set against its leader."""
+
+    def compare(batches):
+        for b in batches:
+            n, linked, sketches = [], [], []
+            for x, y in zip(b.column("members"), b.column("lead_members")):
+                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                n.append(len(x)), linked.append(100 * common >= percent * (len(x) + len(y) - common)), sketches.append(sketch(x, len(y)))
+            yield pa.RecordBatch.from_arrays([b.column("lead"), b.column("sid"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(sketches, pa.binary())],
+                                             names=["lead", "sid", "n", "linked", "sketch"])
+
+    return with_leaders(pairs, sets).mapInArrow(compare, "lead long, sid long, n long, linked boolean, sketch binary")
+
+
 def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """lead, sid, n, n_lead, gone, diff, linked: each set against its leader; diff holds what it lacks and adds."""
 
@@ -207,8 +274,7 @@ def differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("lead"), b.column("sid"), pa.array(n, pa.int64()), pa.array(n_lead, pa.int64()), pa.array(gone, pa.int64()),
                                               pa.array(diff, pa.binary()), pa.array(linked, pa.bool_())], names=["lead", "sid", "n", "n_lead", "gone", "diff", "linked"])
 
-    both = pairs.join(sets, "sid").join(sets.select(F.col("sid").alias("lead"), F.col("members").alias("lead_members")), "lead")
-    return both.select("lead", "sid", "members", "lead_members").mapInArrow(compare, "lead long, sid long, n long, n_lead long, gone long, diff binary, linked boolean")
+    return with_leaders(pairs, sets).mapInArrow(compare, "lead long, sid long, n long, n_lead long, gone long, diff binary, linked boolean")
 
 
 def common_counts(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
@@ -256,16 +322,44 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def links_in_stars(diffs: DataFrame, percent: int) -> DataFrame:
-    """a, b: links of sets that don't link with their leader to sets of the same leader; enough to join their groups."""
-    star = diffs.groupBy("lead").agg(F.count("*").alias("k"), F.sum((~F.col("linked")).cast("long")).alias("s")).where("s > 0 and k > 1")
+def star_blocks(table: DataFrame):
+    """The sets of each star as rows (those that don't link with the leader) and columns (all), grouped by blocks."""
+    star = table.groupBy("lead").agg(F.count("*").alias("k"), F.sum((~F.col("linked")).cast("long")).alias("s")).where("s > 0 and k > 1")
     star = star.select("lead", F.ceil(F.col("s") / ROWS).alias("nb"), F.ceil(F.col("k") / COLUMNS).alias("nc"))
-    in_star = diffs.join(star, "lead")
+    in_star = table.join(star, "lead")
     b, c = F.pmod(F.xxhash64("sid"), "nb"), F.pmod(F.xxhash64(F.lit(1), "sid"), "nc")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    what = ["lead", "sid", "n", "n_lead", "gone", "diff", "linked"]
-    rows = in_star.where("not linked").select(*what, F.lit(True).alias("is_row"), b.alias("b"), every("nc").alias("c"))
-    columns = in_star.select(*what, F.lit(False).alias("is_row"), every("nb").alias("b"), c.alias("c"))
+    rows = in_star.where("not linked").select(*table.columns, F.lit(True).alias("is_row"), b.alias("b"), every("nc").alias("c"))
+    columns = in_star.select(*table.columns, F.lit(False).alias("is_row"), every("nb").alias("b"), c.alias("c"))
+    # the blocks of a star are dealt out one by one; else they stay where the join by leader has put them
+    return rows.unionByName(columns).repartition("lead", "b", "c").groupBy("lead", "b", "c")
+
+
+def may_link(near: DataFrame, percent: int) -> DataFrame:
+    """lead, sid: the sets of stars that may link with one that doesn't link with the leader, and those ones, by their sketches."""
+
+    def match(t: pa.Table) -> pa.Table:
+        n, sid, is_row = (t.column(x).to_numpy() for x in ("n", "sid", "is_row"))
+        bits = joined(t, "sketch", U64).reshape(len(n), -1)
+        order = np.argsort(n, kind="stable")
+        r, c = order[is_row[order]], order[~is_row[order]]
+        found = np.zeros(len(n), bool)
+        # linked sets have sizes in the ratio of percent at least, and 100 - percent entries apart for 100 + percent of both at most
+        first, last = np.searchsorted(n[c], -(-n[r] * percent // 100)), np.searchsorted(n[c], n[r] * 100 // percent, "right")
+        table = bits[c]
+        for i, lo, hi in zip(r.tolist(), first.tolist(), last.tolist()):
+            apart = np.bitwise_count(table[lo:hi] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            hit = c[lo:hi][((100 + percent) * apart <= (100 - percent) * (n[i] + n[c[lo:hi]])) & (sid[c[lo:hi]] != sid[i])]
+            found[hit] = True
+            found[i] |= len(hit) > 0
+        some = np.unique(sid[found])
+        return pa.table({"lead": np.full(len(some), t.column("lead")[0].as_py(), np.int64), "sid": some})
+
+    return star_blocks(near).applyInArrow(match, "lead long, sid long").distinct()
+
+
+def links_in_stars(diffs: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of sets that don't link with their leader to sets of the same leader; enough to join their groups."""
 
     def match(t: pa.Table) -> pa.Table:
         n, gone, sid, is_row, linked = (t.column(x).to_numpy() for x in ("n", "gone", "sid", "is_row", "linked"))
@@ -282,8 +376,7 @@ def links_in_stars(diffs: DataFrame, percent: int) -> DataFrame:
         some = label != np.arange(len(ids))
         return pa.table({"a": ids[some], "b": ids[label[some]]})
 
-    # the blocks of a star are dealt out one by one; else they stay where the join by leader has put them
-    return rows.unionByName(columns).repartition("lead", "b", "c").groupBy("lead", "b", "c").applyInArrow(match, "a long, b long")
+    return star_blocks(diffs).applyInArrow(match, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -311,18 +404,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     docs = keyed(docs)
     known = written(classes(docs, shingle), "classes")
     pairs = written(choose_leaders(read_lists(postings(docs, shingle, percent, n), percent, n), percent), "pairs")
-    needed = pairs.select("sid").unionByName(pairs.select(F.col("lead").alias("sid"))).distinct()
-    chosen = known.where("sid is not null").groupBy("sid").agg(F.min(F.struct("kid", "tv")).alias("k")).join(needed, "sid").select("sid", "k.kid", "k.tv")
-
-    def members(batches):
-        for t in chunks(batches):
-            sets = shingle_sets(t.column("text"), shingle)
-            for at in range(0, len(sets), 500):
-                yield pa.RecordBatch.from_arrays([t.column("sid").combine_chunks()[at: at + 500], pa.array([s.tobytes() for s in sets[at: at + 500]], pa.binary())], names=["sid", "members"])
-
-    sets = docs.select("kid", "tv", "text").join(chosen, ["kid", "tv"]).select("sid", "text").mapInArrow(members, "sid long, members binary").groupBy("sid").agg(F.first("members").alias("members"))
-    diffs = written(differences(pairs, sets, percent), "diffs")
-    edges = diffs.where("linked").select(F.col("sid").alias("a"), F.col("lead").alias("b")).unionByName(links_in_stars(diffs, percent))
+    near = written(against_leaders(pairs, members(docs, known, pairs, shingle), percent), "near")
+    some = written(may_link(near, percent), "some")
+    diffs = written(differences(some, members(docs, known, some, shingle), percent), "diffs")
+    edges = near.where("linked").select(F.col("sid").alias("a"), F.col("lead").alias("b")).unionByName(links_in_stars(diffs, percent))
     roots = connected(edges)
     each = known.where("sid is not null").groupBy("sid").agg(F.min("kid").alias("kid")).join(roots, F.col("sid") == F.col("node"), "left").select("sid", "kid", F.coalesce("root", "sid").alias("root"))
     first = each.groupBy("root").agg(F.min("kid").alias("component"))

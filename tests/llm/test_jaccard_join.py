@@ -75,3 +75,47 @@ def test_common_counts_like_sets():
     sets = [np.unique(rnd.integers(0, 60, rnd.integers(0, 40))).astype(np.uint64) for _ in range(50)]
     got = J.common_counts(sets[:20], sets[20:])
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:20]]
+
+
+def test_stars_of_unlike_sets_are_not_written_whole(spark, monkeypatch):
+    """Documents that share a passage with a leader and link with nothing leave no differences behind; those that do link are found."""
+    rnd = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [passage + [f"v{rnd.randrange(9000)}" for _ in range(110)] for _ in range(60)]
+    texts += [t + ["more"] for t in texts[:3]]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    tables = {}
+
+    def kept(df, name, write=J.written):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(J, "written", kept)
+    got = run(spark, rows)
+    assert got == brute.jaccard(rows)
+    assert sum(got[i][1] != i for i in got) == 3
+    whole = sum(8 * size for size, _ in got.values())
+    assert tables["pairs"].count() >= 60
+    assert sum(len(r.diff) for r in tables["diffs"].select("diff").collect()) < whole / 4
+
+
+def test_all_documents_pass_a_full_bitmap(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(J, "wanted", lambda keys: np.full(J.SLOTS // 8, 255, np.uint8))
+    rows = corpus(6, groups=3)
+    assert run(spark, rows) == brute.jaccard(rows)
+
+
+@pytest.mark.parametrize("size", [1, 7, 60, 900, 30000])
+def test_sketches_never_lie_further_apart_than_the_sets(size):
+    import numpy as np
+
+    rnd = np.random.default_rng(size)
+    x = np.unique(rnd.integers(0, 2**64, size, dtype=np.uint64))
+    for keep in (0.0, 0.5, 0.9, 1.0):
+        y = np.unique(np.concatenate((x[rnd.random(len(x)) < keep], rnd.integers(0, 2**64, max(1, size // 9), dtype=np.uint64))))
+        a, b = (np.unpackbits(np.frombuffer(J.sketch(s, size), np.uint8)) for s in (x, y))
+        assert len(a) == len(b) <= J.SKETCH
+        apart = len(np.setxor1d(x, y))
+        assert 0.6 * apart - 3 <= (a != b).sum() <= apart

@@ -231,21 +231,29 @@ def _design(cells: DataFrame, factors: Sequence[str], numeric: Sequence[str]):
     return Pipeline(stages=stages).fit(cells).transform(cells)
 
 
+def in_order(v: np.ndarray) -> float:
+    """The sum, term after term. Log-likelihoods of ten million cases have their sixth decimal among the last bits of a double, so
+    the order of the sum is part of the result: by system, then by method."""
+    return float(np.add.accumulate(v)[-1]) if len(v) else 0.0
+
+
 def system_fit(system: np.ndarray, z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, int]:
     """(log-likelihood, rank) of logit(p) = effect of the system + z b on cells of y hits in n trials.
 
     The Hessian is diagonal in the systems, so a Newton step solves for b only, by least squares: columns of z that depend on each
-    other or on the systems (nested or deficient designs) neither break the step nor count for the rank.
+    other or on the systems (nested or deficient designs) neither break the step nor count for the rank. Columns are brought to one
+    scale first, else a covariate of small spread would pass for a dependent one beside the methods.
     """
     s = np.unique(system, return_inverse=True)[1]
     k = int(s.max(initial=-1)) + 1
     per = lambda v: np.stack([np.bincount(s, v[:, c], k) for c in range(v.shape[1])], axis=1)
     size = np.bincount(s, minlength=k)
     z = z[:, z.any(axis=0)]
+    z = z / np.abs(z).max(axis=0, initial=0)
     within = z - (per(z) / size[:, None])[s]
     rank = k + (int(np.linalg.matrix_rank(within, tol=1e-9 * max(1.0, np.abs(z).max(initial=0)) * np.sqrt(z.size + 1))) if z.shape[1] else 0)
     alpha, b = np.zeros(k), np.zeros(z.shape[1])
-    value = lambda al, be: float((y * (al[s] + z @ be) - n * np.logaddexp(0.0, al[s] + z @ be)).sum())
+    value = lambda al, be: in_order(y * (al[s] + z @ be) - n * np.logaddexp(0.0, al[s] + z @ be))
     now = value(alpha, b)
     for _ in range(200):
         p = 1 / (1 + np.exp(-(alpha[s] + z @ b)))
@@ -279,7 +287,7 @@ def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _cells_llf(y: np.ndarray, n: np.ndarray) -> float:
-    return float(saturated_llf(y[None, None], n[None, None])[0])
+    return in_order(saturated_terms(y, n))
 
 
 def joint_interaction(cells: DataFrame) -> DataFrame:
@@ -318,7 +326,9 @@ def difficulty_nested(cells: DataFrame, diff: DataFrame, covariate: str) -> Data
         t, system, y, n = _arrays(t)
         hot, cov = one_hot(t["method"].to_pylist()), t["cov"].to_numpy()
         additive, rank = system_fit(system, hot, y, n)
-        slopes, more = system_fit(system, np.hstack([hot, hot * (cov - cov.mean())[:, None]]), y, n)
+        off = cov - cov.mean()
+        off = np.where(np.abs(off).max(initial=0) > 1e-12 * np.abs(cov).max(initial=0), off, 0.0)  # a constant but for its last bits
+        slopes, more = system_fit(system, np.hstack([hot, hot * off[:, None]]), y, n)
         full = _cells_llf(y, n)
         return pa.table({"llf_additive": [additive], "llf_slopes": [slopes], "llf_full": [full], "lrt_slopes": [2 * (slopes - additive)], "df_slopes": pa.array([more - rank], pa.int64()),
                          "lrt_left": [2 * (full - slopes)], "df_left": pa.array([len(y) - more], pa.int64())})
@@ -396,10 +406,14 @@ def additive_llf(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return now
 
 
-def saturated_llf(y: np.ndarray, n: np.ndarray) -> np.ndarray:
+def saturated_terms(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     p = np.divide(y, n, out=np.zeros_like(y), where=n > 0)
     part = lambda k, q: np.where(k > 1e-12, k * np.log(np.where(q > 0, q, 1.0)), 0.0)
-    return (part(y, p) + part(n - y, 1 - p)).sum(axis=(1, 2))
+    return part(y, p) + part(n - y, 1 - p)
+
+
+def saturated_llf(y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return saturated_terms(y, n).sum(axis=(1, 2))
 
 
 PERM_BLOCK = 100

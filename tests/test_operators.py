@@ -374,3 +374,37 @@ def test_clean_window_drops_metrics_and_fills_gaps(spark):
     assert [got["b", t] for t in range(4)] == [0.0, 0.0, 2.0, 3.0] and got["c", 5] == -4.0 and got["a", 3] == 4.0
     assert T.clean_window(df.filter("case_id = 'small'"), "case_id").isEmpty()
     assert T.clean_window(df.limit(0), "case_id").isEmpty()
+
+
+def test_slopes_do_not_depend_on_the_spread_of_the_covariate(spark):
+    """Entropies of large tables differ in the sixth decimal only; the fit is the same as on the differences at full size."""
+    import numpy as np
+
+    rnd = np.random.default_rng(8)
+    place = rnd.normal(size=12)
+    rows, diff = [], {"near": [], "wide": []}
+    for i, x in enumerate(place):
+        diff["near"].append((f"s{i:02d}", 2.3219 + 5e-6 * float(x)))
+        diff["wide"].append((f"s{i:02d}", float(x)))
+        for j, slope in enumerate((0.0, 0.02, -0.03)):
+            p = 1 / (1 + np.exp(-(0.1 * i - 0.5 + 0.2 * j + slope * x)))
+            rows.append((f"m{j}", f"s{i:02d}", 360000.0, float(np.round(360000 * p) / 360000)))
+    cells = spark.createDataFrame(rows, "method string, sys string, n double, p double")
+    got = {k: I.difficulty_nested(cells, spark.createDataFrame(v, "sys string, x double"), "x").first() for k, v in diff.items()}
+    assert got["near"].df_slopes == got["wide"].df_slopes == 2
+    assert got["wide"].lrt_slopes > 100
+    assert abs(got["near"].lrt_slopes - got["wide"].lrt_slopes) < 1e-4
+    same = I.difficulty_nested(cells, spark.createDataFrame([(s, 0.1 + 0.2) for s, _ in diff["wide"]], "sys string, x double"), "x").first()
+    assert (same.df_slopes, abs(same.lrt_slopes) < 1e-6) == (0, True)
+
+
+def test_log_likelihoods_are_summed_in_the_order_of_the_cells():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    n = rnd.integers(300000, 400000, 100).astype(float)
+    y = np.floor(n * rnd.uniform(0.3, 0.6, 100))
+    want = 0.0
+    for v in I.saturated_terms(y, n).tolist():
+        want += v
+    assert I._cells_llf(y, n) == want

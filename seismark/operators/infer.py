@@ -217,7 +217,7 @@ def separation(d: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
 def cells_of(cs: DataFrame, system: str = "subsystem_id") -> DataFrame:
     """Hits and trials per (method, system), with the system's family if there is one: all a binomial model needs."""
     family = ["family"] if "family" in cs.columns else []
-    return cs.groupBy(*family, "method", F.col(system).alias("sys")).agg(F.count("*").cast("double").alias("n"), F.avg("score").alias("p"))
+    return cs.groupBy(*family, "method", F.col(system).alias("sys")).agg(F.count("*").cast("double").alias("n"), F.avg("score").alias("p"), F.sum("score").alias("hits"))
 
 
 def _design(cells: DataFrame, factors: Sequence[str], numeric: Sequence[str]):
@@ -283,7 +283,8 @@ def one_hot(values) -> np.ndarray:
 def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     t = t.sort_by([("sys", "ascending"), ("method", "ascending")])
     n = t["n"].to_numpy().astype(float)
-    return t, np.array(t["sys"].to_pylist(), object), np.clip(n * t["p"].to_numpy(), 0, n), n
+    hits = t["hits"].to_numpy() if "hits" in t.column_names else n * t["p"].to_numpy()  # n * p may be a last bit off
+    return t, np.array(t["sys"].to_pylist(), object), np.clip(hits, 0, n), n
 
 
 def _cells_llf(y: np.ndarray, n: np.ndarray) -> float:

@@ -408,3 +408,8 @@ def test_log_likelihoods_are_summed_in_the_order_of_the_cells():
     for v in I.saturated_terms(y, n).tolist():
         want += v
     assert I._cells_llf(y, n) == want
+
+
+def test_cells_keep_their_hits(spark):
+    cs = spark.createDataFrame([("m", "s", 1.0 if i == 0 else 0.0) for i in range(49)], "method string, subsystem_id string, score double")
+    assert I._arrays(I.cells_of(cs).toArrow())[2].tolist() == [1.0]  # 49 * (1 / 49) is less
